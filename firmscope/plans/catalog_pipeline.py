@@ -1 +1,210 @@
-"""Catalogue entries for the load pipeline (registered on import)."""
+"""Catalogue entries for the load pipeline: Gold build, quarantine, gates,
+write-audit-publish, mart rebuild, shard ingest, delimited scan and export.
+
+Entries that write files do so in a fresh folder below the shared folder
+(``spark.checkpoint.dir``), never in a machine-local one.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from firmscope import schemas
+from firmscope.operators import gates, gold, marts
+from firmscope.operators.gates import GateRules
+from firmscope.plans import pipeline
+from firmscope.plans.catalog import AS_OF, PAD, Ctx, query
+from firmscope.plans.oracle import PCT
+from firmscope.session import shared_dir
+from firmscope.sources import delimited, export, zipshards
+
+
+def _scratch(c: Ctx, name: str) -> str:
+    return f"{shared_dir(c.spark)}/firmscope-scratch/{name}-{uuid.uuid4().hex}"
+
+
+_OPEN_OK = (
+    "COALESCE(regexp_full_match(data_inicio_atividade, '[0-9]{8}') AND "
+    "CAST(try_strptime(data_inicio_atividade, '%Y%m%d') AS DATE) BETWEEN DATE '1900-01-01' "
+    f"AND DATE '{AS_OF}', FALSE)"
+)
+
+
+@query(
+    "build_gold",
+    """
+    SELECT company_id, legal_name, legal_nature_code, CAST(share_capital AS DOUBLE) AS share_capital,
+           opened_on, activity_code, city_code, state, status_code, status_on
+    FROM gold_built
+    """,
+)
+def _build_gold(c: Ctx) -> DataFrame:
+    return c.built_gold()
+
+
+@query(
+    "quarantine_split",
+    f"""
+    SELECT lpad(cnpj_basico, 8, '0') AS company_id, data_inicio_atividade AS raw_opened_on,
+           CASE WHEN data_inicio_atividade IS NULL THEN 'missing'
+                WHEN NOT regexp_full_match(data_inicio_atividade, '[0-9]{{8}}') THEN 'malformed'
+                WHEN try_strptime(data_inicio_atividade, '%Y%m%d') IS NULL THEN 'impossible_date'
+                WHEN CAST(try_strptime(data_inicio_atividade, '%Y%m%d') AS DATE) < DATE '1900-01-01'
+                     THEN 'before_floor'
+                WHEN CAST(try_strptime(data_inicio_atividade, '%Y%m%d') AS DATE) > DATE '{AS_OF}'
+                     THEN 'after_as_of'
+           END AS reason
+    FROM establishments_raw
+    WHERE matriz_filial = '1' AND NOT {_OPEN_OK}
+    """,
+)
+def _quarantine_split(c: Ctx) -> DataFrame:
+    _, rejected = gold.quarantine_split(c.establishments_raw, AS_OF)
+    return rejected
+
+
+@query(
+    "quarantine_count",
+    f"SELECT COUNT(*) FILTER (WHERE NOT {_OPEN_OK}) AS quarantined FROM establishments_raw WHERE matriz_filial = '1'",
+)
+def _quarantine_count(c: Ctx) -> DataFrame:
+    return gold.quarantine_count(c.establishments_raw, AS_OF)
+
+
+@query("gate_volume", "SELECT COUNT(*) AS value FROM gold_built")
+def _gate_volume(c: Ctx) -> DataFrame:
+    return gates.gate_volume(c.built_gold())
+
+
+@query(
+    "gate_retention",
+    f"SELECT {PCT('(SELECT COUNT(*) FROM gold_built)', '(SELECT COUNT(*) FROM companies_raw)', 2)} AS value",
+)
+def _gate_retention(c: Ctx) -> DataFrame:
+    return gates.gate_retention(c.built_gold(), c.companies_raw)
+
+
+@query("gate_duplicates", "SELECT COUNT(*) - COUNT(DISTINCT company_id) AS value FROM gold_built")
+def _gate_duplicates(c: Ctx) -> DataFrame:
+    return gates.gate_duplicates(c.built_gold())
+
+
+@query("gate_null_dates", "SELECT COUNT(*) FILTER (WHERE opened_on IS NULL) AS value FROM gold_built")
+def _gate_null_dates(c: Ctx) -> DataFrame:
+    return gates.gate_null_dates(c.built_gold())
+
+
+@query(
+    "gate_date_range",
+    f"""
+    SELECT COUNT(*) FILTER (WHERE opened_on < DATE '1900-01-01' OR opened_on > DATE '{AS_OF}') AS value
+    FROM gold_built
+    """,
+)
+def _gate_date_range(c: Ctx) -> DataFrame:
+    return gates.gate_date_range(c.built_gold(), AS_OF)
+
+
+_DECADES = "SELECT COUNT(*) AS c FROM gold_built GROUP BY CAST(EXTRACT(year FROM opened_on) AS INTEGER) // 10"
+
+
+@query("gate_decade_concentration", f"SELECT {PCT('MAX(c)', 'SUM(c)', 1)} AS value FROM ({_DECADES}) t")
+def _gate_decade_concentration(c: Ctx) -> DataFrame:
+    return gates.gate_decade_concentration(c.built_gold())
+
+
+def _run_gates_sql() -> str:
+    r = GateRules()
+    return f"""
+    WITH g AS (SELECT COUNT(*) AS rows,
+                      COUNT(*) - COUNT(DISTINCT company_id) AS duplicates,
+                      COUNT(*) FILTER (WHERE opened_on IS NULL) AS null_dates,
+                      COUNT(*) FILTER (WHERE opened_on < DATE '1900-01-01' OR opened_on > DATE '{AS_OF}') AS oor
+               FROM gold_built),
+    d AS (SELECT {PCT('MAX(c)', 'SUM(c)', 1)} AS decade_pct FROM ({_DECADES}) t),
+    b AS (SELECT COUNT(*) AS bronze_rows FROM companies_raw),
+    m AS (SELECT g.*, d.decade_pct, {PCT('g.rows', 'b.bronze_rows', 2)} AS retention FROM g, d, b)
+    SELECT 1 AS position, 'volume' AS gate, CAST(rows AS DOUBLE) AS value, '> {r.min_rows}' AS rule,
+           COALESCE(rows > {r.min_rows}, FALSE) AS passed FROM m
+    UNION ALL SELECT 2, 'retention', retention, '> {r.min_retention_pct}',
+           COALESCE(retention > {r.min_retention_pct}, FALSE) FROM m
+    UNION ALL SELECT 3, 'duplicates', CAST(duplicates AS DOUBLE), '<= {r.max_duplicates}',
+           COALESCE(duplicates <= {r.max_duplicates}, FALSE) FROM m
+    UNION ALL SELECT 4, 'null_dates', CAST(null_dates AS DOUBLE), '<= {r.max_null_dates}',
+           COALESCE(null_dates <= {r.max_null_dates}, FALSE) FROM m
+    UNION ALL SELECT 5, 'date_range', CAST(oor AS DOUBLE), '<= {r.max_out_of_range}',
+           COALESCE(oor <= {r.max_out_of_range}, FALSE) FROM m
+    UNION ALL SELECT 6, 'decade_concentration', decade_pct, '< {r.max_decade_pct}',
+           COALESCE(decade_pct < {r.max_decade_pct}, FALSE) FROM m
+    """
+
+
+@query("run_gates", _run_gates_sql())
+def _run_gates(c: Ctx) -> DataFrame:
+    return gates.gate_metrics(c.built_gold(), c.companies_raw, AS_OF)
+
+
+@query("publish_if_valid")
+def _publish_if_valid(c: Ctx) -> DataFrame:
+    """Gated load of the Bronze-shaped tables into a fresh warehouse.
+
+    On the test tables the duplicate and decade gates fail by design, so the
+    result shows the gate rows and ``published = false``.
+    """
+    warehouse = _scratch(c, "warehouse")
+    comp, est = pipeline.write_bronze(c.companies_raw, c.establishments_raw, warehouse)
+    cfg = pipeline.LoadConfig(warehouse=warehouse, as_of=AS_OF, rules=GateRules(min_rows=1))
+    result = pipeline.publish_if_valid(c.spark, comp, est, cfg, raise_on_failure=False)
+    audit = c.spark.read.parquet(f"{warehouse}/audit").where(F.col("run_id") == result.run_id)
+    return audit.select("kind", "name", "value", "passed", F.lit(result.published).alias("published"))
+
+
+@query("rebuild_marts")
+def _rebuild_marts(c: Ctx) -> DataFrame:
+    """Rebuild the mart registry from the Gold-shaped table into a fresh warehouse."""
+    warehouse = _scratch(c, "marts")
+    lk = pipeline.Lookups(c.ref_activity, c.ref_city, c.ref_legal_nature)
+    done = pipeline.rebuild_marts(c.spark, c.companies, lk, warehouse, pipeline.default_marts(150, PAD))
+    frames = [
+        pipeline.read_mart(c.spark, warehouse, name).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("mart"), F.lit(True).alias("ok"), "rows"
+        )
+        if ok
+        else c.spark.createDataFrame([(name, False, 0)], "mart string, ok boolean, rows bigint")
+        for name, ok, _ in done
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("ingest_zip_shards")
+def _ingest_zip_shards(c: Ctx) -> DataFrame:
+    """Companies file written as four zipped shards, then ingested back."""
+    src = _scratch(c, "zips")
+    zipshards.write_zip_shards(c.companies_raw, src, "Empresas", 4)
+    rows, _ = zipshards.ingest_zip_shards(
+        c.spark, src, "Empresas*.zip", schemas.COMPANIES_RAW, f"{src}/expanded", part_bytes=64 << 10
+    )
+    return rows
+
+
+@query("scan_delimited")
+def _scan_delimited(c: Ctx) -> DataFrame:
+    """Establishments file written in the registry dialect and scanned back."""
+    out = _scratch(c, "csv")
+    c.establishments_raw.write.mode("overwrite").options(**zipshards.REGISTRY_CSV_WRITE).csv(out)
+    return delimited.scan_delimited(c.spark, out, schemas.ESTABLISHMENTS_RAW)
+
+
+@query("export_csv")
+def _export_csv(c: Ctx) -> DataFrame:
+    """Regional KPIs exported as a dated ``;`` CSV with BOM and read back."""
+    out = _scratch(c, "export")
+    path = export.export_csv(marts.region_kpis(c.companies), out, "comparador_kpis", on=_dt.date(2002, 1, 1))
+    return export.read_export(c.spark, path)

@@ -25,6 +25,7 @@ class _FS:
 
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
+        self._jvm = jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self.path = self._Path(path)
         self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -53,18 +54,20 @@ class _FS:
             out.close()
 
     def read_text(self, path: str) -> str:
-        stream = self.fs.open(self.p(path))
+        jvm = self._jvm
+        reader = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(self.fs.open(self.p(path)), "UTF-8")
+        )
         try:
-            chunks = []
-            buf = bytearray(65536)
+            lines = []
             while True:
-                n = stream.read(buf)
-                if n is None or n <= 0:
+                line = reader.readLine()
+                if line is None:
                     break
-                chunks.append(bytes(buf[:n]))
-            return b"".join(chunks).decode("utf-8")
+                lines.append(line)
+            return "\n".join(lines)
         finally:
-            stream.close()
+            reader.close()
 
     def rename(self, src: str, dst: str) -> bool:
         return bool(self.fs.rename(self.p(src), self.p(dst)))
