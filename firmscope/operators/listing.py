@@ -172,46 +172,46 @@ def segment_kpis(
 ) -> DataFrame:
     """KPIs (companies, total and mean capital) of every saved segment in one job.
 
-    The table is first reduced to (sector, city) cells; every segment is then
-    matched to cells with one of four equi-joins, chosen by which of its two
-    fields is a wildcard, so no nested-loop join is needed however many
-    segments there are.  KPIs are additive, so cells are simply summed.
+    The table is reduced once to (sector, city) cells; a ``cube`` over the
+    cells then yields the totals for every wildcard pattern (sector and city,
+    sector only, city only, everything), tagged by ``grouping_id``.  Each
+    segment picks its row with one null-safe equi-join on (sector, city,
+    pattern), so no nested-loop join is needed however many segments there
+    are, and a sector or city holding most companies is pre-aggregated
+    map-side before any shuffle.
     """
     cells = (
         companies_labelled(companies, ref_activity, ref_city)
         .groupBy("sector", "city")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
     )
-    s = segments
-    both = s.where(F.col("seg_sector").isNotNull() & F.col("seg_city").isNotNull())
-    only_sector = s.where(F.col("seg_sector").isNotNull() & F.col("seg_city").isNull())
-    only_city = s.where(F.col("seg_sector").isNull() & F.col("seg_city").isNotNull())
-    neither = s.where(F.col("seg_sector").isNull() & F.col("seg_city").isNull())
-    pick = ["segment", "n", "cap"]
-    matched = (
-        both.join(cells, (both.seg_sector == cells.sector) & (both.seg_city == cells.city)).select(*pick)
-        .unionByName(only_sector.join(cells, only_sector.seg_sector == cells.sector).select(*pick))
-        .unionByName(only_city.join(cells, only_city.seg_city == cells.city).select(*pick))
-    )
-    # Wildcard-only segments take the grand total: a one-row aggregate joined
-    # on a constant key (its size is one row by construction).
-    totals = cells.agg(F.sum("n").alias("n"), F.sum("cap").alias("cap")).withColumn("_k", F.lit(1))
-    everything = (
-        neither.select("segment", F.lit(1).alias("_k")).join(F.broadcast(totals), "_k").select(*pick)
-    )
-    all_rows = matched.unionByName(everything)
-    kpis = all_rows.groupBy("segment").agg(
+    # grouping_id bits: 1 = city rolled up, 2 = sector rolled up.
+    rolled = cells.cube("sector", "city").agg(
         F.sum("n").alias("companies"),
         F.sum("cap").cast("decimal(28,2)").alias("total_capital"),
+        F.grouping_id("sector", "city").alias("_pattern"),
     )
-    # Segments that match nothing still appear, with zero companies.
-    return (
-        segments.select("segment").distinct()
-        .join(kpis, "segment", "left")
-        .select(
-            "segment",
-            F.coalesce(F.col("companies"), F.lit(0).cast("bigint")).alias("companies"),
-            F.col("total_capital"),
-            F.round(F.col("total_capital") / F.nullif(F.col("companies"), F.lit(0)), 2).alias("mean_capital"),
-        )
+    seg = segments.select(
+        "segment",
+        F.col("seg_sector").alias("_s"),
+        F.col("seg_city").alias("_c"),
+        (F.when(F.col("seg_sector").isNull(), 2).otherwise(0) + F.when(F.col("seg_city").isNull(), 1).otherwise(0))
+        .cast("int")
+        .alias("_p"),
+    )
+    cond = (
+        seg._s.eqNullSafe(rolled.sector)
+        & seg._c.eqNullSafe(rolled.city)
+        & (seg._p == rolled._pattern)
+    )
+    matched = seg.join(rolled, cond, "left")
+    # A segment name is its identity: repeated names are summed together.
+    return matched.groupBy("segment").agg(
+        F.coalesce(F.sum("companies"), F.lit(0).cast("bigint")).alias("companies"),
+        F.sum("total_capital").cast("decimal(28,2)").alias("total_capital"),
+    ).select(
+        "segment",
+        "companies",
+        "total_capital",
+        F.round(F.col("total_capital") / F.nullif(F.col("companies"), F.lit(0)), 2).alias("mean_capital"),
     )

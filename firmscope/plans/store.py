@@ -97,7 +97,10 @@ def fingerprint(spark: SparkSession, paths: Iterable[str], params: dict | None =
 
 
 def table_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/firmscope-tables"
+    """Root of materialised tables; ``FIRMSCOPE_NAMESPACE`` isolates a run
+    (the benchmark uses a fresh one so every build is measured)."""
+    ns = os.environ.get("FIRMSCOPE_NAMESPACE", "default")
+    return f"{shared_dir(spark)}/firmscope-tables/{ns}"
 
 
 def materialise(
@@ -129,7 +132,7 @@ def materialise(
 
 # --- write-audit-publish ----------------------------------------------------
 
-POINTER = "_CURRENT"
+POINTERS = "_pointers"
 
 
 def new_version_path(spark: SparkSession, base: str) -> str:
@@ -137,23 +140,29 @@ def new_version_path(spark: SparkSession, base: str) -> str:
 
 
 def publish(spark: SparkSession, base: str, version_path: str) -> None:
-    """Make ``version_path`` the current version of the table at ``base``."""
+    """Make ``version_path`` the current version of the table at ``base``.
+
+    Each publication adds a new pointer file whose name sorts after every
+    earlier one (time-stamped), written under a temporary name and renamed
+    into place.  A rename to a fresh name is atomic, nothing is deleted, and
+    readers never find the pointer missing.
+    """
+    import time
+
     f = fs(spark, base)
-    tmp = f"{base}/{POINTER}.{uuid.uuid4().hex}"
+    name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex}"
+    tmp = f"{base}/{POINTERS}/.tmp-{name}"
     f.write_text(tmp, version_path)
-    target = f"{base}/{POINTER}"
-    if f.exists(target):
-        f.delete(target)
-    f.rename(tmp, target)
+    f.rename(tmp, f"{base}/{POINTERS}/{name}")
 
 
 def current(spark: SparkSession, base: str) -> str | None:
     """Path of the published version, resolved once per call."""
     f = fs(spark, base)
-    target = f"{base}/{POINTER}"
-    if not f.exists(target):
+    names = [n for n in f.list_names(f"{base}/{POINTERS}") if not n.startswith(".")]
+    if not names:
         return None
-    return f.read_text(target).strip()
+    return f.read_text(f"{base}/{POINTERS}/{names[-1]}").strip()
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:

@@ -39,6 +39,9 @@ DRIVER_TABLES = [
 AS_OF = "2002-01-01"
 SURVIVAL_MIN_COUNT = 150
 ACTIVITY_PAD = 4
+# Bumped whenever the shape or layout of a derived table changes, so stored
+# versions built by older code are not reused.
+DATA_VERSION = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +67,15 @@ def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # orders ⋈ customer first: the narrower side is shuffled twice, line items once.
+    # orders ⋈ customer first: the narrower side is shuffled twice, line items
+    # once.  Both fact tables grow with the data, so their join is a shuffled
+    # sort-merge join by design (never a broadcast, whatever the test size);
+    # dimension sides are left to the size-checked planner.
     order_side = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
     supplier_side = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
-    joined = li.join(order_side, li.l_orderkey == order_side.o_orderkey, "inner").join(
-        supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left"
-    )
+    joined = li.join(
+        order_side.hint("merge"), li.l_orderkey == order_side.o_orderkey, "inner"
+    ).join(supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left")
     return joined.select(
         F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("company_id"),
         F.col("c_name").alias("legal_name"),
@@ -87,9 +93,9 @@ def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold_layout(df: DataFrame) -> DataFrame:
-    # Opening date sorted inside each file: Parquet min/max statistics then
-    # prune row groups for date-range filters (the role of a BRIN index).
-    return df.sortWithinPartitions("opened_on")
+    from firmscope.operators.gold import gold_layout
+
+    return gold_layout(df)
 
 
 def input_paths(sf_dir: str, names: list[str]) -> list[str]:
@@ -99,7 +105,7 @@ def input_paths(sf_dir: str, names: list[str]) -> list[str]:
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Gold-shaped table, written once per input version and read back."""
     names = ["lineitem", "orders", "customer", "supplier", "nation"]
-    key = store.fingerprint(spark, input_paths(sf_dir, names), {"v": 1})
+    key = store.fingerprint(spark, input_paths(sf_dir, names), {"v": DATA_VERSION})
     return store.materialise(
         spark, "companies", key, lambda: companies_frame(spark, sf_dir), _gold_layout
     )
