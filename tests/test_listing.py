@@ -106,3 +106,12 @@ def test_segments_from_a_table_of_users(spark, data):
     )
     segs = listing.segments_from_json(spark, users)
     assert [r.segment for r in segs.collect()] == ["Tech"]
+
+
+def test_filter_options_accent_aware_order(spark):
+    ref = spark.createDataFrame(
+        [(1, "Zebra"), (2, "Ébano"), (3, "abacate"), (4, "Água"), (5, "Zebra")], "code bigint, description string"
+    )
+    empty = spark.createDataFrame([], "code bigint, description string")
+    rows = listing.sorted_options(listing.filter_options(ref, empty)).collect()
+    assert [r.description for r in rows] == ["abacate", "Água", "Ébano", "Zebra"]
