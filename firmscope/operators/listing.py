@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope import schemas
-from firmscope.functions.clean import _col
 from firmscope.operators.aggregates import mean_money
 
 LISTING_COLUMNS = ["company_id", "legal_name", "share_capital", "opened_on", "sector", "city"]
@@ -180,10 +179,17 @@ def segment_kpis(
     are, and a sector or city holding most companies is pre-aggregated
     map-side before any shuffle.
     """
+    # (activity code, city code) first: the lookups then join one row per
+    # code pair instead of one row per company.
+    by_code = (
+        companies.where(F.col("share_capital") > 0)
+        .groupBy("activity_code", "city_code")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
+    )
     cells = (
-        companies_labelled(companies, ref_activity, ref_city)
+        companies_labelled(by_code, ref_activity, ref_city, positive_capital=False)
         .groupBy("sector", "city")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
+        .agg(F.sum("n").alias("n"), F.sum("cap").alias("cap"))
     )
     # grouping_id bits: 1 = city rolled up, 2 = sector rolled up.
     rolled = cells.cube("sector", "city").agg(
