@@ -173,7 +173,8 @@ def establishments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier_side = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").join(
+    # Fact-to-fact join: shuffled sort-merge, as in ``companies_frame``.
+    j = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey, "inner").join(
         supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left"
     )
     m = F.col("l_orderkey") % 50

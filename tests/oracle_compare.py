@@ -25,6 +25,12 @@ TABLES = [
 ]
 
 
+SPARK_TO_DUCK = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+    "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -82,6 +88,13 @@ def compare(spark, sf_dir: str, key: str, fn, sql: str, con=None) -> dict:
     sc, sr = _rows(s_cols, s_data)
     dc, dr = _rows(d_cols, d_data)
     out["columns_match"] = sc == dc
+    rel = con.sql(sql)
+    d_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    s_types = {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes}
+    out["types_match"] = s_types == d_types
+    if not out["types_match"]:
+        out["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                            if s_types.get(c) != d_types.get(c)}
     if sc != dc:
         out["spark_columns"], out["oracle_columns"] = sc, dc
     out["exact"] = sr == dr
@@ -114,7 +127,7 @@ def main(argv):
             bad += 1
             print(f"{k:28s} ERROR {type(e).__name__}: {str(e)[:400]}")
             continue
-        ok = r["exact"] and r["columns_match"] and r["spark_rows"] == r["oracle_rows"]
+        ok = r["exact"] and r["columns_match"] and r["types_match"] and r["spark_rows"] == r["oracle_rows"]
         bad += not ok
         print(f"{k:28s} {'OK ' if ok else 'BAD'} {r}" if not ok else f"{k:28s} OK  rows={r['spark_rows']} {r['spark_sec']}s")
     print("mismatches:", bad)
