@@ -221,3 +221,42 @@ def segment_kpis(
         "total_capital",
         F.round(F.col("total_capital") / F.nullif(F.col("companies"), F.lit(0)), 2).alias("mean_capital"),
     )
+
+
+def companies_filtered_sql(
+    spark: SparkSession,
+    companies: DataFrame,
+    ref_activity: DataFrame,
+    ref_city: DataFrame,
+    sector: str | None = None,
+    city: str | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """The filtered listing as parametrised SQL.
+
+    Values travel as named parameters (``:sector``, ``:city``, ``:n``), never as
+    SQL text; the tables are passed as DataFrame arguments.  Same result as
+    ``companies_filtered`` (plus ``companies_preview`` when ``limit`` is set).
+    """
+    sector = _wild(sector, schemas.ANY_SECTOR)
+    city = _wild(city, schemas.ANY_CITY)
+    sql = """
+        SELECT e.company_id, e.legal_name, e.share_capital, e.opened_on,
+               a.description AS sector, m.description AS city
+        FROM {companies} e
+        LEFT JOIN {ref_activity} a ON e.activity_code = a.code
+        LEFT JOIN {ref_city} m ON e.city_code = m.code
+        WHERE e.share_capital > 0
+    """
+    args: dict = {}
+    if sector is not None:
+        sql += " AND a.description = :sector"
+        args["sector"] = sector
+    if city is not None:
+        sql += " AND m.description = :city"
+        args["city"] = city
+    if limit is not None:
+        order = ", ".join(f"{c} ASC NULLS LAST" for c in LISTING_COLUMNS)
+        sql += f" ORDER BY {order} LIMIT :n"
+        args["n"] = int(limit)
+    return spark.sql(sql, args=args, companies=companies, ref_activity=ref_activity, ref_city=ref_city)

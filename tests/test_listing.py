@@ -115,3 +115,21 @@ def test_filter_options_accent_aware_order(spark):
     empty = spark.createDataFrame([], "code bigint, description string")
     rows = listing.sorted_options(listing.filter_options(ref, empty)).collect()
     assert [r.description for r in rows] == ["abacate", "Água", "Ébano", "Zebra"]
+
+
+@pytest.mark.parametrize(
+    "sector,city,expected",
+    [
+        (None, None, ["Alpha", "Beta", "Gama"]),
+        ("Varejo", "São Paulo", ["Beta"]),
+        ("' OR '1'='1", None, []),
+    ],
+)
+def test_parametrised_sql_listing(spark, data, sector, city, expected):
+    df = listing.companies_filtered_sql(spark, *data, sector=sector, city=city)
+    assert names(df) == expected
+
+
+def test_parametrised_sql_limit(spark, data):
+    df = listing.companies_filtered_sql(spark, *data, limit=2)
+    assert [r.company_id for r in df.collect()] == ["00000001", "00000002"]
