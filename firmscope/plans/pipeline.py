@@ -3,9 +3,10 @@
 Layout below ``warehouse`` (a shared folder)::
 
     bronze/companies_raw, bronze/establishments_raw    Parquet, replaced per load
-    gold/v-<id>/ ... gold/_CURRENT                     versions + pointer
-    marts/<name>/v-<id>/ ... marts/<name>/_CURRENT
-    audit/                                             one row per gate per run
+    gold/v-<id>/ ... gold/_pointers/<time>-<id>       versions + pointer files
+    marts/<name>/v-<id>/ ... marts/<name>/_pointers/
+    audit/                                             gates, quarantine reasons and
+                                                       parse counters of every run
 
 Write-audit-publish: Bronze is written (committed) first, so a failed gate does
 not cost the ingest again; Gold is written to a new version, the gates run on
@@ -99,14 +100,25 @@ def ingest_bronze(spark: SparkSession, cfg: LoadConfig) -> tuple[DataFrame, Data
         raise ValueError("source_dir is required to ingest")
     comp_path, est_path = bronze_paths(cfg.warehouse)
     scratch = f"{cfg.warehouse}/_expanded/{uuid.uuid4().hex}"
-    comp, _ = zipshards.ingest_zip_shards(
+    comp, comp_manifest = zipshards.ingest_zip_shards(
         spark, cfg.source_dir, COMPANIES_PATTERN, schemas.COMPANIES_RAW, f"{scratch}/companies", cfg.part_bytes
     )
-    est, _ = zipshards.ingest_zip_shards(
+    est, est_manifest = zipshards.ingest_zip_shards(
         spark, cfg.source_dir, ESTABLISHMENTS_PATTERN, schemas.ESTABLISHMENTS_RAW, f"{scratch}/establishments", cfg.part_bytes
     )
     comp.write.mode("overwrite").parquet(comp_path)
     est.write.mode("overwrite").parquet(est_path)
+    # NUL bytes removed per archive, kept with the run audit.
+    ingest_id = uuid.uuid4().hex
+    nul = comp_manifest.unionByName(est_manifest).groupBy("archive").agg(F.sum("nul_removed").alias("n"))
+    nul.select(
+        F.lit(ingest_id).alias("run_id"),
+        F.lit(None).cast("string").alias("version"),
+        F.lit("ingest_nul_removed").alias("kind"),
+        F.col("archive").alias("name"),
+        F.col("n").cast("double").alias("value"),
+        F.lit(None).cast("boolean").alias("passed"),
+    ).write.mode("append").parquet(f"{cfg.warehouse}/audit")
     return spark.read.parquet(comp_path), spark.read.parquet(est_path)
 
 
@@ -152,6 +164,15 @@ def publish_if_valid(
             F.lit(None).cast("boolean").alias("passed"),
         )
     )
+    parsing = gold.capital_parse_report(companies_raw).select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(version).alias("version"),
+        F.lit("parse").alias("kind"),
+        F.lit("unparsable_capital").alias("name"),
+        F.col("unparsable_capital").cast("double").alias("value"),
+        F.lit(None).cast("boolean").alias("passed"),
+    )
+    audit = audit.unionByName(parsing)
     audit.write.mode("append").parquet(f"{cfg.warehouse}/audit")
     this_run = spark.read.parquet(f"{cfg.warehouse}/audit").where(F.col("run_id") == run_id)
     gate_rows = [

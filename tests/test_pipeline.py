@@ -145,3 +145,44 @@ def test_bronze_ready(spark, clean_raw, tmp_dir):
     assert not pipeline.bronze_ready(spark, tmp_dir)
     pipeline.write_bronze(comp, est, tmp_dir)
     assert pipeline.bronze_ready(spark, tmp_dir)
+
+
+def test_run_load_from_zipped_shards(spark, tmp_dir):
+    """Whole load: zipped raw files -> Bronze -> gated Gold -> marts."""
+    import os
+    import zipfile
+
+    src = f"{tmp_dir}/src"
+    os.makedirs(src)
+    companies = "1;ALPHA LTDA;2062;;1000,50;;\n2;BETA;2135;;0,00;;\n"
+    est_cols = len(schemas.ESTABLISHMENTS_RAW_COLUMNS)
+
+    def est_line(key, head, opened, cnae, city, uf, status, status_on):
+        cells = [""] * est_cols
+        for name, value in dict(
+            cnpj_basico=key, matriz_filial=head, data_inicio_atividade=opened, cnae_fiscal=cnae,
+            municipio=city, uf=uf, situacao_cadastral=status, data_situacao=status_on,
+        ).items():
+            cells[schemas.ESTABLISHMENTS_RAW_COLUMNS.index(name)] = value
+        return ";".join(cells) + "\n"
+
+    est = est_line("1", "1", "20100115", "6201500", "7107", "SP", "02", "20100115") + est_line(
+        "2", "1", "19990101", "4711001", "6001", "RJ", "08", "20050101"
+    ) + est_line("2", "2", "20000101", "4711001", "6001", "RJ", "02", "0").replace("RJ", "R\x00J")
+    with zipfile.ZipFile(f"{src}/Empresas0.zip", "w") as z:
+        z.writestr("E0.CSV", companies.encode("latin-1"))
+    with zipfile.ZipFile(f"{src}/Estabelecimentos0.zip", "w") as z:
+        z.writestr("S0.CSV", est.encode("latin-1"))
+    cfg = pipeline.LoadConfig(warehouse=f"{tmp_dir}/wh", as_of=AS_OF, source_dir=src,
+                              rules=GateRules(min_rows=1, max_decade_pct=100))
+    ref = spark.createDataFrame([(6201500, "Software")], "code bigint, description string")
+    lk = pipeline.Lookups(ref, spark.createDataFrame([(7107, "Cidade")], "code bigint, description string"))
+    result = pipeline.run_load(spark, cfg, lk, pipeline.default_marts(survival_min_count=1))
+    assert result.published and all(ok for _, ok, _ in result.marts)
+    g = {r.company_id: r for r in pipeline.read_gold(spark, cfg.warehouse).collect()}
+    assert set(g) == {"00000001", "00000002"} and g["00000002"].status_code == 8
+    audit = spark.read.parquet(f"{cfg.warehouse}/audit")
+    assert audit.where("kind = 'ingest_nul_removed'").agg(F.sum("value")).collect()[0][0] == 1
+    assert pipeline.bronze_ready(spark, cfg.warehouse)
+    survival = pipeline.read_mart(spark, cfg.warehouse, "survival_by_sector").collect()
+    assert [(r.sector, r.total) for r in survival] == [("CNAE 4711001", 1)]
