@@ -117,6 +117,9 @@ def materialise(
     """
     root = table_root(spark)
     final = f"{root}/{name}/{key}"
+    memo_key = (id(spark), final)
+    if memo_key in _MEMO:
+        return _MEMO[memo_key]
     f = fs(spark, root)
     if not f.exists(f"{final}/_SUCCESS"):
         staging = f"{root}/{name}/_staging-{uuid.uuid4().hex}"
@@ -127,7 +130,25 @@ def materialise(
         if not f.rename(staging, final):
             # Someone else published the same version first; theirs is identical.
             f.delete(staging)
-    return spark.read.parquet(final)
+    df = spark.read.parquet(final)
+    _MEMO[memo_key] = df
+    return df
+
+
+# Resolved reads of immutable table versions, per session: a version folder
+# never changes once published, so its file listing can be reused.
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def read_input(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet input, reusing the resolved read while the file is unchanged."""
+    size, mtime = fs(spark, path).status(path)
+    memo_key = (id(spark), path, size, mtime)
+    df = _MEMO.get(memo_key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _MEMO[memo_key] = df
+    return df
 
 
 # --- write-audit-publish ----------------------------------------------------

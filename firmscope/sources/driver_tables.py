@@ -45,7 +45,7 @@ DATA_VERSION = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return store.read_input(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _status_from_flag(flag: Column) -> Column:
