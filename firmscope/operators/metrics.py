@@ -27,17 +27,36 @@ def universe_stats(companies: DataFrame) -> DataFrame:
     )
 
 
-def _age_summary(days: DataFrame) -> DataFrame:
-    return days.agg(
-        years_mean(F.col("days"), 1).alias("mean"),
-        F.percentile(F.col("days"), [0.5, 0.9]).alias("_p"),
+def _days_summary(days: DataFrame, count_name: str | None = None, with_max: bool = True) -> DataFrame:
+    """Mean, median, p90 (and max) in years of a ``days`` column.
+
+    The rows are first reduced to ``days -> n`` (a distributed, map-side
+    combined aggregation); the single final aggregate then merges at most one
+    entry per distinct day count (about 46 000 since 1900), however many rows
+    or partitions there are.
+    """
+    per_day = days.groupBy("days").agg(F.count(F.lit(1)).alias("n"))
+    aggs = [
+        years_mean(F.col("days"), 1, weight=F.col("n")).alias("mean"),
+        F.percentile(F.col("days"), [0.5, 0.9], F.col("n")).alias("_p"),
         F.max("days").alias("_max"),
-    ).select(
+    ]
+    if count_name:
+        aggs.insert(0, F.sum("n").alias(count_name))
+    out = [count_name] if count_name else []
+    out += [
         "mean",
         to_years(F.col("_p")[0], 1).alias("median"),
         to_years(F.col("_p")[1], 1).alias("p90"),
-        to_years(F.col("_max"), 1).alias("max"),
-    )
+    ]
+    if with_max:
+        out.append(to_years(F.col("_max"), 1).alias("max"))
+    # days is null only when the opening date is; those rows are ignored like in avg()
+    return per_day.where(F.col("days").isNotNull()).agg(*aggs).select(*out)
+
+
+def _age_summary(days: DataFrame) -> DataFrame:
+    return _days_summary(days)
 
 
 def age_active(companies: DataFrame, as_of: str | dt.date) -> DataFrame:
@@ -97,20 +116,8 @@ def status_distribution(companies: DataFrame) -> DataFrame:
 
 def survival_global(companies: DataFrame) -> DataFrame:
     """Closed companies with usable dates: n, mean, median, p90 in years (M7)."""
-    return (
-        closed_durations(companies)
-        .agg(
-            F.count(F.lit(1)).alias("closed"),
-            years_mean(F.col("days"), 1).alias("mean"),
-            F.percentile(F.col("days"), [0.5, 0.9]).alias("_p"),
-        )
-        .select(
-            "closed",
-            "mean",
-            to_years(F.col("_p")[0], 1).alias("median"),
-            to_years(F.col("_p")[1], 1).alias("p90"),
-        )
-    )
+    summary = _days_summary(closed_durations(companies).select("days"), "closed", with_max=False)
+    return summary.select(F.coalesce(F.col("closed"), F.lit(0).cast("bigint")).alias("closed"), "mean", "median", "p90")
 
 
 def state_openings_by_year(
