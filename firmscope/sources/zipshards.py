@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -76,13 +77,21 @@ def expand_archive(archive: str, dest_dir: str, part_bytes: int) -> list[tuple]:
             if not names:
                 return rows
             member = names[0]
+            attempt = uuid.uuid4().hex
             with z.open(member) as src:
                 idx, parity, size, nul = 0, 0, 0, 0
-                part_path = f"{dpath}/{stem}-{idx:05d}.csv"
-                out = dfs.open_output_stream(part_path)
+
+                def open_part():
+                    # Each task attempt writes under its own name and renames the
+                    # finished part, so a retried or speculative attempt never
+                    # interleaves with another one in the same file.
+                    return dfs.open_output_stream(f"{dpath}/.{stem}-{idx:05d}.csv.{attempt}")
+
+                out = open_part()
 
                 def close_part():
                     out.close()
+                    dfs.move(f"{dpath}/.{stem}-{idx:05d}.csv.{attempt}", f"{dpath}/{stem}-{idx:05d}.csv")
                     rows.append((archive, member, f"{dest_dir.rstrip('/')}/{stem}-{idx:05d}.csv", idx, size, nul))
 
                 while True:
@@ -112,8 +121,7 @@ def expand_archive(archive: str, dest_dir: str, part_bytes: int) -> list[tuple]:
                         parity = 0
                         close_part()
                         idx, size, nul = idx + 1, 0, 0
-                        part_path = f"{dpath}/{stem}-{idx:05d}.csv"
-                        out = dfs.open_output_stream(part_path)
+                        out = open_part()
                 close_part()
     return [r for r in rows if r[4] > 0 or r[3] == 0]
 
@@ -236,8 +244,10 @@ def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int) -> l
                             if not chunk:
                                 break
                             m.write(chunk)
-                with dfs.open_output_stream(dpath) as out:
+                tmp = f"{dpath}.{uuid.uuid4().hex}.tmp"
+                with dfs.open_output_stream(tmp) as out:
                     out.write(buf.getvalue())
+                dfs.move(tmp, dpath)
                 done.append(dst)
             yield pd.DataFrame({"archive": done})
 
