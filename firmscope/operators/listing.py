@@ -186,11 +186,7 @@ def segment_kpis(
         .groupBy("activity_code", "city_code")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
     )
-    cells = (
-        companies_labelled(by_code, ref_activity, ref_city, positive_capital=False)
-        .groupBy("sector", "city")
-        .agg(F.sum("n").alias("n"), F.sum("cap").alias("cap"))
-    )
+    cells = companies_labelled(by_code, ref_activity, ref_city, positive_capital=False)
     # grouping_id bits: 1 = city rolled up, 2 = sector rolled up.
     rolled = cells.cube("sector", "city").agg(
         F.sum("n").alias("companies"),

@@ -290,3 +290,20 @@ def survival_overall(survival_rows: DataFrame) -> DataFrame:
         F.round((F.sum(F.col("mean") * w) / F.sum(w)).cast("decimal(38,10)"), 1).cast("double").alias("weighted_mean"),
         F.round((F.sum(F.col("median") * w) / F.sum(w)).cast("decimal(38,10)"), 1).cast("double").alias("weighted_median"),
     )
+
+
+def bar_order(kpis: DataFrame, value: str = "mean_capital", label: str = "region") -> DataFrame:
+    """Rows for a horizontal bar chart: missing values dropped, ascending."""
+    return kpis.where(F.col(value).isNotNull()).orderBy(F.col(value).asc(), F.col(label).asc_nulls_last())
+
+
+def region_display_label(region_top: DataFrame) -> DataFrame:
+    """Option label ``region — most common city (total)`` with ``.`` thousands."""
+    total = F.translate(F.format_number(F.col("total_companies"), 0), ",", ".")
+    return region_top.withColumn(
+        "label",
+        F.concat(
+            F.col("region"), F.lit(" — "), F.coalesce(F.col("top_city"), F.lit("?")),
+            F.lit(" ("), total, F.lit(")"),
+        ),
+    )

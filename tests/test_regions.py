@@ -93,3 +93,13 @@ def test_city_ranking_merges_homonyms_only_when_asked(spark):
     by_name = [(r.city_name, r.total_companies) for r in regions.city_ranking(mart, 3, ("city_name",)).collect()]
     assert by_code == [("Outra", 6), ("Bom Jesus", 5), ("Bom Jesus", 4)]
     assert by_name == [("Bom Jesus", 9), ("Outra", 6)]
+
+
+def test_bar_order_and_display_label(spark):
+    kpis = spark.createDataFrame(
+        [("35", 1200345, 10.0, "São Paulo"), ("33", 5, None, None), ("31", 7, 3.5, "BH")],
+        "region string, total_companies bigint, mean_capital double, top_city string",
+    )
+    assert [r.region for r in regions.bar_order(kpis).collect()] == ["31", "35"]
+    labels = {r.region: r.label for r in regions.region_display_label(kpis).collect()}
+    assert labels["35"] == "35 — São Paulo (1.200.345)" and labels["33"] == "33 — ? (5)"
