@@ -55,8 +55,8 @@ def capital_bands(
 ) -> DataFrame:
     """Companies per capital band, empty bands shown with 0.
 
-    Band edges are ``CAPITAL_BAND_EDGES`` times ``scale``.  The band list is a
-    literal four-row frame, so the final join is bounded by construction.
+    Band edges are ``CAPITAL_BAND_EDGES`` times ``scale``.  Both sides of the
+    final join have at most one row per band.
     """
     spark = companies.sparkSession
     edges = [e * scale for e in schemas.CAPITAL_BAND_EDGES]
@@ -70,7 +70,7 @@ def capital_bands(
     bands = spark.createDataFrame(
         [(i + 1, label) for i, label in enumerate(labels)], "band_index int, band string"
     )
-    return F.broadcast(bands).join(counts, "band_index", "left").select(
+    return bands.join(counts, "band_index", "left").select(
         "band_index", "band", F.coalesce(F.col("companies"), F.lit(0).cast("bigint")).alias("companies")
     )
 

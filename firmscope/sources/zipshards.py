@@ -189,15 +189,16 @@ def ingest_zip_shards(
 def archive_running_total(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows per archive in name order with the running total.
 
-    Rows are tagged with their part file; the manifest (one row per part) maps
-    parts to archives and is small by construction.
+    Rows are tagged with their part file; the manifest maps parts to archives.
+    It has one row per part, so it grows with the data: the planner chooses
+    the join strategy from its measured size.
     """
     from firmscope.sources.delimited import shard_running_total
 
     base = r"[^/]+$"
     tagged = rows.select(F.regexp_extract(F.input_file_name(), base, 0).alias("_part"))
     parts = manifest.select(F.regexp_extract(F.col("part"), base, 0).alias("_part"), "archive")
-    return shard_running_total(tagged.join(F.broadcast(parts), "_part"), "archive")
+    return shard_running_total(tagged.join(parts, "_part"), "archive")
 
 
 # --- fixture side: write zipped shards from a DataFrame -----------------------
