@@ -61,9 +61,10 @@ def gate_volume(gold: DataFrame) -> DataFrame:
 
 
 def gate_retention(gold: DataFrame, companies_raw: DataFrame) -> DataFrame:
-    g = gold.agg(F.count(F.lit(1)).alias("g")).withColumn("_k", F.lit(1))
-    b = companies_raw.agg(F.count(F.lit(1)).alias("b")).withColumn("_k", F.lit(1))
-    return g.join(b, "_k").select(pct(F.col("g"), F.col("b"), 2).alias("value"))
+    """Gold rows as a percentage of raw company rows (the raw count is a
+    scalar sub-query, not a join)."""
+    bronze = companies_raw.agg(F.count(F.lit(1))).scalar()
+    return gold.agg(pct(F.count(F.lit(1)), bronze, 2).alias("value"))
 
 
 def gate_duplicates(gold: DataFrame, key: str = "company_id") -> DataFrame:
@@ -94,10 +95,13 @@ def gate_metrics(
     rules: GateRules = GateRules(),
 ) -> DataFrame:
     """All gates as rows ``(gate, value, rule, passed)``; a null value fails."""
-    stats = _decade_stats(gold, as_of, floor).withColumn("_k", F.lit(1))
-    dups = gate_duplicates(gold).withColumnRenamed("value", "duplicates").withColumn("_k", F.lit(1))
-    bronze = companies_raw.agg(F.count(F.lit(1)).alias("bronze_rows")).withColumn("_k", F.lit(1))
-    one = stats.join(dups, "_k").join(bronze, "_k")
+    # One row of decade statistics; the duplicate count and the raw row count
+    # enter as scalar sub-queries.
+    one = _decade_stats(gold, as_of, floor).select(
+        "*",
+        gate_duplicates(gold).scalar().alias("duplicates"),
+        companies_raw.agg(F.count(F.lit(1))).scalar().alias("bronze_rows"),
+    )
     retention = pct(F.col("rows"), F.col("bronze_rows"), 2)
     r = rules
     gates = [

@@ -117,7 +117,7 @@ def materialise(
     """
     root = table_root(spark)
     final = f"{root}/{name}/{key}"
-    memo_key = (id(spark), final)
+    memo_key = (_session_key(spark), final)
     if memo_key in _MEMO:
         return _MEMO[memo_key]
     f = fs(spark, root)
@@ -140,10 +140,14 @@ def materialise(
 _MEMO: dict[tuple, DataFrame] = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def read_input(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet input, reusing the resolved read while the file is unchanged."""
     size, mtime = fs(spark, path).status(path)
-    memo_key = (id(spark), path, size, mtime)
+    memo_key = (_session_key(spark), path, size, mtime)
     df = _MEMO.get(memo_key)
     if df is None:
         df = spark.read.parquet(path)
