@@ -72,3 +72,20 @@ def test_treemap_uses_padded_division(spark):
     assert got == {"01": (1, Decimal("10.00")), "47": (2, Decimal("20.00"))}
     legacy = {r.activity_division for r in marts.sector_treemap(df, None).collect()}
     assert legacy == {"11", "47"}
+
+
+def test_invariants_on_driver_tables(spark):
+    """Band counts add up; the growth mart covers every dated company with a city since 1990."""
+    from pyspark.sql import functions as F
+
+    from firmscope.operators import profiling
+    from firmscope.plans.catalog import BAND_SCALE, Ctx
+    from tests.conftest import SF_SMALL
+
+    c = Ctx(spark, SF_SMALL)
+    bands = profiling.capital_bands(c.companies, c.ref_legal_nature, BAND_SCALE)
+    positive = profiling.capital_with_legal_nature(c.companies, c.ref_legal_nature).count()
+    assert bands.agg(F.sum("companies")).collect()[0][0] == positive
+    growth = marts.growth_by_city(c.companies, c.ref_city).agg(F.sum("total")).collect()[0][0]
+    since = c.companies.where(F.col("city_code").isNotNull() & (F.col("opened_on") >= "1990-01-01")).count()
+    assert growth == since
