@@ -4,6 +4,7 @@
     python -m firmscope load --source DIR --warehouse DIR --as-of 2026-02-28 [--reuse-bronze]
     python -m firmscope refresh-marts --warehouse DIR
     python -m firmscope metrics --warehouse DIR --as-of 2026-02-28
+    python -m firmscope benchmark --warehouse DIR --as-of 2026-02-28 [--runs 5] [--query Q5] [--explain]
 
 Only summaries are printed; every table stays in the warehouse (a shared
 folder on a cluster).
@@ -94,6 +95,12 @@ def main(argv: list[str] | None = None) -> int:
     m = sub.add_parser("metrics")
     m.add_argument("--warehouse", required=True)
     m.add_argument("--as-of", required=True)
+    b = sub.add_parser("benchmark")
+    b.add_argument("--warehouse", required=True)
+    b.add_argument("--as-of", required=True)
+    b.add_argument("--runs", type=int, default=5)
+    b.add_argument("--query", default=None, help="run one query only, e.g. Q5")
+    b.add_argument("--explain", action="store_true")
     args = p.parse_args(argv)
 
     spark = build_session()
@@ -122,6 +129,17 @@ def main(argv: list[str] | None = None) -> int:
                                       args.warehouse)
         print(json.dumps(done, default=str))
         return 0 if all(ok for _, ok, _ in done) else 1
+    if args.cmd == "benchmark":
+        from firmscope.plans import benchmark
+
+        qs = benchmark.dashboard_queries(spark, args.warehouse, lookups(spark, args.warehouse), args.as_of)
+        if args.query:
+            if args.query.upper() not in qs:
+                print(f"unknown query {args.query}; known: {', '.join(qs)}", file=sys.stderr)
+                return 1
+            qs = {args.query.upper(): qs[args.query.upper()]}
+        print(json.dumps(benchmark.time_queries(qs, args.runs, args.explain), indent=1))
+        return 0
     if args.cmd == "metrics":
         print(json.dumps(metrics_report(spark, args.warehouse, args.as_of), default=str, indent=1))
         return 0

@@ -50,6 +50,14 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
     assert report["survival"][0]["closed"] == 1
     assert report["zero_capital"][0]["companies"] == 1
 
+    assert cli.main(["benchmark", "--warehouse", wh, "--as-of", "2026-02-28", "--runs", "2"]) == 0
+    timings = json.loads(capsys.readouterr().out)
+    assert [t["id"] for t in timings] == [f"Q{i}" for i in range(1, 11)]
+    assert cli.main(["benchmark", "--warehouse", wh, "--as-of", "2026-02-28", "--runs", "1", "--query", "q7",
+                     "--explain"]) == 0
+    one = json.loads(capsys.readouterr().out)
+    assert one[0]["rows"] == 1 and "Scan parquet" in one[0]["plan"]
+
     # a stricter volume gate aborts the next load and keeps the published Gold
     assert cli.main(["load", "--source", src, "--warehouse", wh, "--as-of", "2026-02-28", "--reuse-bronze"]) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == ["volume"]
