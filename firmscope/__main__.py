@@ -5,6 +5,7 @@
     python -m firmscope refresh-marts --warehouse DIR
     python -m firmscope metrics --warehouse DIR --as-of 2026-02-28
     python -m firmscope benchmark --warehouse DIR --as-of 2026-02-28 [--runs 5] [--query Q5] [--explain]
+    python -m firmscope inspect --warehouse DIR --table gold|<mart>|ref/<lookup> [--rows 5]
 
 Only summaries are printed; every table stays in the warehouse (a shared
 folder on a cluster).
@@ -101,6 +102,10 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--runs", type=int, default=5)
     b.add_argument("--query", default=None, help="run one query only, e.g. Q5")
     b.add_argument("--explain", action="store_true")
+    ins = sub.add_parser("inspect", help="columns, types and a few ordered rows of gold, a mart or a lookup")
+    ins.add_argument("--warehouse", required=True)
+    ins.add_argument("--table", required=True, help="gold, a mart name, or ref/activity|city|legal_nature")
+    ins.add_argument("--rows", type=int, default=5)
     args = p.parse_args(argv)
 
     spark = build_session()
@@ -140,6 +145,19 @@ def main(argv: list[str] | None = None) -> int:
             qs = {args.query.upper(): qs[args.query.upper()]}
         print(json.dumps(benchmark.time_queries(qs, args.runs, args.explain), indent=1))
         return 0
+    if args.cmd == "inspect":
+        from firmscope.operators import profiling
+
+        if args.table == "gold":
+            df = pipeline.read_gold(spark, args.warehouse)
+        elif args.table.startswith("ref/"):
+            df = store.read_current(spark, f"{args.warehouse}/{args.table}")
+        else:
+            df = pipeline.read_mart(spark, args.warehouse, args.table)
+        schema = [r.asDict() for r in profiling.describe_schema(spark, df).collect()]
+        rows = [r.asDict() for r in profiling.preview_rows(df, args.rows).collect()]
+        print(json.dumps({"columns": schema, "rows": rows}, default=str, indent=1))
+        return 0
     if args.cmd == "metrics":
         print(json.dumps(metrics_report(spark, args.warehouse, args.as_of), default=str, indent=1))
         return 0

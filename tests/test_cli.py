@@ -58,6 +58,13 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
     one = json.loads(capsys.readouterr().out)
     assert one[0]["rows"] == 1 and "Scan parquet" in one[0]["plan"]
 
+    assert cli.main(["inspect", "--warehouse", wh, "--table", "growth_by_city", "--rows", "1"]) == 0
+    info = json.loads(capsys.readouterr().out)
+    assert [c["column_name"] for c in info["columns"]] == ["year", "city_code", "city_name", "state", "total"]
+    assert len(info["rows"]) == 1
+    assert cli.main(["inspect", "--warehouse", wh, "--table", "ref/city"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["rows"]) == 2
+
     # a stricter volume gate aborts the next load and keeps the published Gold
     assert cli.main(["load", "--source", src, "--warehouse", wh, "--as-of", "2026-02-28", "--reuse-bronze"]) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == ["volume"]
