@@ -48,12 +48,16 @@ def region_top_city(
 ) -> DataFrame:
     """Every region with its company count and its most common city.
 
-    Ties between cities are broken by the smaller city code.  The window runs
+    Ties between cities are broken by the smaller city code; rows without a
+    region are left out (the list offers regions to pick).  The window runs
     on (region, city) counts, so one partition holds at most the cities of one
     region.
     """
-    counts = companies.groupBy(region_column(region).alias("region"), "city_code").agg(
-        F.count(F.lit(1)).alias("qtd")
+    reg = region_column(region)
+    counts = (
+        companies.where(reg.isNotNull())
+        .groupBy(reg.alias("region"), "city_code")
+        .agg(F.count(F.lit(1)).alias("qtd"))
     )
     w = Window.partitionBy("region").orderBy(F.col("qtd").desc(), F.col("city_code").asc_nulls_last())
     ranked = counts.select(

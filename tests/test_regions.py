@@ -72,6 +72,8 @@ def test_region_top_city_breaks_ties_by_code(spark):
     ref_city = spark.createDataFrame([(3500105, "Adamantina"), (3550308, "São Paulo")], "code bigint, description string")
     got = {r.region: (r.total_companies, r.top_city) for r in regions.region_top_city(df, ref_city, "city_prefix2").collect()}
     assert got == {"35": (4, "Adamantina"), "33": (1, None)}
+    with_null = df.unionByName(df.limit(1).withColumn("city_code", F.lit(None).cast("bigint")))
+    assert {r.region for r in regions.region_top_city(with_null, ref_city, "city_prefix2").collect()} == {"35", "33"}
 
 
 def test_growth_by_region_from_the_city_mart(spark, companies):
