@@ -3,7 +3,9 @@
 from firmscope.functions.clean import (  # noqa: F401
     activity_division,
     capital_band,
+    capital_band_index,
     capital_unparsable,
+    city_prefix,
     format_money_br,
     label_fallback,
     normalise_key,
@@ -12,6 +14,7 @@ from firmscope.functions.clean import (  # noqa: F401
     parse_compact_date,
     parse_decimal_comma,
     parse_int,
+    pct,
     quarantine_reason,
     round_half_up,
     scrub_chars,
