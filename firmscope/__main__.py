@@ -6,6 +6,7 @@
     python -m firmscope metrics --warehouse DIR --as-of 2026-02-28
     python -m firmscope benchmark --warehouse DIR --as-of 2026-02-28 [--runs 5] [--query Q5] [--explain]
     python -m firmscope inspect --warehouse DIR --table gold|<mart>|ref/<lookup> [--rows 5]
+    python -m firmscope compare --warehouse DIR --regions SP RJ [--region-column state] [--export DIR]
 
 Only summaries are printed; every table stays in the warehouse (a shared
 folder on a cluster).
@@ -106,6 +107,15 @@ def main(argv: list[str] | None = None) -> int:
     ins.add_argument("--warehouse", required=True)
     ins.add_argument("--table", required=True, help="gold, a mart name, or ref/activity|city|legal_nature")
     ins.add_argument("--rows", type=int, default=5)
+    cmp_ = sub.add_parser("compare", help="side-by-side comparison of 2-4 regions or cities")
+    cmp_.add_argument("--warehouse", required=True)
+    grp = cmp_.add_mutually_exclusive_group(required=True)
+    grp.add_argument("--regions", nargs="+")
+    grp.add_argument("--cities", nargs="+", type=int)
+    cmp_.add_argument("--region-column", default="state", help="a Gold column or city_prefix2")
+    cmp_.add_argument("--top-n", type=int, default=8)
+    cmp_.add_argument("--year-from", type=int, default=2000)
+    cmp_.add_argument("--export", default=None, help="folder for the dated KPI and sector CSV files")
     args = p.parse_args(argv)
 
     spark = build_session()
@@ -158,6 +168,28 @@ def main(argv: list[str] | None = None) -> int:
         rows = [r.asDict() for r in profiling.preview_rows(df, args.rows).collect()]
         print(json.dumps({"columns": schema, "rows": rows}, default=str, indent=1))
         return 0
+    if args.cmd == "compare":
+        from firmscope.operators import regions
+        from firmscope.sources import export
+
+        gold = pipeline.read_gold(spark, args.warehouse)
+        growth = pipeline.read_mart(spark, args.warehouse, "growth_by_city")
+        try:
+            if args.regions:
+                result = regions.compare_regions(gold, growth, args.regions, args.region_column, args.top_n, args.year_from)
+            else:
+                result = regions.compare_cities(gold, growth, lookups(spark, args.warehouse).city, args.cities,
+                                                args.top_n, args.year_from)
+        except ValueError as exc:
+            print(str(exc), file=sys.stderr)
+            return 1
+        out = {name: [r.asDict() for r in getattr(result, name).collect()]
+               for name in ("kpis", "sectors", "growth", "matrix")}
+        if args.export:
+            out["files"] = [export.export_csv(result.kpis, args.export, "comparador_kpis"),
+                            export.export_csv(result.sectors, args.export, "comparador_setores")]
+        print(json.dumps(out, default=str, indent=1))
+        return 0
     if args.cmd == "metrics":
         print(json.dumps(metrics_report(spark, args.warehouse, args.as_of), default=str, indent=1))
         return 0

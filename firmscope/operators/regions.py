@@ -311,3 +311,50 @@ def region_display_label(region_top: DataFrame) -> DataFrame:
             F.lit(" ("), total, F.lit(")"),
         ),
     )
+
+
+class Comparison:
+    """The four frames of a side-by-side comparison."""
+
+    def __init__(self, kpis: DataFrame, sectors: DataFrame, growth: DataFrame, matrix: DataFrame):
+        self.kpis, self.sectors, self.growth, self.matrix = kpis, sectors, growth, matrix
+
+
+def compare_regions(
+    companies: DataFrame,
+    growth_mart: DataFrame,
+    selected: Sequence[str],
+    region: str | Column = "state",
+    top_n: int = 8,
+    year_from: int = 2000,
+    pad: int | None = 7,
+) -> Comparison:
+    """KPIs, sector shares, yearly openings and the share matrix of 2-4 regions.
+
+    All frames start from the same selection, so the region filter reaches
+    every scan; nothing is cached or collected here.
+    """
+    sel = check_selection(selected)
+    kpis = region_kpis_selected(companies, sel, region)
+    sectors = sector_share(companies, sel, region, top_n, pad)
+    growth = growth_by_region(growth_mart, sel, region, year_from)
+    return Comparison(kpis, sectors, growth, sector_share_matrix(sectors, sel, "region"))
+
+
+def compare_cities(
+    companies: DataFrame,
+    growth_mart: DataFrame,
+    ref_city: DataFrame,
+    cities: Sequence[int],
+    top_n: int = 8,
+    year_from: int = 2000,
+    pad: int | None = 7,
+) -> Comparison:
+    """The same comparison for 2-4 cities."""
+    sel = check_selection(cities)
+    kpis = city_kpis_selected(companies, ref_city, sel)
+    sectors = sector_share_city(companies, ref_city, sel, top_n, pad)
+    growth = growth_by_city_selected(growth_mart, sel, year_from)
+    matrix = sector_share_matrix(sectors.withColumn("city_code", F.col("city_code").cast("string")),
+                                 [str(c) for c in sel], "city_code")
+    return Comparison(kpis, sectors, growth, matrix)

@@ -65,6 +65,15 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
     assert cli.main(["inspect", "--warehouse", wh, "--table", "ref/city"]) == 0
     assert len(json.loads(capsys.readouterr().out)["rows"]) == 2
 
+    assert cli.main(["compare", "--warehouse", wh, "--regions", "SP", "RJ", "--year-from", "1990",
+                     "--export", f"{tmp_dir}/exp"]) == 0
+    cmp_out = json.loads(capsys.readouterr().out)
+    assert {r["region"] for r in cmp_out["kpis"]} == {"SP", "RJ"}
+    assert sum(r["openings"] for r in cmp_out["growth"]) == 2
+    assert len(cmp_out["files"]) == 2 and all(f.endswith(".csv") for f in cmp_out["files"])
+    assert cli.main(["compare", "--warehouse", wh, "--regions", "SP"]) == 1
+    capsys.readouterr()
+
     # a stricter volume gate aborts the next load and keeps the published Gold
     assert cli.main(["load", "--source", src, "--warehouse", wh, "--as-of", "2026-02-28", "--reuse-bronze"]) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == ["volume"]

@@ -105,3 +105,13 @@ def test_bar_order_and_display_label(spark):
     assert [r.region for r in regions.bar_order(kpis).collect()] == ["31", "35"]
     labels = {r.region: r.label for r in regions.region_display_label(kpis).collect()}
     assert labels["35"] == "35 — São Paulo (1.200.345)" and labels["33"] == "33 — ? (5)"
+
+
+def test_compare_cities_builds_all_frames(spark, companies):
+    ref_city = spark.createDataFrame([(3550308, "São Paulo"), (3304557, "Rio")], "code bigint, description string")
+    mart = marts.growth_by_city(companies, ref_city)
+    cmp_ = regions.compare_cities(companies, mart, ref_city, [3550308, 3304557], top_n=10, year_from=2020)
+    assert {r.city_name for r in cmp_.kpis.collect()} == {"São Paulo", "Rio"}
+    m = {r.sector: r for r in cmp_.matrix.collect()}
+    assert m["Comércio Varejista"]["3550308"] == 50.0 and m["Comércio Varejista"]["3304557"] == 50.0
+    assert cmp_.growth.agg(F.sum("openings")).collect()[0][0] == 10
