@@ -7,6 +7,8 @@
     python -m firmscope benchmark --warehouse DIR --as-of 2026-02-28 [--runs 5] [--query Q5] [--explain]
     python -m firmscope inspect --warehouse DIR --table gold|<mart>|ref/<lookup> [--rows 5]
     python -m firmscope compare --warehouse DIR --regions SP RJ [--region-column state] [--export DIR]
+    python -m firmscope listing --warehouse DIR [--sector S] [--city C] [--top 25] [--export DIR]
+    python -m firmscope segments --warehouse DIR --favourites '[{"nome": "...", "setor": "Todos", "cidade": "..."}]'
 
 Only summaries are printed; every table stays in the warehouse (a shared
 folder on a cluster).
@@ -116,6 +118,15 @@ def main(argv: list[str] | None = None) -> int:
     cmp_.add_argument("--top-n", type=int, default=8)
     cmp_.add_argument("--year-from", type=int, default=2000)
     cmp_.add_argument("--export", default=None, help="folder for the dated KPI and sector CSV files")
+    lst = sub.add_parser("listing", help="filtered listing: KPIs, openings by year, capital by city, ranking")
+    lst.add_argument("--warehouse", required=True)
+    lst.add_argument("--sector", default=None, help="activity description ('Todos' = any)")
+    lst.add_argument("--city", default=None, help="city name ('Todas' = any)")
+    lst.add_argument("--top", type=int, default=25, choices=[10, 25, 50, 100])
+    lst.add_argument("--export", default=None, help="folder for the dated CSV of the 30 000-row preview")
+    seg = sub.add_parser("segments", help="KPIs of every saved favourite")
+    seg.add_argument("--warehouse", required=True)
+    seg.add_argument("--favourites", required=True, help='JSON list of {"nome", "setor", "cidade"}')
     args = p.parse_args(argv)
 
     spark = build_session()
@@ -190,6 +201,31 @@ def main(argv: list[str] | None = None) -> int:
                             export.export_csv(result.sectors, args.export, "comparador_setores")]
         print(json.dumps(out, default=str, indent=1))
         return 0
+    if args.cmd == "listing":
+        from firmscope.operators import listing
+        from firmscope.sources import export
+
+        lk = lookups(spark, args.warehouse)
+        filtered = listing.companies_filtered(pipeline.read_gold(spark, args.warehouse), lk.activity, lk.city,
+                                              args.sector, args.city)
+        out = {
+            "kpis": [r.asDict() for r in listing.headline_kpis(filtered).collect()],
+            "openings_by_year": [r.asDict() for r in listing.openings_by_year(filtered).orderBy("year").collect()],
+            "capital_by_city_top10": [r.asDict() for r in listing.capital_by_city_top(filtered, 10).collect()],
+            "ranking": [r.asDict() for r in listing.top_companies_filtered(filtered, args.top).collect()],
+        }
+        if args.export:
+            out["file"] = export.export_csv(listing.companies_preview(filtered, 30_000), args.export, "empresas")
+        print(json.dumps(out, default=str, indent=1))
+        return 0
+    if args.cmd == "segments":
+        from firmscope.operators import listing
+
+        lk = lookups(spark, args.warehouse)
+        segs = listing.segments_from_json(spark, args.favourites)
+        kpis = listing.segment_kpis(pipeline.read_gold(spark, args.warehouse), lk.activity, lk.city, segs)
+        print(json.dumps([r.asDict() for r in kpis.orderBy("segment").collect()], default=str, indent=1))
+        return 0
     if args.cmd == "metrics":
         print(json.dumps(metrics_report(spark, args.warehouse, args.as_of), default=str, indent=1))
         return 0

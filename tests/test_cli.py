@@ -74,6 +74,16 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
     assert cli.main(["compare", "--warehouse", wh, "--regions", "SP"]) == 1
     capsys.readouterr()
 
+    assert cli.main(["listing", "--warehouse", wh, "--sector", "Software", "--top", "10", "--export", f"{tmp_dir}/exp"]) == 0
+    lst = json.loads(capsys.readouterr().out)
+    assert lst["kpis"][0]["companies"] == 1 and [r["legal_name"] for r in lst["ranking"]] == ["ALFA LTDA"]
+    assert lst["file"].endswith(".csv")
+    favs = json.dumps([{"nome": "tudo", "setor": "Todos", "cidade": "Todas"},
+                       {"nome": "rio", "setor": "Todos", "cidade": "RIO DE JANEIRO"}])
+    assert cli.main(["segments", "--warehouse", wh, "--favourites", favs]) == 0
+    segs = {r["segment"]: r["companies"] for r in json.loads(capsys.readouterr().out)}
+    assert segs == {"tudo": 1, "rio": 0}  # only positive capital is listed
+
     # a stricter volume gate aborts the next load and keeps the published Gold
     assert cli.main(["load", "--source", src, "--warehouse", wh, "--as-of", "2026-02-28", "--reuse-bronze"]) == 1
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == ["volume"]
