@@ -96,7 +96,9 @@ def build_gold(
         parse_int(F.col("situacao_cadastral")).alias("status_code"),
         parse_compact_date(F.col("data_situacao")).alias("status_on"),
     )
-    return comp.join(est, "company_id", "inner").select(*GOLD_COLUMNS)
+    # Both sides hold one row per company: a shuffled sort-merge join by
+    # design (AQE splits skewed partitions), never a broadcast of either.
+    return comp.join(est.hint("merge"), "company_id", "inner").select(*GOLD_COLUMNS)
 
 
 def capital_parse_report(companies_raw: DataFrame) -> DataFrame:
