@@ -20,6 +20,10 @@ DuckDB oracle sees exactly the same input.
 
 The Bronze-shaped text frames (``companies_raw``, ``establishments_raw``) feed
 the load pipeline, with defects injected into the opening date.
+
+The few ``key % n`` expressions here shape properties of the inputs (a lookup
+with missing codes, rows with defective dates, shard ids); they never select
+a subset of the rows to process: every query runs over the whole tables.
 """
 
 from __future__ import annotations
