@@ -73,10 +73,10 @@ def companies_preview(filtered: DataFrame, limit: int = 30_000) -> DataFrame:
     the full filtered set elsewhere.  A histogram of opening dates (one row per
     distinct date, reduced on the cluster) gives the first date by which
     ``limit`` rows exist; only that one value reaches the driver.  The filter
-    ``opened_on <= date`` is pushed into the Parquet scan, and on the Gold
-    layout (ranged by date) it skips every later file.  The final top-k then
-    merges at most ``limit`` rows from each of the few partitions that remain,
-    not from every partition of the table.
+    ``opened_on <= date`` is pushed into the Parquet scan; on the Gold layout
+    (ranged by state, then date) it skips every file and row group that holds
+    only later dates.  The final top-k merges at most ``limit`` rows per
+    remaining partition.
     """
     per_day = filtered.groupBy("opened_on").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("opened_on").rowsBetween(Window.unboundedPreceding, 0))

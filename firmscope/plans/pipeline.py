@@ -142,8 +142,8 @@ def publish_if_valid(
     gold_base = f"{cfg.warehouse}/gold"
     version = store.new_version_path(spark, gold_base)
     built = gold.build_gold(companies_raw, establishments_raw, cfg.as_of, cfg.date_floor)
-    gold.gold_layout(built).write.mode("overwrite").parquet(version)
-    staged = spark.read.parquet(version)
+    gold.write_gold(built, version)
+    staged = gold.read_gold_files(spark, version)
 
     metrics = gates.gate_metrics(staged, companies_raw, cfg.as_of, cfg.date_floor, cfg.rules)
     _, rejected = gold.quarantine_split(establishments_raw, cfg.as_of, cfg.date_floor)
@@ -216,7 +216,10 @@ def read_mart(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, warehouse: str) -> DataFrame:
-    return store.read_current(spark, f"{warehouse}/gold")
+    path = store.current(spark, f"{warehouse}/gold")
+    if path is None:
+        raise FileNotFoundError(f"no published Gold under {warehouse}")
+    return gold.read_gold_files(spark, path)
 
 
 def run_load(spark: SparkSession, cfg: LoadConfig, lookups: Lookups, registry=None) -> LoadResult:

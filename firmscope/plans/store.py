@@ -109,11 +109,14 @@ def materialise(
     key: str,
     build: Callable[[], DataFrame],
     writer: Callable[[DataFrame], DataFrame] | None = None,
+    partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Return the table ``name`` for fingerprint ``key``, building it if absent.
 
     The write goes to a unique staging folder that is renamed into place, so a
-    lost executor or a failed job never leaves a partial table behind.
+    lost executor or a failed job never leaves a partial table behind.  The
+    table is read back with the schema of its (lazy) definition, so partition
+    columns keep their type and place.
     """
     root = table_root(spark)
     final = f"{root}/{name}/{key}"
@@ -121,16 +124,18 @@ def materialise(
     if memo_key in _MEMO:
         return _MEMO[memo_key]
     f = fs(spark, root)
+    plan = build()
     if not f.exists(f"{final}/_SUCCESS"):
         staging = f"{root}/{name}/_staging-{uuid.uuid4().hex}"
-        df = build()
-        if writer is not None:
-            df = writer(df)
-        df.write.mode("overwrite").parquet(staging)
+        out = writer(plan) if writer is not None else plan
+        w = out.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(staging)
         if not f.rename(staging, final):
             # Someone else published the same version first; theirs is identical.
             f.delete(staging)
-    df = spark.read.parquet(final)
+    df = spark.read.schema(plan.schema).parquet(final).select(*plan.schema.names)
     _MEMO[memo_key] = df
     return df
 
