@@ -197,8 +197,8 @@ def main(argv: list[str] | None = None) -> int:
         out = {name: [r.asDict() for r in getattr(result, name).collect()]
                for name in ("kpis", "sectors", "growth", "matrix")}
         if args.export:
-            out["files"] = [export.export_csv(result.kpis, args.export, "comparador_kpis"),
-                            export.export_csv(result.sectors, args.export, "comparador_setores")]
+            out["files"] = [export.export_csv(result.kpis, args.export, "comparison_kpis"),
+                            export.export_csv(result.sectors, args.export, "comparison_sectors")]
         print(json.dumps(out, default=str, indent=1))
         return 0
     if args.cmd == "listing":
@@ -215,7 +215,7 @@ def main(argv: list[str] | None = None) -> int:
             "ranking": [r.asDict() for r in listing.top_companies_filtered(filtered, args.top).collect()],
         }
         if args.export:
-            out["file"] = export.export_csv(listing.companies_preview(filtered, 30_000), args.export, "empresas")
+            out["file"] = export.export_csv(listing.companies_preview(filtered, 30_000), args.export, "companies_listing")
         print(json.dumps(out, default=str, indent=1))
         return 0
     if args.cmd == "segments":

@@ -206,5 +206,5 @@ def _scan_delimited(c: Ctx) -> DataFrame:
 def _export_csv(c: Ctx) -> DataFrame:
     """Regional KPIs exported as a dated ``;`` CSV with BOM and read back."""
     out = _scratch(c, "export")
-    path = export.export_csv(marts.region_kpis(c.companies), out, "comparador_kpis", on=_dt.date(2002, 1, 1))
+    path = export.export_csv(marts.region_kpis(c.companies), out, "comparison_kpis", on=_dt.date(2002, 1, 1))
     return export.read_export(c.spark, path)

@@ -94,8 +94,8 @@ def test_reference_loading(spark, tmp_dir):
 
 def test_export_csv_with_bom_and_separator(spark, tmp_dir):
     df = spark.createDataFrame([("SP", 3, 12.5), ("RJ", 1, None)], "region string, n long, pct double")
-    path = export.export_csv(df, tmp_dir, "comparador_kpis", on=dt.date(2026, 2, 28))
-    assert path.endswith("comparador_kpis_20260228.csv")
+    path = export.export_csv(df, tmp_dir, "comparison_kpis", on=dt.date(2026, 2, 28))
+    assert path.endswith("comparison_kpis_20260228.csv")
     raw = open(path.replace("file:", ""), "rb").read()
     assert raw.startswith(b"\xef\xbb\xbfregion;n;pct\n")
     back = export.read_export(spark, path)
