@@ -238,10 +238,17 @@ def city_ranking(
     )
 
 
-def growth_top_cities(growth_mart: DataFrame, n: int = 5) -> DataFrame:
-    """Yearly series of the ``n`` cities with most openings (B3, default view)."""
-    top = city_ranking(growth_mart, n, ("city_code",)).select("city_code")
-    return growth_mart.join(F.broadcast(top), "city_code", "left_semi").select(
+def growth_top_cities(
+    growth_mart: DataFrame, n: int = 5, keys: Sequence[str] = ("city_code",)
+) -> DataFrame:
+    """Yearly series of the ``n`` cities with most openings (B3, default view).
+
+    ``keys=('city_name',)`` ranks by name, so homonymous cities are summed and
+    all of their series are kept, as a selection by name does.
+    """
+    keys = list(keys)
+    top = city_ranking(growth_mart, n, keys).select(*keys)  # n rows by construction
+    return growth_mart.join(F.broadcast(top), keys, "left_semi").select(
         "year", "city_code", "city_name", "total"
     )
 

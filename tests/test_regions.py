@@ -115,3 +115,13 @@ def test_compare_cities_builds_all_frames(spark, companies):
     m = {r.sector: r for r in cmp_.matrix.collect()}
     assert m["Comércio Varejista"]["3550308"] == 50.0 and m["Comércio Varejista"]["3304557"] == 50.0
     assert cmp_.growth.agg(F.sum("openings")).collect()[0][0] == 10
+
+
+def test_growth_top_cities_by_code_or_name(spark):
+    mart = spark.createDataFrame(
+        [(2020, 1, "Bom Jesus", None, 5), (2021, 2, "Bom Jesus", None, 4), (2020, 3, "Outra", None, 6)],
+        "year int, city_code bigint, city_name string, state string, total bigint",
+    )
+    by_code = {r.city_code for r in regions.growth_top_cities(mart, 1).collect()}
+    by_name = {r.city_code for r in regions.growth_top_cities(mart, 1, ("city_name",)).collect()}
+    assert by_code == {3} and by_name == {1, 2}
