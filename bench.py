@@ -34,7 +34,13 @@ def main() -> None:
 
     from firmscope.session import build_session
 
-    spark = build_session(f"local[{cpus}]", "firmscope-bench", shuffle_partitions=int(cpus))
+    # Local mode runs everything in the driver JVM: give it a real heap.
+    spark = build_session(
+        f"local[{cpus}]",
+        "firmscope-bench",
+        shuffle_partitions=int(cpus),
+        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")},
+    )
 
     from firmscope.operators import regions
     from firmscope.plans import catalog, pipeline
