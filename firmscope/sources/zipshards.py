@@ -42,8 +42,12 @@ NEWLINE = b"\n"
 
 
 def _fs_and_path(uri: str):
+    """Arrow filesystem and path for a URI; ``file:`` URIs (one or three
+    slashes, as Hadoop prints them) and bare paths are local."""
     from pyarrow import fs as pafs
 
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
     if "://" in uri:
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri
@@ -136,7 +140,7 @@ def find_archives(spark: SparkSession, source_dir: str, pattern: str) -> list[st
 
     infos = fs.get_file_info(pafs.FileSelector(path, recursive=False))
     names = sorted(i.path for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, pattern))
-    if "://" in source_dir:
+    if "://" in source_dir and not source_dir.startswith("file:"):
         scheme = source_dir.split("://", 1)[0]
         names = [f"{scheme}://{n}" for n in names]
     if not names:

@@ -114,3 +114,16 @@ def test_shard_running_total(spark):
     df = spark.createDataFrame([(i % 3,) for i in range(10)], "s int")
     rows = delimited.shard_running_total(df, "s").orderBy("shard").collect()
     assert [(r.shard, r.rows, r.running_total) for r in rows] == [(0, 4, 4), (1, 3, 7), (2, 3, 10)]
+
+
+def test_file_uris_are_local_paths(spark, tmp_dir):
+    from firmscope.sources.zipshards import _fs_and_path
+
+    for uri in (f"file:{tmp_dir}", f"file://{tmp_dir}", tmp_dir):
+        _, path = _fs_and_path(uri)
+        assert path == tmp_dir
+    src = f"{tmp_dir}/src"
+    os.makedirs(src)
+    _write_zip(f"{src}/Empresas0.zip", "A.CSV", b'1;"x"\n')
+    rows, _ = zipshards.ingest_zip_shards(spark, f"file:{src}", "Empresas*.zip", TWO, f"file:{tmp_dir}/out")
+    assert [tuple(r) for r in rows.collect()] == [("1", "x")]
