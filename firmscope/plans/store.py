@@ -81,8 +81,73 @@ class _FS:
         return sorted(str(s.getPath().getName()) for s in self.fs.listStatus(self.p(path)))
 
 
-def fs(spark: SparkSession, path: str) -> _FS:
-    return _FS(spark, path)
+class _ArrowFS:
+    """The same operations through the Arrow filesystem layer, for sessions
+    without a JVM gateway in this process (a Spark Connect client)."""
+
+    def __init__(self, path: str):
+        from firmscope.sources.zipshards import _fs_and_path
+
+        self._resolve = _fs_and_path
+        self.fs, _ = _fs_and_path(path)
+
+    def _p(self, path: str) -> str:
+        return self._resolve(path)[1]
+
+    def exists(self, path: str) -> bool:
+        from pyarrow import fs as pafs
+
+        return self.fs.get_file_info(self._p(path)).type != pafs.FileType.NotFound
+
+    def status(self, path: str) -> tuple[int, int]:
+        from pyarrow import fs as pafs
+
+        info = self.fs.get_file_info(self._p(path))
+        if info.type == pafs.FileType.Directory:
+            children = self.fs.get_file_info(pafs.FileSelector(self._p(path)))
+            return sum(c.size or 0 for c in children), max((c.mtime_ns or 0) // 1_000_000 for c in children) if children else 0
+        return int(info.size or 0), int((info.mtime_ns or 0) // 1_000_000)
+
+    def write_text(self, path: str, text: str) -> None:
+        parent = self._p(path).rsplit("/", 1)[0]
+        self.fs.create_dir(parent, recursive=True)
+        with self.fs.open_output_stream(self._p(path)) as out:
+            out.write(text.encode("utf-8"))
+
+    def read_text(self, path: str) -> str:
+        with self.fs.open_input_stream(self._p(path)) as f:
+            return f.read().decode("utf-8")
+
+    def rename(self, src: str, dst: str) -> bool:
+        if self.exists(dst):
+            return False
+        self.fs.move(self._p(src), self._p(dst))
+        return True
+
+    def delete(self, path: str) -> None:
+        from pyarrow import fs as pafs
+
+        info = self.fs.get_file_info(self._p(path))
+        if info.type == pafs.FileType.Directory:
+            self.fs.delete_dir(self._p(path))
+        elif info.type != pafs.FileType.NotFound:
+            self.fs.delete_file(self._p(path))
+
+    def list_names(self, path: str) -> list[str]:
+        from pyarrow import fs as pafs
+
+        if not self.exists(path):
+            return []
+        return sorted(i.base_name for i in self.fs.get_file_info(pafs.FileSelector(self._p(path))))
+
+
+def fs(spark: SparkSession, path: str):
+    """File operations for ``path``: Hadoop FileSystem through the session's
+    JVM when there is one, otherwise the Arrow filesystem layer."""
+    try:
+        return _FS(spark, path)
+    except Exception:  # noqa: BLE001 - no JVM gateway in this process
+        return _ArrowFS(path)
 
 
 def fingerprint(spark: SparkSession, paths: Iterable[str], params: dict | None = None) -> str:
@@ -146,7 +211,11 @@ _MEMO: dict[tuple, DataFrame] = {}
 
 
 def _session_key(spark: SparkSession) -> tuple:
-    return (spark.sparkContext.applicationId, id(spark))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect client
+        app = spark.conf.get("spark.app.id", "")
+    return (app, id(spark))
 
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:

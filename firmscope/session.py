@@ -62,7 +62,13 @@ def shared_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir.rstrip("/")
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect client: no context here
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; a cluster run needs a shared folder")
+        return tempfile.mkdtemp(prefix="firmscope-", dir=os.environ.get("FIRMSCOPE_TMP"))
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")

@@ -47,3 +47,35 @@ def test_fingerprint_changes_with_params_and_inputs(spark, tmp_dir):
     time.sleep(1.1)
     spark.range(4).write.mode("overwrite").parquet(path)
     assert a != store.fingerprint(spark, [path], {"v": 1})
+
+
+def test_arrow_backend_matches_the_hadoop_one(spark, tmp_dir):
+    from firmscope.plans.store import _ArrowFS, _FS
+
+    for backend in (_FS(spark, tmp_dir), _ArrowFS(tmp_dir)):
+        base = f"{tmp_dir}/{type(backend).__name__}"
+        backend.write_text(f"{base}/a.txt", "v-1")
+        assert backend.exists(f"{base}/a.txt") and backend.read_text(f"{base}/a.txt") == "v-1"
+        assert backend.rename(f"{base}/a.txt", f"{base}/b.txt")
+        assert backend.list_names(base) == ["b.txt"]
+        size, mtime = backend.status(f"{base}/b.txt")
+        assert size == 3 and mtime > 0
+        backend.delete(base)
+        assert not backend.exists(base)
+
+
+def test_shared_dir_without_a_context():
+    from firmscope.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "local[2]"}.get(key, default)
+
+    class ConnectLike:
+        conf = Conf()
+
+        @property
+        def sparkContext(self):
+            raise RuntimeError("no context in a Connect client")
+
+    assert shared_dir(ConnectLike()).startswith("/")
