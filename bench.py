@@ -9,7 +9,7 @@ per run:
                  Bronze text tables; the gated Gold load (Bronze text -> typed
                  Gold written as a new version -> six gates -> audit);
 * ``mart_*``     the mart builds;
-* query keys     each timed as the median of three runs of ``collect()``.
+* query keys     each timed as the median of five runs of ``collect()``.
 
 ``value`` is the sum of all entries.
 """
@@ -106,7 +106,7 @@ def main() -> None:
     }
     for name, make in headline.items():
         runs = []
-        for _ in range(3):
+        for _ in range(5):
             t0 = time.perf_counter()
             make().collect()
             runs.append(time.perf_counter() - t0)
