@@ -20,5 +20,4 @@ from firmscope.functions.clean import (  # noqa: F401
     scrub_chars,
     scrubbed_count,
     severity_badge,
-    years_between,
 )

@@ -112,11 +112,6 @@ def scrubbed_count(c: ColumnOrName, chars: str = "\x00") -> Column:
     return F.length(_col(c)) - F.length(scrub_chars(c, chars))
 
 
-def years_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
-    """Whole days between two dates divided by 365.25 (double)."""
-    return F.datediff(_col(later), _col(earlier)) / F.lit(DAYS_PER_YEAR)
-
-
 def round_half_up(c: ColumnOrName, digits: int) -> Column:
     """Round half away from zero on the decimal value, as ``round(x::numeric)``.
 

@@ -54,10 +54,6 @@ def scan_delimited(
     return spark.read.schema(schema).options(**opts).csv(paths)
 
 
-def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
-    return df.withColumn(name, F.input_file_name())
-
-
 def shard_running_total(df: DataFrame, shard: str | Column) -> DataFrame:
     """Rows per shard and the running total in shard order.
 

@@ -112,3 +112,9 @@ def test_pct_null_safe_denominator(spark):
     df = spark.createDataFrame([(1, 3), (1, 0), (1, 8)], "n long, d long")
     got = [r[0] for r in df.select(clean.pct(F.col("n"), F.col("d"), 1)).collect()]
     assert got == [33.3, None, 12.5]
+
+
+def test_capital_band_labels(spark):
+    df = spark.createDataFrame([(Decimal("5"),), (Decimal("50000"),), (Decimal("2000000"),), (Decimal("0"),)], "v decimal(20,2)")
+    got = [r[0] for r in df.select(clean.capital_band("v")).collect()]
+    assert got == ["Até 10k", "10k - 100k", "Acima de 1M", None]

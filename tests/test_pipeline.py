@@ -126,6 +126,8 @@ def test_failed_run_keeps_the_published_gold(spark, clean_raw, tmp_dir):
     assert pipeline.read_gold(spark, tmp_dir).count() == 3
     audit = spark.read.parquet(f"{tmp_dir}/audit")
     assert audit.select("run_id").distinct().count() == 2
+    parse = audit.where("kind = 'parse' AND name = 'unparsable_capital'").select("value").distinct().collect()
+    assert [r.value for r in parse] == [1.0]  # 'abc'; a null capital is not counted
 
 
 def test_rebuild_marts_swaps_each_mart(spark, clean_raw, tmp_dir):
