@@ -162,3 +162,53 @@ def density_by_state(companies: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("total"))
     )
 
+
+
+def city_year_counts(companies: DataFrame) -> DataFrame:
+    """One aggregation that feeds both city marts: per (opening year, city,
+    state) the companies, and the count and sum of positive capital.
+
+    The mart rebuild writes it first and derives growth and bubbles from the
+    stored result, so Gold is scanned once for both.
+    """
+    positive = F.when(F.col("share_capital") > 0, F.col("share_capital"))
+    return (
+        companies.where(F.col("opened_on").isNotNull() & F.col("city_code").isNotNull())
+        .groupBy(F.year("opened_on").alias("year"), "city_code", "state")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(positive).alias("n_positive"),
+            F.sum(positive).alias("capital_positive"),
+        )
+    )
+
+
+def growth_from_counts(counts: DataFrame, ref_city: DataFrame, since_year: int = 1990) -> DataFrame:
+    """``growth_by_city`` from ``city_year_counts`` (openings since 1 January of ``since_year``)."""
+    c = counts.where(F.col("year") >= since_year).select("year", "city_code", "state", F.col("n").alias("total"))
+    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
+        "year",
+        "city_code",
+        label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
+        "state",
+        "total",
+    )
+
+
+def bubbles_from_counts(counts: DataFrame, ref_city: DataFrame) -> DataFrame:
+    """``bubbles_year_city`` from ``city_year_counts``."""
+    c = (
+        counts.where(F.col("n_positive") > 0)
+        .groupBy("year", "city_code")
+        .agg(
+            F.sum("n_positive").alias("total_companies"),
+            F.sum("capital_positive").cast("decimal(28,2)").alias("_sum"),
+        )
+    )
+    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
+        "year",
+        "city_code",
+        label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
+        "total_companies",
+        F.round(F.col("_sum") / F.col("total_companies"), 2).alias("mean_capital"),
+    )

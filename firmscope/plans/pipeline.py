@@ -43,14 +43,28 @@ class Lookups:
     legal_nature: DataFrame | None = None
 
 
-MartBuilder = Callable[[DataFrame, Lookups], DataFrame]
+MartBuilder = Callable[..., DataFrame]
+
+
+def _counts(g: DataFrame, built: dict[str, DataFrame]) -> DataFrame:
+    # the stored (year, city, state) counts when the rebuild wrote them, else Gold
+    if "city_year_counts" in built:
+        return built["city_year_counts"]
+    return marts.city_year_counts(g)
 
 
 def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[str, MartBuilder]:
-    """The mart registry rebuilt after every Gold publication."""
+    """The mart registry rebuilt after every Gold publication.
+
+    Builders take (gold, lookups) or (gold, lookups, built), where ``built``
+    holds the marts already written in this rebuild, read back from storage:
+    growth and bubbles derive from the stored (year, city, state) counts, so
+    Gold is scanned once for both.
+    """
     return {
-        "growth_by_city": lambda g, lk: marts.growth_by_city(g, lk.city),
-        "bubbles_year_city": lambda g, lk: marts.bubbles_year_city(g, lk.city),
+        "city_year_counts": lambda g, lk: marts.city_year_counts(g),
+        "growth_by_city": lambda g, lk, built: marts.growth_from_counts(_counts(g, built), lk.city),
+        "bubbles_year_city": lambda g, lk, built: marts.bubbles_from_counts(_counts(g, built), lk.city),
         "sector_treemap": lambda g, lk: marts.sector_treemap(g, pad),
         "region_kpis": lambda g, lk: marts.region_kpis(g),
         "density_by_state": lambda g, lk: marts.density_by_state(g),
@@ -198,13 +212,19 @@ def rebuild_marts(
 ) -> list[tuple]:
     """Rebuild every mart from ``gold_df``; each is written to a new version and
     swapped in.  Returns ``(mart, ok, version_or_error)`` per mart (S11, S12)."""
+    import inspect
+
     out = []
+    built: dict[str, DataFrame] = {}
     for name, build in (registry or default_marts()).items():
         base = f"{warehouse}/marts/{name}"
         try:
             version = store.new_version_path(spark, base)
-            build(gold_df, lookups).write.mode("overwrite").parquet(version)
+            wants_built = len(inspect.signature(build).parameters) >= 3
+            df = build(gold_df, lookups, built) if wants_built else build(gold_df, lookups)
+            df.write.mode("overwrite").parquet(version)
             store.publish(spark, base, version)
+            built[name] = spark.read.parquet(version)
             out.append((name, True, version))
         except Exception as exc:  # noqa: BLE001 - one failing mart must not stop the rest
             out.append((name, False, f"{type(exc).__name__}: {exc}"[:500]))

@@ -89,3 +89,17 @@ def test_invariants_on_driver_tables(spark):
     growth = marts.growth_by_city(c.companies, c.ref_city).agg(F.sum("total")).collect()[0][0]
     since = c.companies.where(F.col("city_code").isNotNull() & (F.col("opened_on") >= "1990-01-01")).count()
     assert growth == since
+
+
+def test_city_marts_from_shared_counts_equal_the_direct_marts(spark):
+    from firmscope.plans.catalog import Ctx
+    from tests.conftest import SF_SMALL
+
+    c = Ctx(spark, SF_SMALL)
+    counts = marts.city_year_counts(c.companies)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    assert rows(marts.growth_from_counts(counts, c.ref_city)) == rows(marts.growth_by_city(c.companies, c.ref_city))
+    assert rows(marts.bubbles_from_counts(counts, c.ref_city)) == rows(marts.bubbles_year_city(c.companies, c.ref_city))
