@@ -150,9 +150,29 @@ def fs(spark: SparkSession, path: str):
         return _ArrowFS(path)
 
 
+_CODE_VERSION: str | None = None
+
+
+def code_version() -> str:
+    """Hash of this package's source: a stored table built by other code is
+    never reused, so its schema always matches the plan that reads it."""
+    global _CODE_VERSION
+    if _CODE_VERSION is None:
+        import pathlib
+
+        h = hashlib.sha1()
+        root = pathlib.Path(__file__).resolve().parents[1]
+        for p in sorted(root.rglob("*.py")):
+            h.update(str(p.relative_to(root)).encode())
+            h.update(p.read_bytes())
+        _CODE_VERSION = h.hexdigest()[:12]
+    return _CODE_VERSION
+
+
 def fingerprint(spark: SparkSession, paths: Iterable[str], params: dict | None = None) -> str:
-    """Stable hash of input paths, their sizes and modification times, and params."""
-    h = hashlib.sha1()
+    """Stable hash of input paths, their sizes and modification times, the
+    package code and params."""
+    h = hashlib.sha1(code_version().encode())
     for path in sorted(paths):
         f = fs(spark, path)
         size, mtime = f.status(path)

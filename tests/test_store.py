@@ -79,3 +79,11 @@ def test_shared_dir_without_a_context():
             raise RuntimeError("no context in a Connect client")
 
     assert shared_dir(ConnectLike()).startswith("/")
+
+
+def test_fingerprint_changes_with_the_code(spark, tmp_dir, monkeypatch):
+    path = f"{tmp_dir}/in2.parquet"
+    spark.range(2).write.parquet(path)
+    a = store.fingerprint(spark, [path], {"v": 1})
+    monkeypatch.setattr(store, "_CODE_VERSION", "another-build")
+    assert store.fingerprint(spark, [path], {"v": 1}) != a
