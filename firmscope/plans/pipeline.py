@@ -19,6 +19,7 @@ stop the others.
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -212,8 +213,6 @@ def rebuild_marts(
 ) -> list[tuple]:
     """Rebuild every mart from ``gold_df``; each is written to a new version and
     swapped in.  Returns ``(mart, ok, version_or_error)`` per mart (S11, S12)."""
-    import inspect
-
     out = []
     built: dict[str, DataFrame] = {}
     for name, build in (registry or default_marts()).items():
