@@ -8,8 +8,11 @@ checkpoint directory, so the rest of the code has a single place to ask.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -79,3 +82,34 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="firmscope-", dir=os.environ.get("FIRMSCOPE_TMP"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir().rstrip("/")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the Python workers, whatever folder the driver started in.
+
+    The sources go as one ZIP into the shared folder, once per application, and
+    are registered with ``addPyFile``.  A package that already runs from a ZIP
+    (``--py-files``) is on the workers' path and is left alone.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(root):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                member = os.path.join(os.path.basename(root), os.path.relpath(path, root))
+                archive.writestr(zipfile.ZipInfo(member), open(path, "rb").read())
+    data = buffer.getvalue()
+    target = f"{shared_dir(spark)}/code/{sc.applicationId}/firmscope-{hashlib.sha256(data).hexdigest()[:12]}.zip"
+    jvm_path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = jvm_path.getFileSystem(sc._jsc.hadoopConfiguration()).create(jvm_path, True)
+    out.write(bytearray(data))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
