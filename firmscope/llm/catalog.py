@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, secrets, warc_zip
+from firmscope.llm import bpe, exact_dedup, minhash_dedup, secrets, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op5_bpe, op9_secrets)}
+    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op5_bpe, op6_minhash, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
