@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, minhash_dedup, quality, secrets, toxicity, warc_zip
+from firmscope.llm import bpe, exact_dedup, minhash_dedup, mixing, quality, secrets, toxicity, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return mixing.poisson_mix(documents, mixing.temperature_weights(documents), keep_details=True)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -48,8 +53,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op4_toxicity, op5_bpe, op6_minhash, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op3_mixing, op4_toxicity, op5_bpe, op6_minhash, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": warc_zip.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_warc_zip": warc_zip.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}

@@ -193,7 +193,8 @@ def co_train(
         p = _sigmoid(fitted[k].log_odds(labelled[k][check]))
         loss = -np.mean(y[check] * np.log(p + 1e-9) + (1 - y[check]) * np.log(1 - p + 1e-9))
         base = np.clip(y[check].mean(), 1e-3, 1 - 1e-3)
-        quality.append(max(0.01, 1 - loss / -(base * np.log(base) + (1 - base) * np.log(1 - base))))
+        explained = max(0.01, 1 - loss / -(base * np.log(base) + (1 - base) * np.log(1 - base)))
+        quality.append(explained / (1.02 - explained))  # a view that explains nearly all weighs most
     return Model(fitted[0], fitted[1], quality[0] / sum(quality))
 
 
