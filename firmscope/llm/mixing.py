@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import fresh
+from firmscope.llm.common import fresh, stored
 
 #: The largest mean that is tabulated at once, and the entries that bring its distribution function to 1 in double precision.
 STEP, ENTRIES = 8.0, 60
@@ -86,7 +86,7 @@ def poisson_mix(
     With ``keep_details`` the columns copy (from 1), copies and shuffle_key are added.
     """
     source, parts, cdf, copies, copy, key = (fresh(df, f"mix_{x}") for x in ("source", "parts", "cdf", "copies", "copy", "key"))
-    by_source = rates(df, weights, source_col, epochs).select(
+    by_source = stored(rates(df, weights, source_col, epochs), "rates").select(
         F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)
     )
     ident = df[id_col]
