@@ -13,7 +13,7 @@ emits all its pairs:
 1. every member is compared with the smallest and the largest member (buckets of
    two: the one pair), and the confirmed links make a first set of components;
 2. a bucket whose members lie in one component is done;
-3. in larger open buckets (over ``SMALL`` members), members that can't reach the
+3. in larger open buckets (over ``linking.SMALL`` members), members that can't reach the
    threshold with any other (an upper bound from the number of shingles that no
    other member has) are set aside, and the rest are compared with the most
    central member;
@@ -40,13 +40,14 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmscope.llm import linking
 from firmscope.llm.common import fresh, stored, workers
 from firmscope.llm.components import components
 
-SIDE, ROWS, AGREE, SMALL = 10, 2, 4, 8
+SIDE, ROWS, AGREE = 10, 2, 4
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -112,11 +113,6 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int, seed: int) ->
     )
 
 
-def _reachable(low: str, high: str) -> Column:
-    """Whether two set sizes can reach the threshold."""
-    return F.expr(f"5 * least({low}, {high}) >= 4 * greatest({low}, {high})")
-
-
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) whose sizes and half keys allow the threshold."""
     sides = [classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("half").alias(f"h{s}")) for s in "ab"]
@@ -126,39 +122,11 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         .distinct()
         .join(sides[0], "a")
         .join(sides[1], "b")
-        .filter(_reachable("na", "nb") & (agree >= AGREE))
+        .filter(linking.reachable("na", "nb") & (agree >= AGREE))
         .select("a", "b")
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= 80 * union, on full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 80 * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sides = [sets.select(F.col("node").alias(s), F.col("values").alias(f"v{s}")) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with the component of their node (the node itself where it has no links)."""
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets with members in more than one component."""
-    keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return rows.join(keys, "key", "left_semi")
-
-
 def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
     """Components (node, label) of the classes."""
     tables = F.expr(
@@ -191,61 +159,25 @@ def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, te
 
     sets = stored(texts.select("text").mapInArrow(to_sets, "node long, values binary").dropDuplicates(["node"]), "sets")
 
-    links = stored(_confirmed(first, sets), "links")
+    links = stored(linking.confirmed(first, sets), "links")
     labels = components(links)
-    rows = _open(_labelled(members, labels))
+    rows = linking.open_buckets(linking.labelled(members, labels))
     rows = stored(rows.join(classes.select("node", "n", "half"), "node"), "open")
 
     # Small open buckets: the pairs across components that step 1 hasn't compared.
-    small = rows.filter(f"c <= {SMALL} and node <> lo and node <> hi").select("key", "node", "label")
+    small = rows.filter(f"c <= {linking.SMALL} and node <> lo and node <> hi").select("key", "node", "label")
     other = small.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
     pairs = small.join(other, "key").filter("label < label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    links = links.union(stored(_confirmed(_plausible(pairs, classes), sets), "links"))
-
-    # Large open buckets.
-    large = rows.filter(f"c > {SMALL}")
-    if not large.isEmpty():
-        def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    values = np.frombuffer(raw, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(values), node)), pa.array(values)], names=["node", "value"]
-                    )
-
-        own = (
-            sets.join(large.select("node").distinct(), "node", "left_semi")
-            .mapInArrow(values_of, "node long, value long")
-            .groupBy("value")
-            .agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
-            .filter("holders = 1")
-            .groupBy("node")
-            .agg(F.count(F.lit(1)).alias("own"))
-        )
-        least = large.groupBy("key").agg(F.min("n").alias("least"))
-        large = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(least, "key")
-        # A partner has at least `least` shingles and at least four fifths of n; they share n - own at most.
-        large = large.filter("9 * (n - own) >= 4 * (n + greatest(least, ceil(0.8 * n)))")
-        large = stored(_open(large), "large")
-        centre = large.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("x"), "node", "label")).alias("centre"))
-        pairs = large.join(centre, "key").filter("label <> centre.label").select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
-        links = stored(links.union(_confirmed(_plausible(pairs, classes), sets)), "links")
-
-        large = _open(_labelled(large.drop("label"), components(links)))
-        large = stored(large.select("key", "node", "label", "n", "own", "half"), "large")
-        usual = large.groupBy("key").agg(F.min_by("label", F.struct(F.col("own") / F.col("n"), "node")).alias("usual"))
-        left = large.join(usual, "key").filter("label <> usual")
-        right = large.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "half")])
-        same = "zip_with(half, half2, (x, y) -> x = y)"
-        # A pair is taken from the first table that it shares.
-        pairs = left.join(right, "key").filter(
-            f"label <> label2 and (label2 = usual or node < node2) and 5 * least(n, n2) >= 4 * greatest(n, n2)"
-            f" and size(filter({same}, x -> x)) >= {AGREE} and key = xxhash64({SIDE} * (array_position(slice({same}, 1, {SIDE}), true) - 1)"
-            f" + array_position(slice({same}, {SIDE + 1}, {SIDE}), true) - 1, half[array_position(slice({same}, 1, {SIDE}), true) - 1],"
-            f" half[{SIDE} + array_position(slice({same}, {SIDE + 1}, {SIDE}), true) - 1])"
-        )
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        links = links.union(_confirmed(pairs, sets))
+    links = links.union(stored(linking.confirmed(_plausible(pairs, classes), sets), "links"))
+
+    # Large open buckets; a pair is taken from the first table that it shares.
+    same = "zip_with(half, half2, (x, y) -> x = y)"
+    i, j = f"array_position(slice({same}, 1, {SIDE}), true)", f"array_position(slice({same}, {SIDE + 1}, {SIDE}), true)"
+    once = (
+        f"size(filter({same}, x -> x)) >= {AGREE} and"
+        f" key = xxhash64(cast({SIDE} * ({i} - 1) + {j} - 1 as int), half[cast({i} - 1 as int)], half[cast({SIDE} + {j} - 1 as int)])"
+    )
+    links = linking.close_large(rows.filter(f"c > {linking.SMALL}"), links, sets, lambda pairs: _plausible(pairs, classes), ["half"], once)
     return components(links)
 
 
@@ -274,7 +206,7 @@ def near_groups(
         seed += 2  # two different sets got one number: number them anew
     classes = classes.select("node", "first", "n", "half")
     labels = stored(_links(df, sketch, classes, id_col, text_col, words, seed), "labels")
-    labelled = _labelled(classes.select("node", "first"), labels)
+    labelled = linking.labelled(classes.select("node", "first"), labels)
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of_node = labelled.join(least, "label").select("node", "component_id")
     filled = sketch.filter("n > 0").select("id", "n", "node").join(of_node, "node")
