@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, toxicity, warc_zip
+from firmscope.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, toxicity, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op3_mixing, op4_toxicity, op5_bpe, op6_minhash, op7_spotsigs, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op3_mixing, op4_toxicity, op5_bpe, op6_minhash, op7_spotsigs, op8_lines, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
