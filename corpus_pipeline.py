@@ -11,24 +11,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup
+from firmscope.llm import bpe, exact_dedup, minhash_dedup, mixing, quality
 from firmscope.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return minhash_dedup.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in proportion to the square roots of their sizes, as many documents as before on average."""
+    return mixing.poisson_mix(docs, mixing.temperature_weights(docs))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the round trip's hashes."""
     return bpe.encode(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
     ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mixed),
     ("bpe", tokens),
 ]
 
