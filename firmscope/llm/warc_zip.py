@@ -198,9 +198,9 @@ def _directory(f: BinaryIO, length: int) -> tuple[int, int, int]:
     """Offset, size and number of entries of the central directory."""
     tail_at = max(0, length - 65_557)
     tail = _read(f, tail_at, length - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(b"PK\x05\x06", 0, at)
+        at = tail.rfind(b"PK\x05\x06", 0, at + 3)
     if at < 0:
         raise ValueError("no end of central directory record")
     count, size, offset = struct.unpack_from("<HII", tail, at + 10)
