@@ -8,6 +8,7 @@
     python -m firmscope inspect --warehouse DIR --table gold|<mart>|ref/<lookup> [--rows 5]
     python -m firmscope compare --warehouse DIR --regions SP RJ [--region-column state] [--export DIR]
     python -m firmscope listing --warehouse DIR [--sector S] [--city C] [--top 25] [--export DIR]
+    python -m firmscope options --warehouse DIR [--region-column state] [--cities 100]
     python -m firmscope segments --warehouse DIR --favourites '[{"nome": "...", "setor": "Todos", "cidade": "..."}]'
 
 Only summaries are printed; every table stays in the warehouse (a shared
@@ -17,6 +18,7 @@ folder on a cluster).
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import sys
 
@@ -64,7 +66,7 @@ def lookups(spark, warehouse: str) -> pipeline.Lookups:
     return pipeline.Lookups(read("activity"), read("city"), spark.read.parquet(legal) if legal else None)
 
 
-def metrics_report(spark, warehouse: str, as_of: str) -> dict:
+def metrics_report(spark, warehouse: str, as_of: str, state: str = "SP") -> dict:
     from firmscope.operators import metrics
 
     gold = pipeline.read_gold(spark, warehouse)
@@ -77,11 +79,16 @@ def metrics_report(spark, warehouse: str, as_of: str) -> dict:
         "status": metrics.status_distribution(gold).orderBy("companies", ascending=False),
         "survival": metrics.survival_global(gold),
         "survival_discards": metrics.survival_discards(gold),
+        "state_openings": metrics.state_openings_by_year(gold, state).orderBy("year"),
         "decades": metrics.decade_distribution(gold).orderBy("decade"),
     }
     return {k: [r.asDict() for r in df.collect()] for k, df in reports.items()}
 
 
+def export_day(as_of: str | None) -> dt.date:
+    return dt.date.fromisoformat(as_of) if as_of else dt.date.today()
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="firmscope")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -99,6 +106,7 @@ def main(argv: list[str] | None = None) -> int:
     m = sub.add_parser("metrics")
     m.add_argument("--warehouse", required=True)
     m.add_argument("--as-of", required=True)
+    m.add_argument("--state", default="SP", help="state of the openings per year")
     b = sub.add_parser("benchmark")
     b.add_argument("--warehouse", required=True)
     b.add_argument("--as-of", required=True)
@@ -117,16 +125,23 @@ def main(argv: list[str] | None = None) -> int:
     cmp_.add_argument("--region-column", default="state", help="a Gold column or city_prefix2")
     cmp_.add_argument("--top-n", type=int, default=8)
     cmp_.add_argument("--year-from", type=int, default=2000)
+    cmp_.add_argument("--as-of", default=None, help="date of the data, for the names of exported files (default: today)")
     cmp_.add_argument("--export", default=None, help="folder for the dated KPI and sector CSV files")
     lst = sub.add_parser("listing", help="filtered listing: KPIs, openings by year, capital by city, ranking")
     lst.add_argument("--warehouse", required=True)
     lst.add_argument("--sector", default=None, help="activity description ('Todos' = any)")
     lst.add_argument("--city", default=None, help="city name ('Todas' = any)")
     lst.add_argument("--top", type=int, default=25, choices=[10, 25, 50, 100])
-    lst.add_argument("--export", default=None, help="folder for the dated CSV of the 30 000-row preview")
+    lst.add_argument("--as-of", default=None, help="date of the data, for the names of exported files (default: today)")
+    lst.add_argument("--preview", type=int, default=0, help="show the first rows by opening date")
+    lst.add_argument("--export", default=None, help="folder for the dated CSV parts of the whole filtered listing")
     seg = sub.add_parser("segments", help="KPIs of every saved favourite")
     seg.add_argument("--warehouse", required=True)
     seg.add_argument("--favourites", required=True, help='JSON list of {"nome", "setor", "cidade"}')
+    opt = sub.add_parser("options", help="regions with their most common city, and the largest cities, to pick from")
+    opt.add_argument("--warehouse", required=True)
+    opt.add_argument("--region-column", default="state", help="a Gold column or city_prefix2")
+    opt.add_argument("--cities", type=int, default=100)
     args = p.parse_args(argv)
 
     spark = build_session()
@@ -184,21 +199,24 @@ def main(argv: list[str] | None = None) -> int:
         from firmscope.sources import export
 
         gold = pipeline.read_gold(spark, args.warehouse)
-        growth = pipeline.read_mart(spark, args.warehouse, "growth_by_city")
         try:
             if args.regions:
-                result = regions.compare_regions(gold, growth, args.regions, args.region_column, args.top_n, args.year_from)
+                counts = pipeline.read_mart(spark, args.warehouse, "city_year_counts")
+                result = regions.compare_regions(gold, counts, regions.check_selection(args.regions), args.region_column,
+                                                 args.top_n, args.year_from)
             else:
-                result = regions.compare_cities(gold, growth, lookups(spark, args.warehouse).city, args.cities,
-                                                args.top_n, args.year_from)
+                growth = pipeline.read_mart(spark, args.warehouse, "growth_by_city")
+                result = regions.compare_cities(gold, growth, lookups(spark, args.warehouse).city,
+                                                regions.check_selection(args.cities), args.top_n, args.year_from)
         except ValueError as exc:
             print(str(exc), file=sys.stderr)
             return 1
         out = {name: [r.asDict() for r in getattr(result, name).collect()]
                for name in ("kpis", "sectors", "growth", "matrix")}
         if args.export:
-            out["files"] = [export.export_csv(result.kpis, args.export, "comparison_kpis"),
-                            export.export_csv(result.sectors, args.export, "comparison_sectors")]
+            day = export_day(args.as_of)
+            out["files"] = [export.export_csv(result.kpis, args.export, "comparison_kpis", day),
+                            export.export_csv(result.sectors, args.export, "comparison_sectors", day)]
         print(json.dumps(out, default=str, indent=1))
         return 0
     if args.cmd == "listing":
@@ -214,20 +232,33 @@ def main(argv: list[str] | None = None) -> int:
             "capital_by_city_top10": [r.asDict() for r in listing.capital_by_city_top(filtered, 10).collect()],
             "ranking": [r.asDict() for r in listing.top_companies_filtered(filtered, args.top).collect()],
         }
+        if args.preview:
+            rows = listing.companies_preview(pipeline.read_gold(spark, args.warehouse), lk.activity, lk.city, args.preview,
+                                             args.sector, args.city)
+            out["preview"] = [r.asDict() for r in rows.collect()]
         if args.export:
-            out["file"] = export.export_csv(listing.companies_preview(filtered, 30_000), args.export, "companies_listing")
+            out["files"] = export.export_parts(filtered, args.export, "companies_listing", export_day(args.as_of))
         print(json.dumps(out, default=str, indent=1))
         return 0
+    if args.cmd == "options":
+        from firmscope.operators import regions
+
+        gold, lk = pipeline.read_gold(spark, args.warehouse), lookups(spark, args.warehouse)
+        top = regions.region_display_label(regions.region_top_city(gold, lk.city, args.region_column)).orderBy("region")
+        cities = regions.top_cities(gold, lk.city, args.cities)
+        print(json.dumps({"regions": [r.asDict() for r in top.collect()], "cities": [r.asDict() for r in cities.collect()]},
+                         default=str, indent=1))
+        return 0
     if args.cmd == "segments":
         from firmscope.operators import listing
 
         lk = lookups(spark, args.warehouse)
         segs = listing.segments_from_json(spark, args.favourites)
         kpis = listing.segment_kpis(pipeline.read_gold(spark, args.warehouse), lk.activity, lk.city, segs)
-        print(json.dumps([r.asDict() for r in kpis.orderBy("segment").collect()], default=str, indent=1))
+        print(json.dumps([r.asDict() for r in kpis.orderBy("position").collect()], default=str, indent=1))
         return 0
     if args.cmd == "metrics":
-        print(json.dumps(metrics_report(spark, args.warehouse, args.as_of), default=str, indent=1))
+        print(json.dumps(metrics_report(spark, args.warehouse, args.as_of, args.state), default=str, indent=1))
         return 0
     return 2
 

@@ -112,18 +112,17 @@ def capital_parse_report(companies_raw: DataFrame) -> DataFrame:
 def gold_layout(df: DataFrame) -> DataFrame:
     """Write layout standing in for the indexes of a row store.
 
-    Rows are range-partitioned on (state, opening date, key) and sorted by
-    state and opening date inside each file.  Every file then covers a narrow
-    state range and, within a state, a narrow date range, so Parquet min/max
-    statistics skip files and row groups for state filters (the regional
-    queries) and for date filters within a state (the role of B-tree and BRIN
-    indexes).  Files stay large: no directory per state, which would multiply
-    small files.  The date and key as further range columns split a state or
-    a date that holds a large share of all companies over several files
-    instead of one task.  The positive-capital ranking is served by a
-    per-partition top-k and needs no index.
+    Rows are brought together by (state, opening year) with a ``rebalance``: at
+    run time large partitions are split and small ones merged to the advisory
+    size, without a number given beforehand and without sampling the input
+    (which would run the join twice).  They are sorted by state and opening date
+    inside each partition, so Parquet min/max statistics skip row groups for
+    state filters (the regional queries) and for date filters within a state
+    (the role of B-tree and BRIN indexes).  The positive-capital ranking is
+    served by a per-partition top-k and needs no index.
     """
-    return df.repartitionByRange("state", "opened_on", "company_id").sortWithinPartitions("state", "opened_on")
+    by_year = df.withColumn("_year", F.year("opened_on")).hint("rebalance", F.col("state"), F.col("_year"))
+    return by_year.sortWithinPartitions("state", "opened_on").drop("_year")
 
 
 def write_gold(df: DataFrame, path: str) -> None:

@@ -63,36 +63,43 @@ def _total_order(first: Sequence[Column], columns: Sequence[str]) -> list[Column
     return list(first) + [F.col(c).asc_nulls_last() for c in columns]
 
 
-PREVIEW_ORDER = ["opened_on", "company_id", "legal_name", "share_capital", "sector", "city"]
+#: Own columns of the companies table; the lookups are joined to the chosen rows only.
+PREVIEW_ORDER = ["opened_on", "company_id", "legal_name", "share_capital", "activity_code", "city_code"]
 
 
-def companies_preview(filtered: DataFrame, limit: int = 30_000) -> DataFrame:
+def companies_preview(
+    companies: DataFrame,
+    ref_activity: DataFrame,
+    ref_city: DataFrame,
+    limit: int = 30_000,
+    sector: str | None = None,
+    city: str | None = None,
+) -> DataFrame:
     """First ``limit`` rows of the filtered listing by opening date (L3).
 
-    The limit is the feature (a bounded preview); aggregates are computed on
-    the full filtered set elsewhere.  A histogram of opening dates (one row per
-    distinct date, reduced on the cluster) gives the first date by which
-    ``limit`` rows exist; only that one value reaches the driver.  The filter
-    ``opened_on <= date`` is pushed into the Parquet scan; on the Gold layout
-    (ranged by state, then date) it skips every file and row group that holds
-    only later dates.  The final top-k merges at most ``limit`` rows per
-    remaining partition.
+    The limit is the feature (a bounded preview); aggregates and exports work
+    on the full filtered set.  Descriptions are resolved to codes first, so the
+    filter and the top-k run on the companies table alone, and the lookups are
+    joined to the ``limit`` rows that are left.  A histogram of opening dates
+    (one row per distinct date) gives, as a scalar sub-query of the plan, the
+    first date by which ``limit`` rows exist: later rows never reach the sort.
     """
-    per_day = filtered.groupBy("opened_on").agg(F.count(F.lit(1)).alias("n"))
+    base = companies.where(F.col("share_capital") > 0)
+    for ref, column, value in (
+        (ref_activity, "activity_code", _wild(sector, schemas.ANY_SECTOR)),
+        (ref_city, "city_code", _wild(city, schemas.ANY_CITY)),
+    ):
+        if value is not None:
+            codes = ref.where(F.col("description") == F.lit(value)).select(F.col("code").alias(column)).distinct()
+            base = base.join(codes, column, "left_semi")
+    per_day = base.where(F.col("opened_on").isNotNull()).groupBy("opened_on").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("opened_on").rowsBetween(Window.unboundedPreceding, 0))
-    cutoff = (
-        per_day.where(F.col("opened_on").isNotNull())
-        .select("opened_on", running.alias("_cum"))
-        .where(F.col("_cum") >= limit)
-        .agg(F.min("opened_on"))
-        .collect()[0][0]
-    )
-    head = filtered
-    if cutoff is not None:
-        # rows without a date sort last, after at least ``limit`` dated rows
-        head = filtered.where(F.col("opened_on") <= F.lit(cutoff))
+    cutoff = per_day.select("opened_on", running.alias("_cum")).where(F.col("_cum") >= limit).agg(F.min("opened_on")).scalar()
+    # With fewer dated rows than ``limit`` there is no such date, and every row may be shown.
+    head = base.where(cutoff.isNull() | (F.col("opened_on") <= cutoff))
     order = [F.col(c).asc_nulls_last() for c in PREVIEW_ORDER]
-    return head.orderBy(*order).limit(limit)
+    chosen = head.select(*PREVIEW_ORDER).orderBy(*order).limit(limit)
+    return companies_labelled(chosen, ref_activity, ref_city, positive_capital=False).select(*LISTING_COLUMNS)
 
 
 def top_companies(
@@ -154,6 +161,7 @@ def filter_options(ref_activity: DataFrame, ref_city: DataFrame) -> DataFrame:
 
 
 def sorted_options(options: DataFrame) -> DataFrame:
+    """The two option lists in accent-aware order."""
     return options.orderBy("kind", F.collate(F.col("description"), "UNICODE"))
 
 
@@ -170,19 +178,29 @@ SEGMENT_SCHEMA = T.ArrayType(
 )
 
 
-def segments_from_json(spark: SparkSession, favourites_json: str | DataFrame, column: str = "favourites") -> DataFrame:
-    """Saved filters ``[{"nome", "setor", "cidade"}]`` -> rows (segment, sector, city).
+def segments_from_json(
+    spark: SparkSession, favourites_json: str | DataFrame, column: str = "favourites", owner: str | None = None
+) -> DataFrame:
+    """Saved filters ``[{"nome", "setor", "cidade"}]`` -> rows (owner, position, segment, seg_sector, seg_city).
 
     Accepts one JSON text or a DataFrame with a JSON text column (one list per
-    user); the wildcard words become null.
+    user, named by the column ``owner``); the wildcard words become null.  A
+    favourite is identified by its owner and its position in the owner's list:
+    names may repeat.
     """
     if isinstance(favourites_json, str):
         json.loads(favourites_json)  # fail early on malformed input
         src = spark.createDataFrame([(favourites_json,)], f"{column} string")
     else:
         src = favourites_json
-    items = src.select(F.explode(F.from_json(F.col(column), SEGMENT_SCHEMA)).alias("s"))
+    who = F.col(owner) if owner else F.lit(None)
+    items = src.select(
+        who.cast("string").alias("owner"),
+        F.posexplode(F.from_json(F.col(column), SEGMENT_SCHEMA)).alias("position", "s"),
+    )
     return items.select(
+        "owner",
+        "position",
         F.col("s.nome").alias("segment"),
         F.when(F.col("s.setor") != schemas.ANY_SECTOR, F.col("s.setor")).alias("seg_sector"),
         F.when(F.col("s.cidade") != schemas.ANY_CITY, F.col("s.cidade")).alias("seg_city"),
@@ -192,51 +210,47 @@ def segments_from_json(spark: SparkSession, favourites_json: str | DataFrame, co
 def segment_kpis(
     companies: DataFrame, ref_activity: DataFrame, ref_city: DataFrame, segments: DataFrame
 ) -> DataFrame:
-    """KPIs (companies, total and mean capital) of every saved segment in one job.
-
-    The table is reduced once to (sector, city) cells; a ``cube`` over the
-    cells then yields the totals for every wildcard pattern (sector and city,
-    sector only, city only, everything), tagged by ``grouping_id``.  Each
-    segment picks its row with one null-safe equi-join on (sector, city,
-    pattern), so no nested-loop join is needed however many segments there
-    are, and a sector or city holding most companies is pre-aggregated
-    map-side before any shuffle.
+    """KPIs (companies, total and mean capital) of every saved segment, one row per favourite.
+
+    The table is reduced once to (sector, city) cells, combined map-side.  Each
+    of the four wildcard patterns (sector and city, sector only, city only,
+    everything) then keeps the cells that some segment of that pattern asks
+    for, and adds them up, so the work follows the segments in use and not all
+    pairs of sector and city.
     """
-    # (activity code, city code) first: the lookups then join one row per
-    # code pair instead of one row per company.
     by_code = (
         companies.where(F.col("share_capital") > 0)
         .groupBy("activity_code", "city_code")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
     )
     cells = companies_labelled(by_code, ref_activity, ref_city, positive_capital=False)
-    # grouping_id bits: 1 = city rolled up, 2 = sector rolled up.
-    rolled = cells.cube("sector", "city").agg(
-        F.sum("n").alias("companies"),
-        F.sum("cap").cast("decimal(28,2)").alias("total_capital"),
-        F.grouping_id("sector", "city").alias("_pattern"),
-    )
-    seg = segments.select(
-        "segment",
-        F.col("seg_sector").alias("_s"),
-        F.col("seg_city").alias("_c"),
-        (F.when(F.col("seg_sector").isNull(), 2).otherwise(0) + F.when(F.col("seg_city").isNull(), 1).otherwise(0))
-        .cast("int")
-        .alias("_p"),
-    )
-    cond = (
-        seg._s.eqNullSafe(rolled.sector)
-        & seg._c.eqNullSafe(rolled.city)
-        & (seg._p == rolled._pattern)
+    found = None
+    for keys in (["sector", "city"], ["sector"], ["city"], []):
+        free = [k for k in ("sector", "city") if k not in keys]
+        used = segments
+        for k in keys:
+            used = used.where(F.col(f"seg_{k}").isNotNull())
+        for k in free:
+            used = used.where(F.col(f"seg_{k}").isNull())
+        wanted = used.select(*[F.col(f"seg_{k}").alias(k) for k in keys])
+        kept = cells.join(wanted.distinct(), keys, "left_semi") if keys else cells
+        sums = kept.groupBy(*keys).agg(
+            F.sum("n").alias("companies"), F.sum("cap").cast("decimal(28,2)").alias("total_capital")
+        )
+        part = sums.select(
+            *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(f"_{k}") for k in ("sector", "city")],
+            "companies",
+            "total_capital",
+        )
+        found = part if found is None else found.union(part)
+    matched = segments.join(
+        found, segments.seg_sector.eqNullSafe(found._sector) & segments.seg_city.eqNullSafe(found._city), "left"
     )
-    matched = seg.join(rolled, cond, "left")
-    # A segment name is its identity: repeated names are summed together.
-    return matched.groupBy("segment").agg(
-        F.coalesce(F.sum("companies"), F.lit(0).cast("bigint")).alias("companies"),
-        F.sum("total_capital").cast("decimal(28,2)").alias("total_capital"),
-    ).select(
+    return matched.select(
+        "owner",
+        "position",
         "segment",
-        "companies",
+        F.coalesce("companies", F.lit(0).cast("bigint")).alias("companies"),
         "total_capital",
         F.round(F.col("total_capital") / F.nullif(F.col("companies"), F.lit(0)), 2).alias("mean_capital"),
     )
@@ -255,7 +269,7 @@ def companies_filtered_sql(
 
     Values travel as named parameters (``:sector``, ``:city``, ``:n``), never as
     SQL text; the tables are passed as DataFrame arguments.  Same result as
-    ``companies_filtered`` (plus ``companies_preview`` when ``limit`` is set).
+    ``companies_filtered`` (with the preview's limit by opening date when ``limit`` is set).
     """
     sector = _wild(sector, schemas.ANY_SECTOR)
     city = _wild(city, schemas.ANY_CITY)
@@ -275,7 +289,7 @@ def companies_filtered_sql(
         sql += " AND m.description = :city"
         args["city"] = city
     if limit is not None:
-        order = ", ".join(f"{c} ASC NULLS LAST" for c in PREVIEW_ORDER)
+        order = ", ".join(f"e.{c} ASC NULLS LAST" for c in PREVIEW_ORDER)
         sql += f" ORDER BY {order} LIMIT :n"
         args["n"] = int(limit)
     return spark.sql(sql, args=args, companies=companies, ref_activity=ref_activity, ref_city=ref_city)

@@ -8,8 +8,6 @@ map-side before any shuffle.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,48 +68,49 @@ def survival_by_sector(
     )
 
 
-def growth_by_city(
-    companies: DataFrame, ref_city: DataFrame, since: str | dt.date = "1990-01-01"
-) -> DataFrame:
-    """Openings per (year, city) since a date, with the city name (V2).
+def city_year_counts(companies: DataFrame) -> DataFrame:
+    """One aggregation that feeds both city marts and the regional series: per
+    (opening year, city, state) the companies, and the count and sum of
+    positive capital.
 
-    ``state`` is carried along (a city belongs to one state) so that regional
-    series can be re-aggregated from the mart.
+    The mart rebuild writes it first and derives growth and bubbles from the
+    stored result, so Gold is scanned once for both.  State and city are
+    independent raw fields: a city may occur under several states.
     """
-    since_d = dt.date.fromisoformat(since) if isinstance(since, str) else since
-    counts = (
-        companies.where(
-            F.col("opened_on").isNotNull()
-            & F.col("city_code").isNotNull()
-            & (F.col("opened_on") >= F.lit(since_d))
-        )
+    positive = F.when(F.col("share_capital") > 0, F.col("share_capital"))
+    return (
+        companies.where(F.col("opened_on").isNotNull() & F.col("city_code").isNotNull())
         .groupBy(F.year("opened_on").alias("year"), "city_code", "state")
-        .agg(F.count(F.lit(1)).alias("total"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(positive).alias("n_positive"),
+            F.sum(positive).alias("capital_positive"),
+        )
     )
-    return counts.join(ref_city, counts.city_code == ref_city.code, "left").select(
+
+
+def growth_by_city(counts: DataFrame, ref_city: DataFrame, since_year: int = 1990) -> DataFrame:
+    """Openings per (year, city) since 1 January of ``since_year``, with the city name (V2), from ``city_year_counts``."""
+    c = counts.where(F.col("year") >= since_year).groupBy("year", "city_code").agg(F.sum("n").alias("total"))
+    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
         "year",
         "city_code",
         label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
-        "state",
         "total",
     )
 
 
-def bubbles_year_city(companies: DataFrame, ref_city: DataFrame) -> DataFrame:
-    """Companies and mean capital per (opening year, city), capital > 0 (V3)."""
-    counts = (
-        companies.where(
-            F.col("opened_on").isNotNull()
-            & F.col("city_code").isNotNull()
-            & (F.col("share_capital") > 0)
-        )
-        .groupBy(F.year("opened_on").alias("year"), "city_code")
+def bubbles_year_city(counts: DataFrame, ref_city: DataFrame) -> DataFrame:
+    """Companies and mean capital per (opening year, city), capital > 0 (V3), from ``city_year_counts``."""
+    c = (
+        counts.where(F.col("n_positive") > 0)
+        .groupBy("year", "city_code")
         .agg(
-            F.count(F.lit(1)).alias("total_companies"),
-            F.sum("share_capital").alias("_sum"),
+            F.sum("n_positive").alias("total_companies"),
+            F.sum("capital_positive").cast("decimal(28,2)").alias("_sum"),
         )
     )
-    return counts.join(ref_city, counts.city_code == ref_city.code, "left").select(
+    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
         "year",
         "city_code",
         label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
@@ -162,53 +161,3 @@ def density_by_state(companies: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("total"))
     )
 
-
-
-def city_year_counts(companies: DataFrame) -> DataFrame:
-    """One aggregation that feeds both city marts: per (opening year, city,
-    state) the companies, and the count and sum of positive capital.
-
-    The mart rebuild writes it first and derives growth and bubbles from the
-    stored result, so Gold is scanned once for both.
-    """
-    positive = F.when(F.col("share_capital") > 0, F.col("share_capital"))
-    return (
-        companies.where(F.col("opened_on").isNotNull() & F.col("city_code").isNotNull())
-        .groupBy(F.year("opened_on").alias("year"), "city_code", "state")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(positive).alias("n_positive"),
-            F.sum(positive).alias("capital_positive"),
-        )
-    )
-
-
-def growth_from_counts(counts: DataFrame, ref_city: DataFrame, since_year: int = 1990) -> DataFrame:
-    """``growth_by_city`` from ``city_year_counts`` (openings since 1 January of ``since_year``)."""
-    c = counts.where(F.col("year") >= since_year).select("year", "city_code", "state", F.col("n").alias("total"))
-    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
-        "year",
-        "city_code",
-        label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
-        "state",
-        "total",
-    )
-
-
-def bubbles_from_counts(counts: DataFrame, ref_city: DataFrame) -> DataFrame:
-    """``bubbles_year_city`` from ``city_year_counts``."""
-    c = (
-        counts.where(F.col("n_positive") > 0)
-        .groupBy("year", "city_code")
-        .agg(
-            F.sum("n_positive").alias("total_companies"),
-            F.sum("capital_positive").cast("decimal(28,2)").alias("_sum"),
-        )
-    )
-    return c.join(ref_city, c.city_code == ref_city.code, "left").select(
-        "year",
-        "city_code",
-        label_fallback(F.col("description"), F.col("city_code")).alias("city_name"),
-        "total_companies",
-        F.round(F.col("_sum") / F.col("total_companies"), 2).alias("mean_capital"),
-    )

@@ -3,8 +3,8 @@ views of the dashboard (B2, B3, L13, Q9).
 
 A *region* is any column or expression (``marts.region_column``): ``state`` by
 default, ``'city_prefix2'`` for the two-digit city-code prefix.  Selected
-regions or cities are literal lists (2 to 4 members, as on the comparison
-page), applied before any aggregation so the filter reaches the scan.
+regions or cities are literal lists of any length (the command line keeps the
+2 to 4 of the comparison page), applied before any aggregation so the filter reaches the scan.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ from firmscope.operators.aggregates import mean_money
 from firmscope.operators.marts import region_column
 
 
+def distinct(selected: Sequence) -> list:
+    """The selected members, each once, in the given order."""
+    return list(dict.fromkeys(selected))
+
+
 def check_selection(selected: Sequence, low: int = 2, high: int = 4) -> list:
-    """The comparison needs between ``low`` and ``high`` distinct members."""
-    items = list(dict.fromkeys(selected))
+    """The rule of the comparison page: between ``low`` and ``high`` distinct members."""
+    items = distinct(selected)
     if not low <= len(items) <= high:
         raise ValueError(f"select between {low} and {high} regions, got {len(items)}")
     return items
@@ -57,15 +62,15 @@ def region_top_city(
     counts = (
         companies.where(reg.isNotNull())
         .groupBy(reg.alias("region"), "city_code")
-        .agg(F.count(F.lit(1)).alias("qtd"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    w = Window.partitionBy("region").orderBy(F.col("qtd").desc(), F.col("city_code").asc_nulls_last())
+    w = Window.partitionBy("region").orderBy(F.col("n").desc(), F.col("city_code").asc_nulls_last())
     ranked = counts.select(
         "region",
         "city_code",
-        "qtd",
+        "n",
         F.row_number().over(w).alias("_rank"),
-        F.sum("qtd").over(Window.partitionBy("region")).alias("total_companies"),
+        F.sum("n").over(Window.partitionBy("region")).alias("total_companies"),
     ).where(F.col("_rank") == 1)
     return ranked.join(ref_city, ranked.city_code == ref_city.code, "left").select(
         "region", "total_companies", F.col("description").alias("top_city")
@@ -89,7 +94,7 @@ def region_kpis_selected(
     companies: DataFrame, selected: Sequence[str], region: str | Column = "state"
 ) -> DataFrame:
     """Companies and mean positive capital of the selected regions."""
-    sel = check_selection(selected)
+    sel = distinct(selected)
     reg = region_column(region)
     positive = F.when(F.col("share_capital") > 0, F.col("share_capital"))
     return (
@@ -104,7 +109,7 @@ def city_kpis_selected(
     companies: DataFrame, ref_city: DataFrame, cities: Sequence[int]
 ) -> DataFrame:
     """Companies and mean positive capital of the selected cities."""
-    sel = check_selection(cities)
+    sel = distinct(cities)
     positive = F.when(F.col("share_capital") > 0, F.col("share_capital"))
     counts = (
         companies.where(F.col("city_code").isin(sel))
@@ -128,22 +133,22 @@ def _sector_share(base: DataFrame, keys: list[str], top_n: int, pad: int | None)
     counts = (
         base.where(F.col("activity_code").isNotNull())
         .groupBy(*keys, activity_division(F.col("activity_code"), pad).alias("division"))
-        .agg(F.count(F.lit(1)).alias("qtd"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     top = (
         counts.groupBy("division")
-        .agg(F.sum("qtd").alias("_all"))
+        .agg(F.sum("n").alias("_all"))
         .orderBy(F.col("_all").desc(), F.col("division"))
         .limit(top_n)
         .select("division")
     )
-    total = F.sum("qtd").over(Window.partitionBy(*keys))
-    with_total = counts.select(*keys, "division", "qtd", total.alias("_total"))
-    kept = with_total.join(F.broadcast(top), "division", "left_semi")  # top_n rows by construction
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    with_total = counts.select(*keys, "division", "n", total.alias("_total"))
+    kept = with_total.join(top, "division", "left_semi")
     return kept.select(
         *keys,
         "division",
-        F.round(F.col("qtd").cast("decimal(20,0)") * 100 / F.col("_total").cast("decimal(20,0)"), 2)
+        F.round(F.col("n").cast("decimal(20,0)") * 100 / F.col("_total").cast("decimal(20,0)"), 2)
         .cast("double")
         .alias("pct"),
         division_label(F.col("division")).alias("sector"),
@@ -158,7 +163,7 @@ def sector_share(
     pad: int | None = 7,
 ) -> DataFrame:
     """Percentage of each top division within each selected region."""
-    sel = check_selection(selected)
+    sel = distinct(selected)
     reg = region_column(region)
     base = companies.where(reg.isin(sel)).select(reg.alias("region"), "activity_code")
     out = _sector_share(base, ["region"], top_n, pad)
@@ -173,7 +178,7 @@ def sector_share_city(
     pad: int | None = 7,
 ) -> DataFrame:
     """Percentage of each top division within each selected city."""
-    sel = check_selection(cities)
+    sel = distinct(cities)
     base = companies.where(F.col("city_code").isin(sel)).select("city_code", "activity_code")
     out = _sector_share(base, ["city_code"], top_n, pad)
     return out.join(ref_city, out.city_code == ref_city.code, "left").select(
@@ -198,42 +203,43 @@ def sector_share_matrix(share: DataFrame, groups: Sequence[str], group_col: str
 
 
 def growth_by_region(
-    growth_mart: DataFrame,
+    counts: DataFrame,
     selected: Sequence[str],
     region: str | Column = "state",
     year_from: int = 2000,
 ) -> DataFrame:
-    """Yearly openings of the selected regions, re-aggregated from the city mart."""
-    sel = check_selection(selected)
+    """Yearly openings of the selected regions in order of region and year, from ``city_year_counts``."""
+    sel = distinct(selected)
     reg = region_column(region)
     return (
-        growth_mart.where(reg.isin(sel) & (F.col("year") >= year_from))
+        counts.where(reg.isin(sel) & (F.col("year") >= year_from))
         .groupBy(reg.alias("region"), "year")
-        .agg(F.sum("total").alias("openings"))
+        .agg(F.sum("n").alias("openings"))
         .withColumn("region_label", state_label(F.col("region")))
+        .orderBy("region", "year")
     )
 
 
 def growth_by_city_selected(
     growth_mart: DataFrame, cities: Sequence[int], year_from: int = 2000
 ) -> DataFrame:
-    """Yearly openings of the selected cities, from the mart."""
-    sel = check_selection(cities)
+    """Yearly openings of the selected cities in order of city and year, from the mart."""
+    sel = distinct(cities)
     return growth_mart.where(F.col("city_code").isin(sel) & (F.col("year") >= year_from)).select(
         "city_code", "city_name", "year", F.col("total").alias("openings")
-    )
+    ).orderBy("city_code", "year")
 
 
 def city_ranking(
     growth_mart: DataFrame, n: int = 30, keys: Sequence[str] = ("city_code", "city_name")
 ) -> DataFrame:
-    """Cities with most openings in the mart (B2).  ``keys=('city_name',)``
+    """Cities with most openings since the mart's first year (B2).  ``keys=('city_name',)``
     merges homonymous cities as a ranking by name does."""
     keys = list(keys)
     return (
         growth_mart.groupBy(*keys)
-        .agg(F.sum("total").alias("total_companies"))
-        .orderBy(F.col("total_companies").desc(), *[F.col(k).asc_nulls_last() for k in keys])
+        .agg(F.sum("total").alias("openings"))
+        .orderBy(F.col("openings").desc(), *[F.col(k).asc_nulls_last() for k in keys])
         .limit(n)
     )
 
@@ -248,7 +254,7 @@ def growth_top_cities(
     """
     keys = list(keys)
     top = city_ranking(growth_mart, n, keys).select(*keys)  # n rows by construction
-    return growth_mart.join(F.broadcast(top), keys, "left_semi").select(
+    return growth_mart.join(top, keys, "left_semi").select(
         "year", "city_code", "city_name", "total"
     )
 
@@ -265,7 +271,7 @@ def bubbles_top_years(bubbles_mart: DataFrame, n_years: int = 10) -> DataFrame:
         .limit(n_years)
         .select("year")
     )
-    return bubbles_mart.join(F.broadcast(years), "year", "left_semi").select(
+    return bubbles_mart.join(years, "year", "left_semi").select(
         "year", "city_code", "city_name", "total_companies", "mean_capital"
     )
 
@@ -273,7 +279,7 @@ def bubbles_top_years(bubbles_mart: DataFrame, n_years: int = 10) -> DataFrame:
 def bubbles_default_cities(bubbles: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` city names in alphabetical order, and only their rows."""
     names = bubbles.select("city_name").distinct().orderBy("city_name").limit(n)
-    return bubbles.join(F.broadcast(names), "city_name", "left_semi")
+    return bubbles.join(names, "city_name", "left_semi")
 
 
 def count_by_city(companies: DataFrame) -> DataFrame:
@@ -292,11 +298,11 @@ def survival_top_sectors(survival_mart: DataFrame, n: int = 20) -> DataFrame:
     ).limit(n)
 
 
-def survival_overall(survival_rows: DataFrame) -> DataFrame:
-    """Headline over the given sector rows: closed companies and the
+def survival_overall(survival_mart: DataFrame) -> DataFrame:
+    """Headline over every sector of the mart: closed companies and the
     count-weighted mean of the sector means and medians (B4 / A19)."""
     w = F.col("total")
-    return survival_rows.agg(
+    return survival_mart.agg(
         F.sum(w).alias("closed_total"),
         F.round((F.sum(F.col("mean") * w) / F.sum(w)).cast("decimal(38,10)"), 1).cast("double").alias("weighted_mean"),
         F.round((F.sum(F.col("median") * w) / F.sum(w)).cast("decimal(38,10)"), 1).cast("double").alias("weighted_median"),
@@ -308,13 +314,13 @@ def bar_order(kpis: DataFrame, value: str = "mean_capital", label: str = "region
     return kpis.where(F.col(value).isNotNull()).orderBy(F.col(value).asc(), F.col(label).asc_nulls_last())
 
 
-def region_display_label(region_top: DataFrame) -> DataFrame:
-    """Option label ``region — most common city (total)`` with ``.`` thousands."""
+def region_display_label(region_top: DataFrame, group: str = "Grupo ") -> DataFrame:
+    """Option label ``Grupo region — most common city (total)`` with ``.`` thousands."""
     total = F.translate(F.format_number(F.col("total_companies"), 0), ",", ".")
     return region_top.withColumn(
         "label",
         F.concat(
-            F.col("region"), F.lit(" — "), F.coalesce(F.col("top_city"), F.lit("?")),
+            F.lit(group), F.col("region"), F.lit(" — "), F.coalesce(F.col("top_city"), F.lit("?")),
             F.lit(" ("), total, F.lit(")"),
         ),
     )
@@ -329,22 +335,22 @@ class Comparison:
 
 def compare_regions(
     companies: DataFrame,
-    growth_mart: DataFrame,
+    counts: DataFrame,
     selected: Sequence[str],
     region: str | Column = "state",
     top_n: int = 8,
     year_from: int = 2000,
     pad: int | None = 7,
 ) -> Comparison:
-    """KPIs, sector shares, yearly openings and the share matrix of 2-4 regions.
+    """KPIs, sector shares, yearly openings and the share matrix of the selected regions.
 
     All frames start from the same selection, so the region filter reaches
     every scan; nothing is cached or collected here.
     """
-    sel = check_selection(selected)
+    sel = distinct(selected)
     kpis = region_kpis_selected(companies, sel, region)
     sectors = sector_share(companies, sel, region, top_n, pad)
-    growth = growth_by_region(growth_mart, sel, region, year_from)
+    growth = growth_by_region(counts, sel, region, year_from)
     return Comparison(kpis, sectors, growth, sector_share_matrix(sectors, sel, "region"))
 
 
@@ -357,8 +363,8 @@ def compare_cities(
     year_from: int = 2000,
     pad: int | None = 7,
 ) -> Comparison:
-    """The same comparison for 2-4 cities."""
-    sel = check_selection(cities)
+    """The same comparison for cities."""
+    sel = distinct(cities)
     kpis = city_kpis_selected(companies, ref_city, sel)
     sectors = sector_share_city(companies, ref_city, sel, top_n, pad)
     growth = growth_by_city_selected(growth_mart, sel, year_from)

@@ -10,17 +10,18 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmscope import schemas
-from firmscope.operators import gates, gold, marts
+from firmscope.operators import gates, gold, listing, marts
 from firmscope.operators.gates import GateRules
 from firmscope.plans import pipeline
-from firmscope.plans.catalog import AS_OF, PAD, Ctx, query
+from firmscope.plans.catalog import _SQL, AS_OF, PAD, Ctx, query
 from firmscope.plans.oracle import PCT
 from firmscope.session import shared_dir
 from firmscope.sources import delimited, export, zipshards
+from firmscope.sources import driver_tables as dtab
 
 
 def _scratch(c: Ctx, name: str) -> str:
@@ -148,7 +149,20 @@ def _run_gates(c: Ctx) -> DataFrame:
     return gates.gate_metrics(c.built_gold(), c.companies_raw, AS_OF)
 
 
-@query("publish_if_valid")
+def _publish_sql() -> str:
+    return f"""
+    SELECT 'gate' AS kind, gate AS name, value, passed, FALSE AS published FROM ({_run_gates_sql().replace(f"> {GateRules().min_rows}", "> 1")}) g
+    UNION ALL
+    SELECT 'quarantine', reason, CAST(COUNT(*) AS DOUBLE), NULL, FALSE FROM ({_SQL["quarantine_split"]}) q GROUP BY reason
+    UNION ALL
+    SELECT 'parse', 'unparsable_capital', CAST(COUNT(*) FILTER (
+             WHERE capital_social IS NOT NULL AND TRY_CAST(replace(capital_social, ',', '.') AS DECIMAL(20,2)) IS NULL) AS DOUBLE),
+           NULL, FALSE
+    FROM companies_raw
+    """
+
+
+@query("publish_if_valid", _publish_sql())
 def _publish_if_valid(c: Ctx) -> DataFrame:
     """Gated load of the Bronze-shaped tables into a fresh warehouse.
 
@@ -163,12 +177,29 @@ def _publish_if_valid(c: Ctx) -> DataFrame:
     return audit.select("kind", "name", "value", "passed", F.lit(result.published).alias("published"))
 
 
-@query("rebuild_marts")
+_MART_COUNTS = {
+    "city_year_counts": "SELECT DISTINCT EXTRACT(year FROM opened_on), city_code, state FROM companies"
+    " WHERE opened_on IS NOT NULL AND city_code IS NOT NULL",
+    "growth_by_city": "SELECT * FROM growth_mart",
+    "bubbles_year_city": "SELECT * FROM bubbles_mart",
+    "sector_treemap": "SELECT * FROM treemap_mart",
+    "region_kpis": "SELECT DISTINCT state FROM companies",
+    "density_by_state": "SELECT DISTINCT state FROM companies WHERE state IS NOT NULL",
+    "survival_by_sector": "SELECT * FROM survival_mart",
+}
+
+
+@query(
+    "rebuild_marts",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS mart, TRUE AS ok, COUNT(*) AS rows FROM ({sql}) t" for name, sql in _MART_COUNTS.items()
+    ),
+)
 def _rebuild_marts(c: Ctx) -> DataFrame:
     """Rebuild the mart registry from the Gold-shaped table into a fresh warehouse."""
     warehouse = _scratch(c, "marts")
     lk = pipeline.Lookups(c.ref_activity, c.ref_city, c.ref_legal_nature)
-    done = pipeline.rebuild_marts(c.spark, c.companies, lk, warehouse, pipeline.default_marts(150, PAD))
+    done = pipeline.rebuild_marts(c.spark, c.companies, lk, warehouse, pipeline.default_marts(dtab.SURVIVAL_MIN_COUNT, PAD))
     frames = [
         pipeline.read_mart(c.spark, warehouse, name).agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(name).alias("mart"), F.lit(True).alias("ok"), "rows"
@@ -183,18 +214,51 @@ def _rebuild_marts(c: Ctx) -> DataFrame:
     return out
 
 
-@query("ingest_zip_shards")
+def _raw_sql(columns: list[str], source: str, given: set[str]) -> str:
+    cells = ", ".join(c if c in given else f"CAST(NULL AS VARCHAR) AS {c}" for c in columns)
+    return f"SELECT {cells} FROM {source}"
+
+
+@query(
+    "ingest_zip_shards",
+    _raw_sql(
+        schemas.COMPANIES_RAW.names, "companies_raw", {"cnpj_basico", "razao_social", "natureza_juridica", "capital_social"}
+    ),
+)
 def _ingest_zip_shards(c: Ctx) -> DataFrame:
-    """Companies file written as four zipped shards, then ingested back."""
+    """Companies file written as zipped shards, one for each partition, then ingested back."""
     src = _scratch(c, "zips")
-    zipshards.write_zip_shards(c.companies_raw, src, "Empresas", 4)
+    zipshards.write_zip_shards(c.companies_raw, src, "Empresas")
     rows, _ = zipshards.ingest_zip_shards(
         c.spark, src, "Empresas*.zip", schemas.COMPANIES_RAW, f"{src}/expanded", part_bytes=64 << 10
     )
     return rows
 
 
-@query("scan_delimited")
+@query(
+    "archive_running_total",
+    "SELECT COUNT(*) AS rows, COUNT(*) AS last_running_total FROM companies_raw",
+)
+def _archive_running_total(c: Ctx) -> DataFrame:
+    """Rows per archive with the running total, reduced to the sum of rows and the last total."""
+    src = _scratch(c, "zips")
+    zipshards.write_zip_shards(c.companies_raw, src, "Empresas", 5)
+    rows, manifest = zipshards.ingest_zip_shards(c.spark, src, "Empresas*.zip", schemas.COMPANIES_RAW, f"{src}/expanded")
+    totals = zipshards.archive_running_total(manifest, rows)
+    return totals.agg(F.sum("rows").alias("rows"), F.max_by("running_total", "shard").alias("last_running_total"))
+
+
+@query(
+    "scan_delimited",
+    _raw_sql(
+        schemas.ESTABLISHMENTS_RAW_COLUMNS,
+        "establishments_raw",
+        {
+            "cnpj_basico", "matriz_filial", "situacao_cadastral", "data_situacao", "data_inicio_atividade",
+            "cnae_fiscal", "uf", "municipio",
+        },
+    ),
+)
 def _scan_delimited(c: Ctx) -> DataFrame:
     """Establishments file written in the registry dialect and scanned back."""
     out = _scratch(c, "csv")
@@ -202,9 +266,33 @@ def _scan_delimited(c: Ctx) -> DataFrame:
     return delimited.scan_delimited(c.spark, out, schemas.ESTABLISHMENTS_RAW)
 
 
-@query("export_csv")
+@query(
+    "export_csv",
+    """
+    SELECT region, CAST(total_companies AS VARCHAR) AS total_companies,
+           CAST(CAST(mean_capital AS DECIMAL(28,2)) AS VARCHAR) AS mean_capital, CAST(pct_active AS VARCHAR) AS pct_active
+    FROM (""" + _SQL["region_kpis"] + ") k",
+)
 def _export_csv(c: Ctx) -> DataFrame:
     """Regional KPIs exported as a dated ``;`` CSV with BOM and read back."""
     out = _scratch(c, "export")
     path = export.export_csv(marts.region_kpis(c.companies), out, "comparison_kpis", on=_dt.date(2002, 1, 1))
     return export.read_export(c.spark, path)
+
+
+@query(
+    "filter_options_sorted",
+    """
+    SELECT DISTINCT 'sector' AS kind, description, dense_rank() OVER (ORDER BY description) AS place FROM ref_activity
+    UNION ALL
+    SELECT DISTINCT 'city', description, dense_rank() OVER (ORDER BY description) FROM ref_city
+    """,
+)
+def _filter_options_sorted(c: Ctx) -> DataFrame:
+    """The option lists with each description's place in collation order.
+
+    Lookup descriptions, one row each; the place is the rank within its list.
+    """
+    options = listing.filter_options(c.ref_activity, c.ref_city)
+    order = Window.partitionBy("kind").orderBy(F.collate(F.col("description"), "UNICODE"))
+    return options.select("kind", "description", F.dense_rank().over(order).cast("bigint").alias("place"))

@@ -2,7 +2,8 @@
 
 Layout below ``warehouse`` (a shared folder)::
 
-    bronze/companies_raw, bronze/establishments_raw    Parquet, replaced per load
+    bronze/v-<id>/companies_raw, establishments_raw    both tables of a load; bronze/_pointers/
+    quarantine/<run id>/                               rejected rows with the reason
     gold/v-<id>/ ... gold/_pointers/<time>-<id>       versions + pointer files
     marts/<name>/v-<id>/ ... marts/<name>/_pointers/
     audit/                                             gates, quarantine reasons and
@@ -31,6 +32,7 @@ from firmscope import schemas
 from firmscope.operators import gates, gold, marts
 from firmscope.operators.gates import GateFailure, GateRules
 from firmscope.plans import store
+from firmscope.session import size_shuffles
 from firmscope.sources import zipshards
 
 COMPANIES_PATTERN = "Empresas*.zip"
@@ -64,8 +66,8 @@ def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[s
     """
     return {
         "city_year_counts": lambda g, lk: marts.city_year_counts(g),
-        "growth_by_city": lambda g, lk, built: marts.growth_from_counts(_counts(g, built), lk.city),
-        "bubbles_year_city": lambda g, lk, built: marts.bubbles_from_counts(_counts(g, built), lk.city),
+        "growth_by_city": lambda g, lk, built: marts.growth_by_city(_counts(g, built), lk.city),
+        "bubbles_year_city": lambda g, lk, built: marts.bubbles_year_city(_counts(g, built), lk.city),
         "sector_treemap": lambda g, lk: marts.sector_treemap(g, pad),
         "region_kpis": lambda g, lk: marts.region_kpis(g),
         "density_by_state": lambda g, lk: marts.density_by_state(g),
@@ -82,6 +84,7 @@ class LoadConfig:
     source_dir: str | None = None
     reuse_bronze: bool = False
     part_bytes: int = 128 << 20
+    keep_versions: int = 3  # of Bronze, Gold and each mart, after a publication
 
 
 @dataclass
@@ -94,26 +97,42 @@ class LoadResult:
     marts: list[tuple] = field(default_factory=list)
 
 
-def bronze_paths(warehouse: str) -> tuple[str, str]:
-    return f"{warehouse}/bronze/companies_raw", f"{warehouse}/bronze/establishments_raw"
+def bronze_paths(spark: SparkSession, warehouse: str) -> tuple[str, str] | None:
+    """The two tables of the current Bronze version: always of one load."""
+    version = store.current(spark, f"{warehouse}/bronze")
+    return None if version is None else (f"{version}/companies_raw", f"{version}/establishments_raw")
 
 
 def bronze_ready(spark: SparkSession, warehouse: str) -> bool:
-    """Both Bronze tables exist and are non-empty."""
-    f = store.fs(spark, warehouse)
-    for p in bronze_paths(warehouse):
-        if not f.exists(f"{p}/_SUCCESS"):
-            return False
-        if spark.read.parquet(p).isEmpty():
-            return False
-    return True
+    """A Bronze version is published and both its tables are non-empty."""
+    paths = bronze_paths(spark, warehouse)
+    return paths is not None and not any(spark.read.parquet(p).isEmpty() for p in paths)
+
+
+def write_bronze(companies_raw: DataFrame, establishments_raw: DataFrame, warehouse: str) -> tuple[DataFrame, DataFrame]:
+    """Write both tables to a new version; one pointer makes the pair current.
+
+    If either write fails, the version before stays current, whole.
+    """
+    spark = companies_raw.sparkSession
+    version = store.new_version_path(spark, f"{warehouse}/bronze")
+    companies_raw.write.parquet(f"{version}/companies_raw")
+    establishments_raw.write.parquet(f"{version}/establishments_raw")
+    store.publish(spark, f"{warehouse}/bronze", version)
+    return read_bronze(spark, warehouse)
+
+
+def read_bronze(spark: SparkSession, warehouse: str) -> tuple[DataFrame, DataFrame]:
+    paths = bronze_paths(spark, warehouse)
+    if paths is None:
+        raise FileNotFoundError(f"no published Bronze under {warehouse}")
+    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
 
 
 def ingest_bronze(spark: SparkSession, cfg: LoadConfig) -> tuple[DataFrame, DataFrame]:
     """Expand the zipped shards and write both Bronze tables as Parquet."""
     if cfg.source_dir is None:
         raise ValueError("source_dir is required to ingest")
-    comp_path, est_path = bronze_paths(cfg.warehouse)
     scratch = f"{cfg.warehouse}/_expanded/{uuid.uuid4().hex}"
     comp, comp_manifest = zipshards.ingest_zip_shards(
         spark, cfg.source_dir, COMPANIES_PATTERN, schemas.COMPANIES_RAW, f"{scratch}/companies", cfg.part_bytes
@@ -121,28 +140,22 @@ def ingest_bronze(spark: SparkSession, cfg: LoadConfig) -> tuple[DataFrame, Data
     est, est_manifest = zipshards.ingest_zip_shards(
         spark, cfg.source_dir, ESTABLISHMENTS_PATTERN, schemas.ESTABLISHMENTS_RAW, f"{scratch}/establishments", cfg.part_bytes
     )
-    comp.write.mode("overwrite").parquet(comp_path)
-    est.write.mode("overwrite").parquet(est_path)
     # NUL bytes removed per archive, kept with the run audit.
     ingest_id = uuid.uuid4().hex
     nul = comp_manifest.unionByName(est_manifest).groupBy("archive").agg(F.sum("nul_removed").alias("n"))
-    nul.select(
+    audit = nul.select(
         F.lit(ingest_id).alias("run_id"),
         F.lit(None).cast("string").alias("version"),
         F.lit("ingest_nul_removed").alias("kind"),
         F.col("archive").alias("name"),
         F.col("n").cast("double").alias("value"),
         F.lit(None).cast("boolean").alias("passed"),
-    ).write.mode("append").parquet(f"{cfg.warehouse}/audit")
-    return spark.read.parquet(comp_path), spark.read.parquet(est_path)
-
-
-def write_bronze(companies_raw: DataFrame, establishments_raw: DataFrame, warehouse: str) -> tuple[DataFrame, DataFrame]:
-    spark = companies_raw.sparkSession
-    comp_path, est_path = bronze_paths(warehouse)
-    companies_raw.write.mode("overwrite").parquet(comp_path)
-    establishments_raw.write.mode("overwrite").parquet(est_path)
-    return spark.read.parquet(comp_path), spark.read.parquet(est_path)
+    )
+    audit.write.mode("append").parquet(f"{cfg.warehouse}/audit")
+    out = write_bronze(comp, est, cfg.warehouse)
+    store.fs(spark, scratch).delete(scratch)  # the expanded text has become Bronze
+    store.retain(spark, f"{cfg.warehouse}/bronze", cfg.keep_versions)
+    return out
 
 
 def publish_if_valid(
@@ -162,6 +175,9 @@ def publish_if_valid(
 
     metrics = gates.gate_metrics(staged, companies_raw, cfg.as_of, cfg.date_floor, cfg.rules)
     _, rejected = gold.quarantine_split(establishments_raw, cfg.as_of, cfg.date_floor)
+    quarantine = f"{cfg.warehouse}/quarantine/{run_id}"
+    rejected.write.parquet(quarantine)  # the rows themselves, with the reason (D3)
+    rejected = spark.read.parquet(quarantine)
     audit = metrics.select(
         F.lit(run_id).alias("run_id"),
         F.lit(version).alias("version"),
@@ -201,6 +217,7 @@ def publish_if_valid(
             raise GateFailure(failed, gate_rows)
         return result
     store.publish(spark, gold_base, version)
+    store.retain(spark, gold_base, cfg.keep_versions)
     return LoadResult(run_id, True, version, gate_rows, [])
 
 
@@ -210,6 +227,7 @@ def rebuild_marts(
     lookups: Lookups,
     warehouse: str,
     registry: dict[str, MartBuilder] | None = None,
+    keep_versions: int = 3,
 ) -> list[tuple]:
     """Rebuild every mart from ``gold_df``; each is written to a new version and
     swapped in.  Returns ``(mart, ok, version_or_error)`` per mart (S11, S12)."""
@@ -221,8 +239,9 @@ def rebuild_marts(
             version = store.new_version_path(spark, base)
             wants_built = len(inspect.signature(build).parameters) >= 3
             df = build(gold_df, lookups, built) if wants_built else build(gold_df, lookups)
-            df.write.mode("overwrite").parquet(version)
+            df.write.parquet(version)
             store.publish(spark, base, version)
+            store.retain(spark, base, keep_versions)
             built[name] = spark.read.parquet(version)
             out.append((name, True, version))
         except Exception as exc:  # noqa: BLE001 - one failing mart must not stop the rest
@@ -244,10 +263,12 @@ def read_gold(spark: SparkSession, warehouse: str) -> DataFrame:
 def run_load(spark: SparkSession, cfg: LoadConfig, lookups: Lookups, registry=None) -> LoadResult:
     """Whole load: Bronze (reused when asked and present), gated Gold, marts."""
     if cfg.reuse_bronze and bronze_ready(spark, cfg.warehouse):
-        comp_path, est_path = bronze_paths(cfg.warehouse)
-        comp, est = spark.read.parquet(comp_path), spark.read.parquet(est_path)
+        comp, est = read_bronze(spark, cfg.warehouse)
     else:
         comp, est = ingest_bronze(spark, cfg)
+    paths = bronze_paths(spark, cfg.warehouse)
+    size_shuffles(spark, sum(size for p in paths for _, size, _ in store.fs(spark, p).files(p)))
     result = publish_if_valid(spark, comp, est, cfg)
-    result.marts = rebuild_marts(spark, read_gold(spark, cfg.warehouse), lookups, cfg.warehouse, registry)
+    result.marts = rebuild_marts(spark, read_gold(spark, cfg.warehouse), lookups, cfg.warehouse, registry,
+                                 cfg.keep_versions)
     return result

@@ -36,15 +36,13 @@ class _FS:
     def exists(self, path: str) -> bool:
         return bool(self.fs.exists(self.p(path)))
 
-    def status(self, path: str) -> tuple[int, int]:
-        st = self.fs.getFileStatus(self.p(path))
-        if st.isDirectory():
-            total, newest = 0, 0
-            for child in self.fs.listStatus(self.p(path)):
-                total += int(child.getLen())
-                newest = max(newest, int(child.getModificationTime()))
-            return total, newest
-        return int(st.getLen()), int(st.getModificationTime())
+    def files(self, path: str) -> list[tuple[str, int, int]]:
+        """Name, size and modification time of every file at or below ``path``, at any depth."""
+        out, found = [], self.fs.listFiles(self.p(path), True)
+        while found.hasNext():
+            st = found.next()
+            out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+        return sorted(out)
 
     def write_text(self, path: str, text: str) -> None:
         out = self.fs.create(self.p(path), True)
@@ -99,14 +97,16 @@ class _ArrowFS:
 
         return self.fs.get_file_info(self._p(path)).type != pafs.FileType.NotFound
 
-    def status(self, path: str) -> tuple[int, int]:
+    def files(self, path: str) -> list[tuple[str, int, int]]:
         from pyarrow import fs as pafs
 
         info = self.fs.get_file_info(self._p(path))
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        infos = [info]
         if info.type == pafs.FileType.Directory:
-            children = self.fs.get_file_info(pafs.FileSelector(self._p(path)))
-            return sum(c.size or 0 for c in children), max((c.mtime_ns or 0) // 1_000_000 for c in children) if children else 0
-        return int(info.size or 0), int((info.mtime_ns or 0) // 1_000_000)
+            infos = self.fs.get_file_info(pafs.FileSelector(self._p(path), recursive=True))
+        return sorted((i.path, int(i.size or 0), int(i.mtime_ns or 0)) for i in infos if i.is_file)
 
     def write_text(self, path: str, text: str) -> None:
         parent = self._p(path).rsplit("/", 1)[0]
@@ -145,9 +145,10 @@ def fs(spark: SparkSession, path: str):
     """File operations for ``path``: Hadoop FileSystem through the session's
     JVM when there is one, otherwise the Arrow filesystem layer."""
     try:
-        return _FS(spark, path)
-    except Exception:  # noqa: BLE001 - no JVM gateway in this process
-        return _ArrowFS(path)
+        jvm = spark.sparkContext._jvm
+    except (AttributeError, NotImplementedError):  # a Connect client has no context
+        jvm = None
+    return _FS(spark, path) if jvm is not None else _ArrowFS(path)
 
 
 _CODE_VERSION: str | None = None
@@ -158,29 +159,37 @@ def code_version() -> str:
     never reused, so its schema always matches the plan that reads it."""
     global _CODE_VERSION
     if _CODE_VERSION is None:
-        import pathlib
+        import importlib.resources
 
         h = hashlib.sha1()
-        root = pathlib.Path(__file__).resolve().parents[1]
-        for p in sorted(root.rglob("*.py")):
-            h.update(str(p.relative_to(root)).encode())
-            h.update(p.read_bytes())
+
+        def add(folder, name: str) -> None:  # works in a folder and in a ZIP alike
+            for item in sorted(folder.iterdir(), key=lambda x: x.name):
+                if item.is_dir():
+                    add(item, f"{name}{item.name}/")
+                elif item.name.endswith(".py"):
+                    h.update(f"{name}{item.name}".encode())
+                    h.update(item.read_bytes())
+
+        add(importlib.resources.files("firmscope"), "")
         _CODE_VERSION = h.hexdigest()[:12]
     return _CODE_VERSION
 
 
 def fingerprint(spark: SparkSession, paths: Iterable[str], params: dict | None = None) -> str:
-    """Stable hash of input paths, their sizes and modification times, the
-    package code and params."""
+    """Stable hash of the files at or below the input paths (names, sizes and
+    modification times, at any depth), the package code and params."""
     h = hashlib.sha1(code_version().encode())
     for path in sorted(paths):
-        f = fs(spark, path)
-        size, mtime = f.status(path)
-        h.update(f"{os.path.abspath(path) if '://' not in path else path}|{size}|{mtime};".encode())
+        h.update(f"{os.path.abspath(path) if '://' not in path else path}|{state(spark, path)};".encode())
     h.update(json.dumps(params or {}, sort_keys=True, default=str).encode())
     return h.hexdigest()[:16]
 
 
+def state(spark: SparkSession, path: str) -> str:
+    return hashlib.sha1(repr(fs(spark, path).files(path)).encode()).hexdigest()
+
+
 def table_root(spark: SparkSession) -> str:
     """Root of materialised tables; ``FIRMSCOPE_NAMESPACE`` isolates a run
     (the benchmark uses a fresh one so every build is measured)."""
@@ -198,29 +207,28 @@ def materialise(
 ) -> DataFrame:
     """Return the table ``name`` for fingerprint ``key``, building it if absent.
 
-    The write goes to a unique staging folder that is renamed into place, so a
-    lost executor or a failed job never leaves a partial table behind.  The
-    table is read back with the schema of its (lazy) definition, so partition
-    columns keep their type and place.
+    Every build writes a folder of its own and becomes visible only by a
+    pointer to it, made after the write has succeeded; no folder is ever
+    renamed into a name that readers know.  So a lost executor, a failed job or
+    another writer never leaves a partial table to be read.  The table is read
+    back with the schema of its (lazy) definition, so partition columns keep
+    their type and place.
     """
-    root = table_root(spark)
-    final = f"{root}/{name}/{key}"
-    memo_key = (_session_key(spark), final)
+    base = f"{table_root(spark)}/{name}/{key}"
+    memo_key = (_session_key(spark), base)
     if memo_key in _MEMO:
         return _MEMO[memo_key]
-    f = fs(spark, root)
     plan = build()
-    if not f.exists(f"{final}/_SUCCESS"):
-        staging = f"{root}/{name}/_staging-{uuid.uuid4().hex}"
+    version = current(spark, base)
+    if version is None:
+        version = new_version_path(spark, base)
         out = writer(plan) if writer is not None else plan
-        w = out.write.mode("overwrite")
+        w = out.write
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(staging)
-        if not f.rename(staging, final):
-            # Someone else published the same version first; theirs is identical.
-            f.delete(staging)
-    df = spark.read.schema(plan.schema).parquet(final).select(*plan.schema.names)
+        w.parquet(version)
+        publish(spark, base, version)
+    df = spark.read.schema(plan.schema).parquet(version).select(*plan.schema.names)
     _MEMO[memo_key] = df
     return df
 
@@ -240,8 +248,7 @@ def _session_key(spark: SparkSession) -> tuple:
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet input, reusing the resolved read while the file is unchanged."""
-    size, mtime = fs(spark, path).status(path)
-    memo_key = (_session_key(spark), path, size, mtime)
+    memo_key = (_session_key(spark), path, state(spark, path))
     df = _MEMO.get(memo_key)
     if df is None:
         df = spark.read.parquet(path)
@@ -272,7 +279,28 @@ def publish(spark: SparkSession, base: str, version_path: str) -> None:
     name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex}"
     tmp = f"{base}/{POINTERS}/.tmp-{name}"
     f.write_text(tmp, version_path)
-    f.rename(tmp, f"{base}/{POINTERS}/{name}")
+    if not f.rename(tmp, f"{base}/{POINTERS}/{name}"):
+        raise OSError(f"can't publish {version_path}: the pointer {name} was not put in place")
+
+
+def retain(spark: SparkSession, base: str, keep: int = 3) -> list[str]:
+    """Delete the versions published before the last ``keep`` ones, and their pointers; returns the deleted.
+
+    Versions without a pointer (a build that is under way, or one that failed its
+    gates) are left alone: only the job that made them knows their state.
+    """
+    f = fs(spark, base)
+    names = [n for n in f.list_names(f"{base}/{POINTERS}") if not n.startswith(".")]
+    old = names[:-keep] if keep > 0 else []
+    kept = {f.read_text(f"{base}/{POINTERS}/{n}").strip() for n in names[len(old):]}
+    gone = []
+    for n in old:
+        version = f.read_text(f"{base}/{POINTERS}/{n}").strip()
+        f.delete(f"{base}/{POINTERS}/{n}")
+        if version not in kept:
+            f.delete(version)
+            gone.append(version)
+    return gone
 
 
 def current(spark: SparkSession, base: str) -> str | None:

@@ -11,12 +11,13 @@ DuckDB oracle sees exactly the same input.
     legal_name        c_name
     legal_nature_code c_nationkey           lookup: nation
     share_capital     c_acctbal as decimal(20,2)
-    opened_on         o_orderdate as date
-    activity_code     l_partkey             lookup: part without keys divisible by 10
-    city_code         l_suppkey             lookup: supplier
-    state             n_name of the supplier's nation
+    opened_on         o_orderdate as date, 0, 7, 14 or 21 years earlier by o_orderkey mod 4; none for 1 order in 67
+    activity_code     l_partkey             lookup: part without keys divisible by 10; none for 1 order in 79
+    city_code         l_suppkey             lookup: supplier without keys divisible by 25; none for 1 order in 89
+    state             n_name of the supplier's nation, of the customer's for line 7 (so cities lie in
+                      several states); none for 1 order in 83
     status_code       l_returnflag R -> 8 (closed), N -> 2 (active), A -> 4
-    status_on         l_shipdate as date
+    status_on         l_shipdate as date, as many years earlier; none for 1 order in 73, before opened_on for 1 in 71
 
 The Bronze-shaped text frames (``companies_raw``, ``establishments_raw``) feed
 the load pipeline, with defects injected into the opening date.
@@ -45,7 +46,7 @@ SURVIVAL_MIN_COUNT = 150
 ACTIVITY_PAD = 4
 # Bumped whenever the shape or layout of a derived table changes, so stored
 # versions built by older code are not reused.
-DATA_VERSION = 4
+DATA_VERSION = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,7 @@ def _status_from_flag(flag: Column) -> Column:
 def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lazy plan of the Gold-shaped table (see module docstring)."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select(
@@ -75,11 +76,20 @@ def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     # once.  Both fact tables grow with the data, so their join is a shuffled
     # sort-merge join by design (never a broadcast, whatever the test size);
     # dimension sides are left to the size-checked planner.
+    own = nation.select(F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("_customer_nation"))
+    customer = customer.join(own, customer.c_nationkey == own._nation, "left")
     order_side = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
     supplier_side = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
     joined = li.join(
         order_side.hint("merge"), li.l_orderkey == order_side.o_orderkey, "inner"
     ).join(supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left")
+    key = F.col("l_orderkey")
+
+    def none_each(n: int, value: Column) -> Column:
+        return F.when(key % n != 0, value)
+
+    back = (key % 4).cast("int") * -84  # months
+    opened = F.add_months(F.col("o_orderdate").cast("date"), back)
     return joined.select(
         F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("company_id"),
         F.col("c_name").alias("legal_name"),
@@ -87,12 +97,15 @@ def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("c_acctbal").cast(schemas.MONEY), F.lit(0).cast(schemas.MONEY)).alias(
             "share_capital"
         ),
-        F.col("o_orderdate").cast("date").alias("opened_on"),
-        F.col("l_partkey").alias("activity_code"),
-        F.col("l_suppkey").alias("city_code"),
-        F.col("n_name").alias("state"),
+        none_each(67, opened).alias("opened_on"),
+        none_each(79, F.col("l_partkey")).alias("activity_code"),
+        none_each(89, F.col("l_suppkey")).alias("city_code"),
+        none_each(83, F.when(F.col("l_linenumber") == 7, F.col("_customer_nation")).otherwise(F.col("n_name"))).alias("state"),
         _status_from_flag(F.col("l_returnflag")).alias("status_code"),
-        F.col("l_shipdate").cast("date").alias("status_on"),
+        none_each(
+            73,
+            F.when(key % 71 == 0, F.date_sub(opened, 10)).otherwise(F.add_months(F.col("l_shipdate").cast("date"), back)),
+        ).alias("status_on"),
     )
 
 
@@ -123,7 +136,8 @@ def ref_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ref_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
+    """City lookup: supplier names, with every 25th code missing (unmapped)."""
+    return table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 25 != 0).select(
         F.col("s_suppkey").alias("code"), F.col("s_name").alias("description")
     )
 
@@ -142,7 +156,8 @@ def _compact(d: Column) -> Column:
 
 
 def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw companies file: one row per order, all text, decimal-comma capital."""
+    """Raw companies file: one row per order, all text, decimal-comma capital;
+    the capital is no number for 1 order in 61 and missing for 1 in 59."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal"
@@ -154,9 +169,9 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("razao_social"),
         F.col("c_nationkey").cast("string").alias("natureza_juridica"),
         none.alias("qualificacao_responsavel"),
-        F.replace(F.col("c_acctbal").cast(schemas.MONEY).cast("string"), F.lit("."), F.lit(",")).alias(
-            "capital_social"
-        ),
+        F.when(F.col("o_orderkey") % 61 == 0, F.lit("n/d"))
+        .when(F.col("o_orderkey") % 59 != 0, F.replace(F.col("c_acctbal").cast(schemas.MONEY).cast("string"), F.lit("."), F.lit(",")))
+        .alias("capital_social"),
         none.alias("porte_empresa"),
         none.alias("ente_federativo_responsavel"),
     )
@@ -211,21 +226,26 @@ SQL_CTES: list[tuple[str, str]] = [
                c.c_name AS legal_name,
                CAST(c.c_nationkey AS BIGINT) AS legal_nature_code,
                COALESCE(CAST(c.c_acctbal AS DECIMAL(20,2)), 0) AS share_capital,
-               CAST(o.o_orderdate AS DATE) AS opened_on,
-               l.l_partkey AS activity_code,
-               l.l_suppkey AS city_code,
-               n.n_name AS state,
+               CASE WHEN l.l_orderkey % 67 <> 0 THEN CAST(CAST(o.o_orderdate AS DATE) - to_months((84 * (l.l_orderkey % 4))::INT) AS DATE)
+                    END AS opened_on,
+               CASE WHEN l.l_orderkey % 79 <> 0 THEN l.l_partkey END AS activity_code,
+               CASE WHEN l.l_orderkey % 89 <> 0 THEN l.l_suppkey END AS city_code,
+               CASE WHEN l.l_orderkey % 83 = 0 THEN NULL WHEN l.l_linenumber = 7 THEN cn.n_name ELSE n.n_name END AS state,
                CASE l.l_returnflag WHEN 'R' THEN 8 WHEN 'N' THEN 2 WHEN 'A' THEN 4 END AS status_code,
-               CAST(l.l_shipdate AS DATE) AS status_on
+               CASE WHEN l.l_orderkey % 73 = 0 THEN NULL
+                    WHEN l.l_orderkey % 71 = 0
+                         THEN CAST(CAST(o.o_orderdate AS DATE) - to_months((84 * (l.l_orderkey % 4))::INT) AS DATE) - 10
+                    ELSE CAST(CAST(l.l_shipdate AS DATE) - to_months((84 * (l.l_orderkey % 4))::INT) AS DATE) END AS status_on
         FROM lineitem l
         JOIN orders o ON o.o_orderkey = l.l_orderkey
         LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+        LEFT JOIN nation cn ON cn.n_nationkey = c.c_nationkey
         LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
         LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
         """,
     ),
     ("ref_activity", "SELECT p_partkey AS code, p_name AS description FROM part WHERE p_partkey % 10 <> 0"),
-    ("ref_city", "SELECT s_suppkey AS code, s_name AS description FROM supplier"),
+    ("ref_city", "SELECT s_suppkey AS code, s_name AS description FROM supplier WHERE s_suppkey % 25 <> 0"),
     ("ref_legal_nature", "SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS description FROM nation"),
     (
         "companies_raw",
@@ -233,7 +253,9 @@ SQL_CTES: list[tuple[str, str]] = [
         SELECT CAST(o.o_orderkey AS VARCHAR) AS cnpj_basico,
                c.c_name AS razao_social,
                CAST(c.c_nationkey AS VARCHAR) AS natureza_juridica,
-               replace(CAST(CAST(c.c_acctbal AS DECIMAL(20,2)) AS VARCHAR), '.', ',') AS capital_social
+               CASE WHEN o.o_orderkey % 61 = 0 THEN 'n/d'
+                    WHEN o.o_orderkey % 59 <> 0 THEN replace(CAST(CAST(c.c_acctbal AS DECIMAL(20,2)) AS VARCHAR), '.', ',')
+                    END AS capital_social
         FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
         """,
     ),

@@ -1,7 +1,7 @@
 """Ingest of zipped registry shards.
 
-Each archive is expanded by one Spark task (``mapInPandas`` over the list of
-archive paths): the first member is streamed in 1 MiB blocks, NUL bytes are
+Each member of each archive is expanded by one Spark task (``mapInPandas`` over
+the list of members): it is streamed in 1 MiB blocks, NUL bytes are
 removed and counted on the fly, and the text is cut into CSV parts of about
 ``part_bytes`` at *record* boundaries (a newline outside quotes), so the
 multi-line CSV scan that follows gets one task per part instead of one per
@@ -12,7 +12,6 @@ shared folder through the Arrow filesystem layer (local, HDFS or object store).
 from __future__ import annotations
 
 import fnmatch
-import io
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -22,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmscope.session import ship_package
 from firmscope.sources.delimited import scan_delimited
 
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("archive", T.StringType()),
         T.StructField("member", T.StringType()),
-        T.StructField("part", T.StringType()),
+        T.StructField("folder", T.StringType()),
         T.StructField("part_index", T.IntegerType()),
         T.StructField("bytes", T.LongType()),
         T.StructField("nul_removed", T.LongType()),
@@ -68,35 +68,38 @@ def _record_cut(block: bytes, parity: int, start: int) -> int:
         pos = nl + 1
 
 
-def expand_archive(archive: str, dest_dir: str, part_bytes: int) -> list[tuple]:
-    """Stream the first member of ``archive`` into CSV parts below ``dest_dir``."""
+def member_names(archive: str) -> list[str]:
+    """The files in an archive, from its directory."""
+    fs, path = _fs_and_path(archive)
+    with fs.open_input_file(path) as raw, zipfile.ZipFile(raw) as z:
+        return [i.filename for i in z.infolist() if not i.is_dir()]
+
+
+def expand_member(archive: str, member: str, dest_dir: str, part_bytes: int) -> list[tuple]:
+    """Stream one member of ``archive`` into CSV parts in a folder of this task attempt below ``dest_dir``.
+
+    The committed manifest names the folder of the attempt that won; parts of
+    other attempts are never read.
+    """
     fs, path = _fs_and_path(archive)
-    dfs, dpath = _fs_and_path(dest_dir)
-    dfs.create_dir(dpath, recursive=True)
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    folder = f"{dest_dir.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    dfs, dpath = _fs_and_path(folder)
+    dfs.create_dir(dpath, recursive=True)
     rows: list[tuple] = []
     with fs.open_input_file(path) as raw:
         with zipfile.ZipFile(raw) as z:
-            names = z.namelist()
-            if not names:
-                return rows
-            member = names[0]
-            attempt = uuid.uuid4().hex
             with z.open(member) as src:
                 idx, parity, size, nul = 0, 0, 0, 0
 
                 def open_part():
-                    # Each task attempt writes under its own name and renames the
-                    # finished part, so a retried or speculative attempt never
-                    # interleaves with another one in the same file.
-                    return dfs.open_output_stream(f"{dpath}/.{stem}-{idx:05d}.csv.{attempt}")
+                    return dfs.open_output_stream(f"{dpath}/{stem}-{idx:05d}.csv")
 
                 out = open_part()
 
                 def close_part():
                     out.close()
-                    dfs.move(f"{dpath}/.{stem}-{idx:05d}.csv.{attempt}", f"{dpath}/{stem}-{idx:05d}.csv")
-                    rows.append((archive, member, f"{dest_dir.rstrip('/')}/{stem}-{idx:05d}.csv", idx, size, nul))
+                    rows.append((archive, member, folder, idx, size, nul))
 
                 while True:
                     block = src.read(BLOCK)
@@ -141,8 +144,7 @@ def find_archives(spark: SparkSession, source_dir: str, pattern: str) -> list[st
     infos = fs.get_file_info(pafs.FileSelector(path, recursive=False))
     names = sorted(i.path for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, pattern))
     if "://" in source_dir and not source_dir.startswith("file:"):
-        scheme = source_dir.split("://", 1)[0]
-        names = [f"{scheme}://{n}" for n in names]
+        names = [f"{source_dir.rstrip('/')}/{n.rsplit('/', 1)[-1]}" for n in names]  # scheme and host stay
     if not names:
         raise FileNotFoundError(f"no archive matches {pattern} in {source_dir}")
     return names
@@ -151,20 +153,28 @@ def find_archives(spark: SparkSession, source_dir: str, pattern: str) -> list[st
 def expand_archives(
     spark: SparkSession, archives: Sequence[str], dest_dir: str, part_bytes: int = 128 << 20
 ) -> DataFrame:
-    """Expand every archive on the executors (one task per archive); returns
-    the manifest of written parts."""
-    listing = spark.createDataFrame(
-        [(i, a) for i, a in enumerate(archives)], "idx int, archive string"
-    ).repartitionByRange(max(len(archives), 1), "idx")
+    """Expand every member of every archive on the executors, one task each;
+    returns the manifest of written parts."""
+    ship_package(spark)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(a, m) for a in pdf["archive"] for m in member_names(a)]
+            yield pd.DataFrame(found, columns=["archive", "member"])
+
+    listing = spark.createDataFrame([(a,) for a in archives], "archive string")
+    found = listing.repartition(max(len(archives), 1)).mapInPandas(members, "archive string, member string")
+    jobs = [(i, r.archive, r.member) for i, r in enumerate(found.orderBy("archive", "member").collect())]  # names only
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for archive in pdf["archive"]:
-                out.extend(expand_archive(archive, dest_dir, part_bytes))
+            for archive, member in zip(pdf["archive"], pdf["member"]):
+                out.extend(expand_member(archive, member, dest_dir, part_bytes))
             yield pd.DataFrame(out, columns=[f.name for f in MANIFEST_SCHEMA.fields])
 
-    return listing.mapInPandas(run, MANIFEST_SCHEMA)
+    tasks = spark.createDataFrame(jobs, "idx int, archive string, member string")
+    return tasks.repartitionByRange(max(len(jobs), 1), "idx").mapInPandas(run, MANIFEST_SCHEMA)
 
 
 def ingest_zip_shards(
@@ -185,24 +195,23 @@ def ingest_zip_shards(
     manifest_path = f"{dest_dir}/_manifest"
     expand_archives(spark, archives, dest_dir, part_bytes).write.mode("overwrite").parquet(manifest_path)
     manifest = spark.read.parquet(manifest_path)
-    parts = [r[0] for r in manifest.select("part").orderBy("part").collect()]  # file names only
-    rows = scan_delimited(spark, parts, schema)
+    # One folder per archive member, of the attempt that won: as many names as members, not as parts.
+    folders = [r[0] for r in manifest.select("folder").distinct().orderBy("folder").collect()]
+    rows = scan_delimited(spark, folders, schema)
     return rows, manifest
 
 
 def archive_running_total(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows per archive in name order with the running total.
 
-    Rows are tagged with their part file; the manifest maps parts to archives.
-    It has one row per part, so it grows with the data: the planner chooses
-    the join strategy from its measured size.
+    Rows are tagged with their folder; the manifest maps folders to archives.
     """
     from firmscope.sources.delimited import shard_running_total
 
-    base = r"[^/]+$"
-    tagged = rows.select(F.regexp_extract(F.input_file_name(), base, 0).alias("_part"))
-    parts = manifest.select(F.regexp_extract(F.col("part"), base, 0).alias("_part"), "archive")
-    return shard_running_total(tagged.join(parts, "_part"), "archive")
+    parent = r"([^/]+)/[^/]+$"
+    tagged = rows.select(F.regexp_extract(F.input_file_name(), parent, 1).alias("_folder"))
+    folders = manifest.select(F.regexp_extract(F.col("folder"), r"[^/]+$", 0).alias("_folder"), "archive").distinct()
+    return shard_running_total(tagged.join(folders, "_folder"), "archive")
 
 
 # --- fixture side: write zipped shards from a DataFrame -----------------------
@@ -218,12 +227,13 @@ REGISTRY_CSV_WRITE = {
 }
 
 
-def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int) -> list[str]:
-    """Write ``df`` as registry-dialect CSV in ``shards`` zipped archives
-    ``{prefix}{k}.zip`` (one CSV member each).  Used to build test inputs."""
+def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int | None = None) -> list[str]:
+    """Write ``df`` as registry-dialect CSV in zipped archives ``{prefix}{k}.zip``
+    (one CSV member each): ``shards`` of them, or one for each partition of ``df``."""
     spark = df.sparkSession
+    ship_package(spark)
     csv_dir = f"{out_dir}/_csv_{prefix}"
-    df.repartition(shards).write.mode("overwrite").options(**REGISTRY_CSV_WRITE).csv(csv_dir)
+    (df.repartition(shards) if shards else df).write.mode("overwrite").options(**REGISTRY_CSV_WRITE).csv(csv_dir)
     fs, path = _fs_and_path(csv_dir)
     from pyarrow import fs as pafs
 
@@ -241,17 +251,11 @@ def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int) -> l
             for src, dst in zip(pdf["src"], pdf["dst"]):
                 sfs, spath = _fs_and_path(src)
                 dfs, dpath = _fs_and_path(dst)
-                buf = io.BytesIO()
-                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                    with sfs.open_input_stream(spath) as fh, z.open(spath.rsplit("/", 1)[-1] + ".csv", "w") as m:
-                        while True:
-                            chunk = fh.read(BLOCK)
-                            if not chunk:
-                                break
-                            m.write(chunk)
                 tmp = f"{dpath}.{uuid.uuid4().hex}.tmp"
-                with dfs.open_output_stream(tmp) as out:
-                    out.write(buf.getvalue())
+                with dfs.open_output_stream(tmp) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    with sfs.open_input_stream(spath) as fh, z.open(spath.rsplit("/", 1)[-1] + ".csv", "w", force_zip64=True) as m:
+                        while chunk := fh.read(BLOCK):
+                            m.write(chunk)
                 dfs.move(tmp, dpath)
                 done.append(dst)
             yield pd.DataFrame({"archive": done})
