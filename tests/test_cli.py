@@ -60,7 +60,7 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
 
     assert cli.main(["inspect", "--warehouse", wh, "--table", "growth_by_city", "--rows", "1"]) == 0
     info = json.loads(capsys.readouterr().out)
-    assert [c["column_name"] for c in info["columns"]] == ["year", "city_code", "city_name", "state", "total"]
+    assert [c["column_name"] for c in info["columns"]] == ["year", "city_code", "city_name", "total"]
     assert len(info["rows"]) == 1
     assert cli.main(["inspect", "--warehouse", wh, "--table", "ref/city"]) == 0
     assert len(json.loads(capsys.readouterr().out)["rows"]) == 2
@@ -77,7 +77,11 @@ def test_command_line_jobs(spark, tmp_dir, capsys):
     assert cli.main(["listing", "--warehouse", wh, "--sector", "Software", "--top", "10", "--export", f"{tmp_dir}/exp"]) == 0
     lst = json.loads(capsys.readouterr().out)
     assert lst["kpis"][0]["companies"] == 1 and [r["legal_name"] for r in lst["ranking"]] == ["ALFA LTDA"]
-    assert lst["file"].endswith(".csv")
+    exported = spark.read.option("sep", ";").option("header", "true").csv(lst["files"])
+    assert [r.legal_name for r in exported.collect()] == ["ALFA LTDA"]
+    assert cli.main(["options", "--warehouse", wh]) == 0
+    options = json.loads(capsys.readouterr().out)
+    assert {r["region"] for r in options["regions"]} == {"SP", "RJ"} and options["regions"][0]["label"].startswith("Grupo ")
     favs = json.dumps([{"nome": "tudo", "setor": "Todos", "cidade": "Todas"},
                        {"nome": "rio", "setor": "Todos", "cidade": "RIO DE JANEIRO"}])
     assert cli.main(["segments", "--warehouse", wh, "--favourites", favs]) == 0

@@ -59,11 +59,28 @@ def test_rebuild_marts_counts_match_the_marts(spark):
     c = catalog.Ctx(spark, SF_SMALL)
     got = {r.mart: (r.ok, r.rows) for r in catalog.queries()["rebuild_marts"](spark, SF_SMALL).collect()}
     assert all(ok for ok, _ in got.values())
-    assert got["growth_by_city"][1] == marts.growth_by_city(c.companies, c.ref_city).count()
+    assert got["growth_by_city"][1] == marts.growth_by_city(marts.city_year_counts(c.companies), c.ref_city).count()
     assert got["density_by_state"][1] == marts.density_by_state(c.companies).count()
 
 
-def test_describe_schema_lists_gold_columns(spark):
+def test_describe_schema_profiles_the_columns(spark):
     rows = catalog.queries()["describe_schema"](spark, SF_SMALL).orderBy("position").collect()
     assert [r.column_name for r in rows][:3] == ["company_id", "legal_name", "legal_nature_code"]
     assert rows[3].data_type == "decimal(20,2)"
+    assert rows[0].distinct_values > 0 and rows[0].smallest <= rows[0].largest
+
+
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    """The driver deletes firmscope/llm and corpus_pipeline.py."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_mod.__file__))
+    shutil.copytree(f"{root}/firmscope", tmp_path / "firmscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    program = "import __spark_entry__ as e; print(len(e.queries()), sorted(k for k in e.queries() if k.startswith('op')))"
+    got = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)},
+                         capture_output=True, text=True, check=True)
+    assert got.stdout.split()[1] == "[]" or "op" not in got.stdout.split(" ", 1)[1].replace("openings", ""), got.stdout

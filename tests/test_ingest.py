@@ -127,3 +127,65 @@ def test_file_uris_are_local_paths(spark, tmp_dir):
     _write_zip(f"{src}/Empresas0.zip", "A.CSV", b'1;"x"\n')
     rows, _ = zipshards.ingest_zip_shards(spark, f"file:{src}", "Empresas*.zip", TWO, f"file:{tmp_dir}/out")
     assert [tuple(r) for r in rows.collect()] == [("1", "x")]
+
+
+def test_every_member_of_an_archive_is_read(spark, tmp_dir):
+    src = f"{tmp_dir}/two"
+    os.makedirs(src)
+    with zipfile.ZipFile(f"{src}/Empresas0.zip", "w") as z:
+        z.writestr("A.CSV", b'1;"x"\n')
+        z.writestr("folder/", b"")
+        z.writestr("folder/B.CSV", b'2;"y"\n3;"z"\n')
+    rows, manifest = zipshards.ingest_zip_shards(spark, src, "Empresas*.zip", TWO, f"{tmp_dir}/two-out")
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
+    assert {r.member for r in manifest.collect()} == {"A.CSV", "folder/B.CSV"}
+
+
+def test_a_second_expansion_does_not_disturb_the_first(spark, tmp_dir):
+    """Each attempt writes a folder of its own; only folders in the committed manifest are read."""
+    src, out = f"{tmp_dir}/again", f"{tmp_dir}/again-out"
+    os.makedirs(src)
+    _write_zip(f"{src}/Empresas0.zip", "A.CSV", b'1;"x"\n2;"y"\n')
+    lost = zipshards.expand_member(f"{src}/Empresas0.zip", "A.CSV", out, 8)  # an attempt that was not committed
+    rows, manifest = zipshards.ingest_zip_shards(spark, src, "Empresas*.zip", TWO, out, part_bytes=8)
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "x"), ("2", "y")]
+    assert not {r.folder for r in manifest.collect()} & {r[2] for r in lost}
+
+
+def test_archives_keep_scheme_and_host(spark, monkeypatch):
+    from pyarrow import fs as pafs
+
+    class Store:
+        def get_file_info(self, selector):
+            return [pafs.FileInfo("/data/Empresas1.zip", pafs.FileType.File), pafs.FileInfo("/data/other", pafs.FileType.File)]
+
+    monkeypatch.setattr(zipshards, "_fs_and_path", lambda uri: (Store(), "/data"))
+    assert zipshards.find_archives(spark, "hdfs://host:8020/data/", "Empresas*.zip") == ["hdfs://host:8020/data/Empresas1.zip"]
+
+
+def test_exports_are_whole_or_refused(spark, tmp_dir):
+    df = spark.range(100_001).selectExpr("id", "id * 2 AS twice")
+    with pytest.raises(ValueError):
+        export.export_csv(df, tmp_dir, "big", dt.date(2026, 2, 28))
+    path = export.export_parts(df.repartition(4), tmp_dir, "big", dt.date(2026, 2, 28))
+    back = spark.read.option("sep", ";").option("header", "true").csv(path)
+    assert back.count() == 100_001 and back.agg({"twice": "max"}).first()[0] is not None
+    small = spark.range(2).toDF("n")
+    first = export.export_csv(small, tmp_dir, "small", dt.date(2026, 2, 28))
+    assert export.export_csv(spark.range(3).toDF("n"), tmp_dir, "small", dt.date(2026, 2, 28)) == first
+    assert export.read_export(spark, first).count() == 3
+
+
+def test_queries_run_from_any_folder(tmp_dir):
+    """The package reaches the Python workers wherever the driver was started."""
+    import subprocess
+    import sys
+
+    program = (
+        "import sys; sys.path.insert(0, %r); from firmscope.session import build_session; "
+        "from firmscope.plans import catalog; s = build_session('local[2]', shuffle_partitions=2); "
+        "print('rows', catalog.queries()['ingest_zip_shards'](s, '/root/testdata/sf0.001').count())"
+    ) % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", program], cwd="/tmp", env=env, capture_output=True, text=True, timeout=200)
+    assert "rows " in got.stdout and int(got.stdout.split("rows ")[1]) > 0, got.stderr[-800:]

@@ -188,3 +188,41 @@ def test_run_load_from_zipped_shards(spark, tmp_dir):
     assert pipeline.bronze_ready(spark, cfg.warehouse)
     survival = pipeline.read_mart(spark, cfg.warehouse, "survival_by_sector").collect()
     assert [(r.sector, r.total) for r in survival] == [("CNAE 4711001", 1)]
+
+
+def test_a_failed_bronze_write_keeps_the_pair_before(spark, clean_raw, tmp_dir):
+    from pyspark.sql import functions as F
+
+    comp, est = clean_raw
+    pipeline.write_bronze(comp, est, tmp_dir)
+    before = pipeline.bronze_paths(spark, tmp_dir)
+    broken = est.withColumn("uf", F.raise_error(F.lit("bad row")).cast("string"))
+    with pytest.raises(Exception, match="bad row"):
+        pipeline.write_bronze(comp.limit(1), broken, tmp_dir)
+    assert pipeline.bronze_paths(spark, tmp_dir) == before and pipeline.bronze_ready(spark, tmp_dir)
+    now = pipeline.read_bronze(spark, tmp_dir)
+    assert (now[0].count(), now[1].count()) == (comp.count(), est.count())
+
+
+def test_rejected_rows_are_stored_with_their_reason(spark, clean_raw, tmp_dir):
+    from pyspark.sql import functions as F
+
+    comp, est = clean_raw
+    est = est.withColumn("data_inicio_atividade", F.when(F.col("cnpj_basico") == est.first().cnpj_basico, F.lit("20210231"))
+                         .otherwise(F.col("data_inicio_atividade")))
+    cfg = pipeline.LoadConfig(warehouse=tmp_dir, as_of="2026-02-28", rules=pipeline.GateRules(min_rows=0))
+    result = pipeline.publish_if_valid(spark, comp, est, cfg, raise_on_failure=False)
+    rows = spark.read.parquet(f"{tmp_dir}/quarantine/{result.run_id}").collect()
+    assert rows and {(r.raw_opened_on, r.reason) for r in rows} == {("20210231", "impossible_date")}
+
+
+def test_shuffles_are_sized_from_the_input(spark):
+    from firmscope.session import size_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        assert size_shuffles(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert size_shuffles(spark, 100 << 40) == 819_200 and spark.conf.get(key) == "819200"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

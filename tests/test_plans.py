@@ -8,7 +8,7 @@ import pytest
 from firmscope.plans import catalog
 from tests.conftest import SF_SMALL
 
-WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv"}
+WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total"}
 
 
 def plan_text(df) -> str:
@@ -52,3 +52,20 @@ def test_gold_scans_read_only_needed_columns(plans):
     # count by city needs one column of the ten in the Gold table
     schemas = [line for line in plans["count_by_city"].splitlines() if "ReadSchema" in line]
     assert schemas and all(line.strip().endswith("struct<city_code:bigint>") for line in schemas)
+
+
+def test_gold_layout_rebalances_without_sampling(spark):
+    from firmscope.operators.gold import gold_layout
+    from firmscope.plans.catalog import Ctx
+
+    plan = plan_text(gold_layout(Ctx(spark, SF_SMALL).built_gold()))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "rangepartitioning" not in plan
+
+
+def test_nothing_imports_the_training_data_operators():
+    import pathlib
+    import re
+
+    root = pathlib.Path(catalog.__file__).parents[1]
+    users = [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"firmscope\.llm|from \.+llm", p.read_text())]
+    assert not users

@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from firmscope.functions import clean
-from firmscope.sources.zipshards import expand_archive
+from firmscope.sources.zipshards import expand_member
 
 field_text = st.text(alphabet=list('ab;"\n\x00 çã1'), max_size=12)
 records = st.lists(st.lists(field_text, min_size=2, max_size=2), min_size=1, max_size=60)
@@ -32,11 +32,11 @@ def test_parts_end_at_record_boundaries(rows, part_bytes):
     archive = os.path.join(work, "Empresas0.zip")
     with zipfile.ZipFile(archive, "w") as z:
         z.writestr("E.CSV", _encode(rows))
-    manifest = expand_archive(archive, os.path.join(work, "out"), part_bytes)
+    manifest = expand_member(archive, "E.CSV", os.path.join(work, "out"), part_bytes)
     parsed, nul = [], 0
-    for _, _, part, _, _, removed in sorted(manifest, key=lambda r: r[3]):
+    for _, _, folder, index, _, removed in sorted(manifest, key=lambda r: r[3]):
         nul += removed
-        with open(part, "rb") as f:
+        with open(f"{folder}/Empresas0-{index:05d}.csv", "rb") as f:
             text = f.read().decode("latin-1")
         parsed += list(csv.reader(io.StringIO(text, newline=""), delimiter=";", quotechar='"'))
     want = [[c.replace("\x00", "") for c in r] for r in rows]

@@ -33,8 +33,10 @@ def companies(spark):
 
 @pytest.mark.parametrize("selected", [["35"], ["35", "33", "31", "41", "29"], []])
 def test_selection_must_have_two_to_four(companies, selected):
+    """The page rule; the operators take any list."""
     with pytest.raises(ValueError):
-        regions.region_kpis_selected(companies, selected, "city_prefix2")
+        regions.check_selection(selected)
+    assert regions.region_kpis_selected(companies, selected, "city_prefix2").count() == len({"35", "33"} & set(selected))
 
 
 def test_region_kpis_with_city_prefix_and_state_labels(companies):
@@ -78,9 +80,10 @@ def test_region_top_city_breaks_ties_by_code(spark):
 
 def test_growth_by_region_from_the_city_mart(spark, companies):
     ref_city = spark.createDataFrame([(3550308, "São Paulo")], "code bigint, description string")
-    mart = marts.growth_by_city(companies, ref_city)
-    series = regions.growth_by_region(mart, ["35", "33"], "city_prefix2", year_from=2021)
-    got = sorted((r.region, r.year, r.openings) for r in series.collect())
+    counts = marts.city_year_counts(companies)
+    mart = marts.growth_by_city(counts, ref_city)
+    series = regions.growth_by_region(counts, ["35", "33"], "city_prefix2", year_from=2021)
+    got = [(r.region, r.year, r.openings) for r in series.collect()]  # in order
     assert got == [("33", 2021, 4), ("35", 2021, 2), ("35", 2022, 2)]
     total = mart.agg(F.sum("total")).collect()[0][0]
     assert total == companies.where(F.col("opened_on") >= "1990-01-01").count()
@@ -91,8 +94,8 @@ def test_city_ranking_merges_homonyms_only_when_asked(spark):
         [(2020, 1, "Bom Jesus", None, 5), (2020, 2, "Bom Jesus", None, 4), (2020, 3, "Outra", None, 6)],
         "year int, city_code bigint, city_name string, state string, total bigint",
     )
-    by_code = [(r.city_name, r.total_companies) for r in regions.city_ranking(mart, 3).collect()]
-    by_name = [(r.city_name, r.total_companies) for r in regions.city_ranking(mart, 3, ("city_name",)).collect()]
+    by_code = [(r.city_name, r.openings) for r in regions.city_ranking(mart, 3).collect()]
+    by_name = [(r.city_name, r.openings) for r in regions.city_ranking(mart, 3, ("city_name",)).collect()]
     assert by_code == [("Outra", 6), ("Bom Jesus", 5), ("Bom Jesus", 4)]
     assert by_name == [("Bom Jesus", 9), ("Outra", 6)]
 
@@ -104,12 +107,12 @@ def test_bar_order_and_display_label(spark):
     )
     assert [r.region for r in regions.bar_order(kpis).collect()] == ["31", "35"]
     labels = {r.region: r.label for r in regions.region_display_label(kpis).collect()}
-    assert labels["35"] == "35 — São Paulo (1.200.345)" and labels["33"] == "33 — ? (5)"
+    assert labels["35"] == "Grupo 35 — São Paulo (1.200.345)" and labels["33"] == "Grupo 33 — ? (5)"
 
 
 def test_compare_cities_builds_all_frames(spark, companies):
     ref_city = spark.createDataFrame([(3550308, "São Paulo"), (3304557, "Rio")], "code bigint, description string")
-    mart = marts.growth_by_city(companies, ref_city)
+    mart = marts.growth_by_city(marts.city_year_counts(companies), ref_city)
     cmp_ = regions.compare_cities(companies, mart, ref_city, [3550308, 3304557], top_n=10, year_from=2020)
     assert {r.city_name for r in cmp_.kpis.collect()} == {"São Paulo", "Rio"}
     m = {r.sector: r for r in cmp_.matrix.collect()}
@@ -143,3 +146,19 @@ def test_sector_shares_of_the_reference_counts(spark):
         ("35", "47"): 46.15, ("35", "62"): 30.77, ("35", "41"): 23.08,
         ("33", "47"): 40.0, ("33", "56"): 32.0, ("33", "43"): 28.0,
     }
+
+
+def test_a_city_under_two_states_has_one_growth_row(spark):
+    """State and city are independent raw fields."""
+    rows = [_company(i, 3550, 1)[:7] + (state, 2, None) for i, state in enumerate(["SP", "SP", "RJ"])]
+    df = spark.createDataFrame(rows, schemas.GOLD)
+    counts = marts.city_year_counts(df)
+    ref = spark.createDataFrame([(3550, "Border")], "code bigint, description string")
+    assert [(r.city_code, r.total) for r in marts.growth_by_city(counts, ref).collect()] == [(3550, 3)]
+    assert [(r.openings) for r in regions.growth_by_city_selected(marts.growth_by_city(counts, ref), [3550]).collect()] == [3]
+    assert [(r.region, r.openings) for r in regions.growth_by_region(counts, ["SP", "RJ"]).collect()] == [("RJ", 1), ("SP", 2)]
+
+
+def test_overall_survival_counts_every_sector(spark):
+    mart = spark.createDataFrame([(f"s{i}", 10, 2.0, float(i)) for i in range(30)], "sector string, total long, mean double, median double")
+    assert regions.survival_overall(mart).first().closed_total == 300
