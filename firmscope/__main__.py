@@ -213,6 +213,8 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         out = {name: [r.asDict() for r in getattr(result, name).collect()]
                for name in ("kpis", "sectors", "growth", "matrix")}
+        label = "region_label" if args.regions else "city_name"
+        out["bars"] = [r[label] for r in regions.bar_order(result.kpis, label=label).collect()]  # ascending, as they are drawn
         if args.export:
             day = export_day(args.as_of)
             out["files"] = [export.export_csv(result.kpis, args.export, "comparison_kpis", day),

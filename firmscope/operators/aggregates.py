@@ -25,17 +25,5 @@ def years_mean(days: Column, digits: int, weight: Column | None = None) -> Colum
     return round_half_up(F.sum(days * weight) / F.sum(weight) / F.lit(DAYS_PER_YEAR), digits)
 
 
-def years_percentiles(days: Column, points: list[float], weight: Column | None = None) -> Column:
-    """Exact interpolated percentiles of ``days`` (array, in days).
-
-    Linear interpolation commutes with scaling, so percentiles of days divided
-    by 365.25 equal percentiles of years.  The aggregation buffer is a
-    value -> count map, bounded by the number of distinct day counts.
-    """
-    if weight is None:
-        return F.percentile(days, points)
-    return F.percentile(days, points, weight)
-
-
 def to_years(c: Column, digits: int) -> Column:
     return round_half_up(c / F.lit(DAYS_PER_YEAR), digits)

@@ -153,6 +153,11 @@ def region_kpis(companies: DataFrame, region: str | Column = "state") -> DataFra
     )
 
 
+def density_from_kpis(kpis: DataFrame) -> DataFrame:
+    """``density_by_state`` from the regional KPIs by state."""
+    return kpis.where(F.col("region").isNotNull()).select(F.col("region").alias("state"), F.col("total_companies").alias("total"))
+
+
 def density_by_state(companies: DataFrame) -> DataFrame:
     """Companies per state, state known (V6)."""
     return (

@@ -132,8 +132,8 @@ def state_openings_by_year(
 
 
 def decade_of(d: Column) -> Column:
-    """``(year / 10) * 10`` with integer division."""
-    return (F.year(d).cast("int") / F.lit(10)).cast("int") * F.lit(10)
+    """The year without its last digit, in whole numbers."""
+    return F.year(d) - F.year(d) % F.lit(10)
 
 
 def decade_distribution(companies: DataFrame) -> DataFrame:

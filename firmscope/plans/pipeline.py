@@ -61,8 +61,8 @@ def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[s
 
     Builders take (gold, lookups) or (gold, lookups, built), where ``built``
     holds the marts already written in this rebuild, read back from storage:
-    growth and bubbles derive from the stored (year, city, state) counts, so
-    Gold is scanned once for both.
+    growth and bubbles derive from the stored (year, city, state) counts and the
+    density from the regional KPIs, so Gold is scanned four times for seven marts.
     """
     return {
         "city_year_counts": lambda g, lk: marts.city_year_counts(g),
@@ -70,7 +70,9 @@ def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[s
         "bubbles_year_city": lambda g, lk, built: marts.bubbles_year_city(_counts(g, built), lk.city),
         "sector_treemap": lambda g, lk: marts.sector_treemap(g, pad),
         "region_kpis": lambda g, lk: marts.region_kpis(g),
-        "density_by_state": lambda g, lk: marts.density_by_state(g),
+        "density_by_state": lambda g, lk, built: (
+            marts.density_from_kpis(built["region_kpis"]) if "region_kpis" in built else marts.density_by_state(g)
+        ),
         "survival_by_sector": lambda g, lk: marts.survival_by_sector(g, lk.activity, survival_min_count),
     }
 
