@@ -29,9 +29,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python task gets at a time: texts may be very long.
+BATCH_ROWS = 1000
+
+
 def workers(spark: SparkSession) -> None:
-    """Call before a plan with Python code in tasks."""
+    """Call before a plan with Python code in tasks: ships the package, keeps batches small."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:
