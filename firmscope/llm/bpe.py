@@ -115,7 +115,7 @@ class Bpe:
         self.keys = keys[order]
         self.ranks = np.array([r for r, _ in self.pairs.values()], np.int64)[order]
         self.merged = np.array([m for _, m in self.pairs.values()], np.int64)[np.argsort([r for r, _ in self.pairs.values()])]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 4 bytes each
         self.plain = regex.compile(PATTERN)
         self.differing: dict[int, str] | None = None
         self.beyond = regex.compile(f"[{chr(SETTLED)}-{chr(0x10FFFF)}]")
@@ -158,8 +158,8 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """Like merge_by_tree for pieces of at most SHORT bytes, one tree in each row."""
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Like merge_by_tree for pieces of at most SHORT bytes, one tree in each row; the ids as 4 bytes each."""
         rows, longest = len(pieces), max(map(len, pieces))
         width = 1 << max(1, (longest - 1).bit_length())
         lengths = np.array([len(p) for p in pieces])
@@ -204,8 +204,8 @@ class Bpe:
             if has.any():
                 put(live[has], left[has])
             live = live[tree[live, 1] < NONE * SHORT]
-        flat = symbols[symbols >= 0].tolist()
-        ends = np.cumsum((symbols >= 0).sum(axis=1)).tolist()
+        flat = symbols[symbols >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum((symbols >= 0).sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, pieces: Iterable[str]) -> None:
@@ -217,7 +217,8 @@ class Bpe:
             if p not in self.known:
                 raw = p.encode()
                 if len(raw) > SHORT:
-                    self.known[p] = merge_by_tree(self.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs)
+                    ids = merge_by_tree(self.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs)
+                    self.known[p] = np.array(ids, "<u4").tobytes()
                 else:
                     by_width.setdefault(max(2, (len(raw) - 1).bit_length()), []).append(p)
         for group in by_width.values():
@@ -239,8 +240,11 @@ class Bpe:
             self.learn(set(chain.from_iterable(pieces for doc in split for _, pieces in doc if pieces)))
             known = self.known
             for doc in split:
-                ids = [[self.special[s]] if s is not None else chain.from_iterable(map(known.__getitem__, pieces)) for s, pieces in doc]
-                out.append(np.fromiter(chain.from_iterable(ids), dtype="<u4"))
+                ids = [
+                    np.array([self.special[s]], "<u4").tobytes() if s is not None else b"".join(map(known.__getitem__, pieces))
+                    for s, pieces in doc
+                ]
+                out.append(np.frombuffer(b"".join(ids), "<u4"))
             at = stop
         return out
 
