@@ -4,8 +4,8 @@ A line, without white space at its ends, is the set of its distinct shingles of
 ``SHINGLE`` code points (a shorter line: the whole line).  Equal lines are one class.
 Signatures are one-permutation MinHash: every shingle is hashed once and falls into one
 of BANDS * ROWS bins, empty bins borrow from others.  Lines that agree in a band meet in
-a bucket (12 bands of 4: a pair at similarity 0.8 is missed with a probability of
-0.002, at 0.85 of 1e-4).  Buckets are streamed in sorted order: small ones give their
+a bucket (9 bands of 3: a pair at similarity 0.8 is missed with a probability of
+0.0016, at 0.85 of 2e-4).  Buckets are streamed in sorted order: small ones give their
 pairs, large ones are compared with their first member and passed on to
 :func:`linking.close_large`.  Bucket keys that hold more than 1 / HOT of a sample of
 the lines (at most HOT for each band) are dealt out over many tasks.  Every pair is
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from firmscope.llm import linking
 from firmscope.llm.common import SPACES, fresh, stored, workers
-from firmscope.llm.components import components
 
-SHINGLE, BANDS, ROWS = 8, 12, 4
+SHINGLE, BANDS, ROWS = 8, 9, 3
+BITMAP = 1 << 26  # bits of the bitmap of lines whose text is wanted: 8 MB
 HOT, SAMPLE = 1000, 50  # share that makes a key hot; one of so many documents is sampled for it
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -64,12 +64,14 @@ def shingles(line: str) -> np.ndarray:
         return np.unique(_shingle_hashes(points))
 
 
-def node_of(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode()) - 2**63
+def set_of(raw: bytes) -> np.ndarray:
+    return shingles(raw.decode())
 
 
-def check_of(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode(), 1) - 2**63
+def node_of(line: str) -> int:
+    """The class of a stripped line: what Spark's ``xxhash64`` gives for it."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -83,7 +85,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
         left = np.repeat(np.cumsum(lengths), lengths)[: len(h)] - np.arange(len(h))
         inside = left >= SHINGLE  # the window doesn't reach into the next line
         h, row = h[inside], row[inside]
-        slot = row * bins + ((h >> np.uint64(32)) % np.uint64(bins)).astype(np.int64)
+        slot = row * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         signature = np.full(len(lines) * bins, EMPTY)
         np.minimum.at(signature, slot, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         signature = _filled(signature.reshape(len(lines), bins)).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
@@ -160,13 +162,22 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
         last = None
         key, members, size = None, [], 0  # of a large bucket only the first members are held
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(members) > 1 and size <= linking.SMALL and not is_hot(key):
+        buffer: tuple[list, list, list] = ([], [], [])
+
+        def add(k: list, a: list, b: list) -> None:
+            for column, more in zip(buffer, (k, a, b)):
+                column.extend(more)
+
+        def flush() -> None:
+            """What a small bucket gives when its last line has come."""
+            if size > linking.SMALL or not members:
+                return
+            if is_hot(key):  # a piece of it
+                add([key] * len(members), members, [None] * len(members))
+                add([None] * (len(members) - 1), members[1:], [members[0]] * (len(members) - 1))
+            else:
                 ab = [(members[i], members[j]) for i in range(len(members)) for j in range(i + 1, len(members))]
-                yield out([None] * len(ab), [a for a, _ in ab], [b for _, b in ab])
-            elif size and (size <= linking.SMALL and is_hot(key)):
-                yield out([key] * len(members), members, [None] * len(members))
-                yield out([None] * (len(members) - 1), members[1:], [members[0]] * (len(members) - 1))
+                add([None] * len(ab), [a for a, _ in ab], [b for _, b in ab])
 
         def is_hot(k: int) -> bool:
             at = np.searchsorted(hot_keys, k)
@@ -186,7 +197,6 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
                 continue
             starts = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
             ends = np.append(starts[1:], len(ks))
-            buffer: tuple[list, list, list] = ([], [], [])
             # Only the runs of more than one line, and the first and last, need a look.
             lone = (ends - starts == 1) & ~np.isin(ks[starts], hot_keys)
             if len(lone):
@@ -194,8 +204,7 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
             for s, e in zip(starts[~lone].tolist(), ends[~lone].tolist()):
                 k = int(ks[s])
                 if k != key:
-                    for b in flush():
-                        yield b
+                    flush()
                     key, members, size = k, [], 0
                 run_nodes = nodes[s:e].tolist()
                 before = size
@@ -207,17 +216,14 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
                     run_nodes = members + run_nodes
                     members = run_nodes[:1]
                 first = members[0]
-                buffer[0].extend([key] * len(run_nodes))
-                buffer[1].extend(run_nodes)
-                buffer[2].extend([None] * len(run_nodes))
+                add([key] * len(run_nodes), run_nodes, [None] * len(run_nodes))
                 rest = [x for x in run_nodes if x != first]
-                buffer[0].extend([None] * len(rest))
-                buffer[1].extend(rest)
-                buffer[2].extend([first] * len(rest))
-            if buffer[0]:
+                add([None] * len(rest), rest, [first] * len(rest))
+            if len(buffer[0]) > 10_000:
                 yield out(*buffer)
-        for b in flush():
-            yield b
+                buffer = ([], [], [])
+        flush()
+        yield out(*buffer)
 
     return keys.select("key", "node").repartition(n, place).sortWithinPartitions("key", "node").mapInArrow(run, "key long, a long, b long")
 
@@ -229,7 +235,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     key_type = docs.schema["id"].dataType.simpleString()
 
     sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)  # for the choice of hot keys only
-    counted = _keys(sample).groupBy("key").agg(F.countDistinct("node").alias("n"))
+    counted = stored(_keys(sample).groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
     hot = [r.key for r in _hot_keys(counted)]
     found = stored(_pairs(_keys(docs), hot), "line-pairs")
     members = found.filter("b IS NULL").select("key", F.col("a").alias("node")).distinct()
@@ -237,22 +243,31 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pairs = stored(pairs, "line-pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = bits.value
         for batch in batches:
             lines = list(dict.fromkeys(x for t in batch.column(0).to_pylist() for x in _lines(t) if len(x) >= SHINGLE))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x) for x in batch.column(1).to_pylist()]
+            nodes = np.array([node_of(x) for x in lines], np.int64)
+            place = nodes & (BITMAP - 1)
+            maybe = np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            some = [lines[i] for i in maybe.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["node", "n", "values"],
+                [
+                    pa.array(nodes[maybe], pa.int64()),
+                    pa.array([x.encode() for x in some], pa.binary()),
+                ],
+                names=["node", "values"],
             )
 
-    lines = docs.select("text").mapInArrow(texts_of, "node long, line string").join(wanted, "node", "left_semi")
-    sets = stored(lines.dropDuplicates(["node"]).mapInArrow(to_sets, "node long, n long, values binary"), "line-sets")
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(set_of(raw)) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["node", "values", "n"])
+
+    lines = docs.select("text").mapInArrow(texts_of, "node long, values binary").join(wanted, "node", "left_semi")
+    sets = stored(lines.dropDuplicates(["node"]).mapInArrow(sized, "node long, values binary, n long"), "line-sets")
     sizes = sets.select("node", "n")
 
     def plausible(some: DataFrame) -> DataFrame:
@@ -260,48 +275,51 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return some.join(sides[0], "a").join(sides[1], "b").filter(linking.reachable("na", "nb")).select("a", "b")
 
-    links = stored(linking.confirmed(plausible(pairs), sets), "line-links")
-    rows = stored(linking.open_buckets(linking.labelled(members, components(links))).join(sizes, "node"), "line-open")
-    links = linking.close_large(rows, links, sets, plausible, [])
-    labels = stored(components(links), "line-labels")
+    links = stored(linking.confirmed(plausible(pairs), sets, set_of), "line-links")
+    labels = linking.forest(links)
+    large = linking.open_buckets(linking.labelled(members, labels)).join(sizes, "node")
+    labels = stored(linking.close_large(stored(large, "line-open"), labels, sets, set_of), "line-labels")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, nodes, checks = [], [], [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, line in enumerate(_lines(text)):
-                    ids.append(ident)
-                    numbers.append(k)
-                    nodes.append(node_of(line) if line else None)
-                    checks.append(check_of(line) if line else None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64())],
-                names=["id", "line_no", "node", "check"],
-            )
-
-    every = docs.mapInArrow(places, f"id {key_type}, line_no int, node long, check long")
-    blank = every.filter("node IS NULL").select(
-        F.col("id").alias("doc_id"), "line_no", F.lit(None).cast("long").alias("component"), F.lit(True).alias("kept")
+    split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.btrim("line", F.lit(SPACES))
+    every = split.select("id", "line_no", F.when(F.length(line) > 0, line).alias("line")).select(
+        "id", "line_no", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("node"), F.hash("line").alias("check")
     )
+    every = stored(every, "line-places")
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "line_no")
-    filled = every.filter("node IS NOT NULL")
-    # Lines of one number whose second hash differs are different lines: those of other hashes than the first stay.
-    classes = filled.groupBy("node").agg(F.min("check").alias("first_check"), F.min_by(place, F.struct("check", place)).alias("place"))
-    classes = stored(linking.labelled(classes, labels), "line-classes")
+    # Only lines that occur again or are linked need a look.  Lines of one number whose second hash differs
+    # are different lines: those of other hashes than the first stay.
+    classes = every.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("check").alias("first_check"), F.min(F.struct("check", place.alias("place"))).alias("least"), F.count(F.lit(1)).alias("n")
+    )
+    classes = classes.select("node", "first_check", F.col("least.place").alias("place"), "n").join(labels, "node", "left")
+    classes = stored(classes.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node")), "line-classes")
+    # The smallest node of a component has no label of its own, and may occur once.
+    heads = labels.select(F.col("label").alias("node")).distinct().join(classes.select("node"), "node", "left_anti")
+    single = every.join(heads, "node").select("node", F.col("check").alias("first_check"), place.alias("place"), F.col("node").alias("label"))
+    classes = classes.drop("n").unionByName(single)
     least = classes.groupBy("label").agg(F.min("place").alias("keep"))
-    classes = classes.join(least, "label").select("node", "first_check", "label", "keep")
-    return (
-        filled.join(classes, "node")
-        .select(
-            F.col("id").alias("doc_id"),
-            "line_no",
-            F.when(F.col("check") == F.col("first_check"), F.col("label")).otherwise(F.col("check")).alias("component"),
-            ((F.col("check") != F.col("first_check")) | (place == F.col("keep"))).alias("kept"),
-        )
-        .union(blank)
+    classes = stored(classes.join(least, "label").select("node", "first_check", "label", "keep"), "line-classes")
+    same = F.col("check") == F.col("first_check")
+    return every.join(classes, "node", "left").select(
+        F.col("id").alias("doc_id"),
+        "line_no",
+        F.when(same, F.col("label")).otherwise(F.col("node")).alias("component"),
+        (F.col("first_check").isNull() | ~same | (place == F.col("keep"))).alias("kept"),
     )
 
 
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP bits, whatever the number of nodes: a set bit for the last bits of each node."""
+    place = F.col("node").bitwiseAND(F.lit(BITMAP - 1)) + 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(BITMAP // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        part = np.frombuffer(row.bits, np.uint8)
+        out[(row.k - 1) * len(part) : row.k * len(part)] = part
+    return out
+
+
 def _hot_keys(counted: DataFrame):
     """Keys that hold more than 1 / HOT of the sampled lines: at most HOT for each band."""
     total = counted.agg(F.sum("n")).first()[0] or 0

@@ -1,9 +1,10 @@
 """Links between classes of sets that share buckets of a locality-sensitive hash.
 
-Sets are sorted arrays of 64-bit fingerprints, kept as bytes by class (``node``).  A
+Sets are sorted arrays of 64-bit fingerprints, kept by class (``node``) as their bytes or
+as bytes that ``decode`` turns into them.  A
 bucket's pairs are never all emitted: small buckets give their few pairs, in large ones
-the members are compared with a central member first, and only members that stay in
-different components are compared with each other.
+the members are compared with a central member first, and of members that stay in
+different components only pairs that an upper bound allows are looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +27,26 @@ def reachable(low: str, high: str) -> Column:
     return F.expr(f"5 * least({low}, {high}) >= 4 * greatest({low}, {high})")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+Decode = Callable[[bytes], np.ndarray]
+
+
+def stored_set(raw: bytes) -> np.ndarray:
+    """A set that is kept as the bytes of its sorted fingerprints."""
+    return np.frombuffer(raw, np.uint64)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, decode: Decode = stored_set) -> DataFrame:
     """The pairs with 100 * intersection >= 80 * union, on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
+            known: dict[bytes, np.ndarray] = {}  # a node mostly has several pairs
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                for raw in (left, right):
+                    if raw not in known:
+                        known[raw] = decode(raw)
+                x, y = known[left], known[right]
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= 80 * (len(both) - shared))
@@ -54,31 +67,42 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
+def forest(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Components (node, label) of the links; those of earlier links (``before``) stand for them."""
+    edges = links.select("a", "b")
+    if before is not None:
+        edges = edges.union(before.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return components(edges)
+
+
 def close_large(
     large: DataFrame,
-    links: DataFrame,
+    labels: DataFrame,
     sets: DataFrame,
-    plausible: Callable[[DataFrame], DataFrame],
-    carried: list[str],
-    once: str = "true",
+    decode: Decode = stored_set,
 ) -> DataFrame:
-    """``links`` and the links inside the open large buckets.
-
-    ``large`` has key, node, label, n (set size) and the columns ``carried`` that the
-    condition ``once`` on a pair (second side: names with a 2) uses.  A member that
-    shares too few shingles with all others of these buckets to reach the threshold
-    with any of them is set aside: of its n shingles, ``own`` are its own, and a
-    partner has at least the smallest size in the bucket and four fifths of n.  The
-    rest meet the most central member, the one with the smallest share of own
-    shingles; what that leaves in different components is compared pair by pair.
+    """Components after all links inside the open large buckets; ``labels`` are those so far.
+
+    ``large`` has key, node, label and n (set size).  Three steps, each exact:
+
+    * A member that shares too few shingles with all others of these buckets to reach
+      the threshold with any of them is set aside: of its n shingles, ``own`` are its
+      own, and a partner has at least the smallest size in the bucket and four fifths
+      of n.
+    * The rest are compared with the most central member of the bucket, the one with
+      the smallest share of own shingles, and the confirmed links join components.
+    * What is still in different components is compared through the differences from
+      the centre: two members have in common the centre's shingles that neither
+      misses, and the extra ones that both have.  That gives the full intersection,
+      so only linked pairs are emitted.
     """
     if large.isEmpty():
-        return links
+        return labels
 
     def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(raw, np.int64)
+                values = decode(raw).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(values)], names=["node", "value"])
 
     own = (
@@ -93,20 +117,58 @@ def close_large(
     )
     least = large.groupBy("key").agg(F.min("n").alias("least"))
     able = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(least, "key")
-    able = able.filter("9 * (n - own) >= 4 * (n + greatest(least, ceil(0.8 * n)))")
-    able = stored(open_buckets(able), "large")
-    centrality = F.struct((F.col("own") / F.col("n")).alias("x"), "node", "label")
+    able = stored(open_buckets(able.filter("9 * (n - own) >= 4 * (n + greatest(least, (4 * n + 4) div 5))")), "large")
+    centrality = F.struct((F.col("own") / F.col("n")).alias("x"), "node")
     centre = able.groupBy("key").agg(F.min(centrality).alias("centre"))
-    pairs = able.join(centre, "key").filter("label <> centre.label").select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
-    links = stored(links.union(confirmed(plausible(pairs), sets)), "links")
-
-    able = open_buckets(labelled(able.drop("label"), components(links)))
-    able = stored(able.select("key", "node", "label", "n", "own", *carried), "large")
-    usual = able.groupBy("key").agg(F.min_by("label", F.struct(F.col("own") / F.col("n"), "node")).alias("usual"))
-    left = able.join(usual, "key").filter("label <> usual")
-    right = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", *carried)])
-    pairs = left.join(right, "key").filter(
-        f"label <> label2 and (label2 = usual or node < node2) and 5 * least(n, n2) >= 4 * greatest(n, n2) and {once}"
+    # Buckets with one centre are one group from here on: their members meet once, not in every table.
+    groups = able.join(centre, "key").select(F.col("centre.node").alias("centre"), "node", "n", "own", "label").distinct()
+    groups = stored(groups, "groups")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            last: tuple[bytes, np.ndarray] = (b"", np.empty(0, np.uint64))
+            for mine, its in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if its != last[0]:
+                    last = (its, decode(its))
+                a, c = decode(mine), last[1]
+                missing, extra = np.setdiff1d(c, a, assume_unique=True), np.setdiff1d(a, c, assume_unique=True)
+                linked = 9 * (len(c) - len(missing)) >= 4 * (len(a) + len(c))
+                rows.append((len(c), missing.view(np.int64), extra.view(np.int64), linked))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.bool_()),
+                ],
+                names=["node", "centre", "nc", "missing", "extra", "linked"],
+            )
+
+    told = sets.select(F.col("node").alias("centre"), F.col("values").alias("its"))
+    compared = (
+        groups.select("node", "centre")
+        .join(sets.select("node", F.col("values").alias("mine")), "node")
+        .join(told, "centre")
+        .select("node", "centre", "mine", "its")
+        .mapInArrow(differences, "node long, centre long, nc long, missing array<long>, extra array<long>, linked boolean")
+    )
+    compared = stored(compared, "differences")
+    new = compared.filter("linked AND node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    labels = forest(new, labels)
+
+    members = labelled(groups.drop("label"), labels).join(compared.drop("linked"), ["node", "centre"])
+    usual = members.filter("node = centre").select("centre", F.col("label").alias("usual"))
+    members = stored(members.join(usual, "centre"), "members")
+    left = members.filter("label <> usual")
+    right = members.select("centre", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "own", "missing", "extra")])
+    pairs = left.join(right, "centre").filter(
+        "label <> label2 AND (label2 = usual OR node < node2) AND 5 * least(n, n2) >= 4 * greatest(n, n2)"
+        # Bounds from sizes alone, then the intersection.
+        " AND 9 * (nc - greatest(size(missing), size(missing2)) + least(size(extra) - own, size(extra2) - own2)) >= 4 * (n + n2)"
+        " AND 9 * (nc - size(missing) - size(missing2) + size(array_intersect(missing, missing2))"
+        " + size(array_intersect(extra, extra2))) >= 4 * (n + n2)"
     )
-    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    return links.union(confirmed(pairs, sets))
+    return forest(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), labels)

@@ -17,8 +17,9 @@ emits all its pairs:
    threshold with any other (an upper bound from the number of shingles that no
    other member has) are set aside, and the rest are compared with the most
    central member;
-4. what is left: each member outside the central member's component is compared
-   with the members of other components.  Nothing is capped.
+4. what is left: a member outside the central member's component is compared with
+   those members of other components that an upper bound, from what each has and
+   lacks against the centre, allows.  Nothing is capped.
 
 Candidates are dropped unconfirmed only if their sizes can't reach the threshold or
 if fewer than ``AGREE`` of the 2 * SIDE half keys agree (at similarity 0.8, 13 agree on
@@ -45,7 +46,6 @@ from pyspark.sql import functions as F
 
 from firmscope.llm import linking
 from firmscope.llm.common import fresh, stored, workers
-from firmscope.llm.components import components
 
 SIDE, ROWS, AGREE = 10, 2, 4
 
@@ -160,25 +160,20 @@ def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, te
     sets = stored(texts.select("text").mapInArrow(to_sets, "node long, values binary").dropDuplicates(["node"]), "sets")
 
     links = stored(linking.confirmed(first, sets), "links")
-    labels = components(links)
+    labels = linking.forest(links)
     rows = linking.open_buckets(linking.labelled(members, labels))
-    rows = stored(rows.join(classes.select("node", "n", "half"), "node"), "open")
+    rows = stored(rows.join(classes.select("node", "n"), "node"), "open")
 
     # Small open buckets: the pairs across components that step 1 hasn't compared.
     small = rows.filter(f"c <= {linking.SMALL} and node <> lo and node <> hi").select("key", "node", "label")
     other = small.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
     pairs = small.join(other, "key").filter("label < label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    links = links.union(stored(linking.confirmed(_plausible(pairs, classes), sets), "links"))
-
-    # Large open buckets; a pair is taken from the first table that it shares.
-    same = "zip_with(half, half2, (x, y) -> x = y)"
-    i, j = f"array_position(slice({same}, 1, {SIDE}), true)", f"array_position(slice({same}, {SIDE + 1}, {SIDE}), true)"
-    once = (
-        f"size(filter({same}, x -> x)) >= {AGREE} and"
-        f" key = xxhash64(cast({SIDE} * ({i} - 1) + {j} - 1 as int), half[cast({i} - 1 as int)], half[cast({SIDE} + {j} - 1 as int)])"
-    )
-    links = linking.close_large(rows.filter(f"c > {linking.SMALL}"), links, sets, lambda pairs: _plausible(pairs, classes), ["half"], once)
-    return components(links)
+    new = linking.confirmed(_plausible(pairs, classes), sets)
+
+    labels = linking.forest(stored(new, "links"), labels)
+    # Large open buckets.
+    large = linking.open_buckets(linking.labelled(rows.filter(f"c > {linking.SMALL}").select("key", "node", "n"), labels))
+    return linking.close_large(large, labels, sets)
 
 
 def near_groups(
