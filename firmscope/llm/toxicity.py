@@ -105,8 +105,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def _significant(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features that are more frequent among the positives, by the z score of the two shares."""
-    p, np_ = np.unique(np.concatenate([np.unique(x) for x in positive]), return_counts=True)
-    u, nu_ = np.unique(np.concatenate([np.unique(x) for x in unlabelled]), return_counts=True)
+    (p, np_), (u, nu_) = _holders(positive), _holders(unlabelled)
     at = np.minimum(np.searchsorted(u, p), len(u) - 1)
     in_u = np.where(u[at] == p, nu_[at], 0)
     a, b = np_ / len(positive), in_u / len(unlabelled)
@@ -117,6 +116,16 @@ def _significant(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np
     return np.sort(p[good][order])
 
 
+def _holders(docs: list[np.ndarray], at_once: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Features and the number of documents that have each, added up some documents at a time."""
+    found, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+    for at in range(0, len(docs), at_once):
+        more, n = np.unique(np.concatenate([np.unique(x) for x in docs[at : at + at_once]]), return_counts=True)
+        both, place = np.unique(np.concatenate([found, more]), return_inverse=True)
+        found, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+    return found, counts
+
+
 def _rows(docs: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Row and column numbers of the chosen features (repeats count)."""
     if not len(chosen):
