@@ -2,17 +2,23 @@
 
 Two kinds of character bigram models are trained: one of ordinary text and
 identifiers, from every text of the table outside the base matches (its words as
-they stand and joined to identifiers), and one of random strings for each alphabet (hexadecimal, base 32, base 62 with signs), from
+they stand and joined to identifiers, paths, host names and slugs), and one of random strings for each alphabet
+(hexadecimal, base 32, base 62 with signs, base 64, all signs), from
 labelled samples: the values of the base matches, sorted by alphabet, and
-``SAMPLES`` strings drawn from a seeded generator.  A token of at least
-``min_length`` characters with a letter and a digit is a secret when the best
-random model beats the ordinary one by ``threshold`` nats a character.  Bigram
+``SAMPLES`` strings drawn from a seeded generator.  Candidates are the runs of the
+largest alphabet and, as '/' and '.' also part paths and names, every stretch of a run
+between two of these signs; a span neither starts nor ends with one.  A stretch of at
+least ``min_length`` characters is a secret when the best random model beats the
+ordinary one by ``threshold`` nats a character; no other rule drops one (of a run of
+digits the ratio stays low where the texts have numbers).  Of the stretches of a
+run the disjoint ones that are likeliest in all are taken, so a path around a key is left out and
+the pieces of a key stay together.  Bigram
 counts are summed in Spark; only the alphabet-sized matrices reach the driver.
 
 Base matches are the leftmost non-overlapping ones of each kind; those that are
 too short are dropped after matching.  Offsets are code points, ends exclusive; a
-span of kind ``assign`` is the whole match.  A token that touches a base span adds
-nothing.
+span of kind ``assign`` is the whole match.  A piece between '/' and '.' that touches
+a base span adds nothing.
 
 Defined cases: null texts count as empty and have no spans; repeated rows are
 scanned one by one; very long texts are scanned whole; an empty table gives an
@@ -43,15 +49,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # [0-9a-f]+ without its matches of under 24
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+_=-]+")
-SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+_=-"
+RUN = r"[A-Za-z0-9+/_.=-]{%d,}"
+PIECE = re.compile(r"[A-Za-z0-9+_=-]+")
+SPLITS, SIGNS = "/.", "+/_.=-"
+SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + SIGNS
 SIZE = len(SYMBOLS) + 1  # the last class stands for everything else, so also for the ends of a token
+SPACE = SIZE  # in counts of ordinary text, the space has a class of its own
 CLASS_OF = np.full(256, SIZE - 1, np.int64)
 CLASS_OF[[ord(c) for c in SYMBOLS]] = np.arange(SIZE - 1)
+SPACED_OF = CLASS_OF.copy()
+SPACED_OF[ord(" ")] = SPACE
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "base62": SYMBOLS[:62] + "-_",
+    "base64": SYMBOLS[:62] + "+/=",
+    "signs": SYMBOLS,  # all that the value of a base match may have
 }
 SAMPLES, SAMPLE_LENGTH, SEED = 2_000, 32, 20_240_601
 
@@ -66,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def classes(text: str) -> np.ndarray:
-    return CLASS_OF[np.frombuffer(text.encode("latin-1", "replace").replace(b"?", b" "), np.uint8)]
+    return CLASS_OF[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -74,15 +87,43 @@ def bigrams(text: str) -> np.ndarray:
     return np.bincount(c[:-1] * SIZE + c[1:], minlength=SIZE * SIZE)
 
 
-def identifier_bigrams(text: str) -> np.ndarray:
-    """Of ordinary text and of the identifiers that its words make: snake_case, CONSTANT_CASE, camelCase, word2."""
-    return (
-        bigrams(text)
-        + bigrams(text.replace(" ", "_"))
-        + bigrams(text.upper().replace(" ", "_"))
-        + bigrams(text.title().replace(" ", ""))
-        + bigrams(text.replace(" ", "2_"))
-    )
+def spaced_bigrams(text: str) -> np.ndarray:
+    """With the space as a class of its own; the ends of the text are no spaces."""
+    c = SPACED_OF[np.frombuffer(f"\n{text}\n".encode("latin-1", "replace"), np.uint8)]
+    return np.bincount(c[:-1] * (SIZE + 1) + c[1:], minlength=(SIZE + 1) ** 2)
+
+
+def ordinary_bigrams(spaced: np.ndarray, camel: np.ndarray) -> np.ndarray:
+    """Of ordinary text and of what its words make: snake_case, paths, host names, slugs, CONSTANT_CASE, word2, camelCase.
+
+    Every tenth character may be followed by '/' or '.', and what follows these is half the time a letter or digit
+    drawn evenly (dates, numbers and short names in paths).  A sign often stands in rows of its own kind
+    (rules, dots, '//'), as often as it is followed by all else.
+    """
+    spaced = spaced.reshape(SIZE + 1, SIZE + 1)
+    counts = camel.reshape(SIZE, SIZE).astype(float)
+
+    def add(space: int, to: np.ndarray | None = None) -> None:
+        into = np.append(np.arange(SIZE) if to is None else to, space)
+        np.add.at(counts, (into[:, None], into[None, :]), spaced)
+
+    add(SIZE - 1)
+    for sign in SIGNS:
+        add(CLASS_OF[ord(sign)])
+    upper = np.array([CLASS_OF[ord(c.upper())] for c in SYMBOLS] + [SIZE - 1])
+    add(CLASS_OF[ord("_")], upper)
+    two, under = CLASS_OF[ord("2")], CLASS_OF[ord("_")]
+    before, after = np.append(np.arange(SIZE), under), np.append(np.arange(SIZE), two)
+    np.add.at(counts, (before[:, None], after[None, :]), spaced)
+    counts[two, under] += spaced[:, SPACE].sum()
+    for sign in SPLITS:
+        at = CLASS_OF[ord(sign)]
+        counts[:, at] += counts.sum(axis=1) / 10
+        counts[at, :62] += counts[at].sum() / 62 + 1
+    for sign in SIGNS:
+        at = CLASS_OF[ord(sign)]
+        counts[at, at] += counts[at].sum()
+    return counts.reshape(-1)
 
 
 def alphabet_of(value: str) -> str | None:
@@ -112,19 +153,75 @@ class Models:
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            if end - start < self.min_length:
-                continue
-            token = m.group()
-            if not (any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)):
-                continue
-            if any(a < end and start < b for a, _, b in base):
-                continue
-            if self.ratio(token) >= self.threshold:
-                out.append((start, 3, end))
+        for m in re.finditer(RUN % max(1, self.min_length), text):
+            first, last = m.span()
+            near = [(a, b) for a, _, b in base if a < last and first < b]
+            group: list[tuple[int, int]] = []
+            for piece in PIECE.finditer(text, first, last):
+                start, end = piece.span()
+                if any(a < end and start < b for a, b in near):
+                    out += self._spans(text, group)
+                    group = []
+                else:
+                    group.append((start, end))
+            out += self._spans(text, group)
         return out
 
+    def _spans(self, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Secrets among the stretches of neighbouring pieces.
+
+        First the best ones at half the threshold, so that a weak piece of a key stays with the others; those that
+        pass are kept, and the rest is searched at the threshold itself, so that no stretch that passes is missed.
+        """
+        if not pieces or pieces[-1][1] - pieces[0][0] < self.min_length:
+            return []
+        at = pieces[0][0]
+        bounds = np.array(pieces) - at
+        c = classes(text[at : pieces[-1][1]])
+        step = (c[:-1], c[1:])
+        ordinary = self.ordinary[step]
+        # Per model: nats by which it beats the ordinary one, from the beginning to each piece's first and last character.
+        sums = [np.append(0.0, np.cumsum(m[step] - ordinary))[bounds - (0, 1)] for m in self.random.values()]
+
+        def passes(i: int, j: int) -> bool:
+            steps = max(1, pieces[j][1] - pieces[i][0] - 1)
+            return max(s[j, 1] - s[i, 0] for s in sums) >= self.threshold * steps
+
+        found = [x for x in self._stretches(bounds, sums, 0, len(pieces), self.threshold / 2) if passes(*x)]
+        rest = 0
+        for i, j in [*found, (len(pieces), len(pieces))]:
+            found += self._stretches(bounds, sums, rest, i, self.threshold)
+            rest = j + 1
+        joined: list[tuple[int, int]] = []
+        for i, j in sorted(found):  # halves of a base 64 key are one secret
+            if joined and joined[-1][1] == i - 1 and text[pieces[i - 1][1] : pieces[i][0]] == "/" and passes(joined[-1][0], j):
+                i = joined.pop()[0]
+            joined.append((i, j))
+        return [(pieces[i][0], 3, pieces[j][1]) for i, j in joined]
+
+    def _stretches(self, bounds: np.ndarray, sums: list[np.ndarray], first: int, last: int, price: float) -> list[tuple[int, int]]:
+        """Disjoint stretches (first and last piece) with the largest sum of nats less ``price`` a step; one pass over the pieces."""
+        spans = bounds[first:last].tolist()
+        nats = [(s[first:last] - price * (bounds[first:last] - (0, 1))).tolist() for s in sums]
+        best, taken = [0.0], [-1]  # of the pieces before each; the first piece of the stretch that ends there
+        begun = [(-np.inf, -1)] * len(nats)
+        ready = 0
+        for j, (_, end) in enumerate(spans):
+            while ready <= j and end - spans[ready][0] >= self.min_length:
+                begun = [max(b, (best[ready] - n[ready][0], ready)) for b, n in zip(begun, nats)]
+                ready += 1
+            most, start = max((b + n[j][1], i) for (b, i), n in zip(begun, nats))
+            best.append(max(best[j], most))
+            taken.append(start if most >= best[j] else -1)
+        out, j = [], len(spans)
+        while j > 0:
+            if taken[j] >= 0:
+                out.append((first + taken[j], first + j - 1))
+                j = taken[j]
+            else:
+                j -= 1
+        return out[::-1]
+
 
 def _log_transitions(counts: np.ndarray) -> np.ndarray:
     counts = counts.reshape(SIZE, SIZE) + 0.5
@@ -136,10 +233,15 @@ def train(
 ) -> Models:
     """Models from all texts of ``df``: ordinary text outside the base matches, base values and generated strings."""
     workers(df.sparkSession)
-    names = ["ordinary", *ALPHABETS]
+    sizes = {"ordinary": (SIZE + 1) ** 2, "camel": SIZE**2} | {k: SIZE**2 for k in ALPHABETS}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(SIZE * SIZE, np.int64) for k in names}
+        sums = {k: np.zeros(n, np.int64) for k, n in sizes.items()}
+
+        def ordinary(text: str) -> None:
+            sums["ordinary"] += spaced_bigrams(text)
+            sums["camel"] += bigrams(text.title().replace(" ", ""))
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -149,9 +251,9 @@ def train(
                     if alphabet := alphabet_of(value := base_value(text, kind, start, end)):
                         sums[alphabet] += bigrams(value)
                     if start > at:
-                        sums["ordinary"] += identifier_bigrams(text[at:start])
+                        ordinary(text[at:start])
                     at = max(at, end)
-                sums["ordinary"] += identifier_bigrams(text[at:])
+                ordinary(text[at:])
         for k, v in sums.items():
             seen = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays(
@@ -159,15 +261,16 @@ def train(
             )
 
     cells = df.select(df[text_col]).mapInArrow(count, "model string, cell int, n long")
-    sums = {k: np.zeros(SIZE * SIZE) for k in names}
-    for row in cells.groupBy("model", "cell").agg(F.sum("n").alias("n")).collect():  # at most 4 * SIZE * SIZE rows
+    sums = {k: np.zeros(n) for k, n in sizes.items()}
+    for row in cells.groupBy("model", "cell").agg(F.sum("n").alias("n")).collect():  # at most 7 * (SIZE + 1) ** 2 rows
         sums[row.model][row.cell] = row.n
     rng = np.random.default_rng(SEED)
     for k, chars in ALPHABETS.items():
         drawn = rng.integers(0, len(chars), (SAMPLES, SAMPLE_LENGTH))
         for line in drawn:
             sums[k] += bigrams("".join(chars[i] for i in line))
-    return Models(_log_transitions(sums["ordinary"]), {k: _log_transitions(sums[k]) for k in ALPHABETS}, threshold, min_length)
+    ordinary = ordinary_bigrams(sums["ordinary"], sums["camel"])
+    return Models(_log_transitions(ordinary), {k: _log_transitions(sums[k]) for k in ALPHABETS}, threshold, min_length)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
