@@ -9,8 +9,8 @@ trained with numpy on the non-negative risk estimator
 with logistic loss: when the corrected negative risk falls below zero, the step goes
 against it.  Several classifiers, each on a bootstrap of the unlabelled sample, are
 averaged.  A document's features are counts, over its distinct words, of whole words
-and of character 4- and 5-grams; those that are significantly more frequent among
-the positives are used.  So a text's score is a sum over its distinct words, and
+and of character 4- and 5-grams, over the whole word however long; those that are
+significantly more frequent among the positives are used.  So a text's score is a sum over its distinct words, and
 scoring looks each word up once.
 
 Bounds (documented parameters): at most ``max_positive`` and ``max_unlabelled`` rows,
@@ -45,7 +45,11 @@ BAGS, STEPS, RATE, LASSO = 3, 300, 0.05, 3e-4
 MIN_Z, MIN_COUNT, MAX_FEATURES = 5.0, 5, 4_000
 MEMORY = 200_000  # words whose scores a task remembers
 
+LONG = 62  # characters; words above are not remembered
+
 WORD = re.compile(r"\w+")
+#: Thai to Burmese, Khmer, kana and Chinese characters.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -53,10 +57,23 @@ def words_of(text: str | None) -> set[str]:
 
 
 def features_of(word: str) -> list[int]:
-    """Fingerprints of a word and its character 4- and 5-grams, with the word's ends marked."""
-    marked = f"^{word}$"[:64]
-    grams = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh32_intdigest(g) for g in {f"={word}", *grams}]
+    """Fingerprints of a word and its character 4- and 5-grams, with the word's ends marked.
+
+    A run of over ``LONG`` characters is rather a text without spaces: it also has the features of its parts between
+    underscores and, as words, the stretches of 2 and 3 characters in scripts that don't part words.
+    """
+    found = _marked(word)
+    if len(word) > LONG:
+        for part in set(filter(None, word.split("_"))):
+            found |= _marked(part)
+        for run in SPACELESS.findall(word):
+            found |= {f"={run[i : i + n]}" for n in (2, 3) for i in range(len(run) - n + 1)}
+    return [xxhash.xxh32_intdigest(g) for g in found]
+
+
+def _marked(word: str) -> set[str]:
+    marked = f"^{word}$"
+    return {f"={word}", *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
 
 
 def held_out(ident: Column) -> Column:
@@ -78,8 +95,9 @@ class Model:
             words = words_of(text)
             if len(known) > MEMORY:
                 known.clear()
-            known.update((w, self.word_score(w)) for w in words if w not in known)
-            z = self.bias + sum(sorted(map(known.__getitem__, words)))  # sorted: the same sum for equal texts
+            known.update((w, self.word_score(w)) for w in words if len(w) <= LONG and w not in known)
+            each = [known[w] if len(w) <= LONG else self.word_score(w) for w in words]
+            z = self.bias + sum(sorted(each))  # sorted: the same sum for equal texts
             out.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
         return out
 
@@ -203,6 +221,9 @@ def train(
             for text in batch.column(1).to_pylist():
                 found: list[int] = []
                 for word in words_of(text):
+                    if len(word) > LONG:
+                        found += features_of(word)
+                        continue
                     if word not in cache:
                         if len(cache) > MEMORY // 10:
                             cache.clear()

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +182,20 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def test_toxic_term_at_the_end_of_a_long_run(spark):
+    df, labels, _ = labelled(spark)
+    model = toxicity.train(df, labels)
+    rng = random.Random(8)
+    runs = ["".join(rng.choices("aeioulmnrst", k=994)), "_".join("".join(rng.choices("aeioulmnrst", k=6)) for _ in range(142)) + "_"]
+    for run in runs:
+        clean, joined = model.scores([run, run + "gruxle"], {})
+        assert joined > 0.5 > clean
+    everywhere = {xxhash.xxh32_intdigest(x) for x in ("grux", "gruxl", "uxle$", "uxle")}
+    assert everywhere <= set(toxicity.features_of("n" * 5000 + "gruxle"))
+    assert xxhash.xxh32_intdigest("=gruxle") in toxicity.features_of("n" * 5000 + "_gruxle")
+    assert xxhash.xxh32_intdigest("=毒物") in toxicity.features_of("一" * 70 + "毒物" + "七" * 900)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     df, labels, docs = labelled(spark, 50)
     none = toxicity.train(df, labels.limit(0))
