@@ -10,7 +10,8 @@ with logistic loss: when the corrected negative risk falls below zero, the step
 against it.  Several classifiers, each on a bootstrap of the unlabelled sample, are
 averaged.  A document's features are counts, over its distinct words, of whole words
 and of character 4- and 5-grams, over the whole word however long; those that are
-significantly more frequent among the positives are used.  So a text's score is a sum over its distinct words, and
+significantly more frequent among the positives than in the sample, and three times as
+frequent as the prior implies for negatives, are used.  So a text's score is a sum over its distinct words, and
 scoring looks each word up once.
 
 Bounds (documented parameters): at most ``max_positive`` and ``max_unlabelled`` rows,
@@ -107,7 +108,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     floor = float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     if not positive or not unlabelled:
         return Model({}, min(floor, -0.1))
-    chosen = _significant(positive, unlabelled)
+    chosen = _significant(positive, unlabelled, prior)
     column = {f: i for i, f in enumerate(chosen.tolist())}
     xp, xu = _rows(positive, chosen), _rows(unlabelled, chosen)
     rng = np.random.default_rng(seed)
@@ -121,15 +122,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({f: float(total[i]) for f, i in column.items() if total[i]}, bias)
 
 
-def _significant(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features that are more frequent among the positives, by the z score of the two shares."""
+def _significant(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """Features that are more frequent among the positives, by the z score of the two shares.
+
+    They must also be three times as frequent as among the negatives, whose share the prior implies.
+    """
     (p, np_), (u, nu_) = _holders(positive), _holders(unlabelled)
     at = np.minimum(np.searchsorted(u, p), len(u) - 1)
     in_u = np.where(u[at] == p, nu_[at], 0)
     a, b = np_ / len(positive), in_u / len(unlabelled)
     pooled = (np_ + in_u) / (len(positive) + len(unlabelled))
     z = (a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
-    good = (z >= MIN_Z) & (np_ >= MIN_COUNT) & (a >= 3 * b)
+    negative = np.maximum(b - prior * a, 0) / max(1 - prior, 1e-3)
+    good = (z >= MIN_Z) & (np_ >= MIN_COUNT) & (a >= 3 * negative)
     order = np.argsort(-z[good], kind="stable")[:MAX_FEATURES]
     return np.sort(p[good][order])
 

@@ -182,6 +182,23 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.4, 0.6])
+def test_toxicity_at_any_share_of_toxic_rows(share):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 7))) for _ in range(400)]
+    texts, toxic = [], []
+    for _ in range(2000):
+        text = rng.choices(words, k=rng.randint(20, 120))
+        toxic.append(rng.random() < share)
+        if toxic[-1]:
+            text[rng.randrange(len(text))] = rng.choice(["gruxle", "gruxlen", "zwopf"])
+        texts.append(" ".join(text))
+    rows = [np.sort(np.array([x for w in toxicity.words_of(t) for x in toxicity.features_of(w)], np.uint32)) for t in texts[:1600]]
+    model = toxicity.fit([x for x, y in zip(rows, toxic) if y], rows, sum(toxic[:1600]) / 1600)
+    predicted = [x >= 0.5 for x in model.scores(texts[1600:], {})]
+    assert sum(a == b for a, b in zip(predicted, toxic[1600:])) > 0.97 * 400
+
+
 def test_toxic_term_at_the_end_of_a_long_run(spark):
     df, labels, _ = labelled(spark)
     model = toxicity.train(df, labels)
