@@ -184,6 +184,7 @@ class Member:
     name: str
     start: int  # of the data in the file
     size: int
+    method: int = 0  # 0: stored, 8: deflated, -1: encrypted
 
 
 def _read(f: BinaryIO, start: int, size: int) -> bytes:
@@ -216,7 +217,7 @@ def _directory(f: BinaryIO, length: int) -> tuple[int, int, int]:
 
 
 def members(f: BinaryIO, length: int) -> list[Member]:
-    """The stored members of a ZIP file, from its central directory."""
+    """The members of a ZIP file, stored or not, from its central directory."""
     offset, size, count = _directory(f, length)
     directory, at, out = _read(f, offset, size), 0, []
     for _ in range(count):
@@ -236,23 +237,51 @@ def members(f: BinaryIO, length: int) -> list[Member]:
                 packed = next(wide) if packed == 0xFFFFFFFF else packed
                 header_at = next(wide) if header_at == 0xFFFFFFFF else header_at
             extra = extra[4 + n :]
-        if method != 0 or flags & 1:
-            continue  # compressed or encrypted: can't be read by range
         local = _read(f, header_at, 30)
         if local[:4] != b"PK\x03\x04":
             raise ValueError("broken local header")
         start = header_at + 30 + sum(struct.unpack_from("<HH", local, 26))
-        out.append(Member(name, start, packed))
+        out.append(Member(name, start, packed, -1 if flags & 1 else method))
     return out
 
 
-def index_entries(f: BinaryIO, index: Member) -> Iterator[dict]:
-    """Entries of an index, read a block at a time."""
-    rest, at = b"", index.start
-    end = index.start + index.size
+def _blocks(f: BinaryIO, member: Member) -> Iterator[bytes]:
+    at, end = member.start, member.start + member.size
     while at < end:
         block = _read(f, at, min(1 << 20, end - at))
         at += len(block)
+        yield block
+
+
+def _inflated(blocks: Iterator[bytes], wbits: int) -> Iterator[bytes]:
+    """Of one deflated stream or (31) any number of gzip streams, at most a MB at a time."""
+    stream = zlib.decompressobj(wbits)
+    begun = False
+    for block in blocks:
+        while block:
+            begun = True
+            yield stream.decompress(block, 1 << 20)
+            block = stream.unconsumed_tail
+            if stream.eof:
+                block, begun = stream.unused_data, False
+                if wbits < 0:
+                    break
+                stream = zlib.decompressobj(wbits)
+    while begun and not stream.eof:
+        if not (more := stream.decompress(stream.unconsumed_tail, 1 << 20)):
+            raise ValueError("index ends within a compressed stream")
+        yield more
+
+
+def index_entries(f: BinaryIO, index: Member) -> Iterator[dict]:
+    """Entries of an index, read a block at a time."""
+    rest = b""
+    blocks = _blocks(f, index)
+    if index.method == 8:
+        blocks = _inflated(blocks, -15)
+    if index.name.endswith(".gz"):
+        blocks = _inflated(blocks, 31)
+    for block in blocks:
         lines = (rest + block).split(b"\n")
         rest = lines.pop()
         yield from (json.loads(x[x.index(b"{") :]) for x in lines if x.strip())
@@ -271,13 +300,18 @@ def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
                 fs, at = filesystem(path)
                 with fs.open_input_file(at) as f:
                     found = {m.name: m for m in members(f, f.size())}
-                    for name, m in found.items():
-                        if not name.startswith("indexes/"):
-                            continue
+                    indexes = [m for name, m in found.items() if name.startswith("indexes/") and not name.endswith("/")]
+                    if not indexes:
+                        raise ValueError(f"no index in {path}")
+                    for m in indexes:
+                        if m.method not in (0, 8):
+                            raise ValueError(f"index {m.name} of {path} can't be read")
                         chunk: list[tuple[int, int]] = []
                         held = 0
                         for entry in index_entries(f, m):
-                            data = found["archive/" + entry["filename"]]
+                            data = found.get("archive/" + entry["filename"])
+                            if data is None or data.method != 0:  # compressed or encrypted: can't be read by range
+                                raise ValueError(f"archive/{entry['filename']} of {path} is {'missing' if data is None else 'not stored plain'}")
                             start, size = int(entry["offset"]), int(entry["length"])
                             if start + size > data.size:
                                 raise ValueError("index entry beyond its archive")

@@ -133,6 +133,32 @@ def test_damage_is_noticed(spark, tmp_path):
         warc_zip.members(io.BytesIO(b"no archive"), 10)
 
 
+def test_packages_with_compressed_or_missing_members(spark, tmp_path):
+    packed = warc_zip._gzip(warc_zip.record(1, "u", b"abc", warc_zip.sha1_base32(b"abc"), None))
+    lines = [('{"filename": "data.warc.gz", "offset": "0", "length": "%d"}\n' % len(packed)).encode()] * 30_000
+
+    def read(name, index, raw, index_method=zipfile.ZIP_STORED, data_method=zipfile.ZIP_STORED, data="archive/data.warc.gz"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr(data, packed, data_method)
+            if index:
+                z.writestr(index, raw, index_method)
+        return warc_zip.read_packages(spark.createDataFrame([(str(tmp_path / name),)], "path string")).count()
+
+    plain = b"".join(lines)
+    gz = warc_zip._gzip(b"".join(lines[:20_000])) + warc_zip._gzip(b"".join(lines[20_000:]))
+    assert read("a.wacz", "indexes/index.cdxj", plain, zipfile.ZIP_DEFLATED) == 30_000
+    assert read("b.wacz", "indexes/index.cdx.gz", gz) == 30_000
+    assert read("c.wacz", "indexes/index.cdx.gz", gz, zipfile.ZIP_DEFLATED) == 30_000
+    for name, args in {
+        "no_index.wacz": (None, b""),
+        "deflated.wacz": ("indexes/index.cdxj", plain, zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED),
+        "missing.wacz": ("indexes/index.cdxj", plain, zipfile.ZIP_STORED, zipfile.ZIP_STORED, "other/data.warc.gz"),
+        "bzip2.wacz": ("indexes/index.cdxj", plain, zipfile.ZIP_BZIP2),
+    }.items():
+        with pytest.raises(Exception, match=name):
+            read(name, *args)
+
+
 # ---- classifiers -------------------------------------------------------------
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, part string"
