@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, toxicity, warc_zip
+from firmscope.llm import bpe, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, toxicity, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (
+    op1_warc_zip,
+    op2_exact_dedup,
+    op3_mixing,
+    op4_toxicity,
+    op5_bpe,
+    op6_minhash,
+    op7_spotsigs,
+    op8_lines,
+    op9_secrets,
+    op10_quality,
+    op11_html,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_exact_dedup, op3_mixing, op4_toxicity, op5_bpe, op6_minhash, op7_spotsigs, op8_lines, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
