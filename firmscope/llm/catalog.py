@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, toxicity, warc_zip
+from firmscope.llm import bpe, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, token_alignment, toxicity, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_warc_zip,
     op2_exact_dedup,
@@ -76,6 +80,7 @@ QUERIES = (
     op9_secrets,
     op10_quality,
     op11_html,
+    op12_alignment,
 )
 
 
