@@ -260,10 +260,10 @@ def _archive_running_total(c: Ctx) -> DataFrame:
     ),
 )
 def _scan_delimited(c: Ctx) -> DataFrame:
-    """Establishments file written in the registry dialect and scanned back."""
+    """Establishments files written in the registry dialect and scanned back, by byte ranges."""
     out = _scratch(c, "csv")
     c.establishments_raw.write.mode("overwrite").options(**zipshards.REGISTRY_CSV_WRITE).csv(out)
-    return delimited.scan_delimited(c.spark, out, schemas.ESTABLISHMENTS_RAW)
+    return delimited.scan_splittable(c.spark, out, schemas.ESTABLISHMENTS_RAW)
 
 
 @query(

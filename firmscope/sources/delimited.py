@@ -10,14 +10,18 @@ occurs in the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope import schemas
 from firmscope.functions.clean import parse_code, scrub_chars, scrubbed_count
+from firmscope.session import ship_package
 
 NEVER_PRESENT = "\u0001"
 
@@ -48,12 +52,118 @@ def scan_delimited(
     instead of being padded or truncated.  ``multiLine`` keeps quoted line
     breaks inside one field; it makes each file one task, which is why the
     zip expansion cuts archives into several parts at record boundaries.
+    Large files given directly are read by :func:`scan_splittable`.
     """
     opts = {**REGISTRY_CSV_OPTIONS, **overrides}
     paths = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.schema(schema).options(**opts).csv(paths)
 
 
+LINE_SCHEMA = "file string, range long, line long, value binary, quotes long, before long, ends_outside long, ends_inside long"
+RANGE_SCHEMA = "file string, range long, quotes long, outside long, inside long"
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
+    """Runs of lines of one byte range (file, range, value), in order, with what stands before each line.
+
+    Whether a range begins inside quotes isn't known yet, so the records that end
+    before a line are counted for both cases.
+    """
+    last, carry = None, [0, 0, 0, 0]  # lines, quotes, record ends of both cases so far in the range
+    for batch in batches:
+        where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        starts = [k for k in range(len(where)) if k == 0 or where[k] != where[k - 1]]
+        for at, stop in zip(starts, [*starts[1:], len(where)]):
+            if where[at] != last:
+                last, carry = where[at], [0, 0, 0, 0]
+            run = batch.slice(at, stop - at)
+            own = {"quotes": pc.count_substring(run.column(2), '"').to_numpy(zero_copy_only=False).astype(np.int64)}
+            seen = carry[1] + np.cumsum(own["quotes"])
+            own |= {"ends_outside_here": (seen % 2 == 0).astype(np.int64), "ends_inside_here": (seen % 2 == 1).astype(np.int64)}
+            totals = [np.ones(len(seen), np.int64), *own.values()]
+            names = ["line", "before", "ends_outside", "ends_inside"]
+            own |= {name: c + np.cumsum(x) - x for name, c, x in zip(names, carry, totals)}
+            carry = [c + int(x.sum()) for c, x in zip(carry, totals)]
+            yield run, own
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run, own in _walk(batches):
+        columns = [run.column(0), run.column(1), own["line"], run.column(2), own["quotes"], own["before"], own["ends_outside"], own["ends_inside"]]
+        names = ["file", "range", "line", "value", "quotes", "before", "ends_outside", "ends_inside"]
+        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+
+
+def _range_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run, own in _walk(batches):
+        sums = [pa.array([int(own[k].sum())], pa.int64()) for k in ("quotes", "ends_outside_here", "ends_inside_here")]
+        yield pa.RecordBatch.from_arrays([run.column(0).slice(0, 1), run.column(1).slice(0, 1), *sums], names=["file", "range", "quotes", "outside", "inside"])
+
+
+def scan_splittable(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: T.StructType,
+    **overrides: str,
+) -> DataFrame:
+    """The rows of :func:`scan_delimited`, with files of any size read by many tasks.
+
+    Spark's text source cuts a file into byte ranges of whole lines.  A first pass
+    counts the quotes and record ends of each range and returns no lines; prefix sums
+    over the ranges of a file (one row each) tell whether a range begins inside quotes and how many records
+    end before it.  In the second pass a line that begins and ends outside of quotes is
+    a record; only the lines of records with line breaks in a field are shuffled, by
+    file and record number, and put together, across ranges too.  Records are parsed by
+    the JVM's CSV parser with the same options.
+
+    Defined cases: records end with a line feed, with or without a carriage return;
+    empty lines between records are skipped; a file that ends inside quotes, a record
+    with too few or too many fields, and a line separator of another kind fail the job;
+    a quote inside an unquoted field isn't part of the dialect; an empty file has no rows.
+    """
+    ship_package(spark)
+    opts = {**REGISTRY_CSV_OPTIONS, **overrides}
+    charset = opts.pop("encoding")
+    if opts["quote"] != '"' or opts["escape"] != '"':
+        raise ValueError("a splittable scan needs quotes that are escaped by doubling")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    raw = raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("range"),
+        F.col("value").cast("binary").alias("value"),
+    )
+    lines = raw.mapInArrow(_numbered, LINE_SCHEMA)
+    totals = [F.sum(c).alias(c) for c in ("quotes", "outside", "inside")]
+    ranges = raw.mapInArrow(_range_totals, RANGE_SCHEMA).groupBy("file", "range").agg(*totals)
+    order = Window.partitionBy("file").orderBy("range")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("parity", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    ranges = ranges.withColumn("ends", F.when(F.col("parity") == 0, F.col("outside")).otherwise(F.col("inside")))
+    odd = (F.sum("quotes").over(Window.partitionBy("file")) % 2) == 1
+    ranges = ranges.select(
+        F.col("file").alias("of_file"),
+        F.col("range").alias("of_range"),
+        F.when(odd, F.raise_error(F.concat(F.lit("ends inside quotes: "), "file"))).otherwise(F.col("parity")).alias("parity"),
+        F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("records"),
+    )
+    placed = lines.join(ranges, (F.col("file") == F.col("of_file")) & (F.col("range") == F.col("of_range")), "left")
+    placed = placed.withColumn("parity", F.coalesce("parity", F.raise_error(F.lit("a file has changed during the scan")).cast("bigint")))
+    inside = (F.col("before") + F.col("parity")) % 2 == 1
+    record = F.col("records") + F.when(F.col("parity") == 0, F.col("ends_outside")).otherwise(F.col("ends_inside"))
+    placed = placed.select("file", "range", "line", "value", "quotes", inside.alias("inside"), record.alias("record"))
+    alone = ~F.col("inside") & (F.col("quotes") % 2 == 0)
+    text = F.decode(F.col("value"), charset)
+    pieces = placed.filter(~alone).groupBy("file", "record")
+    joined = pieces.agg(F.array_sort(F.collect_list(F.struct("range", "line", text.alias("text")))).alias("lines"))
+    texts = placed.filter(alone).select(text.alias("text")).union(
+        joined.select(F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    )
+    texts = texts.select(F.regexp_replace("text", "\r\\z", "").alias("text")).filter("text <> ''")
+    parsed = texts.select(F.from_csv("text", schema.simpleString()[len("struct<") : -1].replace(":", " "), {**opts, "lineSep": "\n"}).alias("row"))
+    return parsed.select("row.*")
+
+
 def shard_running_total(df: DataFrame, shard: str | Column) -> DataFrame:
     """Rows per shard and the running total in shard order.
 

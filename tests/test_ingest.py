@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import zipfile
 
 import pytest
@@ -189,3 +190,62 @@ def test_queries_run_from_any_folder(tmp_dir):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", program], cwd="/tmp", env=env, capture_output=True, text=True, timeout=200)
     assert "rows " in got.stdout and int(got.stdout.split("rows ")[1]) > 0, got.stderr[-800:]
+
+
+# --- splittable scan ------------------------------------------------------------
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    """Byte ranges of some hundred bytes, so that records span them."""
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+THREE = schemas.text_schema(["a", "b", "c"])
+
+
+def _random_file(rng, records: int) -> bytes:
+    def cell() -> bytes:
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice([b'""', b"", b"1,5", "São".encode("latin-1"), b" x "])
+        pieces = [b"a", b"\n", b'""', b";", "ç".encode("latin-1"), b"\\", b" ", b"\n\n"]
+        return b'"' + b"".join(rng.choices(pieces, k=rng.choice([0, 3, 12, 900 if kind < 0.32 else 5]))) + b'"'
+
+    rows = [b"%d;%s;%s\n" % (i, cell(), cell()) + (b"\n" if rng.random() < 0.05 else b"") for i in range(records)]
+    return b"".join(rows) + rng.choice([b"", b'z;y;"no line end"'])
+
+
+def test_splittable_scan_equals_the_whole_file_scan(spark, tmp_dir, small_ranges):
+    rng = random.Random(11)
+    for k in range(3):
+        with open(f"{tmp_dir}/f{k}.csv", "wb") as f:
+            f.write(_random_file(rng, 150))
+    open(f"{tmp_dir}/empty.csv", "w").close()
+    want = sorted(map(str, delimited.scan_delimited(spark, tmp_dir, THREE).collect()))
+    got = delimited.scan_splittable(spark, tmp_dir, THREE)
+    assert got.schema == THREE and sorted(map(str, got.collect())) == want
+    ranges = spark.read.text(tmp_dir).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    assert ranges > 30  # of four files
+    assert delimited.scan_splittable(spark, f"{tmp_dir}/empty.csv", THREE).count() == 0
+
+
+def test_splittable_scan_with_carriage_returns(spark, tmp_dir, small_ranges):
+    with open(f"{tmp_dir}/crlf.csv", "wb") as f:
+        f.write(b'1;"a\r\nb"\r\n\r\n2;c\r\n' * 100)
+    rows = [tuple(r) for r in delimited.scan_splittable(spark, f"{tmp_dir}/crlf.csv", TWO).collect()]
+    assert sorted(rows) == sorted([("1", "a\r\nb"), ("2", "c")] * 100)
+
+
+@pytest.mark.parametrize("text", [b"1;2\n3\n", b"1;2;3\n", b'1;"never closed\n' * 3])
+def test_splittable_scan_fails_on_damage(spark, tmp_dir, text):
+    with open(f"{tmp_dir}/bad.csv", "wb") as f:
+        f.write(text)
+    with pytest.raises(Exception):
+        delimited.scan_splittable(spark, f"{tmp_dir}/bad.csv", TWO).collect()
