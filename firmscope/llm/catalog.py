@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmscope.llm import bpe, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, token_alignment, toxicity, warc_zip
+from firmscope.llm import bpe, collocations, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, quality, secrets, spotsigs, token_alignment, toxicity, warc_zip
 from firmscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_warc_zip,
     op2_exact_dedup,
@@ -81,6 +85,7 @@ QUERIES = (
     op10_quality,
     op11_html,
     op12_alignment,
+    op13_collocations,
 )
 
 
