@@ -42,51 +42,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.bpe import byte_alphabet, vocabulary
+from firmscope.llm.bpe import PATTERN, SETTLED, byte_alphabet, vocabulary
 from firmscope.llm.common import stored, workers
 
 CHUNK = 1 << 16  # code points of a text that one task encodes at a time
 FAN = 16
 BLOCK_LINKS = 4_000_000
-REMEMBERED = 300_000  # units kept per tokenizer and worker
-UNIT_CHARS = 64
 
-# A unit ends before a space that follows something else: both tokenizers begin anew there.
-UNIT_END = re.compile(r"(?<=\S) ")
 # The first tokenizer's pre-tokenizer surely ends a piece here (before the second character).
 PIECE_END = re.compile(r"(?<=\S)[ \t\r\n]|(?<=[^\W\d_])[,.;:!?()、。，；：！？]")
+#: From this code point on, the libraries' tables of letters and numbers may differ.
+UNSETTLED = re.compile(f"[{chr(SETTLED)}-{chr(0x10FFFF)}]")
+LONG_RUN = 1000  # characters without a space, or spaces, that are left to the slower library
 
 
-class _Units:
-    """Ids of units (words with the space before them), as bytes; a bounded table of them is kept."""
+def _checked(text: str, ids: list[int], bytes_of: list[bytes]) -> np.ndarray | None:
+    """The ids, None where the tokens' bytes aren't the text's."""
+    return np.array(ids, np.uint32) if b"".join(map(bytes_of.__getitem__, ids)) == text.encode() else None
 
-    def __init__(self):
-        self.known: dict[str, bytes | None] = {}
-        self.long: list[str] = []  # of the last call, not kept
-
-    def learn(self, units: set[str]) -> dict[str, bytes | None]:
-        """A table that has all these units."""
-        for u in self.long:
-            del self.known[u]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(units - self.known.keys())
-        self.known.update(zip(new, self.encode_units(new)))
-        self.long = [u for u in new if len(u) > UNIT_CHARS]
-        return self.known
-
-    def checked(self, texts: list[bytes], ids: list[list[int]]) -> list[bytes | None]:
-        """The ids as bytes, None where the tokens' bytes aren't the text's."""
-        own = self.bytes_of
-        return [np.array(x, "<u4").tobytes() if b"".join(map(own.__getitem__, x)) == t else None for t, x in zip(texts, ids)]
 
+class ByteLevel:
+    """The first tokenizer: byte-level BPE in the JSON form of the tokenizers library, special strings as plain text.
 
-class ByteLevel(_Units):
-    """The first tokenizer: byte-level BPE in the JSON form of the tokenizers library, special strings as plain text."""
+    Where the file's ids are its merge ranks, as usual, plain texts are encoded by tiktoken, which gives the same ids faster.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,32 +80,36 @@ class ByteLevel(_Units):
             spec = json.load(f)
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ids = spec["model"]["vocab"] | special
-        self.bytes_of = [b""] * (max(ids.values()) + 1)
-        for token, i in ids.items():
-            self.bytes_of[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
-
-    def _encode(self, texts: list[str]) -> list[bytes | None]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return self.checked([t.encode() for t in texts], [x.ids for x in found])
-
-    def encode_units(self, units: list[str]) -> list[bytes | None]:
-        return self._encode([" " + u for u in units])
-
-    def encode_rest(self, text: str) -> bytes | None:
-        """A stretch that begins without a space, where a piece begins."""
-        return self._encode([text])[0]
+        vocab = spec["model"]["vocab"]
+        usual = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
+        self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        for token, i in [*usual.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.bytes_of[i] = token
+        merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
+        ranked = [vocab[m] for m in merged] == list(range(256, 256 + len(merged)))
+        split = spec["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.fast = None
+        if ranked and plain and not spec["normalizer"] and not spec["model"].get("ignore_merges"):
+            self.fast = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=usual, special_tokens={})
+
+    def encode(self, text: str, begins: bool) -> np.ndarray | None:
+        """Ids of a stretch at whose start a piece begins; a space is put before a whole text's start."""
+        text = " " + text if begins else text
+        simple = self.fast and (text.isascii() or not UNSETTLED.search(text))
+        if simple and max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text:
+            return _checked(text, self.fast.encode_ordinary(text), self.bytes_of)
+        return _checked(text, self.tokenizer.encode(text, add_special_tokens=False).ids, self.bytes_of)
 
     def cut_after(self, text: str, at: int) -> int:
         found = PIECE_END.search(text, at)
         return found.start() if found else len(text)
 
 
-class Pieces(_Units):
+class Pieces:
     """The second tokenizer: a sentencepiece model with byte fallback."""
 
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -133,28 +120,24 @@ class Pieces(_Units):
         ]
         usual = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
         self.adjacent = {p[k : k + 2] for p in usual for k in range(len(p) - 1)}
-        if any("\n" in p for p in usual) or any(p[1] == "▁" != p[0] for p in self.adjacent):
-            raise ValueError(f"{path}: pieces with line ends, or spaces after other characters, can't be cut into units")
-        self.space = self.model.piece_to_id("▁")
-
-    def encode_units(self, units: list[str]) -> list[bytes | None]:
-        ids = [x or [self.space] for x in self.model.encode(units, num_threads=1)] if units else []
-        return self.checked([b" " + u.encode() for u in units], ids)
+        if any("\n" in p for p in usual):
+            raise ValueError(f"{path}: pieces with line ends, a text can't be cut")
 
-    def encode_rest(self, text: str) -> bytes | None:
-        ids = self.model.encode("\n" + text)[2:]  # without the space and the line end, which never merge with what follows
-        return self.checked([text.encode()], [ids])[0]
+    def encode(self, text: str, begins: bool) -> np.ndarray | None:
+        """Ids of a stretch at whose start no piece can begin earlier; the model puts a space before a whole text."""
+        if begins:
+            return _checked(" " + text, self.model.encode(text), self.bytes_of)
+        # The space and the line end never merge with what follows, and go again.
+        return _checked(text, self.model.encode("\n" + text)[2:], self.bytes_of)
 
     def cut_after(self, text: str, at: int) -> int:
-        plain = text[at - 1 : at + 4096].replace(" ", "▁")
-        while True:
+        while at < len(text):
+            plain = text[at - 1 : at + 4096].replace(" ", "▁")
             for k in range(len(plain) - 1):
                 if plain[k : k + 2] not in self.adjacent:
                     return at + k
-            if at + len(plain) - 1 >= len(text):
-                return len(text)
             at += len(plain) - 1
-            plain = text[at - 1 : at + 4096].replace(" ", "▁")
+        return len(text)
 
 
 @dataclass
@@ -190,41 +173,49 @@ class Fragment:
 FRAGMENT_SCHEMA = ", ".join(
     f"{f.name} {'binary' if f.name == 'groups' or f.type == 'np.ndarray' else 'boolean' if f.type == 'bool' else 'long'}" for f in fields(Fragment)
 )
-_WORDS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_CELLS: dict[int, np.ndarray] = {}
 
 
-def _numbers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of the numbers below ``size``, inside a group's side and at its end."""
+def _cells(size: int) -> np.ndarray:
+    """Eight bytes for each number below ``size`` and what may follow it: comma, bar, semicolon; zero bytes at the end."""
     width = 1 << max(16, (size - 1).bit_length())
-    if width not in _WORDS:
-        _WORDS[width] = tuple(np.array([f"{i}{end}".encode() for i in range(width)], object) for end in (",", ""))
-    return _WORDS[width]
+    if width not in _CELLS:
+        if width > 10**7:
+            raise ValueError("ids of more than seven digits")
+        _CELLS[width] = np.array([[f"{i}{end}".encode() for i in range(width)] for end in ",|;"], "S8").view("<u8")
+    return _CELLS[width]
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> bytes:
     """``a1,a2|b1;`` of each group; ``*_last`` are the places of the last tokens."""
-    inner, bare = _numbers(int(max(a.max(initial=0), b.max(initial=0))) + 1)
-    counts_a, counts_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    group_a, group_b = np.repeat(np.arange(len(a_last)), counts_a), np.repeat(np.arange(len(b_last)), counts_b)
-    # Each group has two more entries, for its separators.
-    place_a = np.arange(len(a)) + (b_last - counts_b + 1)[group_a] + 2 * group_a
-    place_b = np.arange(len(b)) + (a_last + 1)[group_b] + 2 * group_b + 1
-    out = np.empty(len(a) + len(b) + 2 * len(a_last), object)
-    text_a, text_b = inner[a], inner[b]
-    text_a[a_last], text_b[b_last] = bare[a[a_last]], bare[b[b_last]]
-    out[place_a], out[place_b] = text_a, text_b
-    out[place_a[a_last] + 1], out[place_b[b_last] + 1] = b"|", b";"
-    return b"".join(out.tolist())
+    comma, bar, semicolon = _cells(int(max(a.max(initial=0), b.max(initial=0))) + 1)
+    text_a, text_b = comma[a], comma[b]
+    text_a[a_last], text_b[b_last] = bar[a[a_last]], semicolon[b[b_last]]
+    # A group's tokens of A stand behind the tokens of B of the groups before, its tokens of B behind its own of A too.
+    behind_a, behind_b = np.concatenate([[0], b_last[:-1] + 1]), a_last + 1
+    out = np.empty(len(a) + len(b), "<u8")
+    out[np.arange(len(a)) + np.repeat(behind_a, np.diff(a_last, prepend=-1))] = text_a
+    out[np.arange(len(b)) + np.repeat(behind_b, np.diff(b_last, prepend=-1))] = text_b
+    return out.tobytes().translate(None, b"\0")
+
+
+def _common(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places on both sides of the tokens that end together."""
+    if not len(a_ends) or not len(b_ends):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    low = min(a_ends[0], b_ends[0])
+    flags = np.zeros((2, max(a_ends[-1], b_ends[-1]) - low + 1), bool)
+    flags[0, a_ends - low] = flags[1, b_ends - low] = True
+    return np.flatnonzero(flags[1, a_ends - low]), np.flatnonzero(flags[0, b_ends - low])
 
 
 def scan(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Fragment:
     """The fragment of tokens that follow one another on each side."""
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    if not len(common):
+    at_a, at_b = _common(a_ends, b_ends)
+    if not len(at_a):
         return Fragment(head_a=a, head_a_ends=a_ends, head_b=b, head_b_ends=b_ends, n_a=len(a), n_b=len(b))
-    at_a, at_b = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
     (p, q), (x, y) = (at_a[0] + 1, at_b[0] + 1), (at_a[-1] + 1, at_b[-1] + 1)
-    closed = len(common) - 1
+    closed = len(at_a) - 1
     return Fragment(
         a[:p], a_ends[:p], b[:q], b_ends[:q], a[x:], a_ends[x:], b[y:], b_ends[y:],
         (a[at_a[1:]].astype(np.int64) << 32) | b[at_b[1:]],
@@ -276,25 +267,15 @@ class Aligner:
         self.a, self.b = ByteLevel(first), Pieces(second)
         self.sizes = [np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b)]
 
-    def units(self, text: str, begins: bool) -> tuple[str | None, list[str]]:
-        """A stretch without a space before it (None if there is none), then the units."""
-        parts = UNIT_END.split(text if begins or not text.startswith(" ") else text[1:])
-        return (None, parts) if begins or text.startswith(" ") else (parts[0], parts[1:])
-
-    def fragments(self, chunks: list[tuple[bool, str, int, str, int]]) -> Iterator[Fragment]:
-        """Of each (begins a text, A's characters, their byte offset, B's characters, their byte offset)."""
-        split = [(self.units(a, begins) if a or begins else (None, []), self.units(b, begins) if b or begins else (None, [])) for begins, a, _, b, _ in chunks]
-        tables = [t.learn(set().union(*(s[k][1] for s in split))) for k, t in enumerate((self.a, self.b))]
-        for sides, (_, _, at_a, _, at_b) in zip(split, chunks):
-            streams, ok = [], True
-            for (rest, units), table, tokenizer, sizes, at in zip(sides, tables, (self.a, self.b), self.sizes, (at_a, at_b)):
-                found = [*([tokenizer.encode_rest(rest)] if rest is not None else []), *map(table.__getitem__, units)]
-                if None in found:
-                    ok = False
-                    break
-                ids = np.frombuffer(b"".join(found), "<u4")
-                streams += [ids, at + np.cumsum(sizes[ids])]
-            yield scan(*streams) if ok else Fragment(ok=False)
+    def fragment(self, begins: bool, a: str, at_a: int, b: str, at_b: int) -> Fragment:
+        """Of A's characters and their byte offset, and B's; ``begins``: a text's start."""
+        streams = []
+        for text, tokenizer, sizes, at in ((a, self.a, self.sizes[0], at_a), (b, self.b, self.sizes[1], at_b)):
+            ids = tokenizer.encode(text, begins)
+            if ids is None:
+                return Fragment(ok=False)
+            streams += [ids, at + np.cumsum(sizes[ids])]
+        return scan(*streams)
 
     def chunks(self, text: str, size: int) -> Iterator[tuple[bool, str, int, str, int]]:
         """What each byte range of a text gives to the tokenizers."""
@@ -383,12 +364,9 @@ def _aligned(df: DataFrame, id_col: str, text_col: str, first: str | None, secon
         def found() -> Iterator[tuple[pa.Array, Fragment]]:
             aligner = loaded(first, second)
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    some = batch.slice(at, 200)
-                    rows = [t or "" for t in some.column(1).to_pylist()]
-                    fragments = aligner.fragments([(True, t, 0, t, 0) for t in rows])
-                    for k, (text, f) in enumerate(zip(rows, fragments)):
-                        yield some.column(0).slice(k, 1), f if text else Fragment(ok=False)
+                for k, text in enumerate(batch.column(1)):
+                    text = text.as_py()
+                    yield batch.column(0).slice(k, 1), aligner.fragment(True, text, 0, text, 0) if text else Fragment(ok=False)
 
         yield from _blocks(found())
 
@@ -409,7 +387,7 @@ def _aligned(df: DataFrame, id_col: str, text_col: str, first: str | None, secon
         for batch in batches:
             for k in range(batch.num_rows):
                 part = tuple(batch.column(c)[k].as_py() for c in range(3, 8))
-                yield _fragment_row([batch.column(c).slice(k, 1) for c in range(3)], next(aligner.fragments([part])))
+                yield _fragment_row([batch.column(c).slice(k, 1) for c in range(3)], aligner.fragment(*part))
 
     def composed(table: pa.Table) -> pa.Table:
         table = table.sort_by("no").combine_chunks()
