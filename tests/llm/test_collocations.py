@@ -17,7 +17,7 @@ def plain(rows, longest=3, least=10, absorb=50, top=2000):
     """The result for [(lang, text)]."""
     by_lang = {}
     for lang, text in rows:
-        f = by_lang.setdefault(lang or "und", Counter())
+        f = by_lang.setdefault("und" if lang is None else lang, Counter())
         for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
             words = re.findall("[^\x20\x09]+", piece)
             for k in range(1, longest + 1):
