@@ -277,8 +277,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     links = stored(linking.confirmed(plausible(pairs), sets, set_of), "line-links")
     labels = linking.forest(links)
-    large = linking.open_buckets(linking.labelled(members, labels)).join(sizes, "node")
-    labels = stored(linking.close_large(stored(large, "line-open"), labels, sets, set_of), "line-labels")
+    labels = stored(linking.close_large(members, labels, sizes, sets, set_of), "line-labels")
 
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.btrim("line", F.lit(SPACES))

@@ -61,10 +61,16 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def open_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets with members in more than one component."""
-    keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return rows.join(keys, "key", "left_semi")
+def outsiders(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, ...) that lie outside their bucket's main component, with ``main``.
+
+    The main component of a bucket is the one of most members.  Buckets whose members
+    lie in one component give nothing; of the others only these rows leave the join.
+    """
+    rows = labelled(members, labels)
+    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mains = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return rows.join(mains.select("key", F.col("main.label").alias("main")), "key").filter("label <> main")
 
 
 def forest(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -76,28 +82,36 @@ def forest(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def close_large(
-    large: DataFrame,
+    members: DataFrame,
     labels: DataFrame,
+    sizes: DataFrame,
     sets: DataFrame,
     decode: Decode = stored_set,
 ) -> DataFrame:
-    """Components after all links inside the open large buckets; ``labels`` are those so far.
+    """Components after all links inside the large buckets; ``labels`` are those so far.
 
-    ``large`` has key, node, label and n (set size).  Three steps, each exact:
+    ``members`` has key and node, ``sizes`` node and n (set size).  Buckets of one main
+    component are one group from the start: it holds that component and, once each, the
+    members of these buckets that lie outside, however many buckets they share.  Three
+    steps, each exact:
 
-    * A member that shares too few shingles with all others of these buckets to reach
+    * A member that shares too few shingles with all others of these groups to reach
       the threshold with any of them is set aside: of its n shingles, ``own`` are its
-      own, and a partner has at least the smallest size in the bucket and four fifths
+      own, and a partner has at least the smallest size in the group and four fifths
       of n.
-    * The rest are compared with the most central member of the bucket, the one with
+    * The rest are compared with the most central member of the group, the one with
       the smallest share of own shingles, and the confirmed links join components.
     * What is still in different components is compared through the differences from
       the centre: two members have in common the centre's shingles that neither
       misses, and the extra ones that both have.  That gives the full intersection,
       so only linked pairs are emitted.
     """
-    if large.isEmpty():
+    outside = stored(outsiders(members, labels).select("main", "node").distinct(), "outside")
+    if outside.isEmpty():
         return labels
+    mains = outside.select(F.col("main").alias("label")).distinct()
+    inside = labels.join(mains, "label").select(F.col("label").alias("main"), "node").union(mains.select("label", F.col("label").alias("node")))
+    large = stored(labelled(outside.union(inside).join(sizes, "node").select("main", "node", "n"), labels), "large")
 
     def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +129,13 @@ def close_large(
         .groupBy("node")
         .agg(F.count(F.lit(1)).alias("own"))
     )
-    least = large.groupBy("key").agg(F.min("n").alias("least"))
-    able = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(least, "key")
-    able = stored(open_buckets(able.filter("9 * (n - own) >= 4 * (n + greatest(least, (4 * n + 4) div 5))")), "large")
+    least = large.groupBy("main").agg(F.min("n").alias("least"))
+    able = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(least, "main")
+    able = stored(able.filter("9 * (n - own) >= 4 * (n + greatest(least, (4 * n + 4) div 5))"), "able")
     centrality = F.struct((F.col("own") / F.col("n")).alias("x"), "node")
-    centre = able.groupBy("key").agg(F.min(centrality).alias("centre"))
-    # Buckets with one centre are one group from here on: their members meet once, not in every table.
-    groups = able.join(centre, "key").select(F.col("centre.node").alias("centre"), "node", "n", "own", "label").distinct()
+    centre = able.groupBy("main").agg(F.min(centrality).alias("centre"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    # Groups with one centre are one group from here on.
+    groups = able.join(centre, "main").select(F.col("centre.node").alias("centre"), "node", "n", "own", "label").distinct()
     groups = stored(groups, "groups")
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

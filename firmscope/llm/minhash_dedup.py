@@ -3,7 +3,9 @@
 A document's set holds its distinct word shingles (64-bit fingerprints).  Two
 collections of ``SIDE`` half keys, each of ``ROWS`` minhashes, are computed; the key
 of table (i, j) combines half key i of the first with half key j of the second, so
-``SIDE * SIDE`` tables cost ``2 * SIDE * ROWS`` minhashes.  Two documents share a table
+``SIDE * SIDE`` tables cost ``2 * SIDE * ROWS`` minhashes.  Half keys that only one
+document has are dropped before they are combined, and buckets of equal members are
+one.  Two documents share a table
 exactly if they share a half key in each collection: with 10 and 2, a pair at
 similarity 0.8 is missed with a probability of 7e-5, at 0.85 of 6e-6.
 
@@ -12,11 +14,12 @@ emits all its pairs:
 
 1. every member is compared with the smallest and the largest member (buckets of
    two: the one pair), and the confirmed links make a first set of components;
-2. a bucket whose members lie in one component is done;
-3. in larger open buckets (over ``linking.SMALL`` members), members that can't reach the
-   threshold with any other (an upper bound from the number of shingles that no
-   other member has) are set aside, and the rest are compared with the most
-   central member;
+2. a bucket whose members lie in one component is done, and of the others only the
+   members outside the main component go on;
+3. larger open buckets (over ``linking.SMALL`` members) of one main component are one
+   group: members that can't reach the threshold with any other (an upper bound from
+   the number of shingles that no other member has) are set aside, and the rest are
+   compared with the most central member;
 4. what is left: a member outside the central member's component is compared with
    those members of other components that an upper bound, from what each has and
    lacks against the centre, allows.  Nothing is capped.
@@ -127,18 +130,35 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """Components (node, label) of the classes."""
+def _table_keys(classes: DataFrame) -> DataFrame:
+    """node and key of the tables that a class may share with another.
+
+    A table is shared only by classes that share both half keys, so half keys of one
+    holder are dropped first: 20 short rows a class are counted, not 100.
+    """
+    half = classes.select("node", F.posexplode("half").alias("place", "value"))
+    shared = half.groupBy("place", "value").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    kept = half.join(shared.select("place", "value"), ["place", "value"])
+    sides = kept.groupBy("node").agg(F.collect_list(F.struct("place", "value")).alias("kept"))  # at most 2 * SIDE
     tables = F.expr(
-        f"transform(sequence(0, {SIDE * SIDE - 1}), t -> xxhash64(t, half[t div {SIDE}], half[{SIDE} + t % {SIDE}]))"
+        f"flatten(transform(filter(kept, x -> x.place < {SIDE}), x -> transform(filter(kept, y -> y.place >= {SIDE}),"
+        " y -> xxhash64(x.place, x.value, y.place, y.value))))"
     )
-    keys = classes.select("node", F.explode(tables).alias("key"))
-    buckets = stored(
-        keys.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .filter("c > 1"),
-        "buckets",
+    return sides.select("node", F.explode(tables).alias("key"))
+
+
+def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """Components (node, label) of the classes."""
+    keys = stored(_table_keys(classes), "keys")
+    every = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.min("node").alias("lo"),
+        F.max("node").alias("hi"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(seed))).alias("y"),
     )
+    # Buckets of the same members (by number, ends and a 128-bit fingerprint) count once.
+    buckets = stored(every.filter("c > 1").groupBy("c", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "lo", "hi"), "buckets")
     members = stored(keys.join(buckets.filter("c > 2"), "key"), "members")
     first = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("lo", "hi"):
@@ -161,19 +181,17 @@ def _links(df: DataFrame, sketch: DataFrame, classes: DataFrame, id_col: str, te
 
     links = stored(linking.confirmed(first, sets), "links")
     labels = linking.forest(links)
-    rows = linking.open_buckets(linking.labelled(members, labels))
-    rows = stored(rows.join(classes.select("node", "n"), "node"), "open")
 
-    # Small open buckets: the pairs across components that step 1 hasn't compared.
-    small = rows.filter(f"c <= {linking.SMALL} and node <> lo and node <> hi").select("key", "node", "label")
-    other = small.select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
-    pairs = small.join(other, "key").filter("label < label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    # Small open buckets: the pairs across components that step 1 hasn't compared; one of a pair lies outside the main component.
+    small = members.filter(f"c <= {linking.SMALL} and node <> lo and node <> hi").select("key", "node")
+    left = linking.outsiders(small, labels).select("key", "node", "label")
+    right = linking.labelled(small, labels).select("key", F.col("node").alias("node2"), F.col("label").alias("label2"))
+    pairs = left.join(right, "key").filter("label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
     new = linking.confirmed(_plausible(pairs, classes), sets)
 
     labels = linking.forest(stored(new, "links"), labels)
-    # Large open buckets.
-    large = linking.open_buckets(linking.labelled(rows.filter(f"c > {linking.SMALL}").select("key", "node", "n"), labels))
-    return linking.close_large(large, labels, sets)
+    large = members.filter(f"c > {linking.SMALL}").select("key", "node")
+    return linking.close_large(large, labels, classes.select("node", "n"), sets)
 
 
 def near_groups(
@@ -215,8 +233,14 @@ def near_groups(
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of the documents that stay, with all their columns; of rows that share an id, all stay if one does."""
-    gone = fresh(df, "gone")
-    found = near_groups(df, id_col, text_col, words).groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("kept"))
-    dropped = found.filter("not kept").select(gone)
-    return df.join(dropped, df[id_col].eqNullSafe(dropped[gone]), "left_anti")
+    """One row of each group of linked rows, with all its columns: the one of the smallest id (null ids last).
+
+    Rows are told apart by a number of their own, so null and repeated ids are no
+    exception; rows without words all stay.
+    """
+    row, ident = fresh(df, "row"), "id"
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    place = F.struct(rows[id_col].isNull().alias("missing"), rows[id_col].alias("id"), rows[row].alias("row"))
+    found = near_groups(rows.select(place.alias(ident), rows[text_col].alias("text")), ident, "text", words)
+    dropped = found.filter("not kept").select(F.col("doc_id.row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*[rows[c] for c in df.columns])

@@ -1,6 +1,7 @@
 """Exact, near and line deduplication and mixing against brute force and SQL."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -155,11 +156,48 @@ def test_near_groups_cases(spark):
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == near_by_hand(NEAR, 4)
     stay = minhash_dedup.deduplicate(frame(spark, NEAR), words=4)
     assert stay.columns == ["doc_id", "text", *NAMES]
-    assert sorted(r.doc_id or -1 for r in stay.collect()) == [-1, -1, 2, 3, 4, 6, 7, 8, 10, 11, 12, 13, 13]
+    assert sorted(r.doc_id or -1 for r in stay.collect()) == [-1, 2, 3, 4, 6, 7, 8, 10, 11, 12, 13]
     assert minhash_dedup.near_groups(frame(spark, [])).count() == 0
     assert minhash_dedup.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    """Null ids, one id for many rows, whole rows repeated: against union-find over all pairs."""
+    rng = random.Random(12)
+    texts = [t for _, t in cloud(40, 21) + cloud(30, 22, length=60, most=9)] + ["", None, "two words"]
+    rows = [(rng.choice([None, None, 1, 2, 3, k]), t) for k, t in enumerate(texts) for _ in range(rng.choice([1, 1, 2]))]
+    df = frame(spark, rows).repartition(5)
+    stay = [tuple(r) for r in minhash_dedup.deduplicate(df, words=4).select("doc_id", "text").collect()]
+    sets = [set(minhash_dedup.shingles(t, 4).tolist()) for _, t in rows]
+    u = Union(len(rows))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            u.join(i, j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(u.find(i), []).append(i)
+    assert len(stay) == len(groups) < len(rows) - 10
+    left = list(stay)
+    for members in groups.values():
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in members)
+        fitting = [rows[i] for i in members if (rows[i][0] is None, rows[i][0] or 0) == least and rows[i] in left]
+        assert fitting, members
+        left.remove(fitting[0])
+    assert not left
+
+
+def test_half_keys_of_one_holder_drop_no_shared_table(spark):
+    rng = random.Random(3)
+    half = [[rng.randrange(40) for _ in range(2 * minhash_dedup.SIDE)] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(half)), "node long, half array<long>")
+    keys = {}
+    for r in minhash_dedup._table_keys(df).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    for i, j in itertools.combinations(range(60), 2):
+        a, b = (sum(x == y for x, y in zip(half[i][s], half[j][s])) for s in (slice(0, 10), slice(10, 20)))
+        assert len(keys.get(i, set()) & keys.get(j, set())) == a * b
+
+
 # ---- lines -------------------------------------------------------------------
 
 
