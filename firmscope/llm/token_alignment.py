@@ -37,6 +37,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ class ByteLevel:
         text = " " + text if begins else text
         simple = self.fast and (text.isascii() or not UNSETTLED.search(text))
         if simple and max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text:
-            return _checked(text, self.fast.encode_ordinary(text), self.bytes_of)
+            return np.array(self.fast.encode_ordinary(text), np.uint32)  # every byte is some token's: nothing to check
         return _checked(text, self.tokenizer.encode(text, add_special_tokens=False).ids, self.bytes_of)
 
     def cut_after(self, text: str, at: int) -> int:
@@ -325,7 +326,8 @@ class _Block:
 
     def batch(self) -> pa.RecordBatch:
         """The rows; the first also has the block's distinct pairs, the others only have their links' numbers."""
-        pairs, codes, counts = np.unique(np.concatenate(self.links), return_inverse=True, return_counts=True)
+        codes, pairs = pd.factorize(np.concatenate(self.links))
+        counts = np.bincount(codes, minlength=len(pairs))
         order = np.argsort(-counts, kind="stable")  # frequent pairs get small numbers
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
