@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import stored, workers
+from firmscope.llm.common import partitions, stored, workers
 
 BLOCK_WORDS = 4_000_000
 SLICE = 2_000_000  # bytes of text split at a time
@@ -163,50 +163,111 @@ def _grouped(relation: DataFrame) -> DataFrame:
 
 
 def _frequent(groups: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The rows of the groups with at least ``least`` occurrences over all blocks, with that number as ``f``."""
-    return groups.withColumn("f", F.sum("count").over(Window.partitionBy(*by))).filter(F.col("f") >= least)
+    """The rows of the groups with at least ``least`` occurrences over all blocks: block, the group's columns,
+    f (that number), part and local (the group's number in its partition), first (on one row of each group).
 
+    The rows of a group, one for each block at most, stream through one task in order.
+    """
+    columns = ["block", *by, "count"]
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """Rows with dense numbers from 1 in a column ``id``; below 2 ** 31, so that two fit a key."""
-    parts = stored(groups.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "groups")
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first"))  # a row for each partition
-    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
-    number = F.col("row") - F.col("first") + F.col("before") + 1
-    checked = F.when(number < 2**31, number).otherwise(F.raise_error(F.lit("more than 2 ** 31 frequent phrases of one length")))
-    return parts.join(sizes.select("part", "first", before.alias("before")), "part").withColumn("id", checked).drop("part", "row", "first", "before")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, local = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []  # rows of the last group so far
+
+        def told(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            nonlocal local
+            sizes = np.diff(np.append(starts, rows.num_rows))
+            f = np.add.reduceat(rows.column("count").to_numpy(), starts)
+            frequent = f >= least
+            number = local + np.cumsum(frequent) - 1
+            local += int(frequent.sum())
+            first = np.zeros(rows.num_rows, bool)
+            first[starts] = True
+            keep = np.repeat(frequent, sizes)
+            extra = [np.repeat(f, sizes)[keep], np.full(int(keep.sum()), part, np.int32), np.repeat(number, sizes)[keep], first[keep]]
+            kept = rows.select(["block", *by]).filter(pa.array(keep))
+            return pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, extra)], names=["block", *by, "f", "part", "local", "first"])
+
+        def whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return pieces[0] if len(pieces) == 1 else pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
 
-def _renumbered(relation: DataFrame, told: DataFrame, first: bool) -> DataFrame:
-    """Semi-join of each block with its frequent groups (block, key, id): the next relation, of their ids."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = np.zeros(batch.num_rows, bool)  # rows at which a group begins
+            begins[0] = not held or any(batch.column(c)[0] != held[-1].column(c)[-1] for c in by)
+            for c in by:
+                values = batch.column(c)
+                begins[1:] |= pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(begins)
+            if not len(starts):
+                held.append(batch)
+                continue
+            if held:
+                yield told(whole([*held, batch.slice(0, starts[0])]), np.array([0]))
+            if len(starts) > 1:
+                yield told(batch.slice(starts[0], starts[-1] - starts[0]), starts[:-1] - starts[0])
+            held = [batch.slice(starts[-1])]
+        if held:
+            yield told(whole(held), np.array([0]))
+
+    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in ["block", *by])
+    dealt = groups.select(*columns).repartition(partitions(groups), *by).sortWithinPartitions(*by)
+    return stored(dealt.mapInArrow(run, f"{kinds}, f long, part int, local long, first boolean"), "frequent")
+
+
+def _offsets(found: DataFrame) -> np.ndarray:
+    """What to add to the local numbers of each partition so that the groups are numbered from 1 without gaps.
+
+    One number for each partition comes to the driver.  Numbers stay below 2 ** 31, so that two fit a key.
+    """
+    sizes = {r.part: r.size for r in found.groupBy("part").agg((F.max("local") + 1).alias("size")).collect()}
+    each = np.zeros(max(sizes, default=0) + 2, np.int64)
+    each[[p + 1 for p in sizes]] = list(sizes.values())
+    if each.sum() >= 2**31:
+        raise OverflowError("more than 2 ** 31 frequent phrases of one length")
+    return np.cumsum(each)[:-1] + 1
+
+
+def _numbered(found: DataFrame, offsets: np.ndarray) -> DataFrame:
+    """One row for each group, with its number as ``id``."""
+    places = found.sparkSession.createDataFrame(list(enumerate(offsets.tolist())), "part int, before long")
+    return found.filter("first").join(places, "part").withColumn("id", F.col("before") + F.col("local")).drop("block", "part", "local", "first", "before")
+
+
+def _renumbered(relation: DataFrame, found: DataFrame, offsets: np.ndarray, first: bool) -> DataFrame:
+    """Semi-join of each block with its frequent groups: the next relation, of their numbers."""
 
     def of_words(mine: pa.Table, known: pa.Table) -> pa.Table:
         mine = mine.combine_chunks()
         words = mine["words"].chunk(0).flatten()
         ids = np.zeros(len(words) + 1, np.uint32)
-        ids[pc.index_in(known["key"], value_set=words).to_numpy().astype(np.int64) + 1] = known["id"].to_numpy()
+        ids[pc.index_in(known["key"], value_set=words).to_numpy().astype(np.int64) + 1] = ids_of(known)
         return out(mine, ids[_unpack(mine["relation"][0].as_py())])
 
     def of_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
         numbers = _unpack(mine["relation"][0].as_py())
         at, keys = _adjacent(numbers)
         order = np.argsort(known["key"].to_numpy())
-        wanted, ids = known["key"].to_numpy()[order], known["id"].to_numpy()[order]
+        wanted, ids = known["key"].to_numpy()[order], ids_of(known)[order]
         place = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
         hit = wanted[place] == keys if len(wanted) else np.zeros(len(keys), bool)
         new = np.zeros(len(numbers), np.uint32)
         new[at[hit]] = ids[place[hit]]
         return out(mine, new)
 
+    def ids_of(known: pa.Table) -> np.ndarray:
+        return (offsets[known["part"].to_numpy()] + known["local"].to_numpy()).astype(np.uint32)
+
     def out(mine: pa.Table, numbers: np.ndarray) -> pa.Table:
         return pa.table({"block": mine["block"], "relation": pa.array([_pack(numbers)], pa.binary())})
 
     columns = ["block", "relation", "words"] if first else ["block", "relation"]
-    pairs = relation.select(*columns).groupBy("block").cogroup(told.groupBy("block"))
+    told = found.select("block", "key", "part", "local").groupBy("block")
+    pairs = relation.select(*columns).groupBy("block").cogroup(told)
     return pairs.applyInArrow(of_words if first else of_pairs, "block long, relation binary")
 
 
-
 def _scored(phrases: DataFrame, words: int) -> DataFrame:
     """With score, l and r of the lowest-scoring cut, of equal ones the first."""
     cuts = [
@@ -242,20 +303,19 @@ def collocations(
 
     each = relation.select("block", "lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     found = _frequent(each.select("block", "lang", F.col("x.words").alias("key"), F.col("x.counts").alias("count")), ["lang", "key"], least)
-    found = stored(found, "frequent")
-    numbered = stored(_numbered(found.select("lang", "key", "f").distinct()), "numbered")
+    offsets = _offsets(found)
+    numbered = stored(_numbered(found, offsets), "numbered")
     phrases = numbered.select("id", "lang", F.array("key").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    told = found.join(numbered.select("lang", "key", "id"), ["lang", "key"]).select("block", "key", "id")
-    relation = stored(_renumbered(relation, stored(told, "told"), first=True), "relation")
+    relation = stored(_renumbered(relation, found, offsets, first=True), "relation")
 
     kept = []
     for length in range(2, longest + 1):
         groups = _grouped(relation)
         if length < longest:
-            found = stored(_frequent(groups, ["key"], least), "frequent")
-            numbered = stored(_numbered(found.select("key", "f").distinct()), "numbered")
-            told = stored(found.join(numbered.select("key", "id"), "key").select("block", "key", "id"), "told")
-            relation = stored(_renumbered(relation, told, first=False), "relation")
+            found = _frequent(groups, ["key"], least)
+            offsets = _offsets(found)
+            numbered = stored(_numbered(found, offsets), "numbered")
+            relation = stored(_renumbered(relation, found, offsets, first=False), "relation")
         else:
             numbered = groups.groupBy("key").agg(F.sum("count").alias("f")).filter(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
         parts = numbered.select("id", "f", F.expr("key >> 32").alias("left"), F.expr("key & 4294967295").alias("right"))

@@ -41,6 +41,23 @@ def workers(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 100_000
+
+
+def partitions(df: DataFrame, growth: float = 1.0) -> int:
+    """Into how many parts to deal ``df`` where adaptive execution can't choose: from the size of its input.
+
+    One part for each ``PARTITION_BYTES`` of the files that the plan reads, times
+    ``growth``, at least the session's ``spark.sql.shuffle.partitions``.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # rows from the driver have no known size, and are few
+    wanted = min(MOST_PARTITIONS, int(growth * size) // PARTITION_BYTES + 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}
