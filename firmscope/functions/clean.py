@@ -85,6 +85,10 @@ def opening_date_ok(
     return F.coalesce(ok, F.lit(False))
 
 
+#: What :func:`quarantine_reason` can say.
+QUARANTINE_REASONS = ["missing", "malformed", "impossible_date", "before_floor", "after_as_of"]
+
+
 def quarantine_reason(
     c: ColumnOrName,
     as_of: str | _dt.date | Column,

@@ -15,9 +15,10 @@ gate fails, naming every failure.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from firmscope.functions.clean import DEFAULT_DATE_FLOOR, _date_lit, pct
@@ -102,6 +103,11 @@ def gate_metrics(
         gate_duplicates(gold).scalar().alias("duplicates"),
         companies_raw.agg(F.count(F.lit(1))).scalar().alias("bronze_rows"),
     )
+    return _gate_rows(one, rules)
+
+
+def _gate_rows(one: DataFrame, rules: GateRules) -> DataFrame:
+    """The gates of one row of measures."""
     retention = pct(F.col("rows"), F.col("bronze_rows"), 2)
     r = rules
     gates = [
@@ -127,6 +133,47 @@ def gate_metrics(
     return one.select(F.inline(rows))
 
 
+class Measured:
+    """Gold's measures, taken while it is written: rows, null and out-of-range dates, rows per decade.
+
+    The decades between the date floor and ``as_of`` are counted one by one.  Should
+    rows of other decades be written, the concentration is taken from the files.
+    """
+
+    def __init__(self, as_of: str | dt.date, floor: str | dt.date = DEFAULT_DATE_FLOOR):
+        self.as_of, self.floor = as_of, floor
+        self.decades = range(int(str(floor)[:4]) // 10 * 10, int(str(as_of)[:4]) + 1, 10)
+        self.seen = Observation(f"gold {uuid.uuid4().hex}")
+
+    def observe(self, gold: DataFrame) -> DataFrame:
+        d, decade = F.col("opened_on"), decade_of(F.col("opened_on"))
+        return gold.observe(
+            self.seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(d.isNull()).alias("null_dates"),
+            F.count_if((d < _date_lit(self.floor)) | (d > _date_lit(self.as_of))).alias("out_of_range"),
+            *[F.count_if(decade == x).alias(f"decade {x}") for x in self.decades],
+        )
+
+    def gate_metrics(self, staged: DataFrame, bronze_rows: int, rules: GateRules = GateRules()) -> DataFrame:
+        """All gates as rows, like :func:`gate_metrics`; only the keys of the written files are read again."""
+        seen = self.seen.get
+        counts = [seen["null_dates"], *(seen[f"decade {x}"] for x in self.decades)]
+        if sum(counts) == seen["rows"]:
+            share = pct(F.lit(max(counts)), F.lit(seen["rows"]), 1)
+        else:
+            share = gate_decade_concentration(staged).scalar()
+        return _gate_rows(
+            gate_duplicates(staged).select(
+                F.col("value").alias("duplicates"),
+                *[F.lit(seen[k]).cast("bigint").alias(k) for k in ("rows", "null_dates", "out_of_range")],
+                F.lit(bronze_rows).cast("bigint").alias("bronze_rows"),
+                share.alias("decade_pct"),
+            ),
+            rules,
+        )
+
+
 def run_gates(metrics: DataFrame) -> list[tuple]:
     """Evaluate the gate table on the driver (six rows) and raise on failure."""
     rows = [tuple(r) for r in metrics.orderBy("position").collect()]

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmscope.functions.clean import (
     DEFAULT_DATE_FLOOR,
+    QUARANTINE_REASONS,
     capital_unparsable,
     normalise_key,
     opening_date_ok,
@@ -68,6 +69,11 @@ def quarantine_reasons(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def reason_counts() -> list[Column]:
+    """Rejected rows per reason, as aggregates that a write can observe."""
+    return [F.count_if(F.col("reason") == reason).alias(reason) for reason in QUARANTINE_REASONS]
+
+
 def build_gold(
     companies_raw: DataFrame,
     establishments_raw: DataFrame,
@@ -104,6 +110,7 @@ def build_gold(
 def capital_parse_report(companies_raw: DataFrame) -> DataFrame:
     """Rows whose capital text could not be parsed (they were set to 0, D8)."""
     return companies_raw.agg(
+        F.count(F.lit(1)).alias("companies"),
         F.count_if(capital_unparsable(F.col("capital_social"))).alias("unparsable_capital"),
         F.count_if(F.col("capital_social").isNull()).alias("null_capital"),
     )

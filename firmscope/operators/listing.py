@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope import schemas
+from firmscope.operators import ranges
 from firmscope.operators.aggregates import mean_money
 
 LISTING_COLUMNS = ["company_id", "legal_name", "share_capital", "opened_on", "sector", "city"]
@@ -160,6 +161,14 @@ def filter_options(ref_activity: DataFrame, ref_city: DataFrame) -> DataFrame:
     return sectors.unionByName(cities)
 
 
+def ranked_options(options: DataFrame) -> DataFrame:
+    """The option lists with each description's place in accent-aware order, from 1.
+
+    Places come from ranges of the order (:mod:`firmscope.operators.ranges`), so no list is ordered in one task.
+    """
+    return ranges.dense_ranks(options, [F.collate(F.col("description"), "UNICODE")], "place", ["kind"])
+
+
 def sorted_options(options: DataFrame) -> DataFrame:
     """The two option lists in accent-aware order."""
     return options.orderBy("kind", F.collate(F.col("description"), "UNICODE"))
@@ -212,11 +221,10 @@ def segment_kpis(
 ) -> DataFrame:
     """KPIs (companies, total and mean capital) of every saved segment, one row per favourite.
 
-    The table is reduced once to (sector, city) cells, combined map-side.  Each
-    of the four wildcard patterns (sector and city, sector only, city only,
-    everything) then keeps the cells that some segment of that pattern asks
-    for, and adds them up, so the work follows the segments in use and not all
-    pairs of sector and city.
+    One scan: the table is reduced to (activity, city) code pairs, combined map-side,
+    and labelled.  Each cell then counts in up to four wildcard patterns (sector and
+    city, sector only, city only, everything); only what some segment asks for is
+    added up, and one join hands the sums to the segments.
     """
     by_code = (
         companies.where(F.col("share_capital") > 0)
@@ -224,28 +232,32 @@ def segment_kpis(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("share_capital").alias("cap"))
     )
     cells = companies_labelled(by_code, ref_activity, ref_city, positive_capital=False)
-    found = None
-    for keys in (["sector", "city"], ["sector"], ["city"], []):
-        free = [k for k in ("sector", "city") if k not in keys]
-        used = segments
-        for k in keys:
-            used = used.where(F.col(f"seg_{k}").isNotNull())
-        for k in free:
-            used = used.where(F.col(f"seg_{k}").isNull())
-        wanted = used.select(*[F.col(f"seg_{k}").alias(k) for k in keys])
-        kept = cells.join(wanted.distinct(), keys, "left_semi") if keys else cells
-        sums = kept.groupBy(*keys).agg(
-            F.sum("n").alias("companies"), F.sum("cap").cast("decimal(28,2)").alias("total_capital")
-        )
-        part = sums.select(
-            *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(f"_{k}") for k in ("sector", "city")],
-            "companies",
-            "total_capital",
+    # A cell of a pattern: whether the sector and the city are given, and their names ('' where not).
+    given = [(by_sector, by_city) for by_sector in (True, False) for by_city in (True, False)]
+    patterns = [
+        F.struct(
+            F.lit(by_sector).alias("by_sector"),
+            F.lit(by_city).alias("by_city"),
+            (F.col("sector") if by_sector else F.lit("")).alias("of_sector"),
+            (F.col("city") if by_city else F.lit("")).alias("of_city"),
         )
-        found = part if found is None else found.union(part)
-    matched = segments.join(
-        found, segments.seg_sector.eqNullSafe(found._sector) & segments.seg_city.eqNullSafe(found._city), "left"
+        for by_sector, by_city in given
+    ]
+    keys = ["by_sector", "by_city", "of_sector", "of_city"]
+    asked = segments.select(
+        "*",
+        F.col("seg_sector").isNotNull().alias("by_sector"),
+        F.col("seg_city").isNotNull().alias("by_city"),
+        F.coalesce("seg_sector", F.lit("")).alias("of_sector"),
+        F.coalesce("seg_city", F.lit("")).alias("of_city"),
+    )
+    cells = cells.select(F.explode(F.array(*patterns)).alias("p"), "n", "cap").select("p.*", "n", "cap")
+    sums = (
+        cells.join(asked.select(*keys).distinct(), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.sum("n").alias("companies"), F.sum("cap").cast("decimal(28,2)").alias("total_capital"))
     )
+    matched = asked.join(sums, keys, "left")
     return matched.select(
         "owner",
         "position",

@@ -19,13 +19,13 @@ SURVIVAL_POINTS = [0.5, 0.05, 0.25, 0.75, 0.95]
 SURVIVAL_COLUMNS = ["median", "p05", "q1", "q3", "p95"]
 
 
-def closed_durations(companies: DataFrame) -> DataFrame:
-    """Closed companies with a usable closing date, and their days of life."""
+def closed_durations(companies: DataFrame, *more: str) -> DataFrame:
+    """Closed companies with a usable closing date: activity code, days of life and the columns ``more``."""
     return companies.where(
         (F.col("status_code") == schemas.STATUS_CLOSED)
         & F.col("status_on").isNotNull()
         & (F.col("status_on") >= F.col("opened_on"))
-    ).select("activity_code", F.datediff("status_on", "opened_on").alias("days"))
+    ).select("activity_code", F.datediff("status_on", "opened_on").alias("days"), *more)
 
 
 def survival_by_sector(
@@ -44,6 +44,11 @@ def survival_by_sector(
     per_code_day = closed_durations(companies).groupBy("activity_code", "days").agg(
         F.count(F.lit(1)).alias("n")
     )
+    return survival_of_lifetimes(per_code_day, ref_activity, min_count)
+
+
+def survival_of_lifetimes(per_code_day: DataFrame, ref_activity: DataFrame, min_count: int = 1000) -> DataFrame:
+    """``survival_by_sector`` from the histogram (activity_code, days, n)."""
     labelled = per_code_day.join(
         ref_activity, per_code_day.activity_code == ref_activity.code, "left"
     ).select(

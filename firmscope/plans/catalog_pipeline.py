@@ -10,11 +10,11 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmscope import schemas
-from firmscope.operators import gates, gold, listing, marts
+from firmscope.operators import gates, gold, listing, mart_states, marts
 from firmscope.operators.gates import GateRules
 from firmscope.plans import pipeline
 from firmscope.plans.catalog import _SQL, AS_OF, PAD, Ctx, query
@@ -237,15 +237,19 @@ def _ingest_zip_shards(c: Ctx) -> DataFrame:
 
 @query(
     "archive_running_total",
-    "SELECT COUNT(*) AS rows, COUNT(*) AS last_running_total FROM companies_raw",
+    """
+    SELECT 'Empresas' || digit || '.zip' AS archive, COUNT(*) AS rows,
+           CAST(SUM(COUNT(*)) OVER (ORDER BY digit) AS BIGINT) AS running_total
+    FROM (SELECT right(cnpj_basico, 1) AS digit FROM companies_raw) t GROUP BY digit
+    """,
 )
 def _archive_running_total(c: Ctx) -> DataFrame:
-    """Rows per archive with the running total, reduced to the sum of rows and the last total."""
+    """Rows per archive with the running total: an archive for each last digit of the key, written and ingested."""
     src = _scratch(c, "zips")
-    zipshards.write_zip_shards(c.companies_raw, src, "Empresas", 5)
+    zipshards.write_zip_shards(c.companies_raw, src, "Empresas", by=F.right("cnpj_basico", F.lit(1)))
     rows, manifest = zipshards.ingest_zip_shards(c.spark, src, "Empresas*.zip", schemas.COMPANIES_RAW, f"{src}/expanded")
     totals = zipshards.archive_running_total(manifest, rows)
-    return totals.agg(F.sum("rows").alias("rows"), F.max_by("running_total", "shard").alias("last_running_total"))
+    return totals.select(F.regexp_extract("shard", "[^/]+$", 0).alias("archive"), "rows", "running_total")
 
 
 @query(
@@ -280,19 +284,71 @@ def _export_csv(c: Ctx) -> DataFrame:
     return export.read_export(c.spark, path)
 
 
+# Every second description of the options gets accents, so that the order of letters and of bytes differ.
+_ACCENTS = "CASE WHEN length(description) % 2 = 1 THEN translate(description, 'aeou', 'áéóú') ELSE description END"
+
+
 @query(
     "filter_options_sorted",
-    """
-    SELECT DISTINCT 'sector' AS kind, description, dense_rank() OVER (ORDER BY description) AS place FROM ref_activity
-    UNION ALL
-    SELECT DISTINCT 'city', description, dense_rank() OVER (ORDER BY description) FROM ref_city
+    f"""
+    WITH options AS (
+      SELECT DISTINCT 'sector' AS kind, {_ACCENTS} AS description FROM ref_activity
+      UNION ALL SELECT DISTINCT 'city', {_ACCENTS} FROM ref_city)
+    SELECT kind, description,
+           dense_rank() OVER (PARTITION BY kind ORDER BY strip_accents(lower(description)), lower(description), description) AS place
+    FROM options
     """,
 )
 def _filter_options_sorted(c: Ctx) -> DataFrame:
-    """The option lists with each description's place in collation order.
+    """The option lists with each description's place in accent-aware order; half of the descriptions have accents."""
+    accented = [ref.withColumn("description", F.expr(_ACCENTS)) for ref in (c.ref_activity, c.ref_city)]
+    return listing.ranked_options(listing.filter_options(*accented)).select("kind", "description", "place")
 
-    Lookup descriptions, one row each; the place is the rank within its list.
-    """
-    options = listing.filter_options(c.ref_activity, c.ref_city)
-    order = Window.partitionBy("kind").orderBy(F.collate(F.col("description"), "UNICODE"))
-    return options.select("kind", "description", F.dense_rank().over(order).cast("bigint").alias("place"))
+
+def _previous_gold(c: Ctx) -> DataFrame:
+    """A Gold version as of before: some companies not there yet, some gone since, some changed."""
+    g = c.companies
+    digits = F.pmod(F.xxhash64("company_id"), F.lit(20))
+    changed = g.where(digits != 0).withColumns(
+        {
+            "share_capital": F.when(digits == 1, F.col("share_capital") + 100).otherwise(F.col("share_capital")).cast(g.schema["share_capital"].dataType),
+            "status_code": F.when(digits == 2, F.lit(2)).otherwise(F.col("status_code")).cast(g.schema["status_code"].dataType),
+            "city_code": F.when(digits == 3, F.lit(None)).otherwise(F.col("city_code")).cast(g.schema["city_code"].dataType),
+            "state": F.when(digits == 4, F.lit("GONE")).otherwise(F.col("state")),
+            "status_on": F.when(digits == 5, F.date_add("status_on", 40)).otherwise(F.col("status_on")),
+        }
+    )
+    gone = g.where(digits == 6).withColumn("company_id", F.concat(F.lit("gone-"), "company_id"))
+    return changed.unionByName(gone)
+
+
+def _maintained(c: Ctx, name: str) -> DataFrame:
+    """The state of the previous version, changed by the difference to the current one."""
+    old, new = _previous_gold(c), c.companies
+    before = mart_states.state_of(name, mart_states.whole(old))
+    return mart_states.updated(name, before, mart_states.state_of(name, mart_states.difference(old, new)))
+
+
+@query("maintained_growth_by_city", "SELECT * FROM growth_mart")
+def _maintained_growth_by_city(c: Ctx) -> DataFrame:
+    return marts.growth_by_city(mart_states.city_year_counts(_maintained(c, "openings")), c.ref_city)
+
+
+@query("maintained_bubbles_year_city", "SELECT * FROM bubbles_mart")
+def _maintained_bubbles_year_city(c: Ctx) -> DataFrame:
+    return marts.bubbles_year_city(mart_states.city_year_counts(_maintained(c, "openings")), c.ref_city)
+
+
+@query("maintained_sector_treemap", "SELECT * FROM treemap_mart")
+def _maintained_sector_treemap(c: Ctx) -> DataFrame:
+    return mart_states.sector_treemap(_maintained(c, "sectors"), PAD)
+
+
+@query("maintained_region_kpis", "SELECT * FROM (" + _SQL["region_kpis"] + ") k")
+def _maintained_region_kpis(c: Ctx) -> DataFrame:
+    return mart_states.region_kpis(_maintained(c, "regions"))
+
+
+@query("maintained_survival_by_sector", "SELECT * FROM survival_mart")
+def _maintained_survival_by_sector(c: Ctx) -> DataFrame:
+    return marts.survival_of_lifetimes(_maintained(c, "lifetimes"), c.ref_activity, dtab.SURVIVAL_MIN_COUNT)

@@ -25,11 +25,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from firmscope import schemas
-from firmscope.operators import gates, gold, marts
+from firmscope.operators import gates, gold, mart_states, marts
 from firmscope.operators.gates import GateFailure, GateRules
 from firmscope.plans import store
 from firmscope.session import size_shuffles
@@ -39,6 +39,9 @@ COMPANIES_PATTERN = "Empresas*.zip"
 ESTABLISHMENTS_PATTERN = "Estabelecimentos*.zip"
 
 
+AUDIT_SCHEMA = "run_id string, version string, kind string, name string, value double, passed boolean"
+
+
 @dataclass
 class Lookups:
     activity: DataFrame
@@ -172,14 +175,17 @@ def publish_if_valid(
     gold_base = f"{cfg.warehouse}/gold"
     version = store.new_version_path(spark, gold_base)
     built = gold.build_gold(companies_raw, establishments_raw, cfg.as_of, cfg.date_floor)
-    gold.write_gold(built, version)
+    # Measured while they are written, after the last exchange: a task that runs again counts once.
+    written = gates.Measured(cfg.as_of, cfg.date_floor)
+    written.observe(gold.gold_layout(built)).write.mode("overwrite").parquet(version)
     staged = gold.read_gold_files(spark, version)
 
-    metrics = gates.gate_metrics(staged, companies_raw, cfg.as_of, cfg.date_floor, cfg.rules)
+    parsed = gold.capital_parse_report(companies_raw).first()  # one scan of the companies: their number, and what couldn't be parsed
+    metrics = written.gate_metrics(staged, parsed.companies, cfg.rules)
     _, rejected = gold.quarantine_split(establishments_raw, cfg.as_of, cfg.date_floor)
     quarantine = f"{cfg.warehouse}/quarantine/{run_id}"
-    rejected.write.parquet(quarantine)  # the rows themselves, with the reason (D3)
-    rejected = spark.read.parquet(quarantine)
+    reasons = Observation(f"quarantine {run_id}")
+    rejected.observe(reasons, *gold.reason_counts()).write.parquet(quarantine)  # the rows themselves, with the reason (D3)
     audit = metrics.select(
         F.lit(run_id).alias("run_id"),
         F.lit(version).alias("version"),
@@ -187,25 +193,10 @@ def publish_if_valid(
         F.col("gate").alias("name"),
         F.col("value"),
         F.col("passed"),
-    ).unionByName(
-        gold.quarantine_reasons(rejected).select(
-            F.lit(run_id).alias("run_id"),
-            F.lit(version).alias("version"),
-            F.lit("quarantine").alias("kind"),
-            F.col("reason").alias("name"),
-            F.col("rows").cast("double").alias("value"),
-            F.lit(None).cast("boolean").alias("passed"),
-        )
-    )
-    parsing = gold.capital_parse_report(companies_raw).select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(version).alias("version"),
-        F.lit("parse").alias("kind"),
-        F.lit("unparsable_capital").alias("name"),
-        F.col("unparsable_capital").cast("double").alias("value"),
-        F.lit(None).cast("boolean").alias("passed"),
     )
-    audit = audit.unionByName(parsing)
+    counted = [(run_id, version, "quarantine", reason, float(n), None) for reason, n in reasons.get.items() if n]
+    counted.append((run_id, version, "parse", "unparsable_capital", float(parsed.unparsable_capital), None))
+    audit = audit.unionByName(spark.createDataFrame(counted, AUDIT_SCHEMA))
     audit.write.mode("append").parquet(f"{cfg.warehouse}/audit")
     this_run = spark.read.parquet(f"{cfg.warehouse}/audit").where(F.col("run_id") == run_id)
     gate_rows = [
@@ -225,7 +216,7 @@ def publish_if_valid(
 
 def rebuild_marts(
     spark: SparkSession,
-    gold_df: DataFrame,
+    gold_df: DataFrame | None,
     lookups: Lookups,
     warehouse: str,
     registry: dict[str, MartBuilder] | None = None,
@@ -251,6 +242,63 @@ def rebuild_marts(
     return out
 
 
+def current_states(spark: SparkSession, warehouse: str) -> tuple[str, dict[str, DataFrame]] | None:
+    """The Gold version that the published mart states describe, and the states."""
+    version = store.current(spark, f"{warehouse}/mart_states")
+    if version is None:
+        return None
+    described = store.fs(spark, version).read_text(f"{version}/gold_version").strip()
+    return described, {name: spark.read.parquet(f"{version}/{name}") for name in mart_states.STATES}
+
+
+def maintain_marts(
+    spark: SparkSession,
+    warehouse: str,
+    lookups: Lookups,
+    survival_min_count: int = 1000,
+    pad: int | None = 7,
+    keep_versions: int = 3,
+) -> list[tuple]:
+    """Bring the mart states to the current Gold version, and every mart from them.
+
+    The states of the version before, if that Gold version is still there, are changed
+    by the difference of the two; otherwise they are built from Gold.  They are
+    published together, with the version they describe, before the marts: a run that
+    ends early leaves states and marts of the version before, each whole.
+    """
+    version = store.current(spark, f"{warehouse}/gold")
+    if version is None:
+        raise FileNotFoundError(f"no published Gold under {warehouse}")
+    before = current_states(spark, warehouse)
+    if before is None or before[0] != version:
+        new = gold.read_gold_files(spark, version)
+        known = before is not None and store.fs(spark, before[0]).exists(before[0])
+        target = store.new_version_path(spark, f"{warehouse}/mart_states")
+        rows = mart_states.whole(new)
+        if known:
+            change = f"{target}/change"
+            mart_states.difference(gold.read_gold_files(spark, before[0]), new).write.parquet(change)
+            rows = spark.read.parquet(change)
+        for name in mart_states.STATES:
+            state = mart_states.state_of(name, rows)
+            (mart_states.updated(name, before[1][name], state) if known else state).write.parquet(f"{target}/{name}")
+        store.fs(spark, target).write_text(f"{target}/gold_version", version)
+        store.publish(spark, f"{warehouse}/mart_states", target)
+        store.retain(spark, f"{warehouse}/mart_states", keep_versions)
+    states = current_states(spark, warehouse)[1]
+    counts = mart_states.city_year_counts(states["openings"])
+    registry = {
+        "city_year_counts": lambda g, lk: counts,
+        "growth_by_city": lambda g, lk: marts.growth_by_city(counts, lk.city),
+        "bubbles_year_city": lambda g, lk: marts.bubbles_year_city(counts, lk.city),
+        "sector_treemap": lambda g, lk: mart_states.sector_treemap(states["sectors"], pad),
+        "region_kpis": lambda g, lk: mart_states.region_kpis(states["regions"]),
+        "density_by_state": lambda g, lk: marts.density_from_kpis(mart_states.region_kpis(states["regions"])),
+        "survival_by_sector": lambda g, lk: marts.survival_of_lifetimes(states["lifetimes"], lk.activity, survival_min_count),
+    }
+    return rebuild_marts(spark, None, lookups, warehouse, registry, keep_versions)
+
+
 def read_mart(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return store.read_current(spark, f"{warehouse}/marts/{name}")
 

@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,20 +227,25 @@ REGISTRY_CSV_WRITE = {
 }
 
 
-def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int | None = None) -> list[str]:
-    """Write ``df`` as registry-dialect CSV in zipped archives ``{prefix}{k}.zip``
-    (one CSV member each): ``shards`` of them, or one for each partition of ``df``."""
+def write_zip_shards(df: DataFrame, out_dir: str, prefix: str, shards: int | None = None, by: Column | None = None) -> list[str]:
+    """Write ``df`` as registry-dialect CSV in zipped archives ``{prefix}{k}.zip`` (one CSV member each):
+    ``shards`` of them, or one for each value of ``by`` with that value as k, or one for each partition of ``df``."""
     spark = df.sparkSession
     ship_package(spark)
     csv_dir = f"{out_dir}/_csv_{prefix}"
-    (df.repartition(shards) if shards else df).write.mode("overwrite").options(**REGISTRY_CSV_WRITE).csv(csv_dir)
+    if by is not None:
+        writer = df.withColumn("_shard", by).repartition("_shard").write.partitionBy("_shard")
+    else:
+        writer = (df.repartition(shards) if shards else df).write
+    writer.mode("overwrite").options(**REGISTRY_CSV_WRITE).csv(csv_dir)
     fs, path = _fs_and_path(csv_dir)
     from pyarrow import fs as pafs
 
     parts = sorted(
-        i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.is_file and i.base_name.startswith("part-")
+        i.path for i in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if i.is_file and i.base_name.startswith("part-")
     )
-    jobs = [(k, p, f"{out_dir}/{prefix}{k}.zip") for k, p in enumerate(parts)]
+    names = [p.split("/_shard=")[1].split("/")[0] if by is not None else k for k, p in enumerate(parts)]
+    jobs = [(k, p, f"{out_dir}/{prefix}{name}.zip") for k, (p, name) in enumerate(zip(parts, names))]
     listing = spark.createDataFrame(jobs, "idx int, src string, dst string").repartitionByRange(
         max(len(jobs), 1), "idx"
     )

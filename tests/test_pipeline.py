@@ -7,6 +7,7 @@ from firmscope import schemas
 from firmscope.operators import gates, gold
 from firmscope.operators.gates import GateFailure, GateRules
 from firmscope.plans import pipeline, store
+from tests.test_plans import plan_text
 
 AS_OF = "2026-02-28"
 LENIENT = GateRules(min_rows=1, min_retention_pct=50, max_decade_pct=101)
@@ -226,3 +227,47 @@ def test_shuffles_are_sized_from_the_input(spark):
         assert size_shuffles(spark, 100 << 40) == 819_200 and spark.conf.get(key) == "819200"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_gates_are_measured_while_gold_is_written(spark, clean_raw, tmp_dir):
+    """The same gate rows as from a scan of the files; Gold's dates and the quarantine are not read again."""
+    comp, est = clean_raw
+    cfg = pipeline.LoadConfig(warehouse=tmp_dir, as_of=AS_OF, rules=LENIENT)
+    result = pipeline.publish_if_valid(spark, *pipeline.write_bronze(comp, est, tmp_dir), cfg)
+    want = gates.gate_metrics(pipeline.read_gold(spark, tmp_dir), comp, AS_OF, rules=LENIENT)
+    assert sorted(result.gate_rows) == sorted((r.gate, r.value, r.passed) for r in want.collect())
+    audit = spark.read.parquet(f"{tmp_dir}/audit").where(F.col("run_id") == result.run_id)
+    assert {(r.kind, r.name, r.value) for r in audit.where("kind <> 'gate'").collect()} == {
+        ("quarantine", "impossible_date", 1.0), ("parse", "unparsable_capital", 1.0),
+    }
+
+
+def test_only_the_keys_of_written_gold_are_read_for_the_gates(spark, clean_raw, tmp_dir, monkeypatch):
+    seen = []
+    original = gates.Measured.gate_metrics
+    monkeypatch.setattr(gates.Measured, "gate_metrics", lambda self, *a: seen.append(original(self, *a)) or seen[-1])
+    comp, est = clean_raw
+    cfg = pipeline.LoadConfig(warehouse=tmp_dir, as_of=AS_OF, rules=LENIENT)
+    pipeline.publish_if_valid(spark, comp, est, cfg)
+    plan = plan_text(seen[0])
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(scans) == 1 and scans[0].strip().endswith("struct<company_id:string>")
+
+
+def test_rows_outside_the_counted_decades_are_taken_from_the_files(spark, tmp_dir):
+    import datetime as dt
+    from decimal import Decimal
+
+    rows = [(f"{i:08d}", None, None, Decimal(0), dt.date(year, 5, 1), None, None, None, None, None) for i, year in enumerate([1850, 1851, 2001, 2001, 2001])]
+    measured = gates.Measured(AS_OF)
+    measured.observe(spark.createDataFrame(rows, schemas.GOLD)).write.parquet(f"{tmp_dir}/g")
+    staged = spark.read.parquet(f"{tmp_dir}/g")
+    got = {r.gate: r.value for r in measured.gate_metrics(staged, 5).collect()}
+    assert got["date_range"] == 2 and got["decade_concentration"] == 60.0 and got["volume"] == 5
+
+
+def test_an_empty_gold_fails_its_gates(spark, tmp_dir):
+    measured = gates.Measured(AS_OF)
+    measured.observe(spark.createDataFrame([], schemas.GOLD)).write.parquet(f"{tmp_dir}/g")
+    got = {r.gate: r.passed for r in measured.gate_metrics(spark.read.schema(schemas.GOLD).parquet(f"{tmp_dir}/g"), 0, GateRules(min_rows=0)).collect()}
+    assert not got["volume"] and not got["retention"] and not got["decade_concentration"] and got["duplicates"]

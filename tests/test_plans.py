@@ -8,7 +8,7 @@ import pytest
 from firmscope.plans import catalog
 from tests.conftest import SF_SMALL
 
-WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total"}
+WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total", "filter_options_sorted"}
 
 
 def plan_text(df) -> str:
@@ -62,6 +62,20 @@ def test_gold_layout_rebalances_without_sampling(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "rangepartitioning" not in plan
 
 
+def test_segments_scan_the_companies_once(spark):
+    from firmscope.plans.catalog import Ctx
+
+    c = Ctx(spark, SF_SMALL)
+    plan = plan_text(catalog.queries()["segment_kpis"](spark, SF_SMALL))
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line and "share_capital" in line]
+    assert len(scans) == 1, scans
+    assert c.companies.count() > 0
+
+
+def test_the_profile_multiplies_no_row_by_its_columns_before_combining(plans):
+    assert "Expand" not in plans["describe_schema"]
+
+
 def test_nothing_imports_the_training_data_operators():
     import pathlib
     import re
