@@ -2,15 +2,16 @@
 
 The content view sees the text: shares of bigrams of character classes and of
 repeated words.  The metadata view sees what a crawler knows of a page: language,
-source, size and line layout.  Each view has a logistic classifier (numpy).  Over
-``ROUNDS`` rounds each classifier labels a pool of unlabelled documents and hands
-those of which it is most confident, of both classes, to the other one's training
-set.  Each view is then calibrated by Platt scaling on labelled rows kept aside, and
+source, size and line layout.  Each view has a logistic classifier (numpy).  In each of
+``ROUNDS`` rounds the executors score every unlabelled document by both classifiers,
+and each classifier hands the ``GIVEN`` of which it is most confident, of both classes
+as they occur, to the other one's training set.  Each view is then calibrated by Platt scaling on labelled rows kept aside, and
 the calibrated log-odds are averaged, weighted by how well each view separates them.
 
 Bounds (documented parameters): the classifiers are fitted on at most
-``max_labelled`` labelled and ``max_pool`` unlabelled rows, those with the smallest
-hash of their id.  Labels of rows with crc32(id as text) mod 5 = 0 are never used.
+``max_labelled`` labelled rows, those with the smallest hash of their id, and on what
+the rounds hand over; copies of one text, language and source are handed over once.
+Labels of rows with crc32(id as text) mod 5 = 0 are never used.
 Every document is scored.
 
 Defined cases: null text, language or source count as empty; null ids have no label; a
@@ -23,19 +24,19 @@ ignored by :func:`score` and carried by :func:`keep_good`.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import fresh, workers
+from firmscope.llm.common import fresh, stored, workers
 from firmscope.llm.toxicity import held_out
 
-MAX_LABELLED, MAX_POOL = 4_000, 4_000
-ROUNDS, SHARE, CONFIDENT = 5, 0.05, 0.95
+MAX_LABELLED = 4_000
+ROUNDS, GIVEN, CONFIDENT = 3, 300, 0.95
 BUCKETS = 64  # hashed languages and sources
 
 #: Character classes of UTF-8 bytes: signs by themselves, then lower, upper, digit, space, line end, other, non-ASCII.
@@ -50,6 +51,7 @@ CLASS_OF[ord("0") : ord("9") + 1] = DIGIT
 CLASS_OF[[ord(" "), ord("\t")]] = SPACE
 CLASS_OF[ord("\n")] = LINE
 CLASS_OF[128:] = WIDE
+WIDE_VIEW = CLASSES * CLASSES + 3  # numbers of the content view
 
 
 def content_view(text: str | None) -> np.ndarray:
@@ -157,10 +159,12 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.weight * a + (1 - self.weight) * b)
 
 
-def co_train(
-    labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS
-) -> Model:
-    """The two views are pairs (content, metadata) of feature matrices."""
+#: Takes the fitted views and the class shares, returns per view the rows handed over by it: (content, metadata, label).
+Handover = Callable[[list[View], float], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, hand_over: Handover, rounds: int = ROUNDS) -> Model:
+    """``labelled`` is a pair (content, metadata) of feature matrices."""
     if len(set(y.tolist())) < 2:
         return Model(None, None)
     aside = np.arange(len(y)) % 4 == 0  # the rows come in hash order
@@ -168,23 +172,14 @@ def co_train(
         aside = np.zeros(len(y), bool)
     xs = [[v[~aside]] for v in labelled]
     ys = [[y[~aside]], [y[~aside]]]
-    free = np.ones(len(pool[0]), bool)
     fitted = [fit_view(xs[k][0], ys[k][0]) for k in (0, 1)]
     for _ in range(rounds):
-        most = int(SHARE * len(free))
-        given = np.zeros(len(free), bool)
-        for k in (0, 1):
-            p = _sigmoid(fitted[k].margin(pool[k]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = y.mean() if label else 1 - y.mean()
-                able = np.flatnonzero(free & (sure >= CONFIDENT))
-                best = able[np.argsort(-sure[able], kind="stable")][: max(1, int(most * share))]
-                xs[1 - k].append(pool[1 - k][best])
-                ys[1 - k].append(np.full(len(best), label))
-                given[best] = True
-        free &= ~given
+        given = hand_over(fitted, float(y.mean()))
+        for k, rows in enumerate(given):  # what view k is sure of teaches the other one
+            xs[1 - k].append(rows[1 - k])
+            ys[1 - k].append(rows[2])
         fitted = [fit_view(np.concatenate(xs[k]), np.concatenate(ys[k]), fitted[k], 40) for k in (0, 1)]
-        if not given.any():
+        if not any(len(rows[2]) for rows in given):
             break
     check = aside if aside.any() else ~aside
     quality = []
@@ -207,7 +202,8 @@ def train(
     source_col: str = "source",
     label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
-    max_pool: int = MAX_POOL,
+    given: int = GIVEN,
+    rounds: int = ROUNDS,
 ) -> Model:
     workers(df.sparkSession)
     known = (
@@ -218,33 +214,76 @@ def train(
     )
     order = [F.xxhash64(F.col("id")), F.col("id")]
     usable = known.filter(~held_out(F.col("id"))).orderBy(*order).limit(max_labelled)
-    others = df.select(df[id_col].alias("id")).filter("id IS NOT NULL").join(known.select("id"), "id", "left_anti")
-    others = others.orderBy(*order).limit(max_pool).select("id", F.lit(None).cast("int").alias("y"))
-    drawn = usable.select("id", "y").union(others)  # bounded by the two parameters
     rows = df.select(
         df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"), df[source_col].alias("source")
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [views(*row) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            found = [views(*row) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
             packed = [np.concatenate(v).astype(np.float32).tobytes() for v in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "y", "x"]
-            )
-
-    sample = rows.join(F.broadcast(drawn), "id").select("id", "y", "text", "lang", "source")
-    id_type = sample.schema["id"].dataType.simpleString()
-    found = [(r.id, r.y, r.x) for r in sample.mapInArrow(extract, f"id {id_type}, y int, x binary").toLocalIterator()]
-    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))  # the order of arrival must not matter
-    wide = CLASSES * CLASSES + 3
-
-    def matrix(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([np.frombuffer(r, np.float32) for r in raw]) if raw else np.zeros((0, wide + 2 * BUCKETS + 8), np.float32)
-        return x[:, :wide], x[:, wide:]
-
-    y = np.array([r[1] for r in found if r[1] is not None], float)
-    return co_train(matrix([r[2] for r in found if r[1] is not None]), y, matrix([r[2] for r in found if r[1] is None]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "x"])
+
+    def features(some: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature matrices and labels of a bounded number of rows (place, label, text, lang, source), in the order of place."""
+        found = stored(some.select("place", "text", "lang", "source").mapInArrow(extract, "label string, x binary"), "quality-rows").collect()
+        found.sort()
+        x = np.stack([np.frombuffer(r.x, np.float32) for r in found]) if found else np.zeros((0, WIDE_VIEW + 2 * BUCKETS + 8), np.float32)
+        return x[:, :WIDE_VIEW], x[:, WIDE_VIEW:], np.array([float(r.label[-1]) for r in found])
+
+    def place(first: Column, label: Column) -> Column:
+        """Sorts by ``first`` and ends with the label, 0 or 1."""
+        return F.concat(F.hex(first), F.lit(" "), label.cast("string"))
+
+    drawn = F.broadcast(usable.select("id", "y"))  # bounded by max_labelled
+    once = rows.join(drawn, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row"))  # of rows that share an id, one counts
+    content, metadata, y = features(once.select(place(F.xxhash64("id"), F.col("y")).alias("place"), "row.*"))
+
+    # Every unlabelled row; rows of one text, language and source are one, known by their hash.
+    identity = F.xxhash64("text", "lang", "source")
+    pool = rows.join(known.select("id"), "id", "left_anti").select(identity.alias("row"), "text", "lang", "source")
+    gone: set[int] = set()  # handed over before: at most 2 * given a round
+
+    def hand_over(fitted: list[View], share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        edge = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        quota = {1: max(1, int(given * share)), 0: max(1, int(given * (1 - share)))}
+
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The task's surest rows of each view and class: view, label, margin, row."""
+            best: dict[tuple[int, int], list[tuple[float, int]]] = {(k, label): [] for k in (0, 1) for label in (0, 1)}
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = list(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))))
+                for at in range(0, len(ids), 256):
+                    found = [views(*row) for row in texts[at : at + 256]]
+                    for k in (0, 1):
+                        margins = fitted[k].margin(np.stack([f[k] for f in found])).tolist()
+                        for row, margin in zip(ids[at : at + 256], margins):
+                            if abs(margin) >= edge and row not in gone:
+                                best[k, int(margin > 0)].append((-abs(margin), row))
+                for (_, label), held in best.items():
+                    if len(held) > 4 * quota[label]:
+                        held[:] = sorted(set(held))[: quota[label]]
+            out = [(k, label, -m, row) for (k, label), held in best.items() for m, row in sorted(set(held))[: quota[label]]]
+            columns = list(zip(*out)) or [[], [], [], []]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["view", "label", "margin", "row"])
+
+        surest = stored(pool.mapInArrow(sure, "view int, label int, margin double, row long").distinct(), "quality-sure")
+        chosen = []
+        for k in (0, 1):
+            for label in (0, 1):
+                of_class = surest.filter(f"view = {k} AND label = {label}")
+                chosen += of_class.orderBy(F.desc("margin"), "row").limit(quota[label]).collect()
+        gone.update(r.row for r in chosen)
+        if not chosen:
+            return [(content[:0], metadata[:0], y[:0])] * 2
+        taken = df.sparkSession.createDataFrame([(r.view, r.label, r.row) for r in chosen], "view int, label int, row long")
+        texts = pool.join(F.broadcast(taken), "row").groupBy("view", "label", "row").agg(F.min(F.struct("text", "lang", "source")).alias("x"))
+        texts = stored(texts.select("view", place(F.col("row"), F.col("label")).alias("place"), "x.*"), "quality-taken")
+        return [features(texts.filter(F.col("view") == k)) for k in (0, 1)]
+
+    return co_train((content, metadata), y, hand_over, rounds)
 
 
 def score(

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import workers
+from firmscope.llm.common import stored, workers
 
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
 BAGS, STEPS, RATE, LASSO = 3, 300, 0.05, 3e-4
@@ -103,12 +103,11 @@ class Model:
         return out
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
-    """Weights from the features of each document (one array per document, repeats count)."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, seed: int = 7) -> Model:
+    """Weights of the ``chosen`` features from those of each document (one array per document, repeats count)."""
     floor = float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     if not positive or not unlabelled:
         return Model({}, min(floor, -0.1))
-    chosen = _significant(positive, unlabelled, prior)
     column = {f: i for i, f in enumerate(chosen.tolist())}
     xp, xu = _rows(positive, chosen), _rows(unlabelled, chosen)
     rng = np.random.default_rng(seed)
@@ -122,31 +121,37 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({f: float(total[i]) for f, i in column.items() if total[i]}, bias)
 
 
-def _significant(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Features that are more frequent among the positives, by the z score of the two shares.
+def significant(sample: DataFrame, prior: float) -> tuple[np.ndarray, dict[int, int]]:
+    """Features that are more frequent among the positives (part 1) than in the unlabelled rows (part 0), by
+    the z score of the two shares; at most ``MAX_FEATURES`` come to the driver.  Also the rows of each part.
 
     They must also be three times as frequent as among the negatives, whose share the prior implies.
     """
-    (p, np_), (u, nu_) = _holders(positive), _holders(unlabelled)
-    at = np.minimum(np.searchsorted(u, p), len(u) - 1)
-    in_u = np.where(u[at] == p, nu_[at], 0)
-    a, b = np_ / len(positive), in_u / len(unlabelled)
-    pooled = (np_ + in_u) / (len(positive) + len(unlabelled))
-    z = (a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
-    negative = np.maximum(b - prior * a, 0) / max(1 - prior, 1e-3)
-    good = (z >= MIN_Z) & (np_ >= MIN_COUNT) & (a >= 3 * negative)
-    order = np.argsort(-z[good], kind="stable")[:MAX_FEATURES]
-    return np.sort(p[good][order])
-
-
-def _holders(docs: list[np.ndarray], at_once: int = 250) -> tuple[np.ndarray, np.ndarray]:
-    """Features and the number of documents that have each, added up some documents at a time."""
-    found, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-    for at in range(0, len(docs), at_once):
-        more, n = np.unique(np.concatenate([np.unique(x) for x in docs[at : at + at_once]]), return_counts=True)
-        both, place = np.unique(np.concatenate([found, more]), return_inverse=True)
-        found, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
-    return found, counts
+    sizes = {r.part: r["count"] for r in sample.groupBy("part").count().collect()}
+    if 0 not in sizes or 1 not in sizes:
+        return np.empty(0, np.uint32), sizes
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+            part = np.repeat(batch.column(0).to_numpy(), [len(d) for d in docs]).astype(np.int64)
+            doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+            flat = np.concatenate(docs) if docs else np.empty(0, np.uint32)
+            order = np.lexsort((flat, doc))
+            once = np.ones(len(flat), bool)  # a document's first of each feature
+            once[1:] = (flat[order][1:] != flat[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            held, counts = np.unique(flat[order][once].astype(np.int64) * 2 + part[order][once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held // 2), pa.array(held % 2), pa.array(counts.astype(np.int64))], names=["feature", "part", "n"])
+
+    p, u = (F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)) for k in (1, 0))
+    found = sample.mapInArrow(holders, "feature long, part long, n long").groupBy("feature").agg(p.alias("p"), u.alias("u")).filter(F.col("p") >= MIN_COUNT)
+    n, m = float(sizes[1]), float(sizes[0])
+    a, b, pooled = F.col("p") / n, F.col("u") / m, (F.col("p") + F.col("u")) / (n + m)
+    z = (a - b) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n + 1 / m))
+    negative = F.greatest(b - prior * a, F.lit(0.0)) / max(1 - prior, 1e-3)
+    good = found.withColumn("z", z).filter((F.col("z") >= MIN_Z) & (a >= 3 * negative))
+    rows = good.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    return np.sort(np.array([r.feature for r in rows], np.uint32)), sizes
 
 
 def _rows(docs: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -238,14 +243,23 @@ def train(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["part", "features"])
 
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    # The drawn ids are bounded by the two parameters, so they may be broadcast.
-    sample = texts.join(F.broadcast(drawn), "id").select("part", "text")
+    # The drawn ids are bounded by the two parameters, so they may be broadcast; of rows that share one, one counts.
+    drawn_rows = texts.join(F.broadcast(drawn), "id").groupBy("part", "id").agg(F.min("text").alias("text")).select("part", "text")
+    sample = stored(drawn_rows.mapInArrow(extract, "part int, features binary"), "toxicity-sample")
+    chosen, _ = significant(sample, share)
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+            kept = [d[np.isin(d, chosen)].tobytes() for d in docs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["part", "features"])
+
     parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for row in sample.mapInArrow(extract, "part int, features binary").toLocalIterator():
+    for row in sample.mapInArrow(only_chosen, "part int, features binary").collect():  # of chosen features only
         parts[row.part].append(np.frombuffer(row.features, np.uint32))
     for rows in parts.values():
         rows.sort(key=lambda x: (len(x), x.tobytes()))  # the order of arrival must not matter
-    return fit(parts[1], parts[0], share)
+    return fit(parts[1], parts[0], share, chosen)
 
 
 def score(

@@ -6,6 +6,7 @@ import random
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -209,8 +210,21 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def significant_by_hand(positive, unlabelled, prior):
+    holders = [Counter(f for d in docs for f in set(d.tolist())) for docs in (positive, unlabelled)]
+    n, m = len(positive), len(unlabelled)
+    found = []
+    for f, k in holders[0].items():
+        a, b = k / n, holders[1][f] / m
+        pooled = (k + holders[1][f]) / (n + m)
+        z = (a - b) / (max(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m)) ** 0.5
+        if k >= toxicity.MIN_COUNT and z >= toxicity.MIN_Z and a >= 3 * max(b - prior * a, 0) / max(1 - prior, 1e-3):
+            found.append((-z, f))
+    return sorted(f for _, f in sorted(found)[: toxicity.MAX_FEATURES])
+
+
 @pytest.mark.parametrize("share", [0.02, 0.2, 0.4, 0.6])
-def test_toxicity_at_any_share_of_toxic_rows(share):
+def test_toxicity_at_any_share_of_toxic_rows(spark, share):
     rng = random.Random(5)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 7))) for _ in range(400)]
     texts, toxic = [], []
@@ -221,7 +235,12 @@ def test_toxicity_at_any_share_of_toxic_rows(share):
             text[rng.randrange(len(text))] = rng.choice(["gruxle", "gruxlen", "zwopf"])
         texts.append(" ".join(text))
     rows = [np.sort(np.array([x for w in toxicity.words_of(t) for x in toxicity.features_of(w)], np.uint32)) for t in texts[:1600]]
-    model = toxicity.fit([x for x, y in zip(rows, toxic) if y], rows, sum(toxic[:1600]) / 1600)
+    positive, prior = [x for x, y in zip(rows, toxic) if y], sum(toxic[:1600]) / 1600
+    sample = [(1, bytearray(x.tobytes())) for x in positive] + [(0, bytearray(x.tobytes())) for x in rows]
+    chosen, sizes = toxicity.significant(spark.createDataFrame(sample, "part int, features binary").repartition(3), prior)
+    assert sizes == {0: len(rows), 1: len(positive)}
+    assert chosen.tolist() == significant_by_hand(positive, rows, prior)
+    model = toxicity.fit(positive, rows, prior, chosen)
     predicted = [x >= 0.5 for x in model.scores(texts[1600:], {})]
     assert sum(a == b for a, b in zip(predicted, toxic[1600:])) > 0.97 * 400
 
@@ -253,7 +272,7 @@ def test_nonnegative_risk_steps_back_from_overfitting():
     rng = np.random.default_rng(1)
     positive = [np.array([i, 10_000], np.uint32) for i in range(200)]
     unlabelled = [np.array([rng.integers(200, 5000)], np.uint32) for _ in range(900)] + [np.array([i, 10_000], np.uint32) for i in range(100)]
-    model = toxicity.fit(positive, unlabelled, 0.1)
+    model = toxicity.fit(positive, unlabelled, 0.1, np.unique(np.concatenate(positive)))
     shared = model.weights[10_000] + model.bias
     assert shared > 0 > model.bias and abs(shared) < 20
 
@@ -288,7 +307,21 @@ def test_co_training_learns_a_view_from_the_other():
     noise = rng.normal(0, 1, (2400, 60))
     metadata = np.concatenate([y[:, None] + rng.normal(0, 0.5, (2400, 1)), noise], 1).astype(np.float32)
     few = slice(0, 60)
-    model = quality.co_train((content[few], metadata[few]), y[few], (content[60:1600], metadata[60:1600]))
+    left = np.arange(60, 1600)
+
+    def hand_over(fitted, share):
+        nonlocal left
+        out, gone = [], []
+        for k, x in enumerate((content, metadata)):
+            margin = fitted[k].margin(x[left])
+            sure = left[np.argsort(-np.abs(margin), kind="stable")[:100]]
+            sure = sure[np.abs(fitted[k].margin(x[sure])) >= 3]
+            out.append((content[sure], metadata[sure], (fitted[k].margin(x[sure]) > 0).astype(float)))
+            gone += sure.tolist()
+        left = np.setdiff1d(left, gone)
+        return out
+
+    model = quality.co_train((content[few], metadata[few]), y[few], hand_over)
     alone = quality.fit_view(metadata[few], y[few])
 
     def right(margin):
@@ -298,6 +331,44 @@ def test_co_training_learns_a_view_from_the_other():
     assert right(model.score(content[1600:], metadata[1600:])[2] - 0.5) > 0.97
 
 
+def test_training_takes_a_fixed_number_of_jobs(spark):
+    df, labels, _ = labelled(spark)
+    tracker, many = spark.sparkContext.statusTracker(), df.repartition(400)
+    counts = {}
+    for name, train in (("toxicity", toxicity.train), ("quality", quality.train)):
+        for size, rows in (("few", df.coalesce(2)), ("many", many)):
+            group = f"training {name} {size}"
+            spark.sparkContext.setJobGroup(group, group)
+            train(rows, labels)
+            counts[name, size] = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    for name in ("toxicity", "quality"):
+        assert counts[name, "many"] <= counts[name, "few"] + 10 < 120, counts
+
+
+def test_co_training_draws_from_every_unlabelled_row(spark, monkeypatch):
+    """A source that only unlabelled, late rows have reaches the metadata view; copies are handed over once."""
+    df, labels, docs = labelled(spark)
+    late = [(10_000 + k, docs[k % len(docs)][1], "en", "rare.example") for k in range(400)]
+    rows = spark.createDataFrame([(r.doc_id, r.text, r.lang, r.source) for r in df.collect()] + late, "doc_id long, text string, lang string, source string")
+    taken = []
+    original = quality.co_train
+
+    def watched(given, y, hand_over, rounds):
+        return original(given, y, lambda *a: taken.append(hand_over(*a)) or taken[-1], rounds)
+
+    monkeypatch.setattr(quality, "co_train", watched)
+    model = quality.train(rows, labels)
+    column = quality.BUCKETS + zlib.crc32(b"rare.example") % quality.BUCKETS
+    handed = np.concatenate([m for views in taken for _, m, _ in views])
+    assert len(handed) and handed[:, column].any()
+    assert all(len(label) <= quality.GIVEN + 1 for views in taken for _, _, label in views)
+    assert model.metadata.scale[column] != 1 or model.metadata.weights[column] != 0
+    # The same model, however the rows are dealt out.
+    again = quality.train(rows.repartition(9), labels)
+    assert np.array_equal(again.metadata.weights, model.metadata.weights) and again.weight == model.weight
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 
