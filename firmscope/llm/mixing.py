@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import fresh, stored
+from firmscope.llm.common import fresh, partitions, stored
 
 #: The largest mean that is tabulated at once, and the entries that bring its distribution function to 1 in double precision.
 STEP, ENTRIES = 8.0, 60
@@ -47,7 +47,9 @@ def temperature_weights(df: DataFrame, source_col: str = "source", exponent: flo
 def rates(df: DataFrame, weights: DataFrame, source_col: str = "source", epochs: float = 1.0) -> DataFrame:
     """Per source: its repetition rate, the number of parts it is cut into, the tabulated distribution of a part."""
     counts = df.groupBy(df[source_col].alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    given = weights.groupBy("source").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    weight = F.coalesce("weight", F.lit(0.0))
+    weight = F.when(weight < 0, F.raise_error(F.lit("a negative weight")).cast("double")).otherwise(weight)
+    given = weights.groupBy("source").agg(F.sum(weight).alias("weight"))
     sums = counts.agg(F.sum("n").alias("all_n")), given.agg(F.sum("weight").alias("all_weight"))
     rows = counts.join(given, counts["source"].eqNullSafe(given["source"]), "left").select(
         counts["source"], "n", F.coalesce("weight", F.lit(0.0)).alias("weight")
@@ -83,7 +85,8 @@ def poisson_mix(
 ) -> DataFrame:
     """The drawn copies in shuffled order; ``epochs`` times as many rows as ``df`` on average.
 
-    With ``keep_details`` the columns copy (from 1), copies and shuffle_key are added.
+    With ``keep_details`` the columns copy (from 1), copies and shuffle_key are added (with
+    underscores behind them where ``df`` has a column of that name).
     """
     source, parts, cdf, copies, copy, key = (fresh(df, f"mix_{x}") for x in ("source", "parts", "cdf", "copies", "copy", "key"))
     by_source = stored(rates(df, weights, source_col, epochs), "rates").select(
@@ -103,10 +106,9 @@ def poisson_mix(
     )
     label = F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(ident.cast("string"), F.lit("null")), F.col(copy).cast("string"))
     exploded = exploded.withColumn(key, F.md5(label))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = exploded.repartition(n, key).sortWithinPartitions(key)
+    mixed = exploded.repartition(partitions(df, epochs), key).sortWithinPartitions(key)
     if keep_details:
-        return mixed.select(*df.columns, F.col(copy).alias("copy"), F.col(copies).alias("copies"), F.col(key).alias("shuffle_key"))
+        return mixed.select(*df.columns, *[F.col(c).alias(fresh(df, name)) for c, name in ((copy, "copy"), (copies, "copies"), (key, "shuffle_key"))])
     return mixed.select(*df.columns)
 
 

@@ -152,14 +152,21 @@ class Models:
         return (best - float(self.ordinary[step].sum())) / max(1, len(token) - 1)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
+        """The spans that the models find outside of the base spans; one pass over both in text order."""
+        taken: list[list[int]] = []  # the base spans, joined where they overlap
+        for start, end in sorted((a, b) for a, _, b in base):
+            if taken and start < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], end)
+            else:
+                taken.append([start, end])
+        out, at = [], 0
         for m in re.finditer(RUN % max(1, self.min_length), text):
-            first, last = m.span()
-            near = [(a, b) for a, _, b in base if a < last and first < b]
             group: list[tuple[int, int]] = []
-            for piece in PIECE.finditer(text, first, last):
+            for piece in PIECE.finditer(text, *m.span()):
                 start, end = piece.span()
-                if any(a < end and start < b for a, b in near):
+                while at < len(taken) and taken[at][1] <= start:
+                    at += 1
+                if at < len(taken) and taken[at][0] < end:
                     out += self._spans(text, group)
                     group = []
                 else:

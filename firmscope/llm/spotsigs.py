@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmscope.llm.common import workers
+from firmscope.llm.common import partitions, workers
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -46,6 +47,7 @@ ANCHORS = frozenset(
 CHAIN, DISTANCE = 2, 1
 FEW = 8  # with fewer anchors, or fewer than one in so many words, every content word starts a chain too
 WORD = re.compile(r"\w+")
+MOST_RANGES = 20_000  # quantiles of the ids that come to the driver
 
 
 def signatures(text: str | None) -> np.ndarray:
@@ -98,7 +100,9 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0, block: int =
 def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows dealt out by ranges of ids, sorted; kind 0: rows without id, 1: documents, 2: copies of the
     first document of the next range, which end a range."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not isinstance(df.schema[id_col].dataType, T.NumericType):
+        raise TypeError(f"{id_col} must be a number: documents are dealt out by quantiles of it")
+    n = min(MOST_RANGES, partitions(df))
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     shares = [k / n for k in range(1, n)] or [0.5]
     least, cuts = rows.agg(F.min("id"), F.percentile_approx("id", shares, 100 * n)).first()
@@ -128,7 +132,7 @@ def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     spread = rows.withColumn("place", F.explode(places)).select("place.part", "place.kind", "id", "text")
     return (
-        spread.withColumn("tie", F.xxhash64("text")).repartition(n, "part").sortWithinPartitions("part", "kind", "id", "tie")
+        spread.withColumn("tie", F.xxhash64("text")).repartitionById(n, "part").sortWithinPartitions("part", "kind", "id", "tie")
     )
 
 

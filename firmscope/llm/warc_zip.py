@@ -36,6 +36,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmscope.llm.common import scratch, stored, workers
 from firmscope.sources.zipshards import _fs_and_path as filesystem
@@ -44,6 +45,7 @@ DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS_PER_PACKAGE = 20_000
 CHUNK_RECORDS, CHUNK_BYTES = 500, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
+INDEX_KINDS = (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -55,8 +57,9 @@ def _urn(ident: int | None) -> str:
 
 
 def _ident(urn: str | None) -> int | None:
+    """The row's id in a record id of :func:`record`; None for those of others."""
     digits = (urn or "").removeprefix("<urn:x-row:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(digits) if digits.lstrip("-").isdecimal() else None
 
 
 def record(ident: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -83,17 +86,36 @@ def record(ident: int | None, url: str | None, payload: bytes, digest: str, refe
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Headers (lower-case names), HTTP header and payload of one uncompressed record."""
+    """Headers (lower-case names), HTTP header and payload of one uncompressed record.
+
+    A block that is no HTTP message (of a warcinfo or metadata record, for instance) is all payload.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(headers["content-length"])]
+    if not headers.get("content-type", "application/http").lower().startswith("application/http"):
+        return headers, b"", block
     http, _, payload = block.partition(b"\r\n\r\n")
     return headers, http, payload
 
 
+def _content_length(http: bytes) -> int | None:
+    """The payload's length that an HTTP header tells, if it tells one."""
+    for line in http.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
+def _encoded(http: bytes) -> bool:
+    """Whether the payload is kept in another form than its digest or length may mean (chunks, compression)."""
+    return any(line.split(b":")[0].strip().lower() in (b"transfer-encoding", b"content-encoding") for line in http.split(b"\r\n")[1:])
+
+
 def _gzip(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -140,6 +162,8 @@ def write_packages(
 ) -> DataFrame:
     """Write a record per row; returns the manifest (path, records) of the packages."""
     workers(df.sparkSession)
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: record ids are made of it")
     target = folder or scratch(df.sparkSession, "packages")
     rows = df.select(
         df[id_col].cast("long").alias("id"),
@@ -284,13 +308,25 @@ def index_entries(f: BinaryIO, index: Member) -> Iterator[dict]:
     for block in blocks:
         lines = (rest + block).split(b"\n")
         rest = lines.pop()
-        yield from (json.loads(x[x.index(b"{") :]) for x in lines if x.strip())
+        yield from (_entry(x, index) for x in lines if x.strip())
     if rest.strip():
-        yield json.loads(rest[rest.index(b"{") :])
+        yield _entry(rest, index)
+
+
+def _entry(line: bytes, index: Member) -> dict:
+    if b"{" not in line:
+        raise ValueError(f"index {index.name} has a line without a JSON entry")
+    return json.loads(line[line.index(b"{") :])
 
 
 def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
-    """The records of the packages named in column ``path``: id, type, url, digest, payload and what a revisit refers to."""
+    """The records of the packages named in column ``path``: id, type, url, digest, payload and what a revisit refers to.
+
+    Packages of other makers are read too.  Record ids that aren't a row's number are null in ``record_id`` and
+    ``refers_to`` and whole in ``record_urn`` and ``refers_to_urn``.  A missing SHA-1 digest is computed.  A payload that
+    isn't UTF-8 is in ``binary`` in place of ``payload``.  Records that aren't HTTP messages are all payload.  A package
+    without an index of JSON entries, and what can't be read by range, is named in an error.
+    """
     spark = manifest.sparkSession
     workers(spark)
 
@@ -300,7 +336,8 @@ def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
                 fs, at = filesystem(path)
                 with fs.open_input_file(at) as f:
                     found = {m.name: m for m in members(f, f.size())}
-                    indexes = [m for name, m in found.items() if name.startswith("indexes/") and not name.endswith("/")]
+                    # A two-level index has its blocks in a member of one of these kinds; the list of blocks isn't needed.
+                    indexes = [m for name, m in found.items() if name.startswith("indexes/") and name.endswith(INDEX_KINDS)]
                     if not indexes:
                         raise ValueError(f"no index in {path}")
                     for m in indexes:
@@ -309,6 +346,8 @@ def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
                         chunk: list[tuple[int, int]] = []
                         held = 0
                         for entry in index_entries(f, m):
+                            if not {"filename", "offset", "length"} <= entry.keys():
+                                raise ValueError(f"index {m.name} of {path} has an entry without file name, offset or length")
                             data = found.get("archive/" + entry["filename"])
                             if data is None or data.method != 0:  # compressed or encrypted: can't be read by range
                                 raise ValueError(f"archive/{entry['filename']} of {path} is {'missing' if data is None else 'not stored plain'}")
@@ -330,21 +369,35 @@ def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
                 rows = []
                 with fs.open_input_file(at) as f:
                     for start, size in zip(starts, sizes):
-                        headers, http, payload = parse_record(zlib.decompress(_read(f, start, size), 31))
-                        length = int(http.decode().lower().split("content-length:")[1].split("\r\n")[0])
-                        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                        kind = headers["warc-type"]
-                        if kind == "response" and (len(payload) != length or check_digests and sha1_base32(payload) != digest):
-                            raise ValueError(f"damaged record at {start} of {path}")
+                        raw = _read(f, start, size)
+                        try:
+                            headers, http, payload = parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+                        except (ValueError, KeyError, zlib.error) as e:
+                            raise ValueError(f"damaged record at {start} of {path}: {e}") from e
+                        kind, told = headers.get("warc-type"), _content_length(http)
+                        own = headers.get("warc-payload-digest", "")
+                        digest = own.removeprefix("sha1:") if own.startswith("sha1:") or ":" not in own else None
+                        if kind == "response" and not _encoded(http):
+                            if told not in (None, len(payload)) or check_digests and digest and sha1_base32(payload) != digest:
+                                raise ValueError(f"damaged record at {start} of {path}")
+                        if not digest:
+                            digest = None if kind == "revisit" else sha1_base32(payload)
+                        try:
+                            text = None if kind == "revisit" else payload.decode()
+                        except UnicodeDecodeError:
+                            text = None
                         rows.append(
                             (
-                                _ident(headers["warc-record-id"]),
+                                _ident(headers.get("warc-record-id")),
                                 kind,
                                 headers.get("warc-target-uri"),
-                                length,
+                                len(payload) if told is None else told,
                                 digest,
                                 _ident(headers.get("warc-refers-to")),
-                                payload.decode() if kind == "response" else None,
+                                text,
+                                headers.get("warc-record-id"),
+                                headers.get("warc-refers-to"),
+                                payload if text is None and kind != "revisit" else None,
                             )
                         )
                 columns = zip(*rows)
@@ -353,8 +406,17 @@ def read_packages(manifest: DataFrame, check_digests: bool = True) -> DataFrame:
                 )
 
     chunks = manifest.select("path").mapInArrow(locate, "path string, starts array<long>, sizes array<long>")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(parts).mapInArrow(fetch, RECORD_SCHEMA)
+    return chunks.repartition(_fetch_tasks(manifest)).mapInArrow(fetch, RECORD_SCHEMA)
+
+
+RECORDS_PER_TASK = 50_000
+
+
+def _fetch_tasks(manifest: DataFrame) -> int:
+    """Tasks to read the records: by the manifest's count where it has one, at least the session's shuffle partitions."""
+    least = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    records = manifest.agg(F.sum("records")).first()[0] if "records" in manifest.columns else None
+    return max(least, (records or 0) // RECORDS_PER_TASK)
 
 
 RECORD_FIELDS = [
@@ -365,9 +427,13 @@ RECORD_FIELDS = [
     ("payload_digest", pa.string()),
     ("refers_to", pa.int64()),
     ("payload", pa.string()),
+    ("record_urn", pa.string()),
+    ("refers_to_urn", pa.string()),
+    ("binary", pa.binary()),
 ]
 RECORD_SCHEMA = (
-    "record_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload string"
+    "record_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload string,"
+    " record_urn string, refers_to_urn string, binary binary"
 )
 
 

@@ -166,6 +166,66 @@ def test_packages_with_compressed_or_missing_members(spark, tmp_path):
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, part string"
 
 
+def foreign_package(path):
+    """A package as others make them: UUID ids, a two-level index, records of all kinds, a plain and a binary payload."""
+
+    def rec(kind, ident, block, content_type, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{ident}>", "Content-Type": content_type, "Content-Length": len(block), **more}
+        return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    http = "application/http; msgtype=response"
+    records = [
+        rec("warcinfo", "i", b"software: other\r\n", "application/warc-fields"),
+        rec("request", "q", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request", **{"WARC-Target-URI": "http://a/"}),
+        rec("response", "r", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>no length</p>", http, **{"WARC-Target-URI": "http://a/"}),
+        rec("response", "b", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n\xff\xfe\x00\x01", http, **{"WARC-Target-URI": "http://a/b"}),
+        rec("response", "c", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n", http,
+            **{"WARC-Payload-Digest": "sha1:" + warc_zip.sha1_base32(b"abc")}),
+        rec("revisit", "v", b"HTTP/1.1 200 OK\r\nContent-Length: 16\r\n\r\n", http, **{"WARC-Refers-To": "<urn:uuid:r>"}),
+    ]
+    data, lines = b"", []
+    for k, r in enumerate(records):
+        packed = r if k == 1 else warc_zip._gzip(r)
+        lines.append(f'com,a)/{k} 20240101 ' + '{"filename": "x.warc.gz", "offset": "%d", "length": "%d"}' % (len(data), len(packed)))
+        data += packed
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/x.warc.gz", data)
+        z.writestr("indexes/index.cdx.gz", warc_zip._gzip("\n".join(lines).encode()))
+        z.writestr("indexes/index.idx", "com,a)/0 20240101\tindex.cdx.gz\t0\t99\t1\n")
+
+
+def test_packages_of_others_are_read(spark, tmp_path):
+    foreign_package(tmp_path / "other.wacz")
+    got = {r.record_urn: r for r in warc_zip.read_packages(spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "path string")).collect()}
+    one = {k.removeprefix("<urn:uuid:").rstrip(">"): r for k, r in got.items()}
+    assert {k: r.record_type for k, r in one.items()} == {"i": "warcinfo", "q": "request", "r": "response", "b": "response", "c": "response", "v": "revisit"}
+    assert all(r.record_id is None and r.refers_to is None for r in one.values())
+    assert one["i"].payload == "software: other\r\n" and one["i"].url is None
+    assert one["r"].payload == "<p>no length</p>" and one["r"].payload_bytes == 16
+    assert one["r"].payload_digest == warc_zip.sha1_base32(b"<p>no length</p>")
+    assert one["b"].payload is None and bytes(one["b"].binary) == b"\xff\xfe\x00\x01" and one["r"].binary is None
+    assert one["c"].payload.startswith("3\r\nabc")
+    assert (one["v"].refers_to_urn, one["v"].payload, one["v"].payload_digest, one["v"].payload_bytes) == ("<urn:uuid:r>", None, None, 16)
+
+
+@pytest.mark.parametrize(
+    "name,line,message",
+    [("indexes/index.cdx", "com,a)/ 20240101 x.warc.gz 0 9", "without a JSON entry"), ("indexes/a.cdxj", '{"url": "x"}', "without file name"), ("indexes/index.idx", "x", "no index in")],
+)
+def test_packages_that_can_t_be_read_are_named(spark, tmp_path, name, line, message):
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        z.writestr("archive/x.warc.gz", b"")
+        z.writestr(name, line)
+    with pytest.raises(Exception, match=message):
+        warc_zip.read_packages(spark.createDataFrame([(str(tmp_path / "x.wacz"),)], "path string")).collect()
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    rows = spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string")
+    with pytest.raises(TypeError, match="page_id"):
+        warc_zip.write_packages(rows)
+
+
 def labelled(spark, n=600, seed=3):
     """Prose of invented words; a fifth carries a word of a toxic family, another fifth shouts."""
     rng = random.Random(seed)

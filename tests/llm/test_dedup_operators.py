@@ -315,3 +315,24 @@ def test_queries_match_their_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want))
     assert table(spark, SF_SMALL, "documents").count() > 0 and linking.SMALL > 1
+
+
+def test_mixing_keeps_clashing_columns_and_refuses_negative_weights(spark):
+    df = spark.createDataFrame([(k, "s", "a", "b", "c") for k in range(50)], "doc_id long, source string, copy string, copies string, Shuffle_Key string")
+    out = mixing.poisson_mix(df, mixing.temperature_weights(df), keep_details=True)
+    assert out.columns == [*df.columns, "copy_", "copies_", "shuffle_key_"]
+    assert {(r.copy, r.copies) for r in out.collect()} == {("a", "b")}
+    with pytest.raises(Exception, match="negative weight"):
+        mixing.poisson_mix(df, spark.createDataFrame([("s", -1.0), ("t", 2.0)], "source string, weight double")).collect()
+
+
+def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    from firmscope.llm import common
+
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions(df) == least
+    monkeypatch.setattr(common, "PARTITION_BYTES", 10_000)
+    assert common.partitions(df) > least and common.partitions(df, 2.0) >= 2 * common.partitions(df) - 2
+    assert common.partitions(spark.createDataFrame([(1,)], "a int")) == least

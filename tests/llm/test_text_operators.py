@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -243,3 +244,39 @@ def test_spotsigs_search_finds_what_brute_force_finds(spark):
     want = {(q, c): jaccard(a, b) for q, a in asked.items() for c, b in firsts.items() if jaccard(a, b) >= 0.5}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
     assert spotsigs.fingerprints(df).filter(F.size("signatures") == 0).count() == 0
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+
+    models = secrets.Models(np.zeros((secrets.SIZE, secrets.SIZE)), {"x": np.full((secrets.SIZE, secrets.SIZE), -1.0)}, 1.0, 16)
+    text = "token = abcdefgh12345678 " + "word/with/parts/and/more.of.them " * 3
+    took = []
+    for n in (2_000, 16_000):
+        long = text * n
+        base = [(m.start(), 0, m.end()) for m in re.finditer("token = [a-z0-9]+", long)]
+        began = time.process_time()
+        models.added(long, base)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * max(took[0], 0.05)  # eight times the text
+
+
+def test_added_secrets_lie_outside_of_base_spans():
+    rng = random.Random(4)
+    models = secrets.Models(np.full((secrets.SIZE, secrets.SIZE), -2.0), {"x": np.full((secrets.SIZE, secrets.SIZE), -1.0)}, 0.5, 4)
+    for _ in range(200):
+        text = "".join(rng.choices("ab/. ", k=60))
+        pieces = [m.span() for m in secrets.PIECE.finditer(text)]
+        base = [(rng.randrange(a, b), rng.randrange(3), b + rng.choice([0, 0, 3, 9])) for a, b in rng.sample(pieces, min(len(pieces), rng.randrange(6)))]
+        got = models.added(text, base)
+        assert all(not (a < y and x < b) for a, _, b in got for x, _, y in base)
+        runs = [m.span() for m in re.finditer(secrets.RUN % 4, text)]
+        for a, b in pieces:  # whatever lies outside and is long enough is in a span here
+            free = not any(a < y and x < b for x, _, y in base)
+            if free and b - a >= 4 and any(p <= a and b <= q for p, q in runs):
+                assert any(x <= a and b <= y for x, _, y in got)
+
+
+def test_next_documents_need_ids_in_order(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        spotsigs.with_edited(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
