@@ -68,6 +68,12 @@ def _total_order(first: Sequence[Column], columns: Sequence[str]) -> list[Column
 PREVIEW_ORDER = ["opened_on", "company_id", "legal_name", "share_capital", "activity_code", "city_code"]
 
 
+def opening_days(companies: DataFrame) -> DataFrame:
+    """Companies with positive capital per opening date: the side table of :func:`companies_preview` (a row for each date)."""
+    dated = companies.where((F.col("share_capital") > 0) & F.col("opened_on").isNotNull())
+    return dated.groupBy("opened_on").agg(F.count(F.lit(1)).alias("n"))
+
+
 def companies_preview(
     companies: DataFrame,
     ref_activity: DataFrame,
@@ -75,6 +81,7 @@ def companies_preview(
     limit: int = 30_000,
     sector: str | None = None,
     city: str | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """First ``limit`` rows of the filtered listing by opening date (L3).
 
@@ -83,7 +90,9 @@ def companies_preview(
     filter and the top-k run on the companies table alone, and the lookups are
     joined to the ``limit`` rows that are left.  A histogram of opening dates
     (one row per distinct date) gives, as a scalar sub-query of the plan, the
-    first date by which ``limit`` rows exist: later rows never reach the sort.
+    first date by which ``limit`` rows exist: later rows never reach the sort.  Without a
+    sector or city the histogram may be given as ``days``, the stored
+    :func:`opening_days` of the same Gold version, so that Gold is read once, up to that date.
     """
     base = companies.where(F.col("share_capital") > 0)
     for ref, column, value in (
@@ -93,7 +102,8 @@ def companies_preview(
         if value is not None:
             codes = ref.where(F.col("description") == F.lit(value)).select(F.col("code").alias(column)).distinct()
             base = base.join(codes, column, "left_semi")
-    per_day = base.where(F.col("opened_on").isNotNull()).groupBy("opened_on").agg(F.count(F.lit(1)).alias("n"))
+    filtered = _wild(sector, schemas.ANY_SECTOR) is not None or _wild(city, schemas.ANY_CITY) is not None
+    per_day = opening_days(base) if days is None or filtered else days
     running = F.sum("n").over(Window.orderBy("opened_on").rowsBetween(Window.unboundedPreceding, 0))
     cutoff = per_day.select("opened_on", running.alias("_cum")).where(F.col("_cum") >= limit).agg(F.min("opened_on")).scalar()
     # With fewer dated rows than ``limit`` there is no such date, and every row may be shown.
@@ -103,10 +113,29 @@ def companies_preview(
     return companies_labelled(chosen, ref_activity, ref_city, positive_capital=False).select(*LISTING_COLUMNS)
 
 
+def capital_leaders(companies: DataFrame, most: int = 1000) -> DataFrame:
+    """The side table of :func:`top_companies`: every company above a capital that at most ``most`` exceed.
+
+    Of the ``most`` + 1 largest capitals the smallest is the edge; companies above it are
+    kept, all of them, so a ranking as long as this table is exact whatever breaks its
+    ties.  Companies at the edge are left out: there may be any number of them.
+    """
+    columns = ["legal_name", "share_capital", "activity_code"]
+    first = companies.where(F.col("share_capital") > 0).select(*columns).orderBy(F.col("share_capital").desc()).limit(most + 1)
+    edge = first.agg(F.when(F.count(F.lit(1)) > most, F.min("share_capital")).otherwise(F.lit(0).cast("decimal(20,2)"))).scalar()
+    return first.where(F.col("share_capital") > edge)
+
+
 def top_companies(
-    companies: DataFrame, ref_activity: DataFrame, n: int = 25
+    companies: DataFrame, ref_activity: DataFrame, n: int = 25, leaders: DataFrame | None = None
 ) -> DataFrame:
-    """Largest companies by capital with their sector (L1)."""
+    """Largest companies by capital with their sector (L1).
+
+    With the stored :func:`capital_leaders` of the same Gold version only that table is
+    read, if it has ``n`` rows; otherwise (many equal capitals at its edge) all companies are.
+    """
+    if leaders is not None and leaders.limit(n).count() >= n:
+        companies = leaders
     a = ref_activity.select(F.col("code").alias("_a_code"), F.col("description").alias("sector"))
     pos = companies.where(F.col("share_capital") > 0)
     df = pos.join(a, pos.activity_code == a._a_code, "left").select(

@@ -177,35 +177,71 @@ def _publish_if_valid(c: Ctx) -> DataFrame:
     return audit.select("kind", "name", "value", "passed", F.lit(result.published).alias("published"))
 
 
-_MART_COUNTS = {
-    "city_year_counts": "SELECT DISTINCT EXTRACT(year FROM opened_on), city_code, state FROM companies"
-    " WHERE opened_on IS NOT NULL AND city_code IS NOT NULL",
-    "growth_by_city": "SELECT * FROM growth_mart",
-    "bubbles_year_city": "SELECT * FROM bubbles_mart",
-    "sector_treemap": "SELECT * FROM treemap_mart",
-    "region_kpis": "SELECT DISTINCT state FROM companies",
-    "density_by_state": "SELECT DISTINCT state FROM companies WHERE state IS NOT NULL",
-    "survival_by_sector": "SELECT * FROM survival_mart",
+_LENIENT = GateRules(min_rows=1, min_retention_pct=1.0, max_duplicates=10**9, max_decade_pct=101.0)
+
+
+@query(
+    "publish_passing",
+    f"""
+    SELECT 'gate' AS kind, gate AS name, value, TRUE AS passed FROM ({_run_gates_sql()}) g
+    UNION ALL SELECT 'published', 'gold', CAST(COUNT(*) AS DOUBLE), TRUE FROM gold_built
+    UNION ALL SELECT 'published', 'capital', CAST(SUM(share_capital) AS DOUBLE), TRUE FROM gold_built
+    """,
+)
+def _publish_passing(c: Ctx) -> DataFrame:
+    """A load whose gates pass, by lenient rules: the gate rows, and rows and capital of the Gold that it published."""
+    warehouse = _scratch(c, "warehouse")
+    comp, est = pipeline.write_bronze(c.companies_raw, c.establishments_raw, warehouse)
+    cfg = pipeline.LoadConfig(warehouse=warehouse, as_of=AS_OF, rules=_LENIENT)
+    result = pipeline.publish_if_valid(c.spark, comp, est, cfg)
+    audit = c.spark.read.parquet(f"{warehouse}/audit").where((F.col("run_id") == result.run_id) & (F.col("kind") == "gate"))
+    published = pipeline.read_gold(c.spark, warehouse).agg(
+        F.count(F.lit(1)).cast("double").alias("gold"), F.sum("share_capital").cast("double").alias("capital")
+    )
+    told = published.select(F.inline(F.array(*[F.struct(F.lit("published").alias("kind"), F.lit(k).alias("name"), F.col(k).alias("value")) for k in ("gold", "capital")])))
+    return audit.select("kind", "name", "value", "passed").union(told.withColumn("passed", F.lit(result.published)))
+
+
+# Of each mart its rows and the sum of a measure.
+_MARTS = {
+    "city_year_counts": (
+        "n",
+        "SELECT COUNT(*) AS n FROM companies WHERE opened_on IS NOT NULL AND city_code IS NOT NULL"
+        " GROUP BY EXTRACT(year FROM opened_on), city_code, state",
+    ),
+    "growth_by_city": ("total", "SELECT * FROM growth_mart"),
+    "bubbles_year_city": ("mean_capital", "SELECT * FROM bubbles_mart"),
+    "sector_treemap": ("total_capital", "SELECT * FROM treemap_mart"),
+    "region_kpis": ("mean_capital", _SQL["region_kpis"]),
+    "density_by_state": ("total", "SELECT COUNT(*) AS total FROM companies WHERE state IS NOT NULL GROUP BY state"),
+    "survival_by_sector": ("p95", "SELECT * FROM survival_mart"),
+    "opening_days": ("n", "SELECT COUNT(*) AS n FROM companies WHERE share_capital > 0 AND opened_on IS NOT NULL GROUP BY opened_on"),
+    "capital_leaders": (
+        "share_capital",
+        "SELECT share_capital FROM companies WHERE share_capital > 0 AND share_capital > COALESCE("
+        "(SELECT share_capital FROM companies WHERE share_capital > 0 ORDER BY share_capital DESC LIMIT 1 OFFSET 1000), 0)",
+    ),
 }
 
 
 @query(
     "rebuild_marts",
     " UNION ALL ".join(
-        f"SELECT '{name}' AS mart, TRUE AS ok, COUNT(*) AS rows FROM ({sql}) t" for name, sql in _MART_COUNTS.items()
+        f"SELECT '{name}' AS mart, TRUE AS ok, COUNT(*) AS rows, CAST(SUM(CAST({measure} AS DECIMAL(38,2))) AS DOUBLE) AS total FROM ({sql}) t"
+        for name, (measure, sql) in _MARTS.items()
     ),
 )
 def _rebuild_marts(c: Ctx) -> DataFrame:
-    """Rebuild the mart registry from the Gold-shaped table into a fresh warehouse."""
+    """Rebuild the mart registry from the Gold-shaped table into a fresh warehouse: each mart's rows and the sum of a measure."""
     warehouse = _scratch(c, "marts")
     lk = pipeline.Lookups(c.ref_activity, c.ref_city, c.ref_legal_nature)
     done = pipeline.rebuild_marts(c.spark, c.companies, lk, warehouse, pipeline.default_marts(dtab.SURVIVAL_MIN_COUNT, PAD))
     frames = [
-        pipeline.read_mart(c.spark, warehouse, name).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("mart"), F.lit(True).alias("ok"), "rows"
-        )
+        pipeline.read_mart(c.spark, warehouse, name).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.col(_MARTS[name][0]).cast("decimal(30,2)")).cast("double").alias("total")
+        ).select(F.lit(name).alias("mart"), F.lit(True).alias("ok"), "rows", "total")
         if ok
-        else c.spark.createDataFrame([(name, False, 0)], "mart string, ok boolean, rows bigint")
+        else c.spark.createDataFrame([(name, False, 0, None)], "mart string, ok boolean, rows bigint, total double")
         for name, ok, _ in done
     ]
     out = frames[0]

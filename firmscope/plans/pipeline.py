@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from firmscope import schemas
-from firmscope.operators import gates, gold, mart_states, marts
+from firmscope.operators import gates, gold, listing, mart_states, marts
 from firmscope.operators.gates import GateFailure, GateRules
 from firmscope.plans import store
 from firmscope.session import size_shuffles
@@ -65,7 +65,8 @@ def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[s
     Builders take (gold, lookups) or (gold, lookups, built), where ``built``
     holds the marts already written in this rebuild, read back from storage:
     growth and bubbles derive from the stored (year, city, state) counts and the
-    density from the regional KPIs, so Gold is scanned four times for seven marts.
+    density from the regional KPIs, so Gold is scanned four times for seven marts, and once
+    for each of the two side tables.
     """
     return {
         "city_year_counts": lambda g, lk: marts.city_year_counts(g),
@@ -77,6 +78,9 @@ def default_marts(survival_min_count: int = 1000, pad: int | None = 7) -> dict[s
             marts.density_from_kpis(built["region_kpis"]) if "region_kpis" in built else marts.density_by_state(g)
         ),
         "survival_by_sector": lambda g, lk: marts.survival_by_sector(g, lk.activity, survival_min_count),
+        # Side tables of the preview and the ranking.
+        "opening_days": lambda g, lk: listing.opening_days(g),
+        "capital_leaders": lambda g, lk: listing.capital_leaders(g),
     }
 
 
