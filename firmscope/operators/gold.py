@@ -30,6 +30,11 @@ from firmscope.schemas import GOLD_COLUMNS
 HEAD_OFFICE = "1"
 
 
+def company_key(raw: DataFrame, column: str = "cnpj_basico") -> Column:
+    """The padded key of a raw table: stored as ``company_id`` where the table is kept by key, else computed."""
+    return F.col("company_id") if "company_id" in raw.columns else normalise_key(F.col(column))
+
+
 def head_offices(establishments_raw: DataFrame) -> DataFrame:
     return establishments_raw.where(F.col("matriz_filial") == F.lit(HEAD_OFFICE))
 
@@ -88,13 +93,13 @@ def build_gold(
     """
     accepted, _ = quarantine_split(establishments_raw, as_of, floor)
     comp = companies_raw.select(
-        normalise_key(F.col("cnpj_basico")).alias("company_id"),
+        company_key(companies_raw).alias("company_id"),
         F.col("razao_social").alias("legal_name"),
         parse_code(F.col("natureza_juridica")).alias("legal_nature_code"),
         parse_decimal_comma(F.col("capital_social")).alias("share_capital"),
     )
     est = accepted.select(
-        normalise_key(F.col("cnpj_basico")).alias("company_id"),
+        company_key(accepted).alias("company_id"),
         parse_compact_date(F.col("data_inicio_atividade")).alias("opened_on"),
         parse_code(F.col("cnae_fiscal")).alias("activity_code"),
         parse_code(F.col("municipio")).alias("city_code"),

@@ -28,6 +28,11 @@ def _scratch(c: Ctx, name: str) -> str:
     return f"{shared_dir(c.spark)}/firmscope-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def _keyed_gold(c: Ctx) -> DataFrame:
+    """Gold built from raw tables that are kept by key, in 8 buckets."""
+    return gold.build_gold(*pipeline.write_bronze(c.companies_raw, c.establishments_raw, _scratch(c, "keyed"), buckets=8), AS_OF)
+
+
 _OPEN_OK = (
     "COALESCE(regexp_full_match(data_inicio_atividade, '[0-9]{8}') AND "
     "CAST(try_strptime(data_inicio_atividade, '%Y%m%d') AS DATE) BETWEEN DATE '1900-01-01' "
@@ -94,6 +99,16 @@ def _gate_duplicates(c: Ctx) -> DataFrame:
     return gates.gate_duplicates(c.built_gold())
 
 
+@query("build_gold_keyed", "SELECT * FROM (" + _SQL["build_gold"] + ") g")
+def _build_gold_keyed(c: Ctx) -> DataFrame:
+    return _keyed_gold(c)
+
+
+@query("gate_duplicates_keyed", "SELECT * FROM (" + _SQL["gate_duplicates"] + ") g")
+def _gate_duplicates_keyed(c: Ctx) -> DataFrame:
+    return gates.gate_duplicates(_keyed_gold(c))
+
+
 @query("gate_null_dates", "SELECT COUNT(*) FILTER (WHERE opened_on IS NULL) AS value FROM gold_built")
 def _gate_null_dates(c: Ctx) -> DataFrame:
     return gates.gate_null_dates(c.built_gold())

@@ -33,7 +33,7 @@ from firmscope.operators import gates, gold, listing, mart_states, marts
 from firmscope.operators.gates import GateFailure, GateRules
 from firmscope.plans import store
 from firmscope.session import size_shuffles
-from firmscope.sources import zipshards
+from firmscope.sources import keyed, zipshards
 
 COMPANIES_PATTERN = "Empresas*.zip"
 ESTABLISHMENTS_PATTERN = "Estabelecimentos*.zip"
@@ -93,6 +93,7 @@ class LoadConfig:
     source_dir: str | None = None
     reuse_bronze: bool = False
     part_bytes: int = 128 << 20
+    buckets: int | None = None  # Bronze is kept by the padded key in so many buckets, see sources.keyed
     keep_versions: int = 3  # of Bronze, Gold and each mart, after a publication
 
 
@@ -118,15 +119,22 @@ def bronze_ready(spark: SparkSession, warehouse: str) -> bool:
     return paths is not None and not any(spark.read.parquet(p).isEmpty() for p in paths)
 
 
-def write_bronze(companies_raw: DataFrame, establishments_raw: DataFrame, warehouse: str) -> tuple[DataFrame, DataFrame]:
+def write_bronze(
+    companies_raw: DataFrame, establishments_raw: DataFrame, warehouse: str, buckets: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Write both tables to a new version; one pointer makes the pair current.
 
-    If either write fails, the version before stays current, whole.
+    If either write fails, the version before stays current, whole.  With ``buckets``
+    both tables get the padded key as a column and are kept by it: the Gold build and the
+    duplicate gate then join and group them without an exchange, load after load.
     """
     spark = companies_raw.sparkSession
     version = store.new_version_path(spark, f"{warehouse}/bronze")
-    companies_raw.write.parquet(f"{version}/companies_raw")
-    establishments_raw.write.parquet(f"{version}/establishments_raw")
+    for name, raw in (("companies_raw", companies_raw), ("establishments_raw", establishments_raw)):
+        if buckets is None:
+            raw.write.parquet(f"{version}/{name}")
+        else:
+            keyed.write_keyed(raw.withColumn("company_id", gold.company_key(raw)), f"{version}/{name}", "company_id", buckets)
     store.publish(spark, f"{warehouse}/bronze", version)
     return read_bronze(spark, warehouse)
 
@@ -135,7 +143,7 @@ def read_bronze(spark: SparkSession, warehouse: str) -> tuple[DataFrame, DataFra
     paths = bronze_paths(spark, warehouse)
     if paths is None:
         raise FileNotFoundError(f"no published Bronze under {warehouse}")
-    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+    return tuple(keyed.read_keyed(spark, p) if keyed.is_keyed(spark, p) else spark.read.parquet(p) for p in paths)
 
 
 def ingest_bronze(spark: SparkSession, cfg: LoadConfig) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +169,7 @@ def ingest_bronze(spark: SparkSession, cfg: LoadConfig) -> tuple[DataFrame, Data
         F.lit(None).cast("boolean").alias("passed"),
     )
     audit.write.mode("append").parquet(f"{cfg.warehouse}/audit")
-    out = write_bronze(comp, est, cfg.warehouse)
+    out = write_bronze(comp, est, cfg.warehouse, cfg.buckets)
     store.fs(spark, scratch).delete(scratch)  # the expanded text has become Bronze
     store.retain(spark, f"{cfg.warehouse}/bronze", cfg.keep_versions)
     return out

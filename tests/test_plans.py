@@ -8,7 +8,7 @@ import pytest
 from firmscope.plans import catalog
 from tests.conftest import SF_SMALL
 
-WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total", "filter_options_sorted"}
+WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total", "filter_options_sorted", "publish_passing", "load_reference", "build_gold_keyed", "gate_duplicates_keyed"}
 
 
 def plan_text(df) -> str:
@@ -62,6 +62,29 @@ def test_gold_layout_rebalances_without_sampling(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "rangepartitioning" not in plan
 
 
+def test_raw_tables_kept_by_key_are_joined_and_grouped_without_an_exchange(spark, tmp_dir):
+    from firmscope.operators import gates, gold
+    from firmscope.plans import pipeline
+    from firmscope.plans.catalog import AS_OF, Ctx
+    from firmscope.sources import keyed
+
+    c = Ctx(spark, SF_SMALL)
+    plain = c.built_gold()
+    comp, est = pipeline.write_bronze(c.companies_raw, c.establishments_raw, tmp_dir, buckets=4)
+    built = gold.build_gold(comp, est, AS_OF)
+    plan = plan_text(built)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan_text(gates.gate_duplicates(built)).count("hashpartitioning") == 0
+    assert "hashpartitioning" in plan_text(plain)
+    assert sorted(map(str, built.collect())) == sorted(map(str, plain.collect()))
+    # Another session knows the table by its folder alone.
+    path = pipeline.bronze_paths(spark, tmp_dir)[0]
+    other = spark.newSession()
+    spark.sql(f"DROP TABLE {keyed._name(path)}")
+    again = keyed.read_keyed(other, path)
+    assert again.count() == c.companies_raw.count() and again.schema == comp.schema
+
+
 def test_segments_scan_the_companies_once(spark):
     from firmscope.plans.catalog import Ctx
 
