@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmscope import schemas
-from firmscope.operators import gates, gold, listing, mart_states, marts
+from firmscope.operators import gates, gold, layout, listing, mart_states, marts
 from firmscope.operators.gates import GateRules
 from firmscope.plans import pipeline
 from firmscope.plans.catalog import _SQL, AS_OF, PAD, Ctx, query
@@ -403,3 +403,27 @@ def _maintained_region_kpis(c: Ctx) -> DataFrame:
 @query("maintained_survival_by_sector", "SELECT * FROM survival_mart")
 def _maintained_survival_by_sector(c: Ctx) -> DataFrame:
     return marts.survival_of_lifetimes(_maintained(c, "lifetimes"), c.ref_activity, dtab.SURVIVAL_MIN_COUNT)
+
+
+_GOLD_SQL = (
+    "SELECT company_id, legal_name, legal_nature_code, CAST(share_capital AS DOUBLE) AS share_capital, opened_on, activity_code,"
+    " city_code, state, status_code, status_on FROM companies"
+)
+
+
+def _along_curve(c: Ctx) -> str:
+    path = _scratch(c, "curve")
+    layout.write_along_curve(c.companies, path)
+    return path
+
+
+@query("company_lookup", f"{_GOLD_SQL} WHERE company_id = '00000007'")
+def _company_lookup(c: Ctx) -> DataFrame:
+    """One company from Gold along the curve: the Bloom filters choose the row groups."""
+    return layout.look_up(c.spark, _along_curve(c), company_id="00000007")
+
+
+@query("city_lookup", f"{_GOLD_SQL} WHERE city_code = 3")
+def _city_lookup(c: Ctx) -> DataFrame:
+    """One city from Gold along the curve: statistics choose the row groups."""
+    return layout.look_up(c.spark, _along_curve(c), city_code=3)

@@ -8,7 +8,7 @@ import pytest
 from firmscope.plans import catalog
 from tests.conftest import SF_SMALL
 
-WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total", "filter_options_sorted", "publish_passing", "load_reference", "build_gold_keyed", "gate_duplicates_keyed"}
+WRITES_FILES = {"publish_if_valid", "rebuild_marts", "ingest_zip_shards", "scan_delimited", "export_csv", "archive_running_total", "filter_options_sorted", "publish_passing", "load_reference", "build_gold_keyed", "gate_duplicates_keyed", "company_lookup", "city_lookup"}
 
 
 def plan_text(df) -> str:
