@@ -162,34 +162,77 @@ def _grouped(relation: DataFrame) -> DataFrame:
     return relation.select("block", "relation").mapInArrow(run, "block long, key long, count long")
 
 
+def _pack_keys(keys: np.ndarray | pa.Array) -> bytes:
+    """Sorted 64-bit numbers as their differences, or words (which have no line ends)."""
+    if isinstance(keys, np.ndarray):
+        raw = np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+    else:
+        raw = "\n".join(keys.to_pylist()).encode()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack_keys(raw: bytes, words: bool) -> np.ndarray | list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    if words:
+        return raw.decode().split("\n")
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+FOUND_SCHEMA = "block long, lang string, part int, keys binary, locals binary, f array<long>"
+HELD_ROWS = 2_000_000  # rows of frequent groups that a task collects before it hands them on
+
+
 def _frequent(groups: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The rows of the groups with at least ``least`` occurrences over all blocks: block, the group's columns,
-    f (that number), part and local (the group's number in its partition), first (on one row of each group).
+    """The groups with at least ``least`` occurrences over all blocks, numbered within their partition.
 
     The rows of a group, one for each block at most, stream through one task in order.
+    Two kinds of rows come out, both packed: for each block its frequent groups with
+    their local numbers, and (block null) the groups themselves with ``f``, the occurrences.
     """
-    columns = ["block", *by, "count"]
+    words = groups.schema["key"].dataType.typeName() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []  # rows of the last group so far
+        kept: list[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]] = []  # rows, first of their group, number, f
 
-        def told(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        def keep(pieces: list[pa.RecordBatch], starts: np.ndarray) -> None:
             nonlocal local
-            sizes = np.diff(np.append(starts, rows.num_rows))
-            f = np.add.reduceat(rows.column("count").to_numpy(), starts)
+            rows = pa.Table.from_batches(pieces)
+            counts = rows["count"].to_numpy()
+            f = np.add.reduceat(counts, starts)
             frequent = f >= least
+            sizes = np.diff(np.append(starts, len(counts)))
             number = local + np.cumsum(frequent) - 1
             local += int(frequent.sum())
-            first = np.zeros(rows.num_rows, bool)
+            first = np.zeros(len(counts), bool)
             first[starts] = True
-            keep = np.repeat(frequent, sizes)
-            extra = [np.repeat(f, sizes)[keep], np.full(int(keep.sum()), part, np.int32), np.repeat(number, sizes)[keep], first[keep]]
-            kept = rows.select(["block", *by]).filter(pa.array(keep))
-            return pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, extra)], names=["block", *by, "f", "part", "local", "first"])
-
-        def whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-            return pieces[0] if len(pieces) == 1 else pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+            some = np.flatnonzero(np.repeat(frequent, sizes))
+            if len(some):
+                kept.append((rows.take(some), first[some], np.repeat(number, sizes)[some], np.repeat(f, sizes)[some]))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not kept:
+                return
+            rows = pa.concat_tables([k[0] for k in kept]).combine_chunks()
+            first, number, f = (np.concatenate([k[i] for k in kept]) for i in (1, 2, 3))
+            kept.clear()
+            keys = rows["key"].chunk(0) if words else rows["key"].to_numpy()
+            chosen = lambda at: keys.take(pa.array(at)) if words else keys[at]
+            blocks = rows["block"].to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+                yield row(int(blocks[at[0]]), None, _pack_keys(chosen(at)), number[at], None)
+            heads = np.flatnonzero(first)
+            langs = rows["lang"].chunk(0).take(pa.array(heads)).to_pylist() if "lang" in by else [None] * len(heads)
+            edges = [k for k in range(1, len(heads)) if langs[k] != langs[k - 1]]
+            for at, lang in zip(np.split(heads, edges), [langs[k] for k in [0, *edges]]):
+                yield row(None, lang, _pack_keys(chosen(at)), number[at], f[at])
+
+        def row(block: int | None, lang: str | None, keys: bytes, numbers: np.ndarray, f: np.ndarray | None) -> pa.RecordBatch:
+            values = [block, lang, part, keys, _pack(numbers), f]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "lang", "part", "keys", "locals", "f"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -204,16 +247,18 @@ def _frequent(groups: DataFrame, by: list[str], least: int) -> DataFrame:
                 held.append(batch)
                 continue
             if held:
-                yield told(whole([*held, batch.slice(0, starts[0])]), np.array([0]))
+                keep([*held, batch.slice(0, starts[0])], np.array([0]))
             if len(starts) > 1:
-                yield told(batch.slice(starts[0], starts[-1] - starts[0]), starts[:-1] - starts[0])
+                keep([batch.slice(starts[0], starts[-1] - starts[0])], starts[:-1] - starts[0])
             held = [batch.slice(starts[-1])]
+            if sum(len(k[1]) for k in kept) >= HELD_ROWS:
+                yield from told()
         if held:
-            yield told(whole(held), np.array([0]))
+            keep(held, np.array([0]))
+        yield from told()
 
-    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in ["block", *by])
-    dealt = groups.select(*columns).repartition(partitions(groups), *by).sortWithinPartitions(*by)
-    return stored(dealt.mapInArrow(run, f"{kinds}, f long, part int, local long, first boolean"), "frequent")
+    dealt = groups.select("block", *by, "count").repartition(partitions(groups), *by).sortWithinPartitions(*by)
+    return stored(dealt.mapInArrow(run, FOUND_SCHEMA), "frequent")
 
 
 def _offsets(found: DataFrame) -> np.ndarray:
@@ -221,7 +266,7 @@ def _offsets(found: DataFrame) -> np.ndarray:
 
     One number for each partition comes to the driver.  Numbers stay below 2 ** 31, so that two fit a key.
     """
-    sizes = {r.part: r.size for r in found.groupBy("part").agg((F.max("local") + 1).alias("size")).collect()}
+    sizes = {r.part: r.size for r in found.filter("block IS NULL").groupBy("part").agg(F.sum(F.size("f")).alias("size")).collect()}
     each = np.zeros(max(sizes, default=0) + 2, np.int64)
     each[[p + 1 for p in sizes]] = list(sizes.values())
     if each.sum() >= 2**31:
@@ -229,43 +274,59 @@ def _offsets(found: DataFrame) -> np.ndarray:
     return np.cumsum(each)[:-1] + 1
 
 
-def _numbered(found: DataFrame, offsets: np.ndarray) -> DataFrame:
-    """One row for each group, with its number as ``id``."""
-    places = found.sparkSession.createDataFrame(list(enumerate(offsets.tolist())), "part int, before long")
-    return found.filter("first").join(places, "part").withColumn("id", F.col("before") + F.col("local")).drop("block", "part", "local", "first", "before")
+def _numbered(found: DataFrame, offsets: np.ndarray, words: bool) -> DataFrame:
+    """One row for each group: lang, key, f and its number as ``id``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, part, keys, numbers, f in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "keys", "locals", "f"))):
+                ids = offsets[part] + _unpack(numbers)
+                rows = [pa.array([lang] * len(f), pa.string()), pa.array(_unpack_keys(keys, words)), pa.array(f, pa.int64()), pa.array(ids, pa.int64())]
+                whole = pa.RecordBatch.from_arrays(rows, names=["lang", "key", "f", "id"])
+                for at in range(0, whole.num_rows, 50_000):
+                    yield whole.slice(at, 50_000)
+
+    groups = found.filter("block IS NULL").select("lang", "part", "keys", "locals", "f")
+    return groups.mapInArrow(run, f"lang string, key {'string' if words else 'long'}, f long, id long")
 
 
-def _renumbered(relation: DataFrame, found: DataFrame, offsets: np.ndarray, first: bool) -> DataFrame:
+def _renumbered(relation: DataFrame, found: DataFrame, offsets: np.ndarray, words: bool) -> DataFrame:
     """Semi-join of each block with its frequent groups: the next relation, of their numbers."""
 
     def of_words(mine: pa.Table, known: pa.Table) -> pa.Table:
         mine = mine.combine_chunks()
-        words = mine["words"].chunk(0).flatten()
-        ids = np.zeros(len(words) + 1, np.uint32)
-        ids[pc.index_in(known["key"], value_set=words).to_numpy().astype(np.int64) + 1] = ids_of(known)
+        own = mine["words"].chunk(0).flatten()
+        ids = np.zeros(len(own) + 1, np.uint32)
+        keys, numbers = frequent(known)
+        ids[pc.index_in(pa.array(keys, pa.string()), value_set=own).to_numpy().astype(np.int64) + 1] = numbers
         return out(mine, ids[_unpack(mine["relation"][0].as_py())])
 
     def of_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
         numbers = _unpack(mine["relation"][0].as_py())
         at, keys = _adjacent(numbers)
-        order = np.argsort(known["key"].to_numpy())
-        wanted, ids = known["key"].to_numpy()[order], ids_of(known)[order]
+        wanted, ids = frequent(known)
+        order = np.argsort(wanted)
+        wanted, ids = wanted[order], ids[order]
         place = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
         hit = wanted[place] == keys if len(wanted) else np.zeros(len(keys), bool)
         new = np.zeros(len(numbers), np.uint32)
         new[at[hit]] = ids[place[hit]]
         return out(mine, new)
 
-    def ids_of(known: pa.Table) -> np.ndarray:
-        return (offsets[known["part"].to_numpy()] + known["local"].to_numpy()).astype(np.uint32)
+    def frequent(known: pa.Table) -> tuple[np.ndarray | list[str], np.ndarray]:
+        parts = [(_unpack_keys(k, words), offsets[p] + _unpack(n)) for k, p, n in zip(*(known[c].to_pylist() for c in ("keys", "part", "locals")))]
+        ids = np.concatenate([n for _, n in parts]).astype(np.uint32) if parts else np.empty(0, np.uint32)
+        if words:
+            return [w for k, _ in parts for w in k], ids
+        return np.concatenate([k for k, _ in parts]) if parts else np.empty(0, np.int64), ids
 
     def out(mine: pa.Table, numbers: np.ndarray) -> pa.Table:
         return pa.table({"block": mine["block"], "relation": pa.array([_pack(numbers)], pa.binary())})
 
-    columns = ["block", "relation", "words"] if first else ["block", "relation"]
-    told = found.select("block", "key", "part", "local").groupBy("block")
+    columns = ["block", "relation", "words"] if words else ["block", "relation"]
+    told = found.filter("block IS NOT NULL").select("block", "part", "keys", "locals").groupBy("block")
     pairs = relation.select(*columns).groupBy("block").cogroup(told)
-    return pairs.applyInArrow(of_words if first else of_pairs, "block long, relation binary")
+    return pairs.applyInArrow(of_words if words else of_pairs, "block long, relation binary")
 
 
 def _scored(phrases: DataFrame, words: int) -> DataFrame:
@@ -304,9 +365,9 @@ def collocations(
     each = relation.select("block", "lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     found = _frequent(each.select("block", "lang", F.col("x.words").alias("key"), F.col("x.counts").alias("count")), ["lang", "key"], least)
     offsets = _offsets(found)
-    numbered = stored(_numbered(found, offsets), "numbered")
+    numbered = stored(_numbered(found, offsets, words=True), "numbered")
     phrases = numbered.select("id", "lang", F.array("key").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    relation = stored(_renumbered(relation, found, offsets, first=True), "relation")
+    relation = stored(_renumbered(relation, found, offsets, words=True), "relation")
 
     kept = []
     for length in range(2, longest + 1):
@@ -314,8 +375,8 @@ def collocations(
         if length < longest:
             found = _frequent(groups, ["key"], least)
             offsets = _offsets(found)
-            numbered = stored(_numbered(found, offsets), "numbered")
-            relation = stored(_renumbered(relation, found, offsets, first=False), "relation")
+            numbered = stored(_numbered(found, offsets, words=False), "numbered")
+            relation = stored(_renumbered(relation, found, offsets, words=False), "relation")
         else:
             numbered = groups.groupBy("key").agg(F.sum("count").alias("f")).filter(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
         parts = numbered.select("id", "f", F.expr("key >> 32").alias("left"), F.expr("key & 4294967295").alias("right"))

@@ -64,6 +64,7 @@ def corpus(seed, n=400):
 def test_odd_texts_small_blocks_longer_phrases(spark, monkeypatch):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "text", "words", "block", "key")])
     rows = list(corpus(4))
+    monkeypatch.setattr(collocations, "HELD_ROWS", 3)
     df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], schema).repartition(7)
     for options in ({}, {"longest": 2}, {"longest": 5, "least": 3, "absorb": 70}, {"top": 3}):
         assert rows_of(collocations.collocations(df, **options)) == plain(rows, **options), options
