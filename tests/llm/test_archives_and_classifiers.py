@@ -458,6 +458,41 @@ def test_pipeline_stage_by_stage(spark):
     final = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert sorted(r.doc_id for r in final) == sorted(ids[5])
     model = bpe.Bpe(bpe.vocabulary())
-    for r in final[:50]:
+    for r in final:
         assert r.decoded_sha256 == hashlib.sha256(raw[r.doc_id].text.encode()).hexdigest()
         assert list(r.ids) == model.encode_batch([raw[r.doc_id].text])[0].tolist()
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows: each stage keeps one of what it should, and all columns."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    base = " ".join(words)
+    rows = [
+        (1, base, "en", "a"), (1, base + " tail", "en", "a"), (None, base.upper(), None, None), (None, "another text of few words", "en", None),
+        (None, "another text of few words", "en", None), (2, None, "de", "b"), (2, "", "de", "b"), (3, "  another  text of few words", "de", "b"), (4, "x", None, "a"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema)
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, docs, folder).count() == len(rows)  # labels of one class
+    exact = stages["exact_dedup"](spark, docs, folder).collect()
+    strip = lambda t: "".join((t or "").split())
+    assert sorted(strip(r.text) for r in exact) == sorted({strip(r[1]) for r in rows})
+    near = stages["near_dedup"](spark, spark.createDataFrame(exact, schema), folder)
+    kept = near.collect()
+    # base, its copy with a tail and its upper-case copy are one group: the smallest id stays
+    assert sorted((r.doc_id is None, r.doc_id, strip(r.text)[:6]) for r in kept if r.text and r.text.lower().startswith("w0")) in (
+        [(False, 1, "w0w1w2")],
+    )
+    assert len(kept) == len(exact) - 2 and near.columns == docs.columns
+    mixed = stages["mixing"](spark, docs, folder)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
+    tokens = stages["bpe"](spark, docs, folder).collect()
+    assert len(tokens) == len(rows) and sorted(r.n_tokens == 0 for r in tokens) == sorted(not r[1] for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), folder)
+        assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns), name
