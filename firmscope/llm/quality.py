@@ -3,7 +3,7 @@
 The content view sees the text: shares of bigrams of character classes and of
 repeated words.  The metadata view sees what a crawler knows of a page: language,
 source, size and line layout.  Each view has a logistic classifier (numpy).  In each of
-``ROUNDS`` rounds the executors score every unlabelled document by both classifiers,
+``ROUNDS`` rounds the executors score every document whose label isn't used by both classifiers,
 and each classifier hands the ``GIVEN`` of which it is most confident, of both classes
 as they occur, to the other one's training set.  Each view is then calibrated by Platt scaling on labelled rows kept aside, and
 the calibrated log-odds are averaged, weighted by how well each view separates them.
@@ -235,13 +235,13 @@ def train(
         """Sorts by ``first`` and ends with the label, 0 or 1."""
         return F.concat(F.hex(first), F.lit(" "), label.cast("string"))
 
-    drawn = F.broadcast(usable.select("id", "y"))  # bounded by max_labelled
+    drawn = F.broadcast(stored(usable.select("id", "y"), "quality-drawn"))  # bounded by max_labelled, so no text is shuffled for it
     once = rows.join(drawn, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row"))  # of rows that share an id, one counts
     content, metadata, y = features(once.select(place(F.xxhash64("id"), F.col("y")).alias("place"), "row.*"))
 
-    # Every unlabelled row; rows of one text, language and source are one, known by their hash.
+    # Every row whose label isn't used; rows of one text, language and source are one, known by their hash.
     identity = F.xxhash64("text", "lang", "source")
-    pool = rows.join(known.select("id"), "id", "left_anti").select(identity.alias("row"), "text", "lang", "source")
+    pool = rows.join(drawn.select("id"), "id", "left_anti").select(identity.alias("row"), "text", "lang", "source")
     gone: set[int] = set()  # handed over before: at most 2 * given a round
 
     def hand_over(fitted: list[View], share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
