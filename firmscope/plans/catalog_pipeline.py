@@ -20,7 +20,7 @@ from firmscope.plans import pipeline
 from firmscope.plans.catalog import _SQL, AS_OF, PAD, Ctx, query
 from firmscope.plans.oracle import PCT
 from firmscope.session import shared_dir
-from firmscope.sources import delimited, export, zipshards
+from firmscope.sources import delimited, export, keyed, zipshards
 from firmscope.sources import driver_tables as dtab
 
 
@@ -29,8 +29,9 @@ def _scratch(c: Ctx, name: str) -> str:
 
 
 def _keyed_gold(c: Ctx) -> DataFrame:
-    """Gold built from raw tables that are kept by key, in 8 buckets."""
-    return gold.build_gold(*pipeline.write_bronze(c.companies_raw, c.establishments_raw, _scratch(c, "keyed"), buckets=8), AS_OF)
+    """Gold built from raw tables that are kept by key, in buckets whose number follows the input's size."""
+    buckets = keyed.buckets_for(dtab.input_bytes(c.spark, c.sf_dir, ["lineitem", "orders", "customer", "supplier"]))
+    return gold.build_gold(*pipeline.write_bronze(c.companies_raw, c.establishments_raw, _scratch(c, "keyed"), buckets=buckets), AS_OF)
 
 
 _OPEN_OK = (

@@ -47,12 +47,32 @@ ACTIVITY_PAD = 4
 # Bumped whenever the shape or layout of a derived table changes, so stored
 # versions built by older code are not reused.
 DATA_VERSION = 5
+#: Bytes of stored input that one task of a join of the large tables is meant to sort.
+PART_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return store.read_input(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def input_paths(sf_dir: str, names: list[str]) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
+
+
+def input_bytes(spark: SparkSession, sf_dir: str, names: list[str]) -> int:
+    """Bytes of the tables' files."""
+    return sum(size for p in input_paths(sf_dir, names) for _, size, _ in store.fs(spark, p).files(p))
+
+
+def _dealt(df: DataFrame, key: str, sf_dir: str, names: list[str]) -> DataFrame:
+    """One side of a join on ``key``, dealt over a task for each PART_BYTES of the joined tables.
+
+    Where the session has partitions enough, the planner deals the rows out.
+    """
+    n = -(-input_bytes(df.sparkSession, sf_dir, names) // PART_BYTES)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _status_from_flag(flag: Column) -> Column:
     return (
         F.when(flag == "R", F.lit(schemas.STATUS_CLOSED))
@@ -115,10 +135,6 @@ def _gold_layout(df: DataFrame) -> DataFrame:
     return gold_layout(df)
 
 
-def input_paths(sf_dir: str, names: list[str]) -> list[str]:
-    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
-
-
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Gold-shaped table, written once per input version and read back."""
     names = ["lineitem", "orders", "customer", "supplier", "nation"]
@@ -162,6 +178,8 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal"
     )
+    of_customers = ["orders", "customer"]
+    orders, customer = _dealt(orders, "o_custkey", sf_dir, of_customers), _dealt(customer, "c_custkey", sf_dir, of_customers)
     j = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
     none = F.lit(None).cast("string")
     return j.select(
@@ -191,6 +209,8 @@ def establishments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier_side = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
     # Fact-to-fact join: shuffled sort-merge, as in ``companies_frame``.
+    facts = ["lineitem", "orders"]
+    li, orders = _dealt(li, "l_orderkey", sf_dir, facts), _dealt(orders, "o_orderkey", sf_dir, facts)
     j = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey, "inner").join(
         supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left"
     )

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from firmscope.plans import store
 
 LAYOUT = "_keyed.json"
-#: Input bytes that one bucket is meant to hold.
-BUCKET_BYTES = 128 << 20
+#: Bytes of stored input that one bucket is meant to hold.  A task sorts a bucket as rows, which take twenty to thirty times that.
+BUCKET_BYTES = 16 << 20
 
 
 def _name(path: str) -> str:

@@ -85,6 +85,38 @@ def test_raw_tables_kept_by_key_are_joined_and_grouped_without_an_exchange(spark
     assert again.count() == c.companies_raw.count() and again.schema == comp.schema
 
 
+def test_buckets_of_the_raw_tables_follow_the_inputs_size(spark, monkeypatch):
+    from firmscope.plans import catalog_pipeline
+    from firmscope.plans.catalog import Ctx
+    from firmscope.sources import driver_tables, keyed
+
+    c = Ctx(spark, SF_SMALL)
+    size = driver_tables.input_bytes(spark, SF_SMALL, ["lineitem", "orders", "customer", "supplier"])
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", size // 21)
+    built = catalog_pipeline._keyed_gold(c)
+    n = keyed.buckets_for(size)
+    assert n > 20 and f"{n} out of {n}" in plan_text(built)
+    assert sorted(map(str, built.collect())) == sorted(map(str, c.built_gold().collect()))
+
+
+def test_joins_of_the_large_tables_have_tasks_for_their_size(spark, monkeypatch):
+    from firmscope.sources import driver_tables
+
+    d, part = driver_tables, 2 << 10
+
+    def frames():
+        return [f(spark, SF_SMALL) for f in (d.establishments_raw, d.companies_raw)]
+
+    before = [sorted(map(str, df.collect())) for df in frames()]
+    monkeypatch.setattr(d, "PART_BYTES", part)
+    sides = (["lineitem", "orders"], "l_orderkey"), (["orders", "customer"], "o_custkey")
+    for df, (facts, key), rows in zip(frames(), sides, before, strict=True):
+        n = -(-d.input_bytes(spark, SF_SMALL, facts) // part)
+        dealt = [x for x in plan_text(df).splitlines() if "hashpartitioning" in x and key in x]
+        assert n > 8 and dealt and all(f", {n})" in x or f", {n}, " in x for x in dealt), dealt
+        assert sorted(map(str, df.collect())) == rows
+
+
 def test_segments_scan_the_companies_once(spark):
     from firmscope.plans.catalog import Ctx
 
