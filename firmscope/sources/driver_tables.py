@@ -98,8 +98,13 @@ def companies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     # dimension sides are left to the size-checked planner.
     own = nation.select(F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("_customer_nation"))
     customer = customer.join(own, customer.c_nationkey == own._nation, "left")
+    of_customers = ["orders", "customer"]
+    orders, customer = _dealt(orders, "o_custkey", sf_dir, of_customers), _dealt(customer, "c_custkey", sf_dir, of_customers)
     order_side = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
     supplier_side = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
+    facts = ["lineitem", "orders", "customer"]
+    li = _dealt(li, "l_orderkey", sf_dir, facts)
+    order_side = _dealt(order_side, "o_orderkey", sf_dir, facts)
     joined = li.join(
         order_side.hint("merge"), li.l_orderkey == order_side.o_orderkey, "inner"
     ).join(supplier_side, li.l_suppkey == supplier_side.s_suppkey, "left")

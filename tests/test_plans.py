@@ -105,11 +105,11 @@ def test_joins_of_the_large_tables_have_tasks_for_their_size(spark, monkeypatch)
     d, part = driver_tables, 2 << 10
 
     def frames():
-        return [f(spark, SF_SMALL) for f in (d.establishments_raw, d.companies_raw)]
+        return [f(spark, SF_SMALL) for f in (d.companies_frame, d.establishments_raw, d.companies_raw)]
 
     before = [sorted(map(str, df.collect())) for df in frames()]
     monkeypatch.setattr(d, "PART_BYTES", part)
-    sides = (["lineitem", "orders"], "l_orderkey"), (["orders", "customer"], "o_custkey")
+    sides = (["lineitem", "orders", "customer"], "l_orderkey"), (["lineitem", "orders"], "l_orderkey"), (["orders", "customer"], "o_custkey")
     for df, (facts, key), rows in zip(frames(), sides, before, strict=True):
         n = -(-d.input_bytes(spark, SF_SMALL, facts) // part)
         dealt = [x for x in plan_text(df).splitlines() if "hashpartitioning" in x and key in x]
