@@ -11,7 +11,7 @@ Every mart is a function of a small state, a keyed table of counts and exact sum
 :func:`difference` compares two Gold versions on the columns that the states use and
 keeps only the rows that came, went or changed, with a weight of 1 or -1 (a changed
 company is one of each; repeated rows are counted, so the versions may be any
-multisets).  A state of the weighted rows is what the states differ by;
+multisets).  For one state it compares that state's columns alone.  A state of the weighted rows is what the states differ by;
 :func:`updated` adds it.  Sums are decimals and counts integers, so an updated state
 equals the one built from the new version, row by row.  Groups that no company is left
 in go.
@@ -41,10 +41,16 @@ def whole(gold: DataFrame) -> DataFrame:
     return gold.select(*USED, F.lit(1).cast("bigint").alias(WEIGHT))
 
 
-def difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows that the versions don't share, weighted: 1 for each that came, -1 for each that went."""
+def difference(old: DataFrame, new: DataFrame, name: str | None = None) -> DataFrame:
+    """The rows that the versions don't share, weighted: 1 for each that came, -1 for each that went.
+
+    With the ``name`` of a state only the columns that it depends on are compared and
+    kept: rows that are alike in them are one row with their number as weight, combined
+    before the exchange.
+    """
+    columns = USED if name is None else STATES[name][1]
     both = whole(new).union(whole(old).withColumn(WEIGHT, -F.col(WEIGHT)))
-    return both.groupBy(*USED).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+    return both.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
 
 
 def _sum_if(condition: Column, value: Column | None = None) -> Column:
@@ -87,18 +93,18 @@ def _lifetimes(rows: DataFrame) -> DataFrame:
     return marts.closed_durations(rows, WEIGHT).groupBy("activity_code", "days").agg(F.sum(WEIGHT).alias("n"))
 
 
-#: Name -> (keys, state of weighted rows).
-STATES: dict[str, tuple[list[str], Callable[[DataFrame], DataFrame]]] = {
-    "openings": (["year", "city_code", "state"], _openings),
-    "sectors": (["activity_code"], _sectors),
-    "regions": (["state"], _regions),
-    "lifetimes": (["activity_code", "days"], _lifetimes),
+#: Name -> (keys, Gold columns that it depends on, state of weighted rows).
+STATES: dict[str, tuple[list[str], list[str], Callable[[DataFrame], DataFrame]]] = {
+    "openings": (["year", "city_code", "state"], ["opened_on", "city_code", "state", "share_capital"], _openings),
+    "sectors": (["activity_code"], ["activity_code", "share_capital"], _sectors),
+    "regions": (["state"], ["state", "status_code", "share_capital"], _regions),
+    "lifetimes": (["activity_code", "days"], ["activity_code", "status_code", "opened_on", "status_on"], _lifetimes),
 }
 
 
 def state_of(name: str, rows: DataFrame) -> DataFrame:
     """The state of weighted rows, one aggregation combined map-side."""
-    return STATES[name][1](rows)
+    return STATES[name][2](rows)
 
 
 def updated(name: str, state: DataFrame, change: DataFrame) -> DataFrame:

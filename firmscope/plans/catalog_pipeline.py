@@ -19,7 +19,7 @@ from firmscope.operators.gates import GateRules
 from firmscope.plans import pipeline
 from firmscope.plans.catalog import _SQL, AS_OF, PAD, Ctx, query
 from firmscope.plans.oracle import PCT
-from firmscope.session import shared_dir
+from firmscope.session import shared_dir, size_shuffles
 from firmscope.sources import delimited, export, keyed, zipshards
 from firmscope.sources import driver_tables as dtab
 
@@ -377,8 +377,10 @@ def _previous_gold(c: Ctx) -> DataFrame:
 def _maintained(c: Ctx, name: str) -> DataFrame:
     """The state of the previous version, changed by the difference to the current one."""
     old, new = _previous_gold(c), c.companies
+    # Both versions are compared: the tasks that hold their rows follow from the size.
+    size_shuffles(c.spark, dtab.input_bytes(c.spark, c.sf_dir, ["lineitem", "orders"]), dtab.PART_BYTES)
     before = mart_states.state_of(name, mart_states.whole(old))
-    return mart_states.updated(name, before, mart_states.state_of(name, mart_states.difference(old, new)))
+    return mart_states.updated(name, before, mart_states.state_of(name, mart_states.difference(old, new, name)))
 
 
 @query("maintained_growth_by_city", "SELECT * FROM growth_mart")

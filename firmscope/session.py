@@ -84,14 +84,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+def size_shuffles(spark: SparkSession, input_bytes: int, part_bytes: int | None = None) -> int:
     """Set the number of shuffle partitions before coalescing from the size of the input, and return it.
 
-    One partition for each advisory size of input, at least the session's
-    ``spark.sql.shuffle.partitions``; adaptive execution merges what is too small.
+    One partition for each ``part_bytes`` of input (by default the advisory size), at least the
+    session's ``spark.sql.shuffle.partitions``; adaptive execution merges what is too small.
     """
-    advisory = int(DEFAULT_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // advisory))
+    part_bytes = part_bytes or int(DEFAULT_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // part_bytes))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
     return n
 

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from firmscope import schemas
 from firmscope.operators import mart_states, marts
@@ -50,6 +51,18 @@ def test_a_changed_state_equals_the_one_built_anew(spark, name):
     assert mart_states.difference(new, new).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(mart_states.STATES))
+def test_a_state_compares_its_own_columns_alone(spark, name):
+    old, new = (spark.createDataFrame(r, schemas.GOLD) for r in _versions(9))
+    own = mart_states.difference(old, new, name)
+    assert own.columns == [*mart_states.STATES[name][1], mart_states.WEIGHT] and "company_id" not in own.columns
+    got = mart_states.updated(name, mart_states.state_of(name, mart_states.whole(old)), mart_states.state_of(name, own))
+    assert _rows(got) == _rows(mart_states.state_of(name, mart_states.whole(new)))
+    # Companies that changed in nothing the state depends on are no difference, however many there are.
+    renamed = old.withColumn("company_id", F.concat(F.lit("x"), "company_id"))
+    assert mart_states.difference(old, renamed, name).count() == 0 < mart_states.difference(old, renamed).count()
+
+
 def test_a_state_never_goes_below_zero(spark):
     old, new = (spark.createDataFrame(r, schemas.GOLD) for r in _versions(6))
     change = mart_states.state_of("regions", mart_states.difference(old, new.limit(0)))
