@@ -5,7 +5,7 @@ A line, without white space at its ends, is the set of its distinct shingles of
 Signatures are one-permutation MinHash: every shingle is hashed once and falls into one
 of BANDS * ROWS bins, empty bins borrow from others.  Lines that agree in a band meet in
 a bucket (9 bands of 3: a pair at similarity 0.8 is missed with a probability of
-0.0016, at 0.85 of 2e-4).  Buckets are streamed in sorted order: small ones give their
+0.0016, at 0.85 of 2e-4).  Buckets are streamed in the order of their keys: small ones give their
 pairs, large ones are compared with their first member and passed on to
 :func:`linking.close_large`.  Bucket keys that hold more than 1 / HOT of a sample of
 the lines (at most HOT for each band) are dealt out over many tasks.  Every pair is
@@ -22,6 +22,7 @@ and carried by :func:`deduplicate`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmscope.llm import linking
 from firmscope.llm.common import SPACES, fresh, stored, workers
@@ -36,65 +38,107 @@ from firmscope.llm.common import SPACES, fresh, stored, workers
 SHINGLE, BANDS, ROWS = 8, 9, 3
 BITMAP = 1 << 26  # bits of the bitmap of lines whose text is wanted: 8 MB
 HOT, SAMPLE = 1000, 50  # share that makes a key hot; one of so many documents is sampled for it
+PIECE = 1 << 16  # code points that are hashed at a time
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _shingle_hashes(points: np.ndarray) -> np.ndarray:
     """Hashes of the windows of SHINGLE code points: the window is doubled step by step."""
-    h, factor, width = points.astype(np.uint64) + np.uint64(1), FACTOR, 1
+    h, factor, width = points.astype(np.uint64), FACTOR, 1
+    h += np.uint64(1)
     while width < SHINGLE:
-        h = h[:-width] * factor + h[width:]
+        left = h[:-width] * factor
+        left += h[width:]
+        h = left
         factor, width = factor * factor, 2 * width
     return _mixed(h)
 
 
 def shingles(line: str) -> np.ndarray:
     """Sorted distinct fingerprints of a stripped line."""
-    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    if len(points) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(line.encode())], np.uint64)
-    with np.errstate(over="ignore"):
-        return np.unique(_shingle_hashes(points))
+    return next(sets_of([line.encode()]))
+
+
+def sets_of(raws: list[bytes]) -> Iterator[np.ndarray]:
+    """The sorted distinct fingerprints of each stripped line, hashed a piece of the lines at a time."""
+    lines = [raw.decode() for raw in raws]
+    lengths = np.array([len(x) for x in lines], np.int64)
+    for i, j in _pieces(lengths):
+        points = np.frombuffer("".join(lines[i:j]).encode("utf-32-le"), np.uint32)
+        with np.errstate(over="ignore"):
+            h = _shingle_hashes(points) if len(points) >= SHINGLE else np.empty(0, np.uint64)
+        start = 0
+        for raw, n in zip(raws[i:j], lengths[i:j].tolist()):
+            if n < SHINGLE:
+                yield np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64)
+            else:
+                own = h[start : start + n - SHINGLE + 1]
+                own.sort()
+                first = own[1:] != own[:-1]
+                yield own if first.all() else np.concatenate([own[:1], own[1:][first]])
+            start += n
 
 
-def set_of(raw: bytes) -> np.ndarray:
-    return shingles(raw.decode())
+def _pieces(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of lines of about PIECE code points: their arrays stay in the processor's cache."""
+    piece = (np.cumsum(lengths) - lengths) // PIECE
+    at = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(lengths)] if len(lengths) else []
+    return list(zip(at, at[1:]))
 
 
 def node_of(line: str) -> int:
     """The class of a stripped line: what Spark's ``xxhash64`` gives for it."""
-    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return _node(line.encode())
+
+
+def _node(raw: bytes) -> int:
+    h = xxhash.xxh64_intdigest(raw, 42)
     return h - 2**64 if h >= 2**63 else h
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line; the lines have at least SHINGLE code points."""
-    bins = BANDS * ROWS
+    lengths = np.array([len(x) for x in lines])
     with np.errstate(over="ignore"):
-        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-        lengths = np.array([len(x) for x in lines])
-        h = _shingle_hashes(points)
-        row = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
-        left = np.repeat(np.cumsum(lengths), lengths)[: len(h)] - np.arange(len(h))
-        inside = left >= SHINGLE  # the window doesn't reach into the next line
-        h, row = h[inside], row[inside]
-        slot = row * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        signature = np.full(len(lines) * bins, EMPTY)
-        np.minimum.at(signature, slot, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        signature = _filled(signature.reshape(len(lines), bins)).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
+        signature = np.concatenate([_signature(lines[i:j], lengths[i:j]) for i, j in _pieces(lengths)])
+        signature = _filled(signature).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
         keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(lines), BANDS)) * FACTOR
         for k in range(ROWS):
             keys = _mixed(keys ^ signature[:, :, k]) + FACTOR
     return keys.view(np.int64)
 
 
+def _signature(lines: list[str], lengths: np.ndarray) -> np.ndarray:
+    """The least hash in every bin of each line, EMPTY without one."""
+    bins = BANDS * ROWS
+    h = _shingle_hashes(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32))
+    across = (np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)).reshape(-1)  # windows that reach into the next line
+    h[across] = EMPTY
+    slot = h >> np.uint64(32)
+    slot *= np.uint64(bins)
+    slot >>= np.uint64(32)
+    slot = slot.view(np.int64)
+    slot += np.repeat(np.arange(len(lines)) * bins, lengths)[: len(h)]
+    signature = np.full(len(lines) * bins, EMPTY)
+    np.minimum.at(signature, slot, h.astype(np.uint32))
+    return signature.reshape(len(lines), bins)
+
+
+@functools.cache
+def _borrowing(bins: int) -> np.ndarray:
+    return np.stack([np.random.default_rng(1_000 + b).permutation(bins) for b in range(bins)])
+
+
 def _filled(signature: np.ndarray) -> np.ndarray:
     """Empty bins take the value of the first filled bin of a fixed random sequence of their own."""
     bins = signature.shape[1]
@@ -102,7 +146,7 @@ def _filled(signature: np.ndarray) -> np.ndarray:
     rows = np.flatnonzero(~filled.all(axis=1))
     if not len(rows):
         return signature
-    order = np.stack([np.random.default_rng(1_000 + b).permutation(bins) for b in range(bins)])
+    order = _borrowing(bins)
     for at in range(0, len(rows), 2_000):
         some = rows[at : at + 2_000]
         for b in range(bins):
@@ -119,7 +163,7 @@ def _lines(text: str | None) -> list[str]:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(node, keys) of every line that can have a partner; repeats within a batch are left out."""
+    """(node, key) for the keys of every line that can have a partner; repeats within a batch are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,15 +179,39 @@ def _keys(docs: DataFrame) -> DataFrame:
                 if lines:
                     found = list(lines)
                     keys = band_keys(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([node_of(x) for x in found], pa.int64()),
-                            pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
-                        ],
-                        names=["node", "keys"],
-                    )
+                    nodes = np.repeat(np.array([node_of(x) for x in found], np.int64), BANDS)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.reshape(-1))], names=["node", "key"])
 
-    return docs.select("text").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    return docs.select("text").mapInArrow(run, "node long, key long")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(id, line_no, node, check) of every line, with two hashes of it; both are null for blank lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [_lines(t) for t in batch.column(1).to_pylist()]
+            counts = [len(some) for some in lines]
+            at = {x: k for k, x in enumerate(dict.fromkeys(x for some in lines for x in some if x))}
+            raws = [x.encode() for x in at]
+            number = pa.array([at.get(x) for some in lines for x in some], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(np.repeat(np.arange(len(lines)), counts), pa.int64())),
+                    pa.array([k for n in counts for k in range(n)], pa.int32()),
+                    pa.array([_node(raw) for raw in raws], pa.int64()).take(number),
+                    pa.array([_check(raw) for raw in raws], pa.int32()).take(number),
+                ],
+                names=["id", "line_no", "node", "check"],
+            )
+
+    types = T.StructType().add("id", docs.schema["id"].dataType).add("line_no", "integer").add("node", "long").add("check", "integer")
+    return docs.select("id", "text").mapInArrow(run, types)
+
+
+def _check(raw: bytes) -> int:
+    """A second hash, which tells lines of one class number apart."""
+    return xxhash.xxh3_64_intdigest(raw) >> 33
 
 
 def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
@@ -159,8 +227,7 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], names=["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        key, members, size = None, [], 0  # of a large bucket only the first members are held
+        key, members = None, {}  # the distinct lines of a bucket; of a large one only some are held
 
         buffer: tuple[list, list, list] = ([], [], [])
 
@@ -170,13 +237,14 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
 
         def flush() -> None:
             """What a small bucket gives when its last line has come."""
-            if size > linking.SMALL or not members:
+            some = list(members)
+            if len(some) > linking.SMALL or not some:
                 return
             if is_hot(key):  # a piece of it
-                add([key] * len(members), members, [None] * len(members))
-                add([None] * (len(members) - 1), members[1:], [members[0]] * (len(members) - 1))
+                add([key] * len(some), some, [None] * len(some))
+                add([None] * (len(some) - 1), some[1:], [some[0]] * (len(some) - 1))
             else:
-                ab = [(members[i], members[j]) for i in range(len(members)) for j in range(i + 1, len(members))]
+                ab = [(some[i], some[j]) for i in range(len(some)) for j in range(i + 1, len(some))]
                 add([None] * len(ab), [a for a, _ in ab], [b for _, b in ab])
 
         def is_hot(k: int) -> bool:
@@ -185,14 +253,6 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
 
         for batch in batches:
             ks, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(ks):
-                continue
-            fresh_row = np.ones(len(ks), bool)  # repeats of a line in one bucket are neighbours
-            fresh_row[1:] = (ks[1:] != ks[:-1]) | (nodes[1:] != nodes[:-1])
-            if key is not None and ks[0] == key and members and nodes[0] == last:
-                fresh_row[0] = False
-            last = nodes[-1]
-            ks, nodes = ks[fresh_row], nodes[fresh_row]
             if not len(ks):
                 continue
             starts = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
@@ -205,17 +265,15 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
                 k = int(ks[s])
                 if k != key:
                     flush()
-                    key, members, size = k, [], 0
-                run_nodes = nodes[s:e].tolist()
-                before = size
-                size += len(run_nodes)
-                if size <= linking.SMALL:
-                    members.extend(run_nodes)
-                    continue
-                if before <= linking.SMALL:  # it has just become large: what was held goes out too
-                    run_nodes = members + run_nodes
-                    members = run_nodes[:1]
-                first = members[0]
+                    key, members = k, {}
+                run_nodes = list(dict.fromkeys(nodes[s:e].tolist()))  # copies of a line lie anywhere in its bucket
+                if len(members) <= linking.SMALL:
+                    members.update(dict.fromkeys(run_nodes))
+                    if len(members) <= linking.SMALL:
+                        continue
+                    run_nodes = list(members)  # it has just become large: what was held goes out too
+                    members = dict.fromkeys(run_nodes[: linking.SMALL + 1])
+                first = next(iter(members))
                 add([key] * len(run_nodes), run_nodes, [None] * len(run_nodes))
                 rest = [x for x in run_nodes if x != first]
                 add([None] * len(rest), rest, [first] * len(rest))
@@ -225,14 +283,13 @@ def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
         flush()
         yield out(*buffer)
 
-    return keys.select("key", "node").repartition(n, place).sortWithinPartitions("key", "node").mapInArrow(run, "key long, a long, b long")
+    return keys.select("key", "node").repartition(n, place).sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, line_no (from 0), component (null for blank lines), kept."""
     workers(df.sparkSession)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    key_type = docs.schema["id"].dataType.simpleString()
 
     sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)  # for the choice of hot keys only
     counted = stored(_keys(sample).groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
@@ -242,7 +299,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct(), "line-wanted")
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +320,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(set_of(raw)) for raw in batch.column(1).to_pylist()]
+            n = [len(x) for x in sets_of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["node", "values", "n"])
 
     lines = docs.select("text").mapInArrow(texts_of, "node long, values binary").join(wanted, "node", "left_semi")
@@ -275,28 +332,22 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return some.join(sides[0], "a").join(sides[1], "b").filter(linking.reachable("na", "nb")).select("a", "b")
 
-    links = stored(linking.confirmed(plausible(pairs), sets, set_of), "line-links")
+    links = stored(linking.confirmed(plausible(pairs), sets, sets_of), "line-links")
     labels = linking.forest(links)
-    labels = stored(linking.close_large(members, labels, sizes, sets, set_of), "line-labels")
+    labels = stored(linking.close_large(members, labels, sizes, sets, sets_of), "line-labels")
 
-    split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.btrim("line", F.lit(SPACES))
-    every = split.select("id", "line_no", F.when(F.length(line) > 0, line).alias("line")).select(
-        "id", "line_no", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("node"), F.hash("line").alias("check")
-    )
-    every = stored(every, "line-places")
+    every = stored(_places(docs), "line-places")
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "line_no")
     # Only lines that occur again or are linked need a look.  Lines of one number whose second hash differs
     # are different lines: those of other hashes than the first stay.
     classes = every.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("check").alias("first_check"), F.min(F.struct("check", place.alias("place"))).alias("least"), F.count(F.lit(1)).alias("n")
     )
-    classes = classes.select("node", "first_check", F.col("least.place").alias("place"), "n").join(labels, "node", "left")
-    classes = stored(classes.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node")), "line-classes")
-    # The smallest node of a component has no label of its own, and may occur once.
-    heads = labels.select(F.col("label").alias("node")).distinct().join(classes.select("node"), "node", "left_anti")
-    single = every.join(heads, "node").select("node", F.col("check").alias("first_check"), place.alias("place"), F.col("node").alias("label"))
-    classes = classes.drop("n").unionByName(single)
+    # The smallest node of a component has no label of its own.
+    heads = labels.select(F.col("label").alias("node"), "label").distinct()
+    classes = classes.select("node", "first_check", F.col("least.place").alias("place"), "n").join(labels.union(heads), "node", "left")
+    classes = classes.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node")).drop("n")
+    classes = stored(classes, "line-classes")
     least = classes.groupBy("label").agg(F.min("place").alias("keep"))
     classes = stored(classes.join(least, "label").select("node", "first_check", "label", "keep"), "line-classes")
     same = F.col("check") == F.col("first_check")

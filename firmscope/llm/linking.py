@@ -1,7 +1,7 @@
 """Links between classes of sets that share buckets of a locality-sensitive hash.
 
 Sets are sorted arrays of 64-bit fingerprints, kept by class (``node``) as their bytes or
-as bytes that ``decode`` turns into them.  A
+as bytes that ``decode`` turns into them, many at a time.  A
 bucket's pairs are never all emitted: small buckets give their few pairs, in large ones
 the members are compared with a central member first, and of members that stay in
 different components only pairs that an upper bound allows are looked at.
@@ -9,7 +9,7 @@ different components only pairs that an upper bound allows are looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +27,24 @@ def reachable(low: str, high: str) -> Column:
     return F.expr(f"5 * least({low}, {high}) >= 4 * greatest({low}, {high})")
 
 
-Decode = Callable[[bytes], np.ndarray]
+Decode = Callable[[list[bytes]], Iterable[np.ndarray]]
 
 
-def stored_set(raw: bytes) -> np.ndarray:
-    """A set that is kept as the bytes of its sorted fingerprints."""
-    return np.frombuffer(raw, np.uint64)
+def stored_sets(raws: list[bytes]) -> Iterator[np.ndarray]:
+    """Sets that are kept as the bytes of their sorted fingerprints."""
+    return (np.frombuffer(raw, np.uint64) for raw in raws)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, decode: Decode = stored_set) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, decode: Decode = stored_sets) -> DataFrame:
     """The pairs with 100 * intersection >= 80 * union, on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            known: dict[bytes, np.ndarray] = {}  # a node mostly has several pairs
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                for raw in (left, right):
-                    if raw not in known:
-                        known[raw] = decode(raw)
+            lefts, rights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            raws = list(dict.fromkeys(lefts + rights))  # a node mostly has several pairs
+            known = dict(zip(raws, decode(raws)))
+            for left, right in zip(lefts, rights):
                 x, y = known[left], known[right]
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
@@ -86,7 +85,7 @@ def close_large(
     labels: DataFrame,
     sizes: DataFrame,
     sets: DataFrame,
-    decode: Decode = stored_set,
+    decode: Decode = stored_sets,
 ) -> DataFrame:
     """Components after all links inside the large buckets; ``labels`` are those so far.
 
@@ -115,14 +114,14 @@ def close_large(
 
     def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = decode(raw).view(np.int64)
+            for node, values in zip(batch.column(0).to_pylist(), decode(batch.column(1).to_pylist())):
+                values = values.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(values)], names=["node", "value"])
 
+    # Most sets take no part: only those that do are dealt out again below.
+    sets = stored(sets.select("node", "values").join(large.select("node").distinct(), "node", "left_semi"), "large-sets")
     own = (
-        sets.join(large.select("node").distinct(), "node", "left_semi")
-        .select("node", "values")
-        .mapInArrow(values_of, "node long, value long")
+        sets.mapInArrow(values_of, "node long, value long")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
         .filter("holders = 1")
@@ -141,11 +140,11 @@ def close_large(
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            last: tuple[bytes, np.ndarray] = (b"", np.empty(0, np.uint64))
-            for mine, its in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if its != last[0]:
-                    last = (its, decode(its))
-                a, c = decode(mine), last[1]
+            centres = batch.column(3).to_pylist()
+            raws = list(dict.fromkeys(centres))
+            known = dict(zip(raws, decode(raws)))
+            for a, its in zip(decode(batch.column(2).to_pylist()), centres):
+                c = known[its]
                 missing, extra = np.setdiff1d(c, a, assume_unique=True), np.setdiff1d(a, c, assume_unique=True)
                 linked = 9 * (len(c) - len(missing)) >= 4 * (len(a) + len(c))
                 rows.append((len(c), missing.view(np.int64), extra.view(np.int64), linked))
@@ -173,9 +172,9 @@ def close_large(
     new = compared.filter("linked AND node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = forest(new, labels)
 
-    members = labelled(groups.drop("label"), labels).join(compared.drop("linked"), ["node", "centre"])
+    members = labelled(groups.drop("label"), labels)
     usual = members.filter("node = centre").select("centre", F.col("label").alias("usual"))
-    members = stored(members.join(usual, "centre"), "members")
+    members = stored(members.join(usual, "centre").join(compared.drop("linked"), ["node", "centre"]), "members")
     left = members.filter("label <> usual")
     right = members.select("centre", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "own", "missing", "extra")])
     pairs = left.join(right, "centre").filter(

@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,6 +261,51 @@ def test_lines_of_documents(spark):
     assert line_dedup.line_groups(frame(spark, [])).count() == 0
 
 
+def test_sets_of_many_lines_are_hashed_together(monkeypatch):
+    lines = [line for _, t in line_rows() if t for line in map(str.strip, t.split("\n"))]
+    lines += ["", "short", "eight ch", "é" * 70_000, "tail 12345"]
+    hashed, calls = line_dedup._shingle_hashes, []
+    monkeypatch.setattr(line_dedup, "_shingle_hashes", lambda points: calls.append(len(points)) or hashed(points))
+    sets = list(line_dedup.sets_of([x.encode() for x in lines]))
+    assert len(calls) <= 3 < len(lines)
+    assert list(line_dedup.sets_of([])) == []
+    assert [len(x) for x in sets] == [len(line_set(x)) for x in lines]
+    for x, y in itertools.islice(itertools.combinations(range(len(lines)), 2), 2000):
+        assert len(np.intersect1d(sets[x], sets[y])) == len(line_set(lines[x]) & line_set(lines[y]))
+
+
+def test_band_keys_do_not_depend_on_the_lines_beside(monkeypatch):
+    lines = [x for _, t in line_rows() if t for x in map(str.strip, t.split("\n")) if len(x) >= line_dedup.SHINGLE]
+    alone = np.concatenate([line_dedup.band_keys([x]) for x in lines])
+    assert (line_dedup.band_keys(lines) == alone).all()
+    monkeypatch.setattr(line_dedup, "PIECE", 200)
+    assert (line_dedup.band_keys(lines) == alone).all()
+
+
+def test_copies_lie_anywhere_in_a_bucket(spark):
+    rows = [(1, n) for n in (6, 5) * 40] + [(2, 7)] * 50 + [(3, n) for n in list(range(20)) * 3] + [(4, 9)]
+    keys = spark.createDataFrame(rows, "key long, node long").repartition(7)
+    got = line_dedup._pairs(keys, []).distinct().collect()
+    assert {frozenset((r.a, r.b)) for r in got if r.b is not None and not {r.a, r.b} <= set(range(5))} >= {frozenset((5, 6))}
+    assert sorted((r.key, r.a) for r in got if r.b is None) == [(3, n) for n in range(20)]
+    large = [{r.a, r.b} for r in got if r.b is not None and {r.a, r.b} != {5, 6}]
+    assert len(set.intersection(*large)) == 1 and set.union(*large) == set(range(20))  # all with one member
+
+
+def test_only_sets_of_large_buckets_are_dealt_out(spark, monkeypatch):
+    base = np.arange(100, dtype=np.uint64)
+    sets = {n: np.append(base[: 95 - n % 3], 1000 + n).astype(np.uint64) for n in range(12)}
+    sets |= {n: np.arange(1000 * n, 1000 * n + 100, dtype=np.uint64) for n in range(20, 120)}
+    frame_of = spark.createDataFrame([(n, x.tobytes(), len(x)) for n, x in sets.items()], "node long, values binary, n long")
+    members = spark.createDataFrame([(1, n) for n in range(12)], "key long, node long")
+    labels = spark.createDataFrame([(1, 0)], "node long, label long")
+    kept, keep = {}, linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    got = linking.close_large(members, labels, frame_of.select("node", "n"), frame_of)
+    assert {(r.node, r.label) for r in got.collect()} == {(n, 0) for n in range(1, 12)}
+    assert {r.node for r in kept["large-sets"].collect()} == set(range(12))
+
+
 # ---- mixing ------------------------------------------------------------------
 
 
