@@ -5,7 +5,8 @@ A line, without white space at its ends, is the set of its distinct shingles of
 Signatures are one-permutation MinHash: every shingle is hashed once and falls into one
 of BANDS * ROWS bins, empty bins borrow from others.  Lines that agree in a band meet in
 a bucket (9 bands of 3: a pair at similarity 0.8 is missed with a probability of
-0.0016, at 0.85 of 2e-4).  Buckets are streamed in the order of their keys: small ones give their
+0.0016, at 0.85 of 2e-4).  The keys are dealt out packed, a row for each part of a block
+of lines.  A part's buckets are read off its sorted keys: small ones give their
 pairs, large ones are compared with their first member and passed on to
 :func:`linking.close_large`.  Bucket keys that hold more than 1 / HOT of a sample of
 the lines (at most HOT for each band) are dealt out over many tasks.  Every pair is
@@ -23,7 +24,8 @@ and carried by :func:`deduplicate`.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope.llm import linking
-from firmscope.llm.common import SPACES, fresh, stored, workers
+from firmscope.llm.common import SPACES, fresh, partitions, stored, workers
 
 SHINGLE, BANDS, ROWS = 8, 9, 3
 BITMAP = 1 << 26  # bits of the bitmap of lines whose text is wanted: 8 MB
 HOT, SAMPLE = 1000, 50  # share that makes a key hot; one of so many documents is sampled for it
 PIECE = 1 << 16  # code points that are hashed at a time
+BLOCK = 1 << 20  # keys that are dealt out together
+GROWTH = 4  # parts for the keys, for each common.PARTITION_BYTES of input
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -162,27 +166,26 @@ def _lines(text: str | None) -> list[str]:
     return [] if text is None else [x.strip(SPACES) for x in text.split("\n")]
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """(node, key) for the keys of every line that can have a partner; repeats within a batch are left out."""
+Batches = Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):  # about a million characters at a time
-                lines: dict[str, None] = {}
-                chars = 0
-                while at < len(texts) and chars < 1_000_000:
-                    lines.update(dict.fromkeys(x for x in _lines(texts[at]) if len(x) >= SHINGLE))
-                    chars += len(texts[at] or "")
-                    at += 1
-                if lines:
-                    found = list(lines)
-                    keys = band_keys(found)
-                    nodes = np.repeat(np.array([node_of(x) for x in found], np.int64), BANDS)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.reshape(-1))], names=["node", "key"])
-
-    return docs.select("text").mapInArrow(run, "node long, key long")
+
+def _line_keys(batches: Batches) -> Batches:
+    """(key, node) for the keys of every line of some texts that can have a partner; repeats within a batch are left out."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        at = 0
+        while at < len(texts):  # about a million characters at a time
+            lines: dict[str, None] = {}
+            chars = 0
+            while at < len(texts) and chars < 1_000_000:
+                lines.update(dict.fromkeys(x for x in _lines(texts[at]) if len(x) >= SHINGLE))
+                chars += len(texts[at] or "")
+                at += 1
+            if lines:
+                found = list(lines)
+                keys = band_keys(found)
+                nodes = np.repeat(np.array([node_of(x) for x in found], np.int64), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], names=["key", "node"])
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -214,76 +217,82 @@ def _check(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) >> 33
 
 
-def _pairs(keys: DataFrame, hot: list[int]) -> DataFrame:
+def _pairs(rows: DataFrame, hot: list[int], keyed: Callable[[Batches], Batches] | None = None) -> DataFrame:
     """Pairs (key null, a, b) of the small buckets and with the first member of the large ones, and the members
-    (key, a = node, b null) of the large buckets."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.col("key")
-    if hot:
-        place = F.when(F.col("key").isin(hot), F.xxhash64("key", F.pmod(F.xxhash64("node"), F.lit(64)))).otherwise(place)
+    (key, a = node, b null) of the large buckets.  ``rows`` are key and node, or what ``keyed`` turns into these."""
+    n = partitions(rows, GROWTH)
     hot_keys = np.array(sorted(hot), np.int64)
 
-    def out(key: list, a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], names=["key", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, {}  # the distinct lines of a bucket; of a large one only some are held
-
-        buffer: tuple[list, list, list] = ([], [], [])
-
-        def add(k: list, a: list, b: list) -> None:
-            for column, more in zip(buffer, (k, a, b)):
-                column.extend(more)
-
-        def flush() -> None:
-            """What a small bucket gives when its last line has come."""
-            some = list(members)
-            if len(some) > linking.SMALL or not some:
-                return
-            if is_hot(key):  # a piece of it
-                add([key] * len(some), some, [None] * len(some))
-                add([None] * (len(some) - 1), some[1:], [some[0]] * (len(some) - 1))
-            else:
-                ab = [(some[i], some[j]) for i in range(len(some)) for j in range(i + 1, len(some))]
-                add([None] * len(ab), [a for a, _ in ab], [b for _, b in ab])
-
-        def is_hot(k: int) -> bool:
-            at = np.searchsorted(hot_keys, k)
-            return bool(at < len(hot_keys) and hot_keys[at] == k)
-
-        for batch in batches:
-            ks, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(ks):
-                continue
-            starts = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-            ends = np.append(starts[1:], len(ks))
-            # Only the runs of more than one line, and the first and last, need a look.
-            lone = (ends - starts == 1) & ~np.isin(ks[starts], hot_keys)
-            if len(lone):
-                lone[0] = lone[-1] = False
-            for s, e in zip(starts[~lone].tolist(), ends[~lone].tolist()):
-                k = int(ks[s])
-                if k != key:
-                    flush()
-                    key, members = k, {}
-                run_nodes = list(dict.fromkeys(nodes[s:e].tolist()))  # copies of a line lie anywhere in its bucket
-                if len(members) <= linking.SMALL:
-                    members.update(dict.fromkeys(run_nodes))
-                    if len(members) <= linking.SMALL:
-                        continue
-                    run_nodes = list(members)  # it has just become large: what was held goes out too
-                    members = dict.fromkeys(run_nodes[: linking.SMALL + 1])
-                first = next(iter(members))
-                add([key] * len(run_nodes), run_nodes, [None] * len(run_nodes))
-                rest = [x for x in run_nodes if x != first]
-                add([None] * len(rest), rest, [first] * len(rest))
-            if len(buffer[0]) > 10_000:
-                yield out(*buffer)
-                buffer = ([], [], [])
-        flush()
-        yield out(*buffer)
-
-    return keys.select("key", "node").repartition(n, place).sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    def parts(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The part of each row: that of its key, or one of 64 of a hot key."""
+        place = keys.view(np.uint64)
+        if len(hot_keys):
+            at = np.flatnonzero(np.isin(keys, hot_keys))
+            place = place.copy()
+            with np.errstate(over="ignore"):
+                place[at] = _mixed(place[at] + _mixed(nodes[at].view(np.uint64)) % np.uint64(64) * FACTOR)
+        return place % np.uint64(n)
+
+    def packed(blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, nodes = (np.concatenate([block.column(k).to_numpy() for block in blocks]) for k in (0, 1))
+        part = parts(keys, nodes).astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, keys, nodes = part[order], keys[order], nodes[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)]))
+        values = [pa.array([column[i:j].tobytes() for i, j in cuts], pa.binary()) for column in (keys, nodes)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), *values], names=["part", "keys", "nodes"])
+
+    def deal(batches: Batches) -> Batches:
+        held, count = [], 0
+        for batch in keyed(batches) if keyed else batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= BLOCK:
+                yield packed(held)
+                held, count = [], 0
+        if held:
+            yield packed(held)
+
+    def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (key, a, b)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b"])
+
+    def run(batches: Batches) -> Batches:
+        held = [(k, v) for batch in batches for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        keys, nodes = (np.frombuffer(b"".join(column), np.int64) for column in (zip(*held) if held else ((), ())))
+        del held
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        # Most keys come once: only the others, and the pieces of hot ones, need a look.
+        again = np.isin(keys, hot_keys)
+        again[1:] |= keys[1:] == keys[:-1]
+        again[:-1] |= keys[1:] == keys[:-1]
+        keys, nodes = keys[again], nodes[again]
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        first = np.ones(len(keys), bool)  # copies of a line lie anywhere in its bucket
+        first[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes = keys[first], nodes[first]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(keys)))
+        large = (sizes > linking.SMALL) | np.isin(keys[starts], hot_keys)
+        for size in range(2, linking.SMALL + 1):
+            at = starts[~large & (sizes == size)]
+            if len(at):
+                i, j = np.array(list(itertools.combinations(range(size), 2))).T
+                yield out(None, nodes[at[:, None] + i].reshape(-1), nodes[at[:, None] + j].reshape(-1))
+        member = np.repeat(large, sizes)
+        if member.any():
+            yield out(keys[member], nodes[member], None)
+            rest = member & ~first
+            yield out(None, nodes[rest], np.repeat(nodes[starts], sizes)[rest])
+
+    dealt = rows.mapInArrow(deal, "part int, keys binary, nodes binary").repartitionById(n, "part")
+    return dealt.select("keys", "nodes").mapInArrow(run, "key long, a long, b long")
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,9 +301,10 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)  # for the choice of hot keys only
-    counted = stored(_keys(sample).groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
+    sampled = sample.select("text").mapInArrow(_line_keys, "key long, node long")
+    counted = stored(sampled.groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
     hot = [r.key for r in _hot_keys(counted)]
-    found = stored(_pairs(_keys(docs), hot), "line-pairs")
+    found = stored(_pairs(docs.select("text"), hot, _line_keys), "line-pairs")
     members = found.filter("b IS NULL").select("key", F.col("a").alias("node")).distinct()
     pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")

@@ -20,6 +20,7 @@ from firmscope.llm.common import stored
 from firmscope.llm.components import components
 
 SMALL = 8
+VALUES = 1 << 15  # fingerprints of sets that leave a task together
 
 
 def reachable(low: str, high: str) -> Column:
@@ -112,11 +113,22 @@ def close_large(
     inside = labels.join(mains, "label").select(F.col("label").alias("main"), "node").union(mains.select("label", F.col("label").alias("node")))
     large = stored(labelled(outside.union(inside).join(sizes, "node").select("main", "node", "n"), labels), "large")
 
+    def together(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        column = np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])
+        return pa.RecordBatch.from_arrays([pa.array(column), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "value"])
+
     def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes, some, count = [], [], 0
             for node, values in zip(batch.column(0).to_pylist(), decode(batch.column(1).to_pylist())):
-                values = values.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(values)], names=["node", "value"])
+                nodes.append(node)
+                some.append(values)
+                count += len(values)
+                if count >= VALUES:
+                    yield together(nodes, some)
+                    nodes, some, count = [], [], 0
+            if some:
+                yield together(nodes, some)
 
     # Most sets take no part: only those that do are dealt out again below.
     sets = stored(sets.select("node", "values").join(large.select("node").distinct(), "node", "left_semi"), "large-sets")

@@ -292,6 +292,39 @@ def test_copies_lie_anywhere_in_a_bucket(spark):
     assert len(set.intersection(*large)) == 1 and set.union(*large) == set(range(20))  # all with one member
 
 
+def test_keys_are_dealt_out_packed(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([-(2**63), -5, 0, 7, 2**63 - 1, *range(100, 500)]), rng.randrange(-30, 30)) for _ in range(3000)]
+    keys, dealt, by_id = spark.createDataFrame(rows, "key long, node long").repartition(3), [], type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(keys), "repartitionById", lambda df, n, part: dealt.append((n, df.count())) or by_id(df, n, part))
+    got = line_dedup._pairs(keys, [7, -5]).collect()
+    assert len(dealt) == 1 and dealt[0][1] <= 3 * dealt[0][0] < len(rows)  # a row for each block and part
+    buckets = defaultdict(set)
+    for key, node in rows:
+        buckets[key].add(node)
+    large = {k for k, b in buckets.items() if len(b) > linking.SMALL or k in (7, -5)}
+    assert large > {7, -5} and len(large) < len(buckets)
+    assert sorted((r.key, r.a) for r in got if r.b is None) == sorted((k, node) for k in large for node in buckets[k])
+    want = {frozenset(p) for k, b in buckets.items() if k not in large for p in itertools.combinations(b, 2)}
+    pairs = {frozenset((r.a, r.b)) for r in got if r.b is not None}
+    want |= {frozenset((min(buckets[k]), x)) for k in large - {7, -5} for x in buckets[k] - {min(buckets[k])}}
+    assert all(r.key is None and r.a != r.b for r in got if r.b is not None) and pairs >= want
+    assert all(p <= buckets[7] or p <= buckets[-5] for p in pairs - want)
+
+
+def test_texts_give_their_keys_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 50)
+    rows = line_rows()
+    keys = defaultdict(set)
+    for line in {x for _, t in rows if t for x in map(str.strip, t.split("\n")) if len(x) >= line_dedup.SHINGLE}:
+        for key in line_dedup.band_keys([line])[0].tolist():
+            keys[key].add(line_dedup.node_of(line))
+    got = line_dedup._pairs(frame(spark, rows).select("text"), [], line_dedup._line_keys).collect()
+    pairs = {frozenset((r.a, r.b)) for r in got if r.b is not None}
+    assert {frozenset(p) for b in keys.values() if len(b) <= linking.SMALL for p in itertools.combinations(b, 2)} <= pairs
+    assert {(r.key, r.a) for r in got if r.b is None} == {(k, x) for k, b in keys.items() if len(b) > linking.SMALL for x in b}
+
+
 def test_only_sets_of_large_buckets_are_dealt_out(spark, monkeypatch):
     base = np.arange(100, dtype=np.uint64)
     sets = {n: np.append(base[: 95 - n % 3], 1000 + n).astype(np.uint64) for n in range(12)}
@@ -306,6 +339,19 @@ def test_only_sets_of_large_buckets_are_dealt_out(spark, monkeypatch):
     assert {r.node for r in kept["large-sets"].collect()} == set(range(12))
 
 
+@pytest.mark.parametrize("values", [1, 150, 1 << 15])
+def test_sets_leave_a_task_together(spark, monkeypatch, values):
+    monkeypatch.setattr(linking, "VALUES", values)
+    # 0 and 1 are linked to the centre, 8 only to 7, which nobody else reaches; 9 is on its own.
+    sets = {n: np.append(np.arange(95), 1000 + n).astype(np.uint64) for n in range(3)}
+    sets |= {n: np.append(np.arange(500, 595), 1000 + n).astype(np.uint64) for n in (7, 8)}
+    sets |= {9: np.arange(2000, 2096, dtype=np.uint64)}
+    frame_of = spark.createDataFrame([(n, x.tobytes(), len(x)) for n, x in sets.items()], "node long, values binary, n long").coalesce(1)
+    members = spark.createDataFrame([(1, n) for n in sets], "key long, node long")
+    got = linking.close_large(members, spark.createDataFrame([(1, 0)], "node long, label long"), frame_of.select("node", "n"), frame_of)
+    assert {(r.node, r.label) for r in got.collect()} == {(1, 0), (2, 0), (8, 7)}
+
+
 # ---- mixing ------------------------------------------------------------------
 
 
