@@ -28,13 +28,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, and no larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.agg(F.count(F.when(F.expr("up > 1 OR up = 1 AND down = 1"), 1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of an orderable type, a <> b; returns (node, label) for every node but the smallest
     of each component, whose label is itself."""
-    edges, before = stored(edges.select("a", "b").distinct(), "edges"), None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before or state[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = state
-        edges = stored(_small_star(_large_star(edges)), "edges")
+    edges = stored(edges.select("a", "b").distinct(), "edges")
+    if not edges.isEmpty():
+        edges = stored(_small_star(_large_star(edges)), "edges")  # one round is seldom enough: not looked at
+        while True:
+            edges = stored(_small_star(_large_star(edges)), "edges")
+            if _done(edges):
+                break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -305,7 +305,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counted = stored(sampled.groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
     hot = [r.key for r in _hot_keys(counted)]
     found = stored(_pairs(docs.select("text"), hot, _line_keys), "line-pairs")
-    members = found.filter("b IS NULL").select("key", F.col("a").alias("node")).distinct()
+    members = found.filter("b IS NULL").select("key", F.col("a").alias("node"))  # each once: its copies meet in one part
     pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
 
@@ -339,12 +339,11 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def plausible(some: DataFrame) -> DataFrame:
         sides = [sizes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"]
-        some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return some.join(sides[0], "a").join(sides[1], "b").filter(linking.reachable("na", "nb")).select("a", "b")
 
     links = stored(linking.confirmed(plausible(pairs), sets, sets_of), "line-links")
     labels = linking.forest(links)
-    labels = stored(linking.close_large(members, labels, sizes, sets, sets_of), "line-labels")
+    labels = linking.close_large(members, labels, sizes, sets, sets_of)
 
     every = stored(_places(docs), "line-places")
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "line_no")

@@ -196,4 +196,4 @@ def close_large(
         " AND 9 * (nc - size(missing) - size(missing2) + size(array_intersect(missing, missing2))"
         " + size(array_intersect(extra, extra2))) >= 4 * (n + n2)"
     )
-    return forest(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), labels)
+    return forest(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), labels)

@@ -352,6 +352,15 @@ def test_sets_leave_a_task_together(spark, monkeypatch, values):
     assert {(r.node, r.label) for r in got.collect()} == {(1, 0), (2, 0), (8, 7)}
 
 
+@pytest.mark.parametrize("edges", [[(2, 1)], [(2, 1), (3, 1), (9, 8)], [(5, 4), (3, 4), (3, 2), (2, 1), (9, 8), (8, 9)], []])
+def test_no_round_confirms_that_stars_are_done(spark, monkeypatch, edges):
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda some: rounds.append(1) or star(some))
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted({n: 8 if n > 7 else 1 for e in edges for n in e if n not in (1, 8)}.items())
+    assert len(rounds) == (2 if edges else 0)  # the chain of five took a third one that changed nothing
+
+
 # ---- mixing ------------------------------------------------------------------
 
 
