@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import stored
+from firmscope.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,14 +35,20 @@ def _done(edges: DataFrame) -> bool:
     return ends.agg(F.count(F.when(F.expr("up > 1 OR up = 1 AND down = 1"), 1))).first()[0] == 0
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    moved = stored(_small_star(_large_star(edges)), "edges")
+    discard(edges)
+    return moved
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of an orderable type, a <> b; returns (node, label) for every node but the smallest
     of each component, whose label is itself."""
     edges = stored(edges.select("a", "b").distinct(), "edges")
     if not edges.isEmpty():
-        edges = stored(_small_star(_large_star(edges)), "edges")  # one round is seldom enough: not looked at
+        edges = _round(edges)  # one round is seldom enough: not looked at
         while True:
-            edges = stored(_small_star(_large_star(edges)), "edges")
+            edges = _round(edges)
             if _done(edges):
                 break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

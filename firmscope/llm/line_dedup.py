@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope.llm import linking
-from firmscope.llm.common import SPACES, fresh, partitions, stored, workers
+from firmscope.llm.common import SPACES, discard, fresh, partitions, stored, workers
 
 SHINGLE, BANDS, ROWS = 8, 9, 3
 BITMAP = 1 << 26  # bits of the bitmap of lines whose text is wanted: 8 MB
@@ -304,6 +304,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sampled = sample.select("text").mapInArrow(_line_keys, "key long, node long")
     counted = stored(sampled.groupBy("key").agg(F.countDistinct("node").alias("n")), "line-sample")
     hot = [r.key for r in _hot_keys(counted)]
+    discard(counted)
     found = stored(_pairs(docs.select("text"), hot, _line_keys), "line-pairs")
     members = found.filter("b IS NULL").select("key", F.col("a").alias("node"))  # each once: its copies meet in one part
     pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -344,6 +345,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     links = stored(linking.confirmed(plausible(pairs), sets, sets_of), "line-links")
     labels = linking.forest(links)
     labels = linking.close_large(members, labels, sizes, sets, sets_of)
+    discard(found, pairs, wanted, sets, links)
 
     every = stored(_places(docs), "line-places")
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "line_no")
@@ -358,9 +360,10 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     classes = classes.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node")).drop("n")
     classes = stored(classes, "line-classes")
     least = classes.groupBy("label").agg(F.min("place").alias("keep"))
-    classes = stored(classes.join(least, "label").select("node", "first_check", "label", "keep"), "line-classes")
+    kept = stored(classes.join(least, "label").select("node", "first_check", "label", "keep"), "line-classes")
+    discard(classes)
     same = F.col("check") == F.col("first_check")
-    return every.join(classes, "node", "left").select(
+    return every.join(kept, "node", "left").select(
         F.col("id").alias("doc_id"),
         "line_no",
         F.when(same, F.col("label")).otherwise(F.col("node")).alias("component"),

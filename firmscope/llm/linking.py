@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.common import stored
+from firmscope.llm.common import discard, partitions, stored
 from firmscope.llm.components import components
 
 SMALL = 8
 VALUES = 1 << 15  # fingerprints of sets that leave a task together
+LEFT, RIGHT = 1 << 22, 1 << 26  # fingerprints of the sets that a task of a large group holds, and compares with these
 
 
 def reachable(low: str, high: str) -> Column:
@@ -102,9 +103,7 @@ def close_large(
     * The rest are compared with the most central member of the group, the one with
       the smallest share of own shingles, and the confirmed links join components.
     * What is still in different components is compared through the differences from
-      the centre: two members have in common the centre's shingles that neither
-      misses, and the extra ones that both have.  That gives the full intersection,
-      so only linked pairs are emitted.
+      the centre (:func:`_linked_in_groups`), which give the full intersections.
     """
     outside = stored(outsiders(members, labels).select("main", "node").distinct(), "outside")
     if outside.isEmpty():
@@ -146,54 +145,147 @@ def close_large(
     centrality = F.struct((F.col("own") / F.col("n")).alias("x"), "node")
     centre = able.groupBy("main").agg(F.min(centrality).alias("centre"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
     # Groups with one centre are one group from here on.
-    groups = able.join(centre, "main").select(F.col("centre.node").alias("centre"), "node", "n", "own", "label").distinct()
+    groups = able.join(centre, "main").select(F.col("centre.node").alias("centre"), "node", "n").distinct()
     groups = stored(groups, "groups")
 
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            centres = batch.column(3).to_pylist()
-            raws = list(dict.fromkeys(centres))
-            known = dict(zip(raws, decode(raws)))
-            for a, its in zip(decode(batch.column(2).to_pylist()), centres):
-                c = known[its]
-                missing, extra = np.setdiff1d(c, a, assume_unique=True), np.setdiff1d(a, c, assume_unique=True)
-                linked = 9 * (len(c) - len(missing)) >= 4 * (len(a) + len(c))
-                rows.append((len(c), missing.view(np.int64), extra.view(np.int64), linked))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3] for r in rows], pa.bool_()),
-                ],
-                names=["node", "centre", "nc", "missing", "extra", "linked"],
-            )
-
-    told = sets.select(F.col("node").alias("centre"), F.col("values").alias("its"))
-    compared = (
-        groups.select("node", "centre")
-        .join(sets.select("node", F.col("values").alias("mine")), "node")
-        .join(told, "centre")
-        .select("node", "centre", "mine", "its")
-        .mapInArrow(differences, "node long, centre long, nc long, missing array<long>, extra array<long>, linked boolean")
-    )
-    compared = stored(compared, "differences")
-    new = compared.filter("linked AND node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    labels = forest(new, labels)
-
-    members = labelled(groups.drop("label"), labels)
-    usual = members.filter("node = centre").select("centre", F.col("label").alias("usual"))
-    members = stored(members.join(usual, "centre").join(compared.drop("linked"), ["node", "centre"]), "members")
-    left = members.filter("label <> usual")
-    right = members.select("centre", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "own", "missing", "extra")])
-    pairs = left.join(right, "centre").filter(
-        "label <> label2 AND (label2 = usual OR node < node2) AND 5 * least(n, n2) >= 4 * greatest(n, n2)"
-        # Bounds from sizes alone, then the intersection.
-        " AND 9 * (nc - greatest(size(missing), size(missing2)) + least(size(extra) - own, size(extra2) - own2)) >= 4 * (n + n2)"
-        " AND 9 * (nc - size(missing) - size(missing2) + size(array_intersect(missing, missing2))"
-        " + size(array_intersect(extra, extra2))) >= 4 * (n + n2)"
+    links = groups.filter("node <> centre").join(groups.filter("node = centre").select("centre", F.col("n").alias("nc")), "centre")
+    links = links.filter(reachable("n", "nc")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    labels = forest(confirmed(links, sets, decode), labels)
+
+    members = labelled(groups, labels)
+    usual = members.filter("node = centre").select("centre", F.col("label").alias("usual"), F.col("n").alias("nc"))
+    members = stored(members.join(usual, "centre"), "members")
+    labels = forest(_linked_in_groups(members, sets, decode), labels)
+    discard(outside, large, able, groups, members)
+    return labels
+
+
+def _linked_in_groups(members: DataFrame, sets: DataFrame, decode: Decode) -> DataFrame:
+    """Pairs (a, b) that join all labels of a group's members which a link between two members joins.
+
+    ``members`` has centre, node, n, label, usual (the centre's label) and nc (the centre's size).  Members of
+    another label than the centre's are compared with all.  A group's pairs are dealt over cells, a
+    block of these members by a part of all: a task holds one block's differences from the centre.
+    Two members have in common the centre's elements, less those that either misses, and
+    the differences that they share.  Of the links only those are given that join two labels of a cell.
+    """
+    total = F.ceil(F.sum(F.col("n") + F.col("nc")) / RIGHT)
+    left = F.ceil(F.sum(F.when(F.col("label") != F.col("usual"), F.col("n") + F.col("nc"))) / LEFT)
+    cells = members.groupBy("centre").agg(left.alias("blocks"), total.alias("parts")).filter("blocks > 0")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+    rows = members.join(cells, "centre").select("centre", "node", "label", "usual", "blocks", "parts", block.alias("block"), part.alias("part"))
+    held = "if(label <> usual, transform(sequence(0L, parts - 1), x -> block * parts + x), array())"
+    taken = f"array_union({held}, transform(sequence(0L, blocks - 1), x -> x * parts + part))"
+    cell = F.explode(F.expr(f"if(node = centre, sequence(0L, blocks * parts - 1), {taken})"))
+    rows = rows.withColumn("cell", cell).select(
+        "centre",
+        "cell",
+        F.expr("CASE WHEN node = centre THEN 0 WHEN label <> usual AND cell div parts = block THEN 1 ELSE 2 END").alias("role"),
+        F.expr("node <> centre AND cell % parts = part").alias("compared"),
+        "node",
+        "label",
     )
-    return forest(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), labels)
+    rows = rows.join(sets.select("node", "values"), "node").select("centre", "cell", "role", "compared", "node", "label", "values")
+    rows = rows.repartition(partitions(rows), "centre", "cell").sortWithinPartitions("centre", "cell", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell = None, None
+        for batch in batches:
+            centres, numbers, roles, compared, nodes, labels, raws = (column.to_pylist() for column in batch.columns)
+            for k, values in enumerate(decode(raws)):
+                if (centres[k], numbers[k]) != at:
+                    if cell:
+                        yield cell.links()
+                    at, cell = (centres[k], numbers[k]), _Cell(values)
+                elif roles[k] == 1:
+                    cell.hold(nodes[k], labels[k], values, compared[k])
+                else:
+                    cell.compare(nodes[k], labels[k], values)
+            if cell and len(cell.found) > VALUES:
+                yield cell.links()
+        if cell:
+            yield cell.links()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class _Cell:
+    """A block of members, by their differences from the centre, and the links found with others so far."""
+
+    def __init__(self, centre: np.ndarray):
+        self.centre = centre.copy()
+        self.held: list[tuple[int, int, int, np.ndarray]] = []
+        self.waiting: list[tuple[int, int, int, np.ndarray]] = []
+        self.index = None
+        self.up: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def _row(self, node: int, label: int, values: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+        both = np.sort(np.concatenate([self.centre, values]), kind="stable")
+        again = np.append(False, both[1:] == both[:-1])
+        again[:-1] |= again[1:]
+        return node, label, len(values), both[~again]
+
+    def hold(self, node: int, label: int, values: np.ndarray, compared: bool) -> None:
+        """Take a member into the block, before any is compared with it."""
+        self.held.append(self._row(node, label, values))
+        if compared:
+            self.waiting.append(self.held[-1])
+
+    def compare(self, node: int, label: int, values: np.ndarray) -> None:
+        self._settle()
+        self._compare(self._row(node, label, values))
+
+    def links(self) -> pa.RecordBatch:
+        """The links found since the last call."""
+        self._settle()
+        a, b = zip(*self.found) if self.found else ((), ())
+        self.found = []
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def _settle(self) -> None:
+        if self.index is None:
+            lengths = [len(row[3]) for row in self.held]
+            values = np.concatenate([np.empty(0, np.uint64), *(row[3] for row in self.held)])
+            owners = np.repeat(np.arange(len(self.held), dtype=np.int32), lengths)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], owners[order]
+            starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+            self.index = values[starts], np.append(starts, len(values)), owners
+            self.nodes, self.labels, self.sizes = (np.array([row[k] for row in self.held], np.int64) for k in range(3))
+            self.own = self._common(self.sizes, np.array(lengths, np.int64))
+            self.held = []
+            for row in self.waiting:
+                self._compare(row)
+            self.waiting = []
+
+    def _common(self, size, different):
+        """How many elements members of a size and number of differences share with the centre."""
+        return (size + len(self.centre) - different) // 2
+
+    def _compare(self, row: tuple[int, int, int, np.ndarray]) -> None:
+        node, label, size, different = row
+        values, starts, owners = self.index
+        if not len(self.nodes):
+            return
+        shared = np.zeros(len(self.nodes), np.int64)
+        if len(values):
+            place = np.minimum(np.searchsorted(values, different), len(values) - 1)
+            place = place[values[place] == different]
+            counts = starts[place + 1] - starts[place]
+            every = np.repeat(starts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared = np.bincount(owners[every], minlength=len(self.nodes))
+        both = self.own + self._common(size, len(different)) - len(self.centre) + shared
+        linked = np.flatnonzero((9 * both >= 4 * (self.sizes + size)) & (self.labels != label))
+        for other, first in zip(*(x.tolist() for x in np.unique(self.labels[linked], return_index=True))):
+            x, y = self._find(other), self._find(label)
+            if x != y:
+                self.up[x] = y
+                self.found.append((int(self.nodes[linked[first]]), node))
+
+    def _find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x

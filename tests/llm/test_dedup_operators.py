@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -13,8 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmscope.llm import components, exact_dedup, line_dedup, linking, minhash_dedup, mixing
+from firmscope.llm import common, components, exact_dedup, line_dedup, linking, minhash_dedup, mixing
 from firmscope.llm.common import table
+from firmscope.session import shared_dir
 from tests.conftest import SF_SMALL
 
 #: Extra columns carry the names that the operators use inside.
@@ -361,6 +364,72 @@ def test_no_round_confirms_that_stars_are_done(spark, monkeypatch, edges):
     assert len(rounds) == (2 if edges else 0)  # the chain of five took a third one that changed nothing
 
 
+def scratch_tables(spark):
+    root = f"{shared_dir(spark)}/llm".removeprefix("file:")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    dealt = spark.range(1000).select((F.col("id") % 50).alias("k")).repartition(7, "k").mapInArrow(lambda batches: batches, "k long")
+    kept = common.stored(dealt, "dealt")
+    for _ in range(100):  # the files go a moment after the query
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and kept.count() == 1000
+    tables = scratch_tables(spark)
+    common.discard(kept)
+    assert len(tables - scratch_tables(spark)) == 1
+
+
+def test_rounds_and_steps_leave_no_tables(spark):
+    before = scratch_tables(spark)
+    edges = spark.createDataFrame([(k + 1, k) for k in range(20)], "a long, b long")
+    assert components.components(edges).count() == 20
+    assert len(scratch_tables(spark) - before) == 1
+    before = scratch_tables(spark)
+    assert line_dedup.line_groups(frame(spark, line_rows())).count()
+    left = {name.rsplit("-", 1)[0] for name in scratch_tables(spark) - before}
+    assert not left & {"line-sample", "line-pairs", "line-wanted", "line-sets", "line-links", "groups", "members"}
+
+
+@pytest.mark.parametrize("left, right", [(1 << 22, 1 << 26), (1500, 4000), (200, 900)])
+def test_members_of_large_groups_are_compared_in_cells(spark, monkeypatch, left, right):
+    """No member but 0 is linked with the centre, 0; the others are linked with each other by their differences."""
+    monkeypatch.setattr(linking, "LEFT", left)
+    monkeypatch.setattr(linking, "RIGHT", right)
+    rng = np.random.default_rng(3)
+    sets = {0: np.arange(100, dtype=np.uint64)}
+    families = [np.concatenate([rng.permutation(100)[:65], np.arange(1000 * f, 1000 * f + 30)]) for f in range(1, 9)]
+    for n in range(1, 41):
+        some = rng.permutation(families[n % 8])[4 if n % 3 else 17 :]
+        sets[n] = np.sort(np.append(some, 100_000 + n)).astype(np.uint64)
+    up = Union(41)
+    for x, y in itertools.combinations(sets, 2):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        if 9 * both >= 4 * (len(sets[x]) + len(sets[y])):
+            up.join(x, y)
+    members = spark.createDataFrame([(0, n, len(x), n, 0, 100) for n, x in sets.items()], "centre long, node long, n long, label long, usual long, nc long")
+    frame_of = spark.createDataFrame([(n, x.tobytes()) for n, x in sets.items()], "node long, values binary")
+    got = linking._linked_in_groups(members, frame_of, linking.stored_sets).collect()
+    found = Union(41)
+    for r in got:
+        assert up.find(r.a) == up.find(r.b)
+        found.join(r.a, r.b)
+    assert {frozenset(p) for p in itertools.combinations(sets, 2) if up.find(p[0]) == up.find(p[1])} == {
+        frozenset(p) for p in itertools.combinations(sets, 2) if found.find(p[0]) == found.find(p[1])
+    }
+    assert 8 < len({up.find(n) for n in sets}) < 30
+    if left > 10_000:
+        assert len(got) == 41 - len({up.find(n) for n in sets})  # no link that joins nothing leaves the task
+
+
 # ---- mixing ------------------------------------------------------------------
 
 
