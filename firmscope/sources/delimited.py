@@ -11,6 +11,7 @@ occurs in the data.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,45 +60,83 @@ def scan_delimited(
     return spark.read.schema(schema).options(**opts).csv(paths)
 
 
-LINE_SCHEMA = "file string, range long, line long, value binary, quotes long, before long, ends_outside long, ends_inside long"
-RANGE_SCHEMA = "file string, range long, quotes long, outside long, inside long"
+RANGE_SCHEMA = "of_file string, of_range long, number long, file_no long, before long, odd long"
+RECORD_SCHEMA = "file_no long, record long, number long, value binary"
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
-    """Runs of lines of one byte range (file, range, value), in order, with what stands before each line.
+class _Range:
+    """The records of one byte range, whose lines come in order.
 
-    Whether a range begins inside quotes isn't known yet, so the records that end
-    before a line are counted for both cases.
+    ``before`` lines of the file with an odd number of quotes stand before it, and it has
+    ``odd`` of them itself.  A line is inside quotes if an odd number of such lines stand before it.
     """
-    last, carry = None, [0, 0, 0, 0]  # lines, quotes, record ends of both cases so far in the range
+
+    def __init__(self, number: int, file_no: int, before: int, odd: int):
+        self.number, self.file_no, self.seen, self.until = number, file_no, before, before + odd
+        self.begun = before % 2 == 0  # whether the open record began in this range
+        self.open: list[bytes] = []
+        self.whole: list[bytes] = []
+        self.parts: list[tuple[int, int, int, bytes]] = []
+
+    def _part(self) -> None:
+        self.parts.append((self.file_no, self.seen // 2, self.number, b"\n".join(self.open)))
+        self.open = []
+
+    def take(self, values: pa.Array) -> pa.Array:
+        """Take lines; those that are records by themselves are returned."""
+        odd = pc.count_substring(values, '"').to_numpy(zero_copy_only=False) % 2 == 1
+        inside = (self.seen + np.cumsum(odd) - odd) % 2 == 1
+        alone = ~(odd | inside)
+        rest = values if not alone.any() else values.filter(pa.array(~alone))
+        for value, closes in zip(rest.to_pylist(), odd[~alone].tolist()):
+            self.open.append(value)
+            if closes and self.seen % 2 == 0:
+                self.begun = True
+            elif closes and self.begun:
+                self.whole.append(b"\n".join(self.open))
+                self.open = []
+            elif closes:
+                self._part()
+            self.seen += closes
+        return values.filter(pa.array(alone))
+
+    def end(self) -> None:
+        if self.seen != self.until:
+            raise RuntimeError("a file has changed during the scan")
+        if self.open:
+            self._part()
+
+
+def _records(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
+    """The records that lie in one of the byte ranges (number, file_no, before, odd, value), or the parts of the others."""
+
+    def out(rows: list[tuple[int | None, int | None, int | None, bytes]]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["file_no", "record", "number", "value"])
+
+    def left(its: _Range) -> pa.RecordBatch:
+        rows = its.parts if parts else [(None, None, None, value) for value in its.whole]
+        its.parts, its.whole = [], []
+        return out(rows)
+
+    its = None
     for batch in batches:
-        where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        starts = [k for k in range(len(where)) if k == 0 or where[k] != where[k - 1]]
-        for at, stop in zip(starts, [*starts[1:], len(where)]):
-            if where[at] != last:
-                last, carry = where[at], [0, 0, 0, 0]
-            run = batch.slice(at, stop - at)
-            own = {"quotes": pc.count_substring(run.column(2), '"').to_numpy(zero_copy_only=False).astype(np.int64)}
-            seen = carry[1] + np.cumsum(own["quotes"])
-            own |= {"ends_outside_here": (seen % 2 == 0).astype(np.int64), "ends_inside_here": (seen % 2 == 1).astype(np.int64)}
-            totals = [np.ones(len(seen), np.int64), *own.values()]
-            names = ["line", "before", "ends_outside", "ends_inside"]
-            own |= {name: c + np.cumsum(x) - x for name, c, x in zip(names, carry, totals)}
-            carry = [c + int(x.sum()) for c, x in zip(carry, totals)]
-            yield run, own
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run, own in _walk(batches):
-        columns = [run.column(0), run.column(1), own["line"], run.column(2), own["quotes"], own["before"], own["ends_outside"], own["ends_inside"]]
-        names = ["file", "range", "line", "value", "quotes", "before", "ends_outside", "ends_inside"]
-        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
-
-
-def _range_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run, own in _walk(batches):
-        sums = [pa.array([int(own[k].sum())], pa.int64()) for k in ("quotes", "ends_outside_here", "ends_inside_here")]
-        yield pa.RecordBatch.from_arrays([run.column(0).slice(0, 1), run.column(1).slice(0, 1), *sums], names=["file", "range", "quotes", "outside", "inside"])
+        numbers = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)] if len(numbers) else []
+        for at, stop in zip(cuts, cuts[1:]):
+            if its is None or its.number != numbers[at]:
+                if its:
+                    its.end()
+                    yield left(its)
+                its = _Range(*(batch.column(k)[at].as_py() for k in range(4)))
+            alone = its.take(batch.column(4).slice(at, stop - at))
+            if not parts:
+                none = pa.nulls(len(alone), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, alone], names=["file_no", "record", "number", "value"])
+            yield left(its)
+    if its:
+        its.end()
+        yield left(its)
 
 
 def scan_splittable(
@@ -108,17 +147,18 @@ def scan_splittable(
 ) -> DataFrame:
     """The rows of :func:`scan_delimited`, with files of any size read by many tasks.
 
-    Spark's text source cuts a file into byte ranges of whole lines.  A first pass
-    counts the quotes and record ends of each range and returns no lines; prefix sums
-    over the ranges of a file (one row each) tell whether a range begins inside quotes and how many records
-    end before it.  In the second pass a line that begins and ends outside of quotes is
-    a record; only the lines of records with line breaks in a field are shuffled, by
-    file and record number, and put together, across ranges too.  Records are parsed by
-    the JVM's CSV parser with the same options.
+    Spark's text source cuts a file into byte ranges of whole lines.  A first pass, run at
+    once, counts each range's lines with an odd number of quotes; prefix sums over the ranges of a
+    file tell whether a range begins inside quotes.  A range that begins outside and has no such
+    line holds a record in each line; its lines stay in the JVM and in their task.  The others,
+    one row each on the driver, are walked through in order: records that lie in one range are
+    put together there, and only the parts of records that go on in another range are shuffled,
+    by file and record.  Records are parsed by the JVM's CSV parser with the same options.
 
     Defined cases: records end with a line feed, with or without a carriage return;
     empty lines between records are skipped; a file that ends inside quotes, a record
-    with too few or too many fields, and a line separator of another kind fail the job;
+    with too few or too many fields, a line separator of another kind, and a file whose
+    quotes have changed since the first pass fail the job;
     a quote inside an unquoted field isn't part of the dialect; an empty file has no rows.
     """
     ship_package(spark)
@@ -127,43 +167,51 @@ def scan_splittable(
     if opts["quote"] != '"' or opts["escape"] != '"':
         raise ValueError("a splittable scan needs quotes that are escaped by doubling")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("lineSep", "\n").text(paths)
-    raw = raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("range"),
-        F.col("value").cast("binary").alias("value"),
-    )
-    lines = raw.mapInArrow(_numbered, LINE_SCHEMA)
-    totals = [F.sum(c).alias(c) for c in ("quotes", "outside", "inside")]
-    ranges = raw.mapInArrow(_range_totals, RANGE_SCHEMA).groupBy("file", "range").agg(*totals)
-    order = Window.partitionBy("file").orderBy("range")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("parity", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
-    ranges = ranges.withColumn("ends", F.when(F.col("parity") == 0, F.col("outside")).otherwise(F.col("inside")))
-    odd = (F.sum("quotes").over(Window.partitionBy("file")) % 2) == 1
-    ranges = ranges.select(
-        F.col("file").alias("of_file"),
-        F.col("range").alias("of_range"),
-        F.when(odd, F.raise_error(F.concat(F.lit("ends inside quotes: "), "file"))).otherwise(F.col("parity")).alias("parity"),
-        F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("records"),
-    )
-    placed = lines.join(ranges, (F.col("file") == F.col("of_file")) & (F.col("range") == F.col("of_range")), "left")
-    placed = placed.withColumn("parity", F.coalesce("parity", F.raise_error(F.lit("a file has changed during the scan")).cast("bigint")))
-    inside = (F.col("before") + F.col("parity")) % 2 == 1
-    record = F.col("records") + F.when(F.col("parity") == 0, F.col("ends_outside")).otherwise(F.col("ends_inside"))
-    placed = placed.select("file", "range", "line", "value", "quotes", inside.alias("inside"), record.alias("record"))
-    alone = ~F.col("inside") & (F.col("quotes") % 2 == 0)
-    text = F.decode(F.col("value"), charset)
-    pieces = placed.filter(~alone).groupBy("file", "record")
-    joined = pieces.agg(F.array_sort(F.collect_list(F.struct("range", "line", text.alias("text")))).alias("lines"))
-    texts = placed.filter(alone).select(text.alias("text")).union(
-        joined.select(F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
-    )
-    texts = texts.select(F.regexp_replace("text", "\r\\z", "").alias("text")).filter("text <> ''")
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    raw = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), "value")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"')))  # bytes, not characters: no charset is known here
+    walked = _walked(raw, quotes) if lines.filter(quotes % 2 == 1).agg(F.count(F.lit(1))).first()[0] else []
+    stripped = F.expr("if(endswith(value, '\\r'), substring(CAST(value AS BINARY), 1, octet_length(value) - 1), CAST(value AS BINARY))")
+
+    def decoded(value: Column) -> Column:
+        return F.decode(value, charset).alias("text")
+
+    plain, own = lines, F.lit(True)
+    if walked:
+        # The texts depend on both sides of this join: a later condition on them can't be moved below it.
+        own = F.col("number").isNull()
+        of_range = F.broadcast(spark.createDataFrame(walked, RANGE_SCHEMA))
+        same = (F.col("file") == F.col("of_file")) & (F.col("range") == F.col("of_range"))
+        plain = raw.join(of_range, same, "left").filter(own)
+        placed = raw.join(of_range, same).select("number", "file_no", "before", "odd", F.col("value").cast("binary").alias("value"))
+        whole = placed.mapInArrow(partial(_records, parts=False), RECORD_SCHEMA).select(F.col("value").cast("string").alias("value"))
+        pieces = placed.mapInArrow(partial(_records, parts=True), RECORD_SCHEMA).groupBy("file_no", "record")
+        pieces = pieces.agg(F.array_sort(F.collect_list(F.struct("number", "value"))).alias("parts"))
+        joined = pieces.select(F.array_join(F.transform("parts", lambda x: x["value"].cast("string")), "\n").alias("value"))
+        whole = whole.union(joined).filter("value NOT IN ('', '\\r')")
+    changed = F.raise_error(F.lit("a file has changed during the scan")).cast("binary")
+    plain = plain.filter("value NOT IN ('', '\\r')")
+    texts = plain.select(decoded(F.when(own & (quotes % 2 == 0), stripped).when(own, changed)))
+    if walked:
+        texts = texts.union(whole.select(decoded(stripped)))
     parsed = texts.select(F.from_csv("text", schema.simpleString()[len("struct<") : -1].replace(":", " "), {**opts, "lineSep": "\n"}).alias("row"))
     return parsed.select("row.*")
 
 
+def _walked(raw: DataFrame, quotes: Column) -> list[tuple]:
+    """The byte ranges (file, range, value) that aren't a record in each line, as RANGE_SCHEMA."""
+    order = Window.partitionBy("file").orderBy("range")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = raw.groupBy("file", "range").agg(F.sum(quotes % 2).alias("odd"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("odd").over(earlier), F.lit(0)))
+    ranges = ranges.withColumn("total", F.sum("odd").over(Window.partitionBy("file")))
+    rows = ranges.filter("odd > 0 OR before % 2 = 1").sort("file", "range").collect()
+    if unclosed := [r.file for r in rows if r.total % 2]:
+        raise ValueError(f"ends inside quotes: {unclosed[0]}")
+    files = {f: k for k, f in enumerate(dict.fromkeys(r.file for r in rows))}
+    return [(r.file, r.range, k, files[r.file], r.before, r.odd) for k, r in enumerate(rows)]
+
+
 def shard_running_total(df: DataFrame, shard: str | Column) -> DataFrame:
     """Rows per shard and the running total in shard order.
 

@@ -5,6 +5,7 @@ import os
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,42 @@ def test_splittable_scan_fails_on_damage(spark, tmp_dir, text):
         f.write(text)
     with pytest.raises(Exception):
         delimited.scan_splittable(spark, f"{tmp_dir}/bad.csv", TWO).collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_plain_files_stay_in_their_task(spark, tmp_dir, small_ranges):
+    with open(f"{tmp_dir}/plain.csv", "wb") as f:
+        f.write(b'1;"a ""b"""\r\n2;\n\r\n\n3;"S\xe3o;"\n' * 50)
+    got = delimited.scan_splittable(spark, f"{tmp_dir}/plain.csv", TWO)
+    assert not any(word in _plan(got) for word in ("MapInArrow", "Join", "Aggregate", "Window"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("1", 'a "b"'), ("2", None), ("3", "São;")] * 50, key=str)
+
+
+def test_only_parts_of_records_across_ranges_are_shuffled(spark, tmp_dir, small_ranges):
+    lines = [b'%d;"%s"\n' % (i, b"x\n" * (i % 3) + b"\n\n" * 400 * (i == 50)) for i in range(100)]
+    with open(f"{tmp_dir}/f.csv", "wb") as f:
+        f.write(b"".join(lines))
+    got = delimited.scan_splittable(spark, f"{tmp_dir}/f.csv", TWO)
+    want = {(str(i), "x\n" * (i % 3) + "\n\n" * 400 * (i == 50)) for i in range(100)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "lines" not in _plan(got) and {tuple(r) for r in got.filter("a IN ('1', '50')").collect()} == {x for x in want if x[0] in ("1", "50")}
+    batch = {"number": [0] * 4 + [1] * 3, "file_no": [0] * 7, "before": [0] * 4 + [3] * 3, "odd": [3] * 4 + [1] * 3}
+    table = pa.table(batch).append_column("value", pa.array([b"0;z", b'1;"a', b'b"', b'2;"c', b"d", b'e"', b"3;f"], pa.binary()))
+    whole, parts = ([r for b in delimited._records(iter(table.to_batches()), parts) for r in b.to_pylist()] for parts in (False, True))
+    assert [r["value"] for r in whole] == [b"0;z", b'1;"a\nb"', b"3;f"]
+    assert [tuple(r.values()) for r in parts] == [(0, 1, 0, b'2;"c'), (0, 1, 1, b'd\ne"')]
+
+
+def test_a_file_that_changes_after_the_first_pass_fails(spark, tmp_dir):
+    path = f"{tmp_dir}/f.csv"
+    for before, after in ((b"1;22\n", b'1;"2\n'), (b'1;"2\n"\n', b"1;2222\n")):
+        with open(path, "wb") as f:
+            f.write(before)
+        got = delimited.scan_splittable(spark, path, TWO)
+        with open(path, "wb") as f:
+            f.write(after)
+        with pytest.raises(Exception, match="changed during the scan"):
+            got.collect()
